@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, packing, pii, quality, secrets, sharding
+from tidemill.llm import ann, jaccard, mixing, packing, pii, quality, secrets, sharding, topk
 from tidemill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_personal_data(spark, sf_dir):
     return pii.detect(docs, pii.train(docs))
 
 
+def op4_exact_top_k(spark, sf_dir):
+    return topk.topk(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +36,13 @@ def op8_source_mixing(spark, sf_dir):
     return digest.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest_by_curves(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves)}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE}
