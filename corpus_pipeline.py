@@ -1,6 +1,82 @@
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read
+again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill.llm import jaccard, mixing, packing, quality, secrets
+from tidemill.llm.common import checkpointed, id_filter, shared_folder, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows of (doc_id, times) that may go to every executor: 16 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("quality_label = 1").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows with a null id stay; of rows that repeat an id, one stays.
+    """
+    linked = checkpointed(jaccard.link(docs))
+    _, kept = id_filter(docs, linked.where("component_id <> doc_id").select("doc_id").distinct())
+    repeated, single = id_filter(docs, linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    docs = kept(docs.select(*COLUMNS))
+    return single(docs).unionByName(repeated(docs).dropDuplicates(["doc_id"]))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked; n_chars follows the text."""
+    masked = secrets.redacted(docs)
+    return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it.
+
+    Rows that share an id, or have none, are all taken as often as the first of them.
+    """
+    digest, _ = mixing.mix(docs)
+    times = checkpointed(digest.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_times")).where("_times > 0"))
+    times = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
+    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("secret scans", mask_secrets),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: No SQL trains the classifier or finds the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; tables between stages go to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,30 +5,31 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    The files outlive the executors that wrote them. A folder of this machine is
-    set only where the session has none, as in tests.
+    A folder of this machine is set only where the session has none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemill-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-"))
+    return sc.getCheckpointDir()
 
 
-def partitions(df: DataFrame) -> int:
-    """Shuffle partitions of the session, for explicit repartitions."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files that outlive the executors that wrote them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def utf8_size(text="text"):
@@ -70,3 +71,25 @@ def locate(columns: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray
         below |= equal
         lo, hi = np.where(open_ & below, mid + 1, lo), np.where(open_ & ~below, mid, hi)
     return lo
+
+
+def id_filter(docs: DataFrame, ids: DataFrame, most: int = 2_000_000):
+    """``(inside, outside)``: filters of tables by whether doc_id is in ``ids`` (distinct).
+
+    Up to ``most`` ids go to the tasks as one sorted array of at most 16 MB, and no row
+    is shuffled; more ids are joined. A null doc_id is outside.
+    """
+    some = ids.select("doc_id").limit(most + 1).toPandas().doc_id.to_numpy(np.int64)
+    if len(some) > most:
+        return (lambda df: df.join(ids, "doc_id", "left_semi")), (lambda df: df.join(ids, "doc_id", "left_anti"))
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(some))
+
+    @F.pandas_udf(T.BooleanType())
+    def there(doc_id: pd.Series) -> pd.Series:
+        own = doc_id.fillna(0).to_numpy(np.int64)
+        if not len(known.value):
+            return pd.Series(np.zeros(len(own), bool))
+        at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
+        return pd.Series((known.value[at] == own) & doc_id.notna().to_numpy())
+
+    return (lambda df: df.where(there("doc_id"))), (lambda df: df.where(~there("doc_id")))

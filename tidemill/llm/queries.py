@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import ann, jaccard, mixing, packing, pii, quality, secrets, sharding, topk
+from tidemill.llm import ann, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
 from tidemill.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_personal_data(spark, sf_dir):
     return pii.detect(docs, pii.train(docs))
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark, sf_dir):
     return topk.topk(table(spark, sf_dir, "embeddings"))
 
@@ -44,5 +48,5 @@ def op10_nearest_by_curves(spark, sf_dir):
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves)}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves)}
 ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE}
