@@ -2,26 +2,64 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from tidemill.operators import load
+from tidemill.operators.base import DUCK, OPERATORS
+from tidemill.plans.fixtures import BASES, FIXTURES
 
+load()
 
-def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
-    """Add one query; ``sql`` is its DuckDB equivalent when SQL can express it."""
-    if name in _QUERIES:
-        raise ValueError(f"query {name} is registered twice")
-    _QUERIES[name] = query
-    if sql is not None:
-        _ORACLES[name] = sql
+
+def _table(spark: SparkSession, sf_dir: str, name: str, known: dict[str, DataFrame]) -> DataFrame:
+    """A base table, a derived fixture, or another operator's result."""
+    if name not in known:
+        if name in OPERATORS:
+            op = OPERATORS[name]
+            known[name] = op(spark, **{n: _table(spark, sf_dir, n, known) for n in op.inputs})
+        elif name in FIXTURES:
+            sql = FIXTURES[name]
+            for base in BASES:
+                if re.search(rf"\b(FROM|JOIN) {base}\b", sql):
+                    view = f"_{base}_base"
+                    spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(view)
+                    sql = re.sub(rf"\b(FROM|JOIN) {base}\b", rf"\1 {view}", sql)
+            known[name] = spark.sql(sql)
+        else:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return known[name]
+
+
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, name, {})
+
+
+def _oracle(name: str) -> str:
+    """One WITH per input, innermost first."""
+    ctes: dict[str, str] = {}
+
+    def need(n: str) -> None:
+        if n in ctes or n not in OPERATORS and n not in FIXTURES:
+            return
+        if n in OPERATORS:
+            for i in OPERATORS[n].inputs:
+                need(i)
+            ctes[n] = re.sub(r"@(\w+)", r"\1", OPERATORS[n].text(DUCK))
+        else:
+            ctes[n] = FIXTURES[n]
+
+    need(name)
+    last = ctes.pop(name)
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({s})" for n, s in ctes.items()) + f"\nSELECT * FROM ({last}) result" if ctes else last
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {name: partial(run, name) for name in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {name: _oracle(name) for name in OPERATORS}
