@@ -156,20 +156,25 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(x) for x in both], dtype="int64")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(wide: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of digests that reach the threshold."""
     n, k = F.col("n"), F.lit(percent)
     sized = pairs.join(classes.select(F.col("short").alias("a"), n.alias("na")), "a").join(classes.select(F.col("short").alias("b"), n.alias("nb")), "b")
-    sized = checkpointed(sized.where((F.col("na") * 100 >= F.col("nb") * k) & (F.col("nb") * 100 >= F.col("na") * k)))
-    either = sized.select(F.col("a").alias("short")).union(sized.select("b")).distinct()
-    wide = checkpointed(_wide(docs, classes.join(either, "short").select(F.col("rep").alias("doc_id")), width))
+    sized = sized.where((F.col("na") * 100 >= F.col("nb") * k) & (F.col("nb") * 100 >= F.col("na") * k))
     left = sized.join(wide.toDF("a", "wide", "at"), "a")
     both = left.join(wide.toDF("b", "wide", "bt"), ["b", "wide"])
     sums = both.withColumn("o", _overlap("at", "bt")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return sums.where(F.col("o") * 100 >= k * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def link(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the fragments whose sets are still in different components."""
+    placed = shared.join(labels.toDF("short", "component"), "short", "left").select("sig", "short", F.coalesce("component", "short").alias("component"))
+    mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return checkpointed(placed.join(mixed_, "sig"))
+
+
+def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts link when their word shingles have a Jaccard similarity of at least
@@ -177,29 +182,45 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     shingle. A text without words links with nothing. Rows with a null doc_id link with
     nothing and have a null component. Rows that repeat a doc_id are rows of their own.
     Shingles and sets are known by 64-bit digests. Other columns are not read.
+
+    ``rounds`` bounds how often the members of large fragments meet one member only,
+    before those that are still apart all meet; it changes the cost and not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = checkpointed(_sets(docs, width))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = checkpointed(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
-    sig = _signature_rows(docs.where("doc_id is not null"), width, percent).distinct()
     # what only one set has is left out before anything else is joined
-    several = sig.groupBy("sig").agg(F.min("short").alias("first"), F.max("short").alias("last")).where("first <> last")
-    shared = checkpointed(sig.join(several.select("sig", "first"), "sig"))
-    tested = checkpointed(shared.select(F.col("first").alias("a"), F.col("short").alias("b")).where("a <> b").distinct())
-    links = checkpointed(_verified(docs, tested, classes, width, percent))
-    labels = components(links)
-
-    # sets that share a fragment but are still apart
-    placed = shared.join(labels.toDF("short", "component"), "short", "left").select("sig", "short", F.coalesce("component", "short").alias("component"))
-    apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    placed = checkpointed(placed.join(apart, "sig"))
-    other = placed.toDF("sig", "b", "cb")
-    cross = placed.select("sig", F.col("short").alias("a"), F.col("component").alias("ca")).join(other, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = checkpointed(cross.join(tested, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        links = checkpointed(links.union(_verified(docs, cross, classes, width, percent)))
-        labels = components(links)
+    sig = _signature_rows(docs.where("doc_id is not null"), width, percent).distinct()
+    several = sig.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
+    shared = checkpointed(sig.join(several, "sig"))
+    members = shared.select("short").distinct()
+    wide = checkpointed(_wide(docs, classes.join(members, "short").select(F.col("rep").alias("doc_id")), width))
+
+    spark = docs.sparkSession
+    tested = links = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node long, component long")
+    for turn in range(rounds + 1):
+        apart = _apart(shared, labels)
+        cost = apart.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+        if not cost[1]:
+            break
+        last = turn == rounds or (turn and cost[0] <= 4 * cost[1])
+        if last:
+            other = apart.toDF("sig", "b", "cb")
+            pairs = apart.toDF("sig", "a", "ca").join(other, "sig").where("a < b and ca <> cb")
+        else:
+            # all members meet the one that this round's hash puts first
+            first = apart.groupBy("sig").agg(F.min_by(F.struct("short", "component"), F.xxhash64(F.lit(turn), "short")).alias("p"))
+            pairs = apart.join(first, "sig").where("component <> p.component").select(F.least("short", "p.short").alias("a"), F.greatest("short", "p.short").alias("b"))
+        pairs = checkpointed(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        found = checkpointed(_verified(wide, pairs, classes, percent))
+        tested = tested.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
+        if last:
+            break
 
     named = classes.join(labels.toDF("short", "component"), "short", "left").select("short", "rep", F.coalesce("component", "short").alias("component"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))

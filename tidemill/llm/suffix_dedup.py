@@ -2,10 +2,11 @@
 
 1. Exact copies of a text are settled by their digest.
 2. Anchors: of every run of ``length`` bytes, the k-gram with the smallest hash is its
-   anchor, so equal runs have equal anchors. Anchors that two documents share are found
-   by one shuffle of packed hashes.
-3. Around each shared anchor the bytes of all runs that it anchors go to the shard of
-   the anchor's hash; equal runs meet in one shard.
+   anchor, so equal runs have equal anchors. One shuffle of packed hashes finds the
+   anchors that documents share. Where the bytes of all runs of an anchor (its context)
+   are the same, by a 64-bit digest, as in a document with a smaller id, they are settled.
+3. Contexts that differ around a shared anchor are the borders of repeats: their bytes go
+   to the shard of the anchor's hash, where equal runs meet.
 4. Each shard sorts its suffixes by external induced sorting and reads off, from the
    common prefixes, which runs also start in a document with a smaller id.
 5. The runs found are removed from their documents and the rest is hashed.
@@ -14,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,8 @@ from tidemill.llm.induced import suffixes
 from tidemill.llm.jaccard import mixed
 
 GRAM = 20
-_LEVELS = (1, 2, 4, 8, 16)
+#: Kinds of what comes out of the meeting of anchors.
+SETTLED, OPEN = 0, 1
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -64,15 +67,36 @@ def _anchors(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, anchor, first run, end of runs)``: which runs of ``length`` bytes each anchor stands for."""
+    """``(hash, context digest, first run, end of runs)``: the runs of ``length`` bytes of each anchor."""
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none, none
     h = _grams(data, GRAM)
     at = _anchors(h, length - GRAM + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     end = np.append(first[1:], len(at))
-    return h[at[first]], at[first].astype(np.int64), first, end
+    anchor = at[first].astype(np.int64)
+    up, down = _powers(len(h))
+    sums = np.concatenate([[0], np.cumsum(h * up)]).astype(np.uint64)
+    last = end + length - GRAM  # grams of the context
+    context = mixed((sums[last] - sums[first]) * down[first] + (anchor - first).astype(np.uint64) * BASE + (last - first).astype(np.uint64))
+    return h[anchor], context, first, end
+
+
+#: An odd number and its inverse modulo 2 ** 64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+@cache
+def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([[1], np.cumprod(np.full(n - 1, x, np.uint64))]).astype(np.uint64) for x in (BASE, INVERSE))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for n places."""
+    up, down = _powers_upto(1 << max(10, (n - 1).bit_length()))
+    return up[:n], down[:n]
 
 
 def _bytes(text) -> np.ndarray:
@@ -85,114 +109,126 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _shared_in(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by hash: ``(hash, doc, whether two documents have the hash)``."""
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    starts, sizes = _groups(h)
-    lo, hi = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
-    return h, doc, np.repeat(lo != hi, sizes)
+def _judged(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by (anchor, context, document): the three, and what each row is.
+
+    2: the first document with its context, and the anchor has no other context; OPEN:
+    the same, but it has; SETTLED: a smaller document has the same context.
+    """
+    order = np.lexsort((doc, context, h))
+    h, context, doc = h[order], context[order], doc[order]
+    new_h = np.concatenate([[True], h[1:] != h[:-1]])
+    new_context = new_h | np.concatenate([[True], context[1:] != context[:-1]])
+    starts, sizes = np.flatnonzero(new_context), np.diff(np.append(np.flatnonzero(new_context), len(h)))
+    settled = doc > np.repeat(doc[starts], sizes)
+    of_h = np.add.reduceat(new_context.astype(np.int64), np.flatnonzero(new_h))
+    many = np.repeat(of_h, np.diff(np.append(np.flatnonzero(new_h), len(h)))) > 1
+    return h, context, doc, np.where(settled, SETTLED, np.where(many, OPEN, 2))
+
+
+def _by_doc(doc: np.ndarray, context: np.ndarray, kind: int) -> list:
+    order = np.argsort(doc, kind="stable")
+    doc, context = doc[order], context[order]
+    return [(int(doc[a]), kind, context[a : a + n].tobytes()) for a, n in zip(*_groups(doc), strict=True)]
 
 
-def _packed_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Anchors of all documents, packed by bucket of their hash.
+def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: int = 4 << 20) -> DataFrame:
+    """Anchors and contexts of all documents, packed by bucket of the anchor's hash.
 
-    A row holds the upper 32 bits of the hashes and the documents as offsets to ``base``. What
-    documents of one batch share is settled there: their rows have a negative bucket,
-    and one of them stands for all in the hash's own bucket.
+    A row holds the upper 32 bits of the hashes, the context digests, and the documents
+    as offsets to ``base``. What is settled among the documents that are read together
+    has a negative bucket, and only the first document stands for a context.
     """
     low = np.uint64(0xFFFFFFFF)
 
-    def rows_of(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray) -> list:
+    def rows_of(bucket, h, context, doc) -> list:
         order = np.argsort(bucket, kind="stable")
-        bucket, h, doc = bucket[order], h[order], doc[order]
+        bucket, h, context, doc = bucket[order], h[order], context[order], doc[order]
         out = []
         for a, n in zip(*_groups(bucket), strict=True):
             own = doc[a : a + n]
             base = int(own.min())
             wide = int(own.max()) - base >= 1 << 32
-            out.append((int(bucket[a]), base, wide, h[a : a + n].tobytes(), (own - base).astype(np.uint64 if wide else np.uint32).tobytes()))
+            out.append((int(bucket[a]), base, wide, h[a : a + n].tobytes(), context[a : a + n].tobytes(), (own - base).astype(np.uint64 if wide else np.uint32).tobytes()))
         return out
 
+    def rows(held: list) -> list:
+        h, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(h):
+            return []
+        h, context, doc, kind = _judged(h, context, doc)
+        sent = kind != SETTLED
+        bucket = ((h & low) % np.uint64(buckets)).astype(np.int64)
+        code = (h >> np.uint64(32)).astype(np.uint32)
+        local = -1 - (mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        return rows_of(bucket[sent], code[sent], context[sent], doc[sent]) + rows_of(local[~sent], code[~sent], context[~sent], doc[~sent])
+
     def packed(batches):
         for batch in batches:
-            hs, ds = [], []
+            held, size, out = [], 0, []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                h = np.unique(segments(_bytes(text), length)[0])
-                hs.append(h)
-                ds.append(np.full(len(h), doc_id, np.int64))
-            if not sum(map(len, hs)):
-                continue
-            h, doc, shared = _shared_in(np.concatenate(hs), np.concatenate(ds))
-            lead = np.concatenate([[True], h[1:] != h[:-1]])
-            bucket = ((h & low) % np.uint64(buckets)).astype(np.int64)
-            code = (h >> np.uint64(32)).astype(np.uint32)
-            out = rows_of(bucket[lead], code[lead], doc[lead])
-            # settled here; dealt by document, with the whole hash
-            local = -1 - (mixed(doc[shared].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            out += rows_of(local, h[shared], doc[shared])
-            yield pd.DataFrame(out, columns=["bucket", "base", "wide", "h", "doc"])
+                data = _bytes(text)
+                h, context, _, _ = segments(data, length)
+                held.append((h, context, np.full(len(h), doc_id, np.int64)))
+                size += len(data)
+                if size >= bytes_at_once:
+                    out, held, size = out + rows(held), [], 0
+            out += rows(held) if held else []
+            yield pd.DataFrame(out, columns=["bucket", "base", "wide", "h", "context", "doc"])
 
-    return docs.mapInPandas(packed, "bucket int, base long, wide boolean, h binary, doc binary")
+    return docs.mapInPandas(packed, "bucket int, base long, wide boolean, h binary, context binary, doc binary")
 
 
 def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, bucket, codes)``: anchors that another document has too.
+    """``(doc_id, kind, contexts)``: digests of contexts that are settled, and of those that are open."""
 
-    A code is the upper half of the hash; in rows with a negative bucket it is the whole hash.
-    """
-
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
-        settled = key[0] < 0
-        h = np.concatenate([np.frombuffer(x, np.uint64 if settled else np.uint32) for x in rows.h])
+    def meet(key: tuple[object, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        context = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.context])
         doc = np.concatenate([np.frombuffer(d, np.uint64 if w else np.uint32).astype(np.int64) + b for b, w, d in zip(rows.base, rows.wide, rows.doc, strict=True)])
-        if not settled:
-            h, doc, shared = _shared_in(h, doc)
-            h, doc = h[shared], doc[shared]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        out = [(int(doc[a]), key[0], h[a : a + n].tobytes()) for a, n in zip(*_groups(doc), strict=True)]
-        return pd.DataFrame(out, columns=["doc_id", "bucket", "codes"])
+        if key[0] < 0:
+            out = _by_doc(doc, context, SETTLED)
+        else:
+            h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.h])
+            _, context, doc, kind = _judged(h, context, doc)
+            out = [r for k in (SETTLED, OPEN) for r in _by_doc(doc[kind == k], context[kind == k], k)]
+        return pd.DataFrame(out, columns=["doc_id", "kind", "contexts"])
 
-    return _packed_anchors(docs, length, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, bucket int, codes binary")
+    return _packed_anchors(docs, length, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, kind int, contexts binary")
 
 
 def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """For each shared anchor, the bytes of its runs, to the shard of its hash.
-
-    Rows with a negative shard are ranges of runs that are settled already: a document
-    with a smaller id, met on the way, has the same bytes around the anchor.
-    """
-    low = np.uint64(0xFFFFFFFF)
+    """For each open context its bytes, to the shard of its anchor; for the settled ones their runs, to negative shards."""
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("deal")
 
     def cut(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        codes: dict[int, list] = {}
-        for doc_id, bucket, c in zip(known.doc_id, known.bucket, known.codes, strict=True):
-            codes.setdefault(doc_id, []).append((bucket, c))
-        seen, out = {}, []
-        for doc_id, text in sorted(zip(texts.doc_id, texts.text, strict=True), key=lambda x: x[0]):
-            if doc_id not in codes:
+        of = {}
+        for doc_id, kind, c in zip(known.doc_id, known.kind, known.contexts, strict=True):
+            of.setdefault((doc_id, kind), []).append(np.frombuffer(c, np.uint64))
+        shard, doc, lo, hi, bytes_ = [], [], [], [], []
+        for doc_id, text in zip(texts.doc_id, texts.text, strict=True):
+            own = [np.concatenate(of[doc_id, k]) if (doc_id, k) in of else None for k in (SETTLED, OPEN)]
+            if own[SETTLED] is None and own[OPEN] is None:
                 continue
             data = _bytes(text)
-            raw = data.tobytes()
-            h, anchor, first, end = segments(data, length)
-            whole = [np.frombuffer(c, np.uint64) for b, c in codes[doc_id] if b < 0]
-            half = [np.frombuffer(c, np.uint32).astype(np.uint64) * np.uint64(buckets) + np.uint64(b) for b, c in codes[doc_id] if b >= 0]
-            own = (h >> np.uint64(32)) * np.uint64(buckets) + (h & low) % np.uint64(buckets)
-            hit = np.isin(own, np.concatenate(half)) if half else np.zeros(len(h), bool)
-            if whole:
-                hit |= np.isin(h, np.concatenate(whole))
-            for k in np.flatnonzero(hit).tolist():
-                a, b = int(first[k]), int(end[k])
-                bytes_ = raw[a : b + length - 1]
-                mine = (int(h[k]), int(anchor[k]) - a, bytes_)
-                before = seen.setdefault(mine, doc_id)
-                if before < doc_id:
-                    out.append((-1 - doc_id % buckets, doc_id, a, b, None))
-                elif before == doc_id:
-                    out.append((int(h[k] % np.uint64(buckets)), doc_id, a, b, bytes_))
-        return pd.DataFrame(out, columns=["shard", "doc_id", "first", "last", "context"])
+            h, context, first, end = segments(data, length)
+            if own[SETTLED] is not None:
+                at = np.flatnonzero(np.isin(context, own[SETTLED]))
+                # neighbouring runs are one range
+                cuts = np.flatnonzero(np.concatenate([[True], first[at[1:]] != end[at[:-1]]])) if len(at) else at
+                ends = np.append(cuts[1:], len(at)) - 1
+                lo += first[at[cuts]].tolist()
+                hi += end[at[ends]].tolist() if len(at) else []
+                shard += [-1 - doc_id % buckets] * len(cuts)
+                doc += [doc_id] * len(cuts)
+                bytes_ += [None] * len(cuts)
+            if own[OPEN] is not None:
+                raw, at = data.tobytes(), np.flatnonzero(np.isin(context, own[OPEN]))
+                shard += (h[at] % np.uint64(buckets)).astype(np.int64).tolist()
+                doc += [doc_id] * len(at)
+                lo += first[at].tolist()
+                hi += end[at].tolist()
+                bytes_ += [raw[a : b + length - 1] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
+        return pd.DataFrame({"shard": shard, "doc_id": doc, "first": lo, "last": hi, "context": pd.Series(bytes_, dtype=object)})
 
     left, right = docs.withColumn("deal", deal), shared.withColumn("deal", deal)
     pairs = left.groupBy("deal").cogroup(right.groupBy("deal"))
@@ -244,7 +280,7 @@ def repeated_runs(doc: np.ndarray, first: np.ndarray, contexts: list[bytes], len
 def _ranges(contexts: DataFrame, length: int) -> DataFrame:
     """``(doc_id, lo, hi)``: runs that start in [lo, hi) go."""
 
-    def solve(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[object, ...], rows: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             return rows[["doc_id", "first", "last"]].set_axis(["doc_id", "lo", "hi"], axis=1)
         doc, first = rows.doc_id.to_numpy(np.int64), rows["first"].to_numpy(np.int64)
@@ -272,7 +308,7 @@ def _removed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> t
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 12 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6 << 20) -> DataFrame:
     """Remove each byte covered by a ``length``-byte string that also starts in a document with a smaller id.
 
     Works on the UTF-8 bytes of whole texts; a null text is empty. Returns doc_id,

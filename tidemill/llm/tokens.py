@@ -22,7 +22,7 @@ class WordTokenizer:
     parts. The parts of the last texts are kept in tables of at most ``kept`` entries.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 1_000_000):
+    def __init__(self, path: str | None = None, kept: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -50,7 +50,12 @@ class WordTokenizer:
         for part, core, tail in pieces:
             self._parts[part] = cores[core] + cores[tail]
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = 100) -> Iterator[bytes]:
+        texts = list(texts)
+        for k in range(0, len(texts), at_once):
+            yield from self._encode(texts[k : k + at_once])
+
+    def _encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
         fresh = {p for parts in split for p in parts} - self._parts.keys()
         if len(self._parts) + len(fresh) > self._kept:
