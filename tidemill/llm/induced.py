@@ -72,19 +72,40 @@ def _runs(text: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1
 
 
+#: Characters of up to 9 bits to a 64-bit word.
+PER_WORD = 7
+
+
 def sorted_seeds(text: np.ndarray, seeds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeds by their first ``depth`` characters, and the common prefixes of neighbours."""
-    words = -(-depth // 4)
-    padded = np.concatenate([text, np.zeros(words * 4, np.uint16)]).astype(np.uint64)
-    packed = [sum((padded[seeds + 4 * w + k] << np.uint64(16 * (3 - k)) for k in range(4)), np.zeros(len(seeds), np.uint64)) for w in range(words)]
-    order = np.lexsort([-seeds, *packed[::-1]])  # at the end of the text the shorter suffix is smaller
-    lcp, open_ = np.zeros(len(seeds), np.int64), np.ones(max(0, len(seeds) - 1), bool)
+    """Seeds by their first ``depth`` characters, and the common prefixes of neighbours.
+
+    Two words settle most seeds; the rest of the words orders those that tie.
+    """
+    words = -(-depth // PER_WORD)
+    padded = np.concatenate([text, np.zeros(words * PER_WORD, np.uint16)])
+    packed = []
+    for w in range(words):
+        word = np.zeros(len(seeds), np.uint64)
+        for k in range(PER_WORD):
+            word = (word << np.uint64(9)) | padded[seeds + PER_WORD * w + k].astype(np.uint64)
+        packed.append(word)
+    order = np.lexsort([-seeds, *packed[:2][::-1]])  # at the end of the text the shorter suffix is smaller
+    head = [w[order] for w in packed[:2]]
+    fresh = np.ones(len(seeds), bool)
+    fresh[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in head])
+    tied = ~fresh | ~np.append(fresh[1:], True)
+    if tied.any():
+        own, group = order[tied], np.cumsum(fresh)[tied]
+        order[tied] = own[np.lexsort([-seeds[own], *[w[own] for w in packed[2:][::-1]], group])]
+    lcp, open_ = np.zeros(len(seeds), np.int64), np.arange(1, len(seeds))
     for word in packed:
         word = word[order]
-        apart = word[1:] ^ word[:-1]
-        same = np.where(apart == 0, 4, np.where(apart >> np.uint64(48) != 0, 0, np.where(apart >> np.uint64(32) != 0, 1, np.where(apart >> np.uint64(16) != 0, 2, 3))))
-        lcp[1:] += np.where(open_, same, 0)
-        open_ &= same == 4
+        apart = word[open_] ^ word[open_ - 1]
+        same = np.full(len(open_), PER_WORD)
+        for k in range(PER_WORD - 1, -1, -1):
+            same[apart >> np.uint64(9 * (PER_WORD - 1 - k)) != 0] = k
+        lcp[open_] += same
+        open_ = open_[same == PER_WORD]
     seeds = seeds[order]
     lcp[1:] = np.minimum(lcp[1:], len(text) - np.maximum(seeds[1:], seeds[:-1]))
     return seeds, lcp
@@ -122,7 +143,7 @@ class _Pass:
 def suffixes(text: np.ndarray, depth: int, memory: int = 64 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of (position, common prefix with the suffix before), in suffix order.
 
-    ``text`` is a non-empty array of uint16. The order and the common prefixes are those
+    ``text`` is a non-empty array of uint16 below 512. The order and the common prefixes are those
     of the first ``depth`` characters; longer common prefixes are given as ``depth``.
     """
     s, run = _is_s(text), _runs(text)

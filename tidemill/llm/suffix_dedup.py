@@ -77,7 +77,7 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     end = np.append(first[1:], len(at))
     anchor = at[first].astype(np.int64)
     up, down = _powers(len(h))
-    sums = np.concatenate([[0], np.cumsum(h * up)]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up)])
     last = end + length - GRAM  # grams of the context
     context = mixed((sums[last] - sums[first]) * down[first] + (anchor - first).astype(np.uint64) * BASE + (last - first).astype(np.uint64))
     return h[anchor], context, first, end
@@ -90,7 +90,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 @cache
 def _powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([[1], np.cumprod(np.full(n - 1, x, np.uint64))]).astype(np.uint64) for x in (BASE, INVERSE))
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64))]) for x in (BASE, INVERSE))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +121,10 @@ def _judged(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     new_context = new_h | np.concatenate([[True], context[1:] != context[:-1]])
     starts, sizes = np.flatnonzero(new_context), np.diff(np.append(np.flatnonzero(new_context), len(h)))
     settled = doc > np.repeat(doc[starts], sizes)
-    of_h = np.add.reduceat(new_context.astype(np.int64), np.flatnonzero(new_h))
-    many = np.repeat(of_h, np.diff(np.append(np.flatnonzero(new_h), len(h)))) > 1
+    # open only if the anchor has several contexts, and in several documents
+    anchors = np.flatnonzero(new_h)
+    several = (np.add.reduceat(new_context.astype(np.int64), anchors) > 1) & (np.minimum.reduceat(doc, anchors) != np.maximum.reduceat(doc, anchors))
+    many = np.repeat(several, np.diff(np.append(anchors, len(h))))
     return h, context, doc, np.where(settled, SETTLED, np.where(many, OPEN, 2))
 
 
@@ -223,7 +225,7 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 bytes_ += [None] * len(cuts)
             if own[OPEN] is not None:
                 raw, at = data.tobytes(), np.flatnonzero(np.isin(context, own[OPEN]))
-                shard += (h[at] % np.uint64(buckets)).astype(np.int64).tolist()
+                shard += (h[at] % np.uint64(max(1, buckets // 2))).astype(np.int64).tolist()
                 doc += [doc_id] * len(at)
                 lo += first[at].tolist()
                 hi += end[at].tolist()

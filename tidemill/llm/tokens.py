@@ -22,7 +22,7 @@ class WordTokenizer:
     parts. The parts of the last texts are kept in tables of at most ``kept`` entries.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 500_000):
+    def __init__(self, path: str | None = None, kept: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
