@@ -60,7 +60,7 @@ def _is_s(text: np.ndarray) -> np.ndarray:
     step[:-1] = np.sign(text[1:].astype(np.int32) - text[:-1].astype(np.int32))
     step[-1] = -1
     # an equal neighbour has the type of the next suffix
-    at = np.where(step != 0, np.arange(n), n)
+    at = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]
     return step[at] > 0
 
@@ -68,8 +68,8 @@ def _is_s(text: np.ndarray) -> np.ndarray:
 def _runs(text: np.ndarray) -> np.ndarray:
     """Length of the run of one character that starts at each position."""
     n = len(text)
-    ends = np.where(np.append(text[1:] != text[:-1], True), np.arange(n), n)
-    return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n) + 1
+    ends = np.where(np.append(text[1:] != text[:-1], True), np.arange(n, dtype=np.int32), np.int32(n))
+    return np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n, dtype=np.int32) + 1
 
 
 #: Characters of up to 9 bits to a 64-bit word.

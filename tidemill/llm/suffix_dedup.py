@@ -225,7 +225,7 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 bytes_ += [None] * len(cuts)
             if own[OPEN] is not None:
                 raw, at = data.tobytes(), np.flatnonzero(np.isin(context, own[OPEN]))
-                shard += (h[at] % np.uint64(max(1, buckets // 2))).astype(np.int64).tolist()
+                shard += (h[at] % np.uint64(buckets)).astype(np.int64).tolist()
                 doc += [doc_id] * len(at)
                 lo += first[at].tolist()
                 hi += end[at].tolist()
@@ -243,7 +243,7 @@ def repeated_runs(doc: np.ndarray, first: np.ndarray, contexts: list[bytes], len
     begin = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.uint16) + 1
     text[begin + size] = 0  # ends a context
-    owner = np.repeat(np.arange(len(contexts)), size + 1)
+    owner = np.repeat(np.arange(len(contexts), dtype=np.int32), size + 1)
     runs = np.arange(len(text)) - begin[owner] <= size[owner] - length
     found, open_doc, open_pos = [], [], []
 

@@ -57,7 +57,8 @@ class WordTokenizer:
 
     def _encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        fresh = {p for parts in split for p in parts} - self._parts.keys()
+        known = self._parts
+        fresh = {p for parts in split for p in parts if p not in known}
         if len(self._parts) + len(fresh) > self._kept:
             self._parts = {"": b""}
             fresh = {p for parts in split for p in parts if p}
