@@ -138,21 +138,35 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8
             for c in range(curves):
                 yield pd.DataFrame({"curve": np.int32(c), "tile": index.tile(lifted, c).astype(np.int32), "vec_id": batch.vec_id, "v": batch.v})
 
+    known = known.sort_values("vec_id")
+    sample_ids, sample_rows = known.vec_id.to_numpy(), matrix(known.v, dim)
+
+    def sample_best(batches):
+        # with these, every query has k candidates at or above its floor
+        for batch in batches:
+            own, scores = batch.vec_id.to_numpy(), matrix(batch.v, dim) @ sample_rows.T
+            r, c = best_rows(scores, own, sample_ids, k)
+            yield pd.DataFrame({"query_id": own[r], "vec_id": sample_ids[c], "score": scores[r, c]})
+
     def query_tiles(batches):
         for batch in batches:
+            # the k-th best score in the sample: nothing below it can be among the k best found
+            scores = matrix(batch.v, dim) @ sample_rows.T
+            scores[batch.vec_id.to_numpy()[:, None] == sample_ids] = -np.inf
+            floor = np.partition(scores, -k, 1)[:, -k] if scores.shape[1] >= k else np.full(len(batch), -np.inf)
             aimed = Curves.aim(matrix(batch.v, dim))
             for c in range(curves):
                 tile = index.tile(aimed, c)
                 for step in range(-reach, reach + 1):
                     ok = (tile + step >= 0) & (tile + step <= len(index.cuts[c]))
-                    yield pd.DataFrame({"curve": np.int32(c), "tile": (tile + step)[ok].astype(np.int32), "query_id": batch.vec_id[ok], "q": batch.v[ok]})
+                    yield pd.DataFrame({"curve": np.int32(c), "tile": (tile + step)[ok].astype(np.int32), "query_id": batch.vec_id[ok], "q": batch.v[ok], "floor": floor[ok] - 1e-9 * np.abs(floor[ok]) if np.isfinite(floor).all() else floor[ok]})
 
     # equal vectors share a tile, however many they are: a tile is solved by parts
     part = lambda column, n: F.pmod(F.xxhash64(F.lit(seed + 2), column), n).cast("int")
     rows = checkpointed(data.mapInPandas(data_tiles, "curve int, tile int, vec_id long, v array<double>"))
     sizes = rows.groupBy("curve", "tile").agg(F.ceil(F.count("*") / (2 * tile_rows)).cast("int").alias("parts"))
     right = rows.join(sizes, ["curve", "tile"]).withColumn("part", part("vec_id", F.col("parts"))).drop("parts")
-    left = queries.mapInPandas(query_tiles, "curve int, tile int, query_id long, q array<double>").join(sizes, ["curve", "tile"])
+    left = queries.mapInPandas(query_tiles, "curve int, tile int, query_id long, q array<double>, floor double").join(sizes, ["curve", "tile"])
     left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -165,11 +179,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, curves: int = 8
                 scores = matrix(some.q, dim) @ values.T
                 own = some.query_id.to_numpy()
                 r, c = best_rows(scores, own, ids, k)
+                high = scores[r, c] >= some.floor.to_numpy()[r]
+                r, c = r[high], c[high]
                 out.append(pd.DataFrame({"query_id": own[r], "vec_id": ids[c], "score": scores[r, c]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     key = ["curve", "tile", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score double")
+    found = found.union(queries.mapInPandas(sample_best, "query_id long, vec_id long, score double"))
     # the same row may come from several curves
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
