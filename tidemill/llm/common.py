@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder.
+
+    For loops. A checkpoint keeps the size that was estimated for its plan, and joins
+    multiply sizes: over some rounds that number alone fills the driver. A written table
+    has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def utf8_size(text="text"):
     """UTF-8 bytes of a text; a null text has none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed
+from tidemill.llm.common import stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,19 +15,19 @@ def components(links: DataFrame) -> DataFrame:
     their ends, and the links are rewritten between the ends, until none is left.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    edges = checkpointed(both.union(both.select("v", "u").toDF("u", "v")).distinct())
-    labels = checkpointed(edges.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
+    edges = stored(both.union(both.select("v", "u").toDF("u", "v")).distinct())
+    labels = stored(edges.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
     while not edges.isEmpty():
-        parent = checkpointed(edges.groupBy("u").agg(F.min("v").alias("p")).where("p < u"))
+        parent = stored(edges.groupBy("u").agg(F.min("v").alias("p")).where("p < u"))
         while True:
             up = parent.toDF("u2", "p2")
-            jumped = checkpointed(parent.join(up, parent.p == up.u2, "left").select("u", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved")))
+            jumped = stored(parent.join(up, parent.p == up.u2, "left").select("u", F.coalesce("p2", "p").alias("p"), F.col("p2").isNotNull().alias("moved")))
             parent = jumped.select("u", "p")
             if jumped.where("moved").isEmpty():
                 break
-        labels = checkpointed(labels.join(parent, labels.component == parent.u, "left").select("node", F.coalesce("p", "component").alias("component")))
+        labels = stored(labels.join(parent, labels.component == parent.u, "left").select("node", F.coalesce("p", "component").alias("component")))
         of_u, of_v = parent.toDF("u1", "p1"), parent.toDF("v2", "p2")
         edges = edges.join(of_u, edges.u == of_u.u1, "left").join(of_v, edges.v == of_v.v2, "left")
         edges = edges.select(F.coalesce("p1", "u").alias("u"), F.coalesce("p2", "v").alias("v")).where("u <> v")
-        edges = checkpointed(edges.distinct())
+        edges = stored(edges.distinct())
     return labels

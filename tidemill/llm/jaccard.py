@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import checkpointed
+from tidemill.llm.common import stored
 from tidemill.llm.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,7 +171,7 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the fragments whose sets are still in different components."""
     placed = shared.join(labels.toDF("short", "component"), "short", "left").select("sig", "short", F.coalesce("component", "short").alias("component"))
     mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    return checkpointed(placed.join(mixed_, "sig"))
+    return stored(placed.join(mixed_, "sig"))
 
 
 def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) -> DataFrame:
@@ -187,15 +187,15 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) ->
     before those that are still apart all meet; it changes the cost and not the result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    light = checkpointed(_sets(docs, width))
+    light = stored(_sets(docs, width))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = checkpointed(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    classes = stored(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
     # what only one set has is left out before anything else is joined
     sig = _signature_rows(docs.where("doc_id is not null"), width, percent).distinct()
     several = sig.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
-    shared = checkpointed(sig.join(several, "sig"))
+    shared = stored(sig.join(several, "sig"))
     members = shared.select("short").distinct()
-    wide = checkpointed(_wide(docs, classes.join(members, "short").select(F.col("rep").alias("doc_id")), width))
+    wide = stored(_wide(docs, classes.join(members, "short").select(F.col("rep").alias("doc_id")), width))
 
     spark = docs.sparkSession
     tested = links = spark.createDataFrame([], "a long, b long")
@@ -213,8 +213,8 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) ->
             # all members meet the one that this round's hash puts first
             first = apart.groupBy("sig").agg(F.min_by(F.struct("short", "component"), F.xxhash64(F.lit(turn), "short")).alias("p"))
             pairs = apart.join(first, "sig").where("component <> p.component").select(F.least("short", "p.short").alias("a"), F.greatest("short", "p.short").alias("b"))
-        pairs = checkpointed(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        found = checkpointed(_verified(wide, pairs, classes, percent))
+        pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        found = stored(_verified(wide, pairs, classes, percent))
         tested = tested.union(pairs)
         if not found.isEmpty():
             links = links.union(found)
