@@ -140,6 +140,17 @@ def test_jaccard(docs, empty):
     assert jaccard.link(empty).count() == 0
 
 
+def test_parity_bounds_difference():
+    """The bitmaps of two sets never differ in more bits than the sets differ in tokens."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 5, 60, 400, 3000):
+        for changed in (0, 1, n // 20, n // 2):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: n - changed], rng.integers(0, 1 << 63, changed).astype(np.uint64)])
+            bits = sum(int(x).bit_count() for x in (jaccard._parity(a) ^ jaccard._parity(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}

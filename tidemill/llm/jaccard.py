@@ -30,6 +30,9 @@ BAND = 1.4
 SURE = 16
 #: Wide fragments in which overlaps are counted.
 WIDE_BITS = 2
+#: Numbers of 64 bits in a set's parity bitmap.
+PARITY_LONGS = 8
+PARITY = [f"p{k}" for k in range(PARITY_LONGS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,15 +100,38 @@ def _digest(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """For each value of the lowest bits, whether an odd number of tokens has it.
+
+    A token that only one of two sets has changes one bit, so the bitmaps of two sets
+    differ in at most as many bits as the sets differ in tokens.
+    """
+    size = 64 * PARITY_LONGS
+    odd = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(a: str, b: str, percent: int):
+    """Whether sizes and parity bitmaps allow two sets to reach the threshold.
+
+    Sets of na and nb tokens over it differ in at most (na + nb) (1 - t) / (1 + t).
+    """
+    na, nb, k = F.col(f"{a}.n"), F.col(f"{b}.n"), F.lit(percent)
+    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0).cast("long"))
+    return (na * 100 >= nb * k) & (nb * 100 >= na * k) & (apart * (k + 100) <= (na + nb) * (F.lit(100) - k))
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Size and digest of each document's set; equal sets have equal digests."""
+    """Size, digest and parity bitmap of each document's set; equal sets have equal digests."""
 
     def described(batches):
         for batch in batches:
-            found = [(len(s), _digest(s)) for s in (shingles(t, width) for t in batch.text)]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_shingles": [n for n, _ in found], "short": [d for _, d in found]})
+            found = [(len(s), _digest(s), _parity(s)) for s in (shingles(t, width) for t in batch.text)]
+            bits = np.array([p for _, _, p in found], np.int64).reshape(-1, PARITY_LONGS)
+            head = {"doc_id": batch.doc_id.astype("Int64"), "n_shingles": [n for n, _, _ in found], "short": [d for _, d, _ in found]}
+            yield pd.DataFrame(head | {p: bits[:, k] for k, p in enumerate(PARITY)})
 
-    return docs.mapInPandas(described, "doc_id long, n_shingles long, short long")
+    return docs.mapInPandas(described, "doc_id long, n_shingles long, short long, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -189,7 +215,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = stored(_sets(docs, width))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = stored(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    classes = stored(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(p).alias(p) for p in PARITY)))
     # what only one set has is left out before anything else is joined
     sig = _signature_rows(docs.where("doc_id is not null"), width, percent).distinct()
     several = sig.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
@@ -207,8 +233,10 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) ->
             break
         last = turn == rounds or (turn and cost[0] <= 4 * cost[1])
         if last:
-            other = apart.toDF("sig", "b", "cb")
-            pairs = apart.toDF("sig", "a", "ca").join(other, "sig").where("a < b and ca <> cb")
+            # all that are still apart meet; what can't reach the threshold never leaves the join
+            known = stored(apart.join(classes.drop("rep"), "short"))
+            meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.short") < F.col("r.short")) & (F.col("l.component") != F.col("r.component"))
+            pairs = known.alias("l").join(known.alias("r"), meet & _may_link("l", "r", percent)).select(F.col("l.short").alias("a"), F.col("r.short").alias("b"))
         else:
             # all members meet the one that this round's hash puts first
             first = apart.groupBy("sig").agg(F.min_by(F.struct("short", "component"), F.xxhash64(F.lit(turn), "short")).alias("p"))
