@@ -66,11 +66,26 @@ def _anchors(h: np.ndarray, window: int) -> np.ndarray:
     return pos
 
 
-def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(hash, context digest, first run, end of runs)``: the runs of ``length`` bytes of each anchor."""
-    if len(data) < length:
+def segments(data: np.ndarray, length: int, at_once: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, context digest, first run, end of runs)``: the runs of ``length`` bytes of each anchor.
+
+    Long texts are read in windows of ``at_once`` runs, which bounds the memory. The last
+    anchor of a window may have more runs after it, so the next window starts with it.
+    """
+    runs, begin, parts = len(data) - length + 1, 0, []
+    while begin < runs:
+        stop = min(runs, begin + at_once)
+        h, context, first, end = _window_segments(data[begin : stop + length - 1], length)
+        keep = len(first) if stop == runs else len(first) - 1
+        parts.append((h[:keep], context[:keep], first[:keep] + begin, end[:keep] + begin))
+        begin = runs if stop == runs else begin + int(first[-1])
+    if not parts:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none.astype(np.uint64), none, none
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _window_segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = _grams(data, GRAM)
     at = _anchors(h, length - GRAM + 1)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
