@@ -27,6 +27,8 @@ from tidemill.llm.induced import suffixes
 from tidemill.llm.jaccard import mixed
 
 GRAM = 20
+#: Shards of contexts to a bucket of texts: contexts overlap, and sorting takes some 70 bytes for each of theirs.
+SHARDS = 8
 #: Kinds of what comes out of the meeting of anchors.
 SETTLED, OPEN = 0, 1
 
@@ -240,7 +242,7 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 bytes_ += [None] * len(cuts)
             if own[OPEN] is not None:
                 raw, at = data.tobytes(), np.flatnonzero(np.isin(context, own[OPEN]))
-                shard += (h[at] % np.uint64(buckets)).astype(np.int64).tolist()
+                shard += (h[at] % np.uint64(buckets * SHARDS)).astype(np.int64).tolist()
                 doc += [doc_id] * len(at)
                 lo += first[at].tolist()
                 hi += end[at].tolist()
