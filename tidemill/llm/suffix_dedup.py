@@ -28,7 +28,7 @@ from tidemill.llm.jaccard import mixed
 
 GRAM = 20
 #: Shards of contexts to a bucket of texts: contexts overlap, and sorting takes some 70 bytes for each of theirs.
-SHARDS = 8
+SHARDS = 4
 #: Kinds of what comes out of the meeting of anchors.
 SETTLED, OPEN = 0, 1
 
