@@ -33,6 +33,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files behind checkpointed tables.
+
+    Spark deletes them once the driver's garbage is collected, which may be much later.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder.
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, id_filter
+from tidemill.llm.common import checkpointed, free_shuffles, id_filter
 from tidemill.llm.induced import suffixes
 from tidemill.llm.jaccard import mixed
 
@@ -350,6 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
 
     texts = outside(docs.where(F.col("doc_id").isNotNull() & (size >= length)))
     shared = checkpointed(_shared_anchors(texts, length, buckets))
+    free_shuffles(docs.sparkSession)
     inside_shared, _ = id_filter(docs, shared.select("doc_id").distinct())
     ranges = checkpointed(_ranges(_contexts(inside_shared(texts), shared, length, buckets), length))
     hit = ranges.select("doc_id").distinct()
