@@ -15,7 +15,7 @@ from tidemill.llm import jaccard, mixing, packing, quality, secrets
 from tidemill.llm.common import checkpointed, id_filter, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Rows of (doc_id, times) that may go to every executor: 16 bytes each.
+#: Draws (id, key, shard, position) that may go to every executor: 28 bytes each.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -45,15 +45,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it.
+    """The drawn documents, one row for each draw, in the order of shard and position.
 
-    Rows that share an id, or have none, are all taken as often as the first of them.
+    Rows that agree in all columns stand for each other.
     """
-    digest, _ = mixing.mix(docs)
-    times = checkpointed(digest.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_times")).where("_times > 0"))
-    times = F.broadcast(times) if times.count() <= BROADCAST_ROWS else times
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*COLUMNS)
+    keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64(*COLUMNS))
+    digest, draws = mixing.mix(keyed, also=("_key",))
+    repeats = checkpointed(digest.groupBy("_key").count().where("count > 1").select("_key"))
+    draws = draws.select(F.col("doc_id").alias("_id"), "_key", "shard", "position")
+    repeats, draws = (F.broadcast(t) if t.count() <= BROADCAST_ROWS else t for t in (repeats, draws))
+    once = keyed.join(repeats, "_key", "left_anti").unionByName(keyed.join(repeats, "_key", "left_semi").dropDuplicates(COLUMNS))
+    taken = once.join(draws, "_key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return taken.orderBy("shard", "position").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Stages of the pipeline against brute force."""
 
 import re
+from collections import Counter
 
 import numpy as np
 
 import corpus_pipeline
+from tidemill.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -53,3 +55,37 @@ def test_near_copies_by_five_words(spark):
     docs = table(spark, [(i, t, "s0") for i, t in rows] + [(None, "no id", "s1"), (None, "no id", "s1")])
     left = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
     assert sorted(i for i in left if i is not None) == sorted(kept_of(rows)) and left.count(None) == 2
+
+
+def prose(n, seed=1):
+    """Documents of three sources with random sizes, rows without an id and repeated rows."""
+    rng = np.random.default_rng(seed)
+    rows = [(k, " ".join(f"d{k}x{j}" for j in range(int(rng.integers(1, 40)))), f"s{k % 3 if k % 7 else 0}") for k in range(n)]
+    return rows + [(None, "no id a b c", "s0"), (None, "no id d e", "s0"), (n, "same row twice", "s1"), (n, "same row twice", "s1")]
+
+
+def test_mix_is_what_is_drawn(spark, monkeypatch, tmp_path):
+    rows = prose(300)
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    digest, draws = (x.collect() for x in mixing.mix(docs))
+    words = Counter()
+    for d in draws:
+        words[d.row] += d["size"]
+    assert {r.row: r.taken for r in digest} == {r.row: words[r.row] for r in digest}
+    assert len({(d.row, d.copy) for d in draws}) == len(draws) and {d.shard for d in draws} == set(range(8))
+    for target in {r.target for r in digest}:
+        assert abs(sum(r.taken for r in digest if r.target == target) - target) <= 40
+    # op8 gives what the tree deals: with half of the quotas dealt, less is taken
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, rng: np.zeros((shards, len(quotas)), np.int64) + (np.arange(shards) == 0)[:, None] * (quotas // 2))
+    halved = queries.op8_source_mixing(spark, str(tmp_path)).collect()
+    assert 0 < sum(r.taken for r in halved) < sum(r.taken for r in digest)
+
+
+def test_mix_stage_returns_the_draws(spark, tmp_path):
+    table(spark, prose(300)).repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    draws = mixing.mix(docs)[1].orderBy("shard", "position").collect()
+    left = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert [r.doc_id for r in left] == [d.doc_id for d in draws]
+    assert [len(r.text.split()) for r in left if r.doc_id is not None] == [d["size"] for d in draws if d.doc_id is not None]

@@ -1,11 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 The documents of a source are dealt into blocks by a hash; a permutation of the blocks,
-repeated as often as the target asks, gives the source's exact quota of blocks. The
+repeated as often as the target asks, gives the source's exact quota of blocks: those of
+its full rounds, and those of the last round that hold what is left of the target. The
 quotas of all sources are split over the output shards by a binary tree: each node
 draws, without replacement, which of its blocks go left (a multivariate hypergeometric
 draw), so every shard is a fair sample of the mix. Each shard then takes its own run of
-the permuted blocks, disjoint from all others, and shuffles its documents locally.
+the permuted blocks, disjoint from all others, and shuffles its documents locally. What
+a document counts in the mix is the sum over its draws.
 
 The driver holds one row per source (names, sums, quotas); blocks and documents stay in
 Spark, and the main path is made of DataFrame functions only.
@@ -56,20 +58,20 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
     return np.vstack([split_quotas(drawn, left, rng), split_quotas(quotas - drawn, shards - left, rng)])
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int = 8, rows_per_block: int = 2000, least_blocks: int = 64, seed: int = 29) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int = 8, rows_per_block: int = 2000, least_blocks: int = 64, seed: int = 29, also: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """``(digest, draws)`` of ``docs`` (doc_id, text, source).
 
-    ``digest`` has a row per document: doc_id, size (words; a null text has none),
-    source_size, target (its source's), taken (words that the mix takes, repeats
-    counted). ``draws`` has a row per document and time it is taken: doc_id, row (the
-    document's row), source, copy, shard, position. Whole documents are taken, up to the
-    target and then those that close the gap best. Null sources form one
-    source, sorted last; repeated rows are documents of their own; an empty table gives
+    ``draws`` has a row per document and time it is taken: doc_id, row (the document's
+    row), source, size, copy, shard, position. ``digest`` has a row per document: doc_id,
+    size (words; a null text has none), source_size, target (its source's), taken (words
+    of its draws), row, copies (its draws). Both keep the columns named in ``also``.
+    Whole documents are taken, up to the target and then those that close the gap best.
+    Null sources form one source, sorted last; repeated rows are documents of their own; an empty table gives
     empty results; a source without words takes nothing.
     """
     spark = docs.sparkSession
     light = checkpointed(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.monotonically_increasing_id().alias("row"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.monotonically_increasing_id().alias("row"), *also)
     )
     sources = light.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
@@ -84,22 +86,25 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     dealt = light.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "row"))
     dealt = dealt.withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int")).withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     dealt = checkpointed(dealt)
-    per_block = dealt.groupBy("_k", "_block").agg(F.sum("size").alias("_bs"), F.first("target").alias("_t"), F.first("source_size").alias("_ss"))
+    per_block = dealt.groupBy("_k", "_block").agg(F.sum("size").alias("_bs"))
     permuted = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed + 1), "_k", "_block"), "_block")
     per_block = per_block.withColumn("_rank", F.row_number().over(permuted) - 1).withColumn("_before", F.sum("_bs").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bs"))
     per_block = checkpointed(per_block.select(F.col("_k").alias("_bk"), F.col("_block").alias("_bb"), "_rank", "_before"))
 
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - rounds * F.col("source_size")
-    taken = dealt.join(per_block, (F.col("_k") == F.col("_bk")) & (F.col("_block") == F.col("_bb"))).drop("_bk", "_bb").withColumn("_rest", rest)
-    taken = taken.withColumn("_in", (F.col("size") > 0) & (F.col("_before") + F.col("_upto") <= F.col("_rest")))
-    taken = checkpointed(taken)
-    picked = _closing(spark, taken)
-    taken = taken.join(picked, F.col("row") == F.col("_lrow"), "left")
-    extra = F.when(F.col("_in") | F.col("_lrow").isNotNull(), 1).otherwise(0)
-    taken = taken.withColumn("copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(F.lit(most), rounds + extra)).cast("int"))
-    digest = taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "row", "copies")
-    return digest, _shuffled(spark, taken, len(sources), blocks, shards, seed, most)
+    rounds = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")).cast("int"))).otherwise(0)
+    rest = F.when(F.col("_rounds") < most, F.col("target") - F.col("_rounds") * F.col("source_size")).otherwise(0.0)
+    placed = dealt.join(per_block, (F.col("_k") == F.col("_bk")) & (F.col("_block") == F.col("_bb"))).drop("_bk", "_bb").withColumn("_rounds", rounds).withColumn("_rest", rest)
+    placed = placed.withColumn("_in", (F.col("size") > 0) & (F.col("_before") + F.col("_upto") <= F.col("_rest")))
+    placed = checkpointed(placed)
+    picked = _closing(spark, placed)
+    placed = placed.join(picked, F.col("row") == F.col("_lrow"), "left").withColumn("_last", F.col("_in") | F.col("_lrow").isNotNull()).drop("_in", "_lrow")
+    placed = checkpointed(placed)
+
+    draws = checkpointed(_drawn(spark, placed, len(sources), shards, seed, also))
+    drawn = draws.groupBy(F.col("row").alias("_drow")).agg(F.sum("size").alias("_taken"), F.count("*").cast("int").alias("_copies"))
+    digest = placed.join(drawn, F.col("row") == F.col("_drow"), "left")
+    digest = digest.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "row", F.coalesce("_copies", F.lit(0)).alias("copies"), *also)
+    return digest, draws
 
 
 def _closing(spark, taken: DataFrame, turns: int = 5, near: float = 0.001) -> DataFrame:
@@ -128,16 +133,27 @@ def _closing(spark, taken: DataFrame, turns: int = 5, near: float = 0.001) -> Da
     return F.broadcast(spark.createDataFrame([(r,) for r in rows], "_lrow long"))
 
 
-def _shuffled(spark, taken: DataFrame, n_sources: int, blocks: list[int], shards: int, seed: int, most: int) -> DataFrame:
-    """Draws: the splitting tree's shard for each block, and a place in that shard."""
-    rng = np.random.default_rng(seed)
-    rows = []
-    for copy in range(most):
-        counts = split_quotas(np.array(blocks, np.int64), shards, rng) if n_sources else np.zeros((shards, 0), np.int64)
-        ends = counts.cumsum(0)
-        rows += [(k, copy, s, int(ends[s, k] - counts[s, k]), int(ends[s, k])) for s in range(shards) for k in range(n_sources) if counts[s, k]]
-    runs = spark.createDataFrame(rows, "_rk int, copy int, shard int, _from int, _to int")
-    copies = taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).withColumnRenamed("copy", "_c")
-    at = (F.col("_k") == F.col("_rk")) & (F.col("_c") == F.col("copy")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    drawn = copies.join(F.broadcast(runs), at)
-    return drawn.select("doc_id", "row", "source", "copy", "shard", F.xxhash64(F.lit(seed + 2), "row", "copy", "shard").alias("position"))
+def _drawn(spark, placed: DataFrame, n_sources: int, shards: int, seed: int, also: tuple) -> DataFrame:
+    """Draws: the splitting tree's shard for each block of the quotas, and a place in that shard.
+
+    The quota of a source is a row of block numbers: its blocks once for every full
+    round, then those with documents of the last round. A shard owns a run of it.
+    """
+    per_block = placed.groupBy("_k", "_rank").agg(F.max("_rounds").alias("_r"), F.max(F.col("_last").cast("int")).alias("_l"))
+    by_rank = Window.partitionBy("_k").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = checkpointed(per_block.withColumn("_full", F.count("*").over(by_rank) - 1).withColumn("_part", F.sum("_l").over(by_rank) - F.col("_l")))
+    quotas = np.zeros(n_sources, np.int64)
+    firsts = np.zeros(n_sources, np.int64)
+    for r in numbered.groupBy("_k").agg(F.count("*").alias("n"), F.max("_r").alias("r"), F.sum("_l").alias("l")).collect():
+        firsts[r._k] = r.r * r.n
+        quotas[r._k] = firsts[r._k] + r.l
+    counts = split_quotas(quotas, shards, np.random.default_rng(seed)) if n_sources else np.zeros((shards, 0), np.int64)
+    ends = counts.cumsum(0)
+    runs = spark.createDataFrame([(k, int(firsts[k]), [int(e) for e in ends[:, k]]) for k in range(n_sources)], "_rk int, _first long, _ends array<long>")
+    numbers = numbered.select(F.col("_k").alias("_nk"), F.col("_rank").alias("_nr"), "_full", "_part", F.count("*").over(Window.partitionBy("_k")).alias("_n"))
+    times = F.col("_rounds") + F.col("_last").cast("int")
+    copies = placed.where((F.col("size") > 0) & (times > 0)).join(numbers, (F.col("_k") == F.col("_nk")) & (F.col("_rank") == F.col("_nr")))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).join(F.broadcast(runs), F.col("_k") == F.col("_rk"))
+    at = F.when(F.col("copy") < F.col("_rounds"), F.col("copy") * F.col("_n") + F.col("_full")).otherwise(F.col("_first") + F.col("_part"))
+    drawn = copies.withColumn("_at", at).withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at")))).where(F.col("shard") < shards)
+    return drawn.select("doc_id", "row", "source", "size", "copy", "shard", F.xxhash64(F.lit(seed + 2), "row", "copy", "shard").alias("position"), *also)
