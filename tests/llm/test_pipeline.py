@@ -89,3 +89,11 @@ def test_mix_stage_returns_the_draws(spark, tmp_path):
     left = corpus_pipeline.mix_sources(spark, docs, "").collect()
     assert [r.doc_id for r in left] == [d.doc_id for d in draws]
     assert [len(r.text.split()) for r in left if r.doc_id is not None] == [d["size"] for d in draws if d.doc_id is not None]
+
+
+def test_mix_fills_the_gap_behind_giants(spark):
+    """Documents behind one that does not fit are taken; the sum ends within half of the smallest one left."""
+    small, big = "a " * 10, "b " * 4000
+    rows = [(k, small, "s0") for k in range(600)] + [(1000 + k, big, "s0") for k in range(4)] + [(2000 + k, "c " * 7, "s1") for k in range(4000)]
+    for r in mixing.mix(table(spark, rows))[0].groupBy("source_size", "target").agg({"taken": "sum"}).collect():
+        assert abs(r["sum(taken)"] - r.target) <= 5

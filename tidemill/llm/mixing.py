@@ -82,23 +82,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     plan = spark.createDataFrame([(r.source, k, s, t, b) for k, (r, s, t, b) in enumerate(zip(sources, sizes, targets, blocks, strict=True))], "_src string, _k int, source_size long, target double, _blocks int")
 
     # permuted order inside a source: block, then a hash of the document
-    order = Window.partitionBy("_k", "_block").orderBy("_h", "row")
     dealt = light.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "row"))
-    dealt = dealt.withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int")).withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = dealt.withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int"))
     dealt = checkpointed(dealt)
-    per_block = dealt.groupBy("_k", "_block").agg(F.sum("size").alias("_bs"))
     permuted = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed + 1), "_k", "_block"), "_block")
-    per_block = per_block.withColumn("_rank", F.row_number().over(permuted) - 1).withColumn("_before", F.sum("_bs").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_bs"))
-    per_block = checkpointed(per_block.select(F.col("_k").alias("_bk"), F.col("_block").alias("_bb"), "_rank", "_before"))
+    per_block = dealt.select("_k", "_block").distinct().withColumn("_rank", F.row_number().over(permuted) - 1)
+    per_block = checkpointed(per_block.select(F.col("_k").alias("_bk"), F.col("_block").alias("_bb"), "_rank"))
 
     rounds = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")).cast("int"))).otherwise(0)
     rest = F.when(F.col("_rounds") < most, F.col("target") - F.col("_rounds") * F.col("source_size")).otherwise(0.0)
     placed = dealt.join(per_block, (F.col("_k") == F.col("_bk")) & (F.col("_block") == F.col("_bb"))).drop("_bk", "_bb").withColumn("_rounds", rounds).withColumn("_rest", rest)
-    placed = placed.withColumn("_in", (F.col("size") > 0) & (F.col("_before") + F.col("_upto") <= F.col("_rest")))
-    placed = checkpointed(placed)
-    picked = _closing(spark, placed)
-    placed = placed.join(picked, F.col("row") == F.col("_lrow"), "left").withColumn("_last", F.col("_in") | F.col("_lrow").isNotNull()).drop("_in", "_lrow")
     placed = checkpointed(placed)
+    placed = checkpointed(_filled(spark, placed))
 
     draws = checkpointed(_drawn(spark, placed, len(sources), shards, seed, also))
     drawn = draws.groupBy(F.col("row").alias("_drow")).agg(F.sum("size").alias("_taken"), F.count("*").cast("int").alias("_copies"))
@@ -107,30 +102,64 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     return digest, draws
 
 
-def _closing(spark, taken: DataFrame, turns: int = 5, near: float = 0.001) -> DataFrame:
-    """At most ``turns`` documents more per source, to close the gap to its target.
+#: What a turn of the prefix step took of a source: documents of at most ``gap`` words up to a place in its permuted order.
+TURN = "gap double, rank int, h long, row long"
+#: A place before all documents of a block.
+NOWHERE = (-(2**63), -1)
+
+
+def _before(turn) -> F.Column:
+    """Whether a document lies up to the place where a turn ended."""
+    inside = (F.col("_h") < turn["h"]) | ((F.col("_h") == turn["h"]) & (F.col("row") <= turn["row"]))
+    return (F.col("_rank") < turn["rank"]) | ((F.col("_rank") == turn["rank"]) & inside)
+
+
+def _filled(spark, placed: DataFrame) -> DataFrame:
+    """``placed`` with ``_last``: whether the last round of its source takes a document.
 
-    Each is the document left whose size is nearest to the gap, and is taken only if it
-    brings the sum nearer.
+    Each turn takes documents in the permuted order until one would pass the rest of the
+    target, from those that fit what is left of it. Turns end when no document fits; then
+    the smallest one left is taken if that brings the sum nearer. A turn is kept as its
+    gap and the place where it ended, so the driver holds a row per source and turn.
     """
-    sums = taken.groupBy("_k").agg(F.first("_rest").alias("r"), F.first("target").alias("t"), F.coalesce(F.sum(F.when(F.col("_in"), F.col("size"))), F.lit(0)).alias("s")).collect()
-    gaps = {r._k: (r.r or 0.0) - r.s for r in sums}
-    enough = {r._k: near * (r.t or 0.0) for r in sums}
-    rows = []
-    for _ in range(turns):
-        wide = [(k, float(g)) for k, g in gaps.items() if g > enough[k]]
-        if not wide:
-            break
-        spare = taken.where(~F.col("_in") & (F.col("size") > 0)).join(F.broadcast(spark.createDataFrame(wide, "_gk int, _gap double")), F.col("_k") == F.col("_gk"))
-        spare = spare.join(F.broadcast(spark.createDataFrame([(r,) for r in rows], "_lrow long")), F.col("row") == F.col("_lrow"), "left_anti")
-        off = F.abs(F.col("_gap") - F.col("size"))
-        best = spare.where(off < F.col("_gap")).groupBy("_k").agg(F.min(F.struct(off.alias("off"), F.col("_h").alias("h"), F.col("row").alias("row"), F.col("size").alias("size"))).alias("b")).collect()
-        for r in best:
-            rows.append(r.b.row)
-            gaps[r._k] -= r.b.size
-        for k in gaps.keys() - {r._k for r in best}:
-            gaps[k] = 0.0
-    return F.broadcast(spark.createDataFrame([(r,) for r in rows], "_lrow long"))
+    turns: dict[int, list[tuple]] = {}
+    gaps = {r._k: float(r.g or 0.0) for r in placed.groupBy("_k").agg(F.first("_rest").alias("g")).collect()}
+    open_ = {k for k, g in gaps.items() if g > 0}
+    by_rank = Window.partitionBy("_k").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_k").orderBy("_h", "row").rowsBetween(Window.unboundedPreceding, 0)
+
+    def left(ks) -> DataFrame:
+        state = F.broadcast(spark.createDataFrame([(k, gaps[k], turns.get(k, [])) for k in ks], f"_gk int, _gap double, _turns array<struct<{TURN}>>"))
+        spare = placed.where("size > 0").join(state, F.col("_k") == F.col("_gk"))
+        return spare.where(~F.exists("_turns", lambda t: (F.col("size") <= t["gap"]) & _before(t)))
+
+    while open_:
+        fit = left(open_).where("size <= _gap")
+        sums = fit.groupBy("_k", "_rank", "_gap").agg(F.sum("size").alias("s")).withColumn("_upto", F.sum("s").over(by_rank))
+        whole = F.col("_upto") <= F.col("_gap")
+        ends = sums.groupBy("_k").agg(F.coalesce(F.max(F.when(whole, F.col("_upto"))), F.lit(0)).alias("s"), F.min(F.when(~whole, F.col("_rank"))).alias("rank")).collect()
+        cut = [(r._k, r.rank, int(r.s)) for r in ends if r.rank is not None]
+        at = {}
+        if cut:
+            # the block in which the sum passes the gap: some thousand documents of a source
+            block = fit.join(F.broadcast(spark.createDataFrame(cut, "_ck int, _crank int, _cs long")), (F.col("_k") == F.col("_ck")) & (F.col("_rank") == F.col("_crank")))
+            taken = block.withColumn("_upto", F.col("_cs") + F.sum("size").over(inside)).where("_upto <= _gap")
+            at = {r._k: r.m for r in taken.groupBy("_k").agg(F.max(F.struct("_h", "row", "_upto")).alias("m")).collect()}
+        for r in ends:
+            m = at.get(r._k)
+            turns.setdefault(r._k, []).append((gaps[r._k], 2**31 - 1 if r.rank is None else r.rank, *((m._h, m.row) if m else NOWHERE)))
+            gaps[r._k] -= m._upto if m else r.s
+        open_ = {r._k for r in ends if r.rank is not None and gaps[r._k] > 0}
+
+    near = {}
+    wide = [k for k, g in gaps.items() if g > 0]
+    if wide:
+        close = left(wide).where("size < 2 * _gap").groupBy("_k").agg(F.min(F.struct("size", "_h", "row")).alias("m")).collect()
+        near = {r._k: r.m.row for r in close}
+    state = spark.createDataFrame([(k, turns.get(k, []), near.get(k)) for k in gaps], f"_gk int, _turns array<struct<{TURN}>>, _near long")
+    found = placed.join(F.broadcast(state), F.col("_k") == F.col("_gk"))
+    taken = F.exists("_turns", lambda t: (F.col("size") <= t["gap"]) & _before(t)) | F.col("row").eqNullSafe(F.col("_near"))
+    return found.withColumn("_last", (F.col("size") > 0) & taken).drop("_gk", "_turns", "_near")
 
 
 def _drawn(spark, placed: DataFrame, n_sources: int, shards: int, seed: int, also: tuple) -> DataFrame:
