@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from tidemill.llm import mixing, queries
+from tidemill.llm import mixing, queries, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -97,3 +97,16 @@ def test_mix_fills_the_gap_behind_giants(spark):
     rows = [(k, small, "s0") for k in range(600)] + [(1000 + k, big, "s0") for k in range(4)] + [(2000 + k, "c " * 7, "s1") for k in range(4000)]
     for r in mixing.mix(table(spark, rows))[0].groupBy("source_size", "target").agg({"taken": "sum"}).collect():
         assert abs(r["sum(taken)"] - r.target) <= 5
+
+
+def test_prose_after_credential_words_stays(spark):
+    clean = ["The author is unknown.", "Authority: government", "The authorship is undetermined.", "Its secretary is experienced."]
+    plain = ["An unknown government is experienced and undetermined.", "The government was undetermined, unknown and experienced."]
+    secret = "the password is q7Zp-Rx2!vBk9w."
+    docs = table(spark, [(k, t, "s0") for k, t in enumerate([*clean, *plain, secret])])
+    texts = {r.doc_id: r.text for r in corpus_pipeline.mask_secrets(spark, docs, "").collect()}
+    assert [texts[k] for k in range(6)] == clean + plain and texts[6] == "the password is [SECRET]."
+    assert {r.doc_id for r in secrets.scan(docs).where("n_guess > 0").collect()} == {6}
+    # a value that stands in credential contexts only never becomes a common word
+    again = table(spark, [(k, "my passphrase is qzkvbxwjpfhdmt", "s0") for k in range(5)])
+    assert {r.n_guess for r in secrets.scan(again).collect()} == {1} and "qzkvbxwjpfhdmt" not in secrets.common_words(again)

@@ -3,13 +3,15 @@
 A value that follows a credential word is cut into the segments that make it cheapest
 to guess: words, dates, repeats, keyboard walks, sequences, or single characters tried
 by force. A dynamic program finds the cheapest cut; a value that still costs at least
-``2 ** bits`` guesses is a secret.
+``2 ** bits`` guesses is a secret. Words are those that guessers try first, and then
+the commonest of all documents, by rank.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from functools import lru_cache
 from math import log2
 
@@ -25,11 +27,54 @@ CONTEXT = re.compile(r"""(?i:pass(?:word|wd|phrase|code)|pwd|secret|token|creden
 
 #: Words that guessers try first, in the order in which they try them.
 WORDS = "password pass admin secret token key login letmein welcome monkey dragon master qwerty abc user test root changeme example default access private public api app the and you for with love hello world sun star blue red cat dog one two four summer winter spring autumn".split()
-RANK = {w: k + 1 for k, w in enumerate(WORDS)}
+#: Words of the documents that go to the tasks: the commonest, some 4 MB at most.
+MOST_WORDS = 50_000
+#: Whole words of 3 to 24 letters, in lower case.
+WORD = r"(?<![\p{L}\p{N}_])\p{Ll}{3,24}(?![\p{L}\p{N}_])"
+#: Ends of a sentence or bracket that are not part of a value.
+TAIL = ".:?)]}\u2026"
 KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 LEET = str.maketrans("4301$57@", "aeoissta")
-LONGEST_WORD = max(map(len, WORDS))
+
+
+class Ranks:
+    """Words by the order in which guessers try them: the fixed ones, then ``more``."""
+
+    def __init__(self, more=()):
+        self.of = {w: k + 1 for k, w in enumerate(dict.fromkeys([*WORDS, *more]))}
+        self.longest = max(map(len, self.of))
+
+
+FIXED = Ranks()
+
+
+def common_words(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
+    """The ``most`` commonest words of all texts, without values in a credential context.
+
+    A word that stands only once is none: it may be a secret.
+    """
+    context = CONTEXT.pattern.replace("(?i:", "(?:", 1)
+    plain = F.regexp_replace("text", f"(?i){context}", " ")
+    counts = docs.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").count()
+    return [r.word for r in counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most).collect()]
+
+
+def _ranks(docs: DataFrame):
+    """Ranks with the words of ``docs``: a function for the tasks, which builds them once in a worker."""
+    words = docs.sparkSession.sparkContext.broadcast(common_words(docs))
+    key = uuid.uuid4().hex
+    return lambda: _built(key, words)
+
+
+_BUILT: dict[str, Ranks] = {}
+
+
+def _built(key: str, words) -> Ranks:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Ranks(words.value)
+    return _BUILT[key]
 
 
 def _walks(value: str, start: int) -> int:
@@ -51,7 +96,7 @@ def _alphabet(value: str) -> int:
 
 
 @lru_cache(maxsize=4096)
-def guess_bits(value: str) -> float:
+def guess_bits(value: str, ranks: Ranks = FIXED) -> float:
     """Log2 of the guesses for the cheapest segmentation of ``value``.
 
     ``best[k]`` is the cheapest cost of the first k characters; a segment costs the
@@ -67,10 +112,10 @@ def guess_bits(value: str) -> float:
 
     for i in range(n):
         best[i + 1] = min(best[i + 1], best[i] + each)
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if rank := RANK.get(plain[i:j]):
+        for j in range(i + 3, min(n, i + ranks.longest) + 1):
+            if rank := ranks.of.get(plain[i:j]) or ranks.of.get(low[i:j]):
                 upper = sum(c.isupper() for c in value[i:j])
-                reach(i, j, log2(rank + 1) + (0 if not upper else 1 if upper in (1, j - i) else upper) + (plain[i:j] != low[i:j]))
+                reach(i, j, log2(rank + 1) + (0 if not upper else 1 if upper in (1, j - i) else upper) + (plain[i:j] != low[i:j] and low[i:j] not in ranks.of))
         if m := DATE.match(value, i):
             reach(i, m.end(), log2(365 * 120 if m.end() - i > 4 else 120))
         if (end := _walks(low, i)) - i >= 3:
@@ -85,20 +130,21 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def guess_cost(value: str, part: int = 200) -> float:
+def guess_cost(value: str, part: int = 200, ranks: Ranks = FIXED) -> float:
     """``guess_bits`` of a value of any length: the sum over its parts."""
-    return sum(guess_bits(value[k : k + part]) for k in range(0, len(value), part))
+    return sum(guess_bits(value[k : k + part], ranks) for k in range(0, len(value), part))
 
 
-def spans_of(text: str | None, bits: float = 45.0, least: int = 8) -> list[tuple[str, int, int]]:
+def spans_of(text: str | None, bits: float = 45.0, least: int = 8, ranks: Ranks = FIXED) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in code points, end exclusive, by start and then kind."""
     text = text or ""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
-        if m.end(1) - m.start(1) >= least and guess_cost(m[1]) >= bits:
-            found.append(("guess", *m.span(1)))
+        value = m[1].rstrip(TAIL)
+        if len(value) >= least and guess_cost(value, ranks=ranks) >= bits:
+            found.append(("guess", m.start(1), m.start(1) + len(value)))
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
 
@@ -114,12 +160,13 @@ def scan(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     whole matches for the fixed forms and the value alone for ``guess``. A null or empty
     text has none; repeated rows are scanned alike; other columns are not read.
     """
+    ranks = _ranks(docs)
 
     def scanned(batches):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                spans = spans_of(text, bits)
+                spans = spans_of(text, bits, ranks=ranks())
                 base = [s for s in spans if s[0] != "guess"]
                 kinds = [s[0] for s in spans]
                 rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), kinds.count("guess")))
@@ -129,12 +176,12 @@ def scan(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scanned, kinds)
 
 
-def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]") -> str | None:
+def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]", ranks: Ranks = FIXED) -> str | None:
     """The text with every span replaced by a mark; overlapping spans are one."""
     if not text:
         return text
     out, at = [], 0
-    for _, start, end in spans_of(text, bits):
+    for _, start, end in spans_of(text, bits, ranks=ranks):
         if start >= at:
             out += [text[at:start], mark]
         at = max(at, end)
@@ -143,9 +190,10 @@ def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]") -> str
 
 def redacted(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     """``docs`` with secrets masked in ``text``; texts without secrets stay as they are."""
+    ranks = _ranks(docs)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, bits) for t in texts], dtype="object")
+        return pd.Series([redact(t, bits, ranks=ranks()) for t in texts], dtype="object")
 
     return docs.withColumn("text", masked("text"))
