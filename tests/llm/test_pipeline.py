@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 
 import corpus_pipeline
-from tidemill.llm import mixing, queries, secrets
+from tidemill.llm import mixing, queries, secrets, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -110,3 +110,14 @@ def test_prose_after_credential_words_stays(spark):
     # a value that stands in credential contexts only never becomes a common word
     again = table(spark, [(k, "my passphrase is qzkvbxwjpfhdmt", "s0") for k in range(5)])
     assert {r.n_guess for r in secrets.scan(again).collect()} == {1} and "qzkvbxwjpfhdmt" not in secrets.common_words(again)
+
+
+def test_ids_are_those_of_the_whole_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["end <|endoftext|> start", "end<|endoftext|>start", "One.<|startoftext|>, <|endoftext|>. X", "<|ENDOFTEXT|> a<|EndOfText|>b", "<|endoftext|><|endoftext|>", "é<|endoftext|>È <|end oftext|>", "Plain, text; it's 12.5% off!", "", None]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1572]
+    for text, ids in zip(texts, tokens.WordTokenizer().encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), text

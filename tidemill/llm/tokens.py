@@ -19,7 +19,8 @@ class WordTokenizer:
 
     The vocabulary lower-cases, drops white space and joins neither across white space
     nor across the border of letters and marks, so the ids of a text are those of its
-    parts. The parts of the last texts are kept in tables of at most ``kept`` entries.
+    parts. Its markers, as <|endoftext|>, are known in lower case only, before it
+    lower-cases the rest. The parts of the last texts are kept in tables of at most ``kept`` entries.
     """
 
     def __init__(self, path: str | None = None, kept: int = 900_000):
@@ -28,7 +29,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self._tokenizer.encode_special_tokens = True
         self._kept, self._parts, self._cores = kept, {"": b""}, {"": b""}
 
     def _fill(self, fresh: set[str]) -> None:
@@ -39,7 +39,7 @@ class WordTokenizer:
             core = part.rstrip(MARKS)
             if not core or not core[-1].isalnum():
                 core = part
-            pieces.append((part, core.lower() if core.isascii() else core, part[len(core) :]))
+            pieces.append((part, core.lower() if core.isascii() and "<|" not in core else core, part[len(core) :]))
         cores = self._cores
         missing = list({c for _, core, tail in pieces for c in (core, tail) if c not in cores})
         if len(cores) + len(missing) > self._kept:
