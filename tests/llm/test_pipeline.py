@@ -121,3 +121,8 @@ def test_ids_are_those_of_the_whole_text():
     assert plain.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1572]
     for text, ids in zip(texts, tokens.WordTokenizer().encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), text
+
+
+def test_common_words_keep_the_bound(spark):
+    docs = table(spark, [(0, "aaa aaa aaa bbb bbb ccc ccc ddd", "s0")])
+    assert [secrets.common_words(docs, n) for n in (0, 1, 2, 3)] == [[], ["aaa"], ["aaa"], ["aaa", "bbb", "ccc"]]

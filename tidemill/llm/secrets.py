@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import stored
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A run of at least 18 or 16 characters starts where the shorter pattern's match would.
 ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
@@ -52,12 +54,22 @@ FIXED = Ranks()
 def common_words(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
     """The ``most`` commonest words of all texts, without values in a credential context.
 
-    A word that stands only once is none: it may be a secret.
+    A word that stands only once is none: it may be a secret. Words that are as common as
+    the first one past the bound are left out with it, so that no sort is needed and the
+    driver sees no more than the bound and the distinct counts.
     """
     context = CONTEXT.pattern.replace("(?i:", "(?:", 1)
     plain = F.regexp_replace("text", f"(?i){context}", " ")
     counts = docs.select(F.explode(F.regexp_extract_all(F.lower(plain), F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").count()
-    return [r.word for r in counts.where("count > 1").orderBy(F.desc("count"), "word").limit(most).collect()]
+    counts = stored(counts.where("count > 1"))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True):
+        if (total := total + r.n) > most:
+            break
+        least = r[0]
+    if least is None:
+        return []
+    return [r.word for r in sorted(counts.where(F.col("count") >= least).collect(), key=lambda r: (-r[1], r.word))]
 
 
 def _ranks(docs: DataFrame):
