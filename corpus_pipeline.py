@@ -72,7 +72,8 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: No SQL trains the classifier or finds the packing; tests hold the stages against brute force.
+#: No SQL trains the classifier or finds the packing; tests hold the near-copy stage against brute force and the mixing stage
+#: against its draws, but neither ``run`` nor the classifier's and the packing stage.
 ORACLE_SQL = None
 
 
