@@ -41,17 +41,34 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table written to the shared folder.
+class Scratch:
+    """Tables in the shared folder that cut the lineage, for loops, and that can be let go.
 
-    For loops. A checkpoint keeps the size that was estimated for its plan, and joins
-    multiply sizes: over some rounds that number alone fills the driver. A written table
-    has the size of its files.
+    A checkpoint keeps the size that was estimated for its plan, and joins multiply
+    sizes: over some rounds that number alone fills the driver. A written table has the
+    size of its files.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._folder, self._kept = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._kept[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the rows of tables that nothing reads any more."""
+        for table_ in tables:
+            _, path = self._kept.pop(id(table_))
+            self._spark.createDataFrame([], table_.schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder that stays."""
+    return Scratch(df.sparkSession).keep(df)
 
 
 def utf8_size(text="text"):
@@ -79,6 +96,13 @@ def ranked_in_group(df: DataFrame, group: str, salt_key, rank: str, rows_per_par
     return joined.withColumn(rank, F.col("_own") + F.col("_before")).drop("_g", "_s", "_sub", "_own", "_before")
 
 
+def arrow_texts(batch, rows: int = 500):
+    """Pieces of an Arrow batch with the texts of each: ids stay what they are beside nulls."""
+    for at in range(0, batch.num_rows, rows):
+        piece = batch.slice(at, rows)
+        yield piece, piece.column("text").to_pylist()
+
+
 def locate(columns: list[np.ndarray], splitters: list[np.ndarray]) -> np.ndarray:
     """How many splitters are at or below each row, by lexicographic binary search."""
     n, m = len(columns[0]), len(splitters[0])
@@ -101,17 +125,19 @@ def id_filter(docs: DataFrame, ids: DataFrame, most: int = 2_000_000):
     Up to ``most`` ids go to the tasks as one sorted array of at most 16 MB, and no row
     is shuffled; more ids are joined. A null doc_id is outside.
     """
-    some = ids.select("doc_id").limit(most + 1).toPandas().doc_id.to_numpy(np.int64)
+    some = ids.select("doc_id").where("doc_id is not null").limit(most + 1).toPandas().doc_id.to_numpy(np.int64)
     if len(some) > most:
         return (lambda df: df.join(ids, "doc_id", "left_semi")), (lambda df: df.join(ids, "doc_id", "left_anti"))
     known = docs.sparkSession.sparkContext.broadcast(np.sort(some))
 
     @F.pandas_udf(T.BooleanType())
     def there(doc_id: pd.Series) -> pd.Series:
-        own = doc_id.fillna(0).to_numpy(np.int64)
+        own = doc_id.to_numpy(np.int64)
         if not len(known.value):
             return pd.Series(np.zeros(len(own), bool))
         at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
-        return pd.Series((known.value[at] == own) & doc_id.notna().to_numpy())
+        return pd.Series(known.value[at] == own)
 
-    return (lambda df: df.where(there("doc_id"))), (lambda df: df.where(~there("doc_id")))
+    # a null among ids would make them floats on their way to Python
+    inside = F.col("doc_id").isNotNull() & there(F.coalesce("doc_id", F.lit(0)).cast("long"))
+    return (lambda df: df.where(inside)), (lambda df: df.where(~inside))

@@ -1,38 +1,44 @@
 """Similarity join of shingle sets by vertical partitioning.
 
-Shingles have one global order (of their hashes). Sets of comparable size are cut at the
-same places of that order into so many fragments that two sets over the threshold agree
-on a whole fragment: sets that share a fragment are candidates. The overlap of a
-candidate pair is counted in a few wide fragments separately and summed per pair.
-
-Equal sets are one class from the start. Of the sets that share a fragment, each meets
-the first one; later rounds compare only sets that are still in different components,
-so a group of copies is never expanded into all its pairs.
+Shingles have one global order (of their hashes), which is cut into fragments at the
+same places for all sets of comparable size. Overlaps are partial: in each fragment the
+sets that agree on it have its size in common, these partial overlaps are summed per
+pair, and the fragments are so many that two sets over the threshold agree on one. The
+pair with the largest sum is settled first: its tokens are counted in wide fragments
+separately and summed.
+
+Equal sets are one class from the start. In a round each set is compared with one other
+set at most, the best among those that this round's hash puts first in its fragments;
+later rounds compare only sets that are still in different components, so a group of
+copies is never expanded into its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, exp, floor, log, sqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import Scratch, arrow_texts, id_filter
 from tidemill.llm.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 #: Ratio of the largest to the smallest set in one size band.
 BAND = 1.4
-#: From so many fragments on, an agreement on empty fragments only can't happen in practice.
-SURE = 16
+#: Orders that are tried for a set with many empty fragments.
+ORDERS = 8
 #: Wide fragments in which overlaps are counted.
 WIDE_BITS = 2
-#: Numbers of 64 bits in a set's parity bitmap.
+#: Numbers of 64 bits in the smallest parity bitmap, for sets of up to 1024 shingles.
 PARITY_LONGS = 8
-PARITY = [f"p{k}" for k in range(PARITY_LONGS)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,136 +50,163 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a whole text."""
+    return digested(text, width)[0]
+
+
+def digested(text: str | None, width: int = 3) -> tuple[np.ndarray, int, int]:
+    """``(shingles, two halves of a digest)``; equal sets have equal digests of 128 bits."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0, 0
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(width, len(words))
     total = np.full(len(h) - width + 1, np.uint64(width))
     for k in range(width):
         total = mixed(total * A + h[k : len(h) - width + 1 + k] * B + C)
-    return np.unique(total)
-
-
-def _fragment(tokens: np.ndarray, m: int) -> np.ndarray:
-    """Fragment of each token: equal cuts of the order of the upper 32 bits."""
-    return ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+    tokens = np.unique(total)
+    # a set of one shingle is known by its words
+    whole = xxhash.xxh3_128_intdigest(b" ".join(words[:width]) if len(tokens) == 1 else tokens.tobytes())
+    signed = np.array([whole >> 64, whole & (1 << 64) - 1], np.uint64).view(np.int64)
+    return tokens, int(signed[0]), int(signed[1])
 
 
-def _signatures(tokens: np.ndarray, m: int, tag: int) -> tuple[np.ndarray, list[int]]:
-    """A hash of each fragment that holds tokens, and the fragments that hold none."""
-    part = _fragment(tokens, m)
-    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    with np.errstate(over="ignore"):
-        sums = np.add.reduceat(mixed(tokens + A), starts)
-        out = mixed(sums + part[starts] * B + np.uint64(tag) * C)
-    empty = [] if len(starts) == m or m >= SURE else sorted(set(range(m)) - set(part[starts].tolist()))
-    return out, empty
+def _parts(hi: int, percent: int) -> tuple[int, int]:
+    """``(fragments, spare ones)`` for sets of up to ``hi`` shingles; none if only equal sets link.
 
-
-def fragments(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures by which sets that reach the threshold meet.
-
-    Two sets of sizes up to ``hi`` over the threshold t differ in at most
-    2 hi (1 - t) / (1 + t) tokens, so with one fragment more than that they agree on
-    one. A set joins the band of its size, and the next band if a partner may be there.
-    Where the fragment they agree on may be empty, the sets without tokens in it are cut
-    once more by another order.
+    Two such sets over the threshold t differ in at most 2 hi (1 - t) / (1 + t) shingles.
+    With one fragment more than that and some spare ones they agree on more fragments
+    than are likely to be empty.
     """
-    n, out = len(tokens), []
-    band = int(np.floor(np.log(n) / np.log(BAND) + 1e-9))
-    top = int(np.floor(np.log(n * 100 / percent) / np.log(BAND) + 1e-9))
+    most = 2 * hi * (100 - percent) // (100 + percent)
+    if not most:
+        return 0, 0
+    spare = 0
+    for _ in range(4):
+        m = most + 1 + spare
+        empty = m * exp(-hi / BAND / m)
+        spare = min(most + 8, ceil(empty + 2 * sqrt(empty)))
+    return most + 1 + spare, spare
+
+
+def fragments(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(signature, size, order)`` of the fragments by which sets that reach the threshold meet.
+
+    A set joins the band of its size, and the next band if a partner may be there. Sets
+    that agree on nothing but empty fragments have more of them than there are spare
+    ones, both; such sets are cut again by another order, and in the last one their
+    empty fragments count as well.
+    """
+    n, found = len(tokens), []
+    band, top = (floor(log(x) / log(BAND) + 1e-9) for x in (n, n * 100 / percent))
     for b in range(band, top + 1):
-        hi = int(np.ceil(BAND ** (b + 1)))
-        m = 2 * hi * (100 - percent) // (100 + percent) + 1
-        found, empty = _signatures(tokens, m, b)
-        out.append(found)
-        for f in empty:
-            other = np.sort(mixed(tokens * B + np.uint64(f)))
-            tag = 1000 + b * 64 + f
-            again, none = _signatures(other, m, tag)
-            out += [again, mixed(np.array([tag * 64 + g for g in none], np.uint64) * A)]
-    return np.unique(np.concatenate(out))
-
-
-def _digest(tokens: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
-
-
-def _parity(tokens: np.ndarray) -> np.ndarray:
+        m, spare = _parts(ceil(BAND ** (b + 1)), percent)
+        for turn in range(ORDERS if m else 0):
+            order = tokens if not turn else np.sort(mixed(tokens * B + np.uint64(turn)))
+            part = ((order >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            tag = np.array([b * ORDERS + turn], np.uint64)
+            sums = np.add.reduceat(mixed(order + A), starts)
+            found.append((mixed(sums + part[starts] * B + tag * C), np.diff(np.append(starts, n)), tag))
+            if m - len(starts) <= spare:
+                break
+            if turn == ORDERS - 1:
+                none = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
+                found.append((mixed(mixed(none + C) + tag * A), np.zeros(len(none), int), tag))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
+    return np.concatenate([s for s, _, _ in found]), np.concatenate([w for _, w, _ in found]), np.concatenate([np.full(len(s), int(t[0])) for s, _, t in found])
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
     """For each value of the lowest bits, whether an odd number of tokens has it.
 
     A token that only one of two sets has changes one bit, so the bitmaps of two sets
-    differ in at most as many bits as the sets differ in tokens.
+    differ in at most as many bits as the sets differ in tokens. Bitmaps grow with sets;
+    the halves of one that is twice as long, XORed, are one of half its length.
     """
-    size = 64 * PARITY_LONGS
-    odd = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    longs = PARITY_LONGS << max(0, ceil(log(max(1, len(tokens)) / 1024, 2)))
+    odd = np.bincount((tokens % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(a: str, b: str, percent: int):
-    """Whether sizes and parity bitmaps allow two sets to reach the threshold.
+def _may_link(percent: int) -> F.Column:
+    """Whether sizes and parity bitmaps allow the sets ``l`` and ``r`` to reach the threshold.
 
     Sets of na and nb tokens over it differ in at most (na + nb) (1 - t) / (1 + t).
     """
-    na, nb, k = F.col(f"{a}.n"), F.col(f"{b}.n"), F.lit(percent)
-    apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0).cast("long"))
-    return (na * 100 >= nb * k) & (nb * 100 >= na * k) & (apart * (k + 100) <= (na + nb) * (F.lit(100) - k))
+    na, nb, k = F.col("l.n"), F.col("r.n"), F.lit(percent)
+    left, right = F.col("l.parity"), F.col("r.parity")
+
+    def folded(longer, size):
+        return F.zip_with(F.slice(longer, F.lit(1), size), F.slice(longer, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+    least = F.least(F.size(left), F.size(right))
+    fit = lambda x: F.when(F.size(x) == 2 * least, folded(x, least)).otherwise(x)
+    apart = F.aggregate(F.zip_with(fit(left), fit(right), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    comparable = F.greatest(F.size(left), F.size(right)) <= 2 * least
+    return (na * 100 >= nb * k) & (nb * 100 >= na * k) & (~comparable | (apart * (k + 100) <= (na + nb) * (F.lit(100) - k)))
+
+
+SETS = "doc_id long, n long, s1 long, s2 long"
+SIGNED = "sig long, size int, turn int, s1 long, s2 long"
+
+
+def _columns(schema: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """Size, digest and parity bitmap of each document's set; equal sets have equal digests."""
+    """Size and digest of each document's set."""
 
-    def described(batches):
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), _digest(s), _parity(s)) for s in (shingles(t, width) for t in batch.text)]
-            bits = np.array([p for _, _, p in found], np.int64).reshape(-1, PARITY_LONGS)
-            head = {"doc_id": batch.doc_id.astype("Int64"), "n_shingles": [n for n, _, _ in found], "short": [d for _, d, _ in found]}
-            yield pd.DataFrame(head | {p: bits[:, k] for k, p in enumerate(PARITY)})
+            for piece, texts in arrow_texts(batch):
+                found = [digested(t, width) for t in texts]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *_columns("n long, s1 long, s2 long", [[len(s) for s, _, _ in found], [a for _, a, _ in found], [b for _, _, b in found]]).columns], names=["doc_id", "n", "s1", "s2"])
 
-    return docs.mapInPandas(described, "doc_id long, n_shingles long, short long, " + ", ".join(f"{p} long" for p in PARITY))
+    return docs.mapInArrow(described, SETS)
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    def signed(batches):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, sig, short = set(), [], []
-            for text in batch.text:
-                tokens = shingles(text, width)
-                key = _digest(tokens)
-                if len(tokens) and key not in seen:
-                    seen.add(key)
-                    sig.append(fragments(tokens, percent))
-                    short.append(np.full(len(sig[-1]), key))
-            if sig:
-                yield pd.DataFrame({"sig": np.concatenate(sig).view(np.int64), "short": np.concatenate(short)})
+            seen = set()
+            for _, texts in arrow_texts(batch):
+                out = []
+                for text in texts:
+                    tokens, *key = digested(text, width)
+                    if len(tokens) and tuple(key) not in seen:
+                        seen.add(tuple(key))
+                        sig, size, turn = fragments(tokens, percent)
+                        out.append((sig.view(np.int64), size, turn, *(np.full(len(sig), k) for k in key)))
+                if out:
+                    yield _columns(SIGNED, [np.concatenate(c) for c in zip(*out, strict=True)])
 
-    return docs.select("text").mapInPandas(signed, "sig long, short long")
+    return docs.select("text").mapInArrow(signed, SIGNED)
 
 
-def _wide(docs: DataFrame, ids: DataFrame, width: int, most_ids: int = 2_000_000) -> DataFrame:
-    """Shingles of the documents in ``ids``, by wide fragment and digest of the whole set.
+WIDE = "s1 long, s2 long, wide int, tokens binary"
 
-    Few ids go to the tasks as one sorted array of at most 16 MB; more are joined.
-    """
-    some = ids.limit(most_ids + 1).toPandas().doc_id.to_numpy(np.int64)
-    if len(some) <= most_ids:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(some))
-    else:
-        known, docs = None, docs.join(ids, "doc_id", "left_semi")
 
-    def cut(batches):
+def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """Shingles of the documents in ``ids`` by wide fragment, and parity bitmaps at fragment -1."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if known is not None:
-                batch = batch[batch.doc_id.isin(known.value)]
-            rows = []
-            for text in batch.text:
-                tokens = shingles(text, width)
-                part, short = (tokens >> np.uint64(64 - WIDE_BITS)).astype(int), _digest(tokens)
-                rows += [(short, int(f), tokens[part == f].tobytes()) for f in np.unique(part)]
-            yield pd.DataFrame(rows, columns=["short", "wide", "tokens"]).astype({"short": "int64", "wide": "int32"})
+            for _, texts in arrow_texts(batch):
+                rows = []
+                for text in texts:
+                    tokens, s1, s2 = digested(text, width)
+                    part = (tokens >> np.uint64(64 - WIDE_BITS)).astype(int)
+                    rows += [(s1, s2, int(f), tokens[part == f].tobytes()) for f in np.unique(part)]
+                    rows.append((s1, s2, -1, parity(tokens).tobytes()))
+                if rows:
+                    yield _columns(WIDE, list(zip(*rows, strict=True)))
 
-    return docs.mapInPandas(cut, "short long, wide int, tokens binary").dropDuplicates(["short", "wide"])
+    inside, _ = id_filter(docs, ids)
+    return inside(docs).select("text").mapInArrow(cut, WIDE).dropDuplicates(["s1", "s2", "wide"])
 
 
 @F.pandas_udf(T.LongType())
@@ -182,10 +215,15 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(x) for x in both], dtype="int64")
 
 
-def _verified(wide: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests that reach the threshold."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _longs(x: pd.Series) -> pd.Series:
+    return x.map(lambda b: np.frombuffer(b, np.int64))
+
+
+def _verified(wide: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, by overlaps summed over wide fragments."""
     n, k = F.col("n"), F.lit(percent)
-    sized = pairs.join(classes.select(F.col("short").alias("a"), n.alias("na")), "a").join(classes.select(F.col("short").alias("b"), n.alias("nb")), "b")
+    sized = pairs.join(sizes.select(F.col("cls").alias("a"), n.alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), n.alias("nb")), "b")
     sized = sized.where((F.col("na") * 100 >= F.col("nb") * k) & (F.col("nb") * 100 >= F.col("na") * k))
     left = sized.join(wide.toDF("a", "wide", "at"), "a")
     both = left.join(wide.toDF("b", "wide", "bt"), ["b", "wide"])
@@ -193,65 +231,111 @@ def _verified(wide: DataFrame, pairs: DataFrame, classes: DataFrame, percent: in
     return sums.where(F.col("o") * 100 >= k * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the fragments whose sets are still in different components."""
-    placed = shared.join(labels.toDF("short", "component"), "short", "left").select("sig", "short", F.coalesce("component", "short").alias("component"))
-    mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    return stored(placed.join(mixed_, "sig"))
+def _best_partners(apart: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """For each set the untested pair with the largest summed overlap, among the firsts of its fragments."""
+    first = apart.groupBy("sig").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("p"))
+    met = apart.join(first, "sig").where("component <> p.component")
+    pair = [F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")]
+    partial = met.groupBy("cls", *pair, "turn").agg(F.sum("size").alias("o")).groupBy("cls", "a", "b").agg(F.max("o").alias("o"))
+    fresh = partial.join(tested, ["a", "b"], "left_anti")
+    return fresh.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("o", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
 
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` after new links, by two hops: equal labels are connected, others may be."""
+    of_a, of_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
+    steps = found.join(of_a, "a").join(of_b, "b").where("la <> lb").select(F.greatest("la", "lb").alias("hi"), F.least("la", "lb").alias("lo"))
+    hop = steps.groupBy("hi").agg(F.min("lo").alias("lo"))
+    twice = hop.join(hop.toDF("lo", "lower"), "lo", "left").select(F.col("hi").alias("component"), F.coalesce("lower", "lo").alias("to"))
+    return labels.join(twice, "component", "left").select("cls", F.coalesce("to", "component").alias("component"))
 
-def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 5) -> DataFrame:
+
+def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts link when their word shingles have a Jaccard similarity of at least
-    ``percent`` / 100; a text with fewer words than ``width`` has all of them as its one
-    shingle. A text without words links with nothing. Rows with a null doc_id link with
-    nothing and have a null component. Rows that repeat a doc_id are rows of their own.
-    Shingles and sets are known by 64-bit digests. Other columns are not read.
-
-    ``rounds`` bounds how often the members of large fragments meet one member only,
-    before those that are still apart all meet; it changes the cost and not the result.
+    ``percent`` / 100 (75 at least); a text with fewer words than ``width`` has all of
+    them as its one shingle. A text without words links with nothing. Rows with a null
+    doc_id link with nothing and have a null component. Rows that repeat a doc_id are
+    rows of their own. Sets are known by 128-bit digests, shingles within a pair by 64
+    bits. Other columns are not read.
+
+    ``rounds`` bounds how often a set meets one other set only, before all that are still
+    apart meet; it changes the cost and not the result.
     """
+    if percent < 75:
+        raise ValueError("fragments would mostly be empty below 75 percent")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    light = stored(_sets(docs, width))
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = stored(light.where(linked).groupBy("short").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *(F.first(p).alias(p) for p in PARITY)))
+    light = scratch.keep(_sets(docs, width))
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    classes = light.where(linked).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    classes = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()))
     # what only one set has is left out before anything else is joined
-    sig = _signature_rows(docs.where("doc_id is not null"), width, percent).distinct()
-    several = sig.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
-    shared = stored(sig.join(several, "sig"))
-    members = shared.select("short").distinct()
-    wide = stored(_wide(docs, classes.join(members, "short").select(F.col("rep").alias("doc_id")), width))
+    signed = scratch.keep(_signature_rows(docs.where("doc_id is not null"), width, percent))
+    ends = signed.groupBy("sig").agg(*(f(s).alias(f"{f.__name__}_{s}") for s in ("s1", "s2") for f in (F.min, F.max)))
+    several = ends.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("sig")
+    members = signed.join(several, "sig").groupBy("sig", "s1", "s2").agg(F.first("size").alias("size"), F.first("turn").alias("turn"))
+    shared = scratch.keep(members.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("sig", "cls", "size", "turn"))
+    scratch.drop(signed)
+    met = classes.join(shared.select("cls").distinct(), "cls", "left_semi")
+    tokens = scratch.keep(_wide(docs, met.select(F.col("rep").alias("doc_id")).distinct(), width).join(met.select("s1", "s2", "cls"), ["s1", "s2"]).select("cls", "wide", "tokens"))
+    wide = tokens.where("wide >= 0")
 
-    spark = docs.sparkSession
     tested = links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
+    labels = met.select("cls", F.col("cls").alias("component"))
+    left, held = shared, []
     for turn in range(rounds + 1):
-        apart = _apart(shared, labels)
-        cost = apart.groupBy("sig").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
-        if not cost[1]:
+        placed = left.select("sig", "cls", "size", "turn").join(labels, "cls")
+        open_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+        left = scratch.keep(placed.join(open_, "sig"))
+        held.append(left)
+        if left.isEmpty():
             break
-        last = turn == rounds or (turn and cost[0] <= 4 * cost[1])
+        last = turn == rounds
+        if not last:
+            pairs = scratch.keep(_best_partners(left, tested, turn))
+            last = pairs.isEmpty()
         if last:
             # all that are still apart meet; what can't reach the threshold never leaves the join
-            known = stored(apart.join(classes.drop("rep"), "short"))
-            meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.short") < F.col("r.short")) & (F.col("l.component") != F.col("r.component"))
-            pairs = known.alias("l").join(known.alias("r"), meet & _may_link("l", "r", percent)).select(F.col("l.short").alias("a"), F.col("r.short").alias("b"))
-        else:
-            # all members meet the one that this round's hash puts first
-            first = apart.groupBy("sig").agg(F.min_by(F.struct("short", "component"), F.xxhash64(F.lit(turn), "short")).alias("p"))
-            pairs = apart.join(first, "sig").where("component <> p.component").select(F.least("short", "p.short").alias("a"), F.greatest("short", "p.short").alias("b"))
-        pairs = stored(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        found = stored(_verified(wide, pairs, classes, percent))
+            bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
+            known = scratch.keep(left.select("sig", "cls", "component").join(met.select("cls", "n"), "cls").join(bits, "cls"))
+            meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
+            pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+            pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
+            held.append(known)
+        found = scratch.keep(_verified(wide, pairs, met, percent))
         tested = tested.union(pairs)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+        held += [pairs, found]
         if last:
+            links = links.union(found)
             break
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = scratch.keep(_relabelled(labels, found))
+            held.append(labels)
 
-    named = classes.join(labels.toDF("short", "component"), "short", "left").select("short", "rep", F.coalesce("component", "short").alias("component"))
+    whole = components(links, scratch)
+    named = classes.join(whole.toDF("cls", "component"), "cls", "left").select("s1", "s2", "rep", F.coalesce("component", "cls").alias("component"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(firsts, "component").select("short", "component_id")
-    out = light.join(named, (light.short == named.short) & linked, "left")
-    return out.select("doc_id", "n_shingles", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = scratch.keep(named.join(firsts, "component").select("s1", "s2", "component_id"))
+    scratch.drop(classes, shared, tokens, *held)
+    out = light.join(named, (light.s1 == named.s1) & (light.s2 == named.s2) & linked, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: DuckDB SQL for ``link`` with its defaults on ``documents``, whose ids are distinct.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k : k + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS k FROM words WHERE len(w) > 0) t),
+sized AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM shingled a JOIN shingled b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM meets JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least_id, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sized s ON s.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS least_id FROM reached GROUP BY a) r ON r.a = d.doc_id
+"""

@@ -12,13 +12,15 @@ is the capacity; the pieces themselves stay in Spark.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, ranked_in_group
+from tidemill.llm.common import arrow_texts, checkpointed, ranked_in_group
 from tidemill.llm.tokens import word_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,19 +29,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces_of(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; only longer documents are cut."""
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer).encode
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.doc_id, encode(batch.text), strict=True):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+            for piece, texts in arrow_texts(batch, 400):
+                row, rows = [], []
+                for n, ids in enumerate(encode(texts)):
+                    ids += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        row.append(n)
+                        rows.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                k, start, length, crc = zip(*rows, strict=True)
+                columns = [piece.column("doc_id").take(pa.array(row)), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
 def _knapsack(weight: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:

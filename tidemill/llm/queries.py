@@ -49,4 +49,4 @@ def op10_nearest_by_curves(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves)}
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE}

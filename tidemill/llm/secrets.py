@@ -12,14 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stored
+from tidemill.llm.common import arrow_texts, stored
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A run of at least 18 or 16 characters starts where the shorter pattern's match would.
@@ -174,18 +176,21 @@ def scan(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     """
     ranks = _ranks(docs)
 
-    def scanned(batches):
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                spans = spans_of(text, bits, ranks=ranks())
-                base = [s for s in spans if s[0] != "guess"]
-                kinds = [s[0] for s in spans]
-                rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), kinds.count("guess")))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"]).astype({"doc_id": "Int64"})
+            for piece, texts in arrow_texts(batch):
+                rows = []
+                for text in texts:
+                    spans = spans_of(text, bits, ranks=ranks())
+                    base = [s for s in spans if s[0] != "guess"]
+                    kinds = [s[0] for s in spans]
+                    rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), kinds.count("guess")))
+                assign, access, hexes, digest, spans, guess = zip(*rows, strict=True)
+                counts = [pa.array(x, pa.int64()) for x in (assign, access, hexes)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *counts, pa.array(digest), pa.array(spans), pa.array(guess, pa.int64())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
 
     kinds = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scanned, kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanned, kinds)
 
 
 def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]", ranks: Ranks = FIXED) -> str | None:

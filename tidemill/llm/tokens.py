@@ -12,6 +12,8 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[ \t\n\r]+")
 #: Neither letters nor digits: a run of them after a letter is a token group of its own.
 MARKS = ".,;:!?#$%&*"
+#: Longer parts are not kept.
+LONGEST = 24
 
 
 class WordTokenizer:
@@ -20,18 +22,20 @@ class WordTokenizer:
     The vocabulary lower-cases, drops white space and joins neither across white space
     nor across the border of letters and marks, so the ids of a text are those of its
     parts. Its markers, as <|endoftext|>, are known in lower case only, before it
-    lower-cases the rest. The parts of the last texts are kept in tables of at most ``kept`` entries.
+    lower-cases the rest. The first ``kept`` short parts that are seen stay in a table;
+    others are encoded once for each group of texts.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 900_000):
+    def __init__(self, path: str | None = None, kept: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self._kept, self._parts, self._cores = kept, {"": b""}, {"": b""}
+        self._kept, self._parts = kept, {"": b""}
 
-    def _fill(self, fresh: set[str]) -> None:
+    def _encoded(self, fresh: set[str]) -> dict[str, bytes]:
+        """Ids of parts: of the part without its last marks in lower case, and of these marks."""
         import numpy as np
 
         pieces = []
@@ -40,32 +44,31 @@ class WordTokenizer:
             if not core or not core[-1].isalnum():
                 core = part
             pieces.append((part, core.lower() if core.isascii() and "<|" not in core else core, part[len(core) :]))
-        cores = self._cores
-        missing = list({c for _, core, tail in pieces for c in (core, tail) if c not in cores})
-        if len(cores) + len(missing) > self._kept:
-            self._cores = cores = {"": b""}
-            missing = list({c for _, core, tail in pieces for c in (core, tail) if c})
-        for core, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            cores[core] = np.array(e.ids, "<u4").tobytes()
-        for part, core, tail in pieces:
-            self._parts[part] = cores[core] + cores[tail]
+        known = self._parts
+        missing = list({c for _, core, tail in pieces for c in (core, tail) if c not in known})
+        ids = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+        get = lambda c: known[c] if c in known else ids[c]
+        out = {part: get(core) + get(tail) for part, core, tail in pieces}
+        if (room := self._kept - len(known)) > 0:
+            for c in list(ids)[:room]:
+                if len(c) <= LONGEST:
+                    known[c] = ids[c]
+        return out
 
-    def encode(self, texts: Iterable[str | None], at_once: int = 100) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = 400) -> Iterator[bytes]:
         texts = list(texts)
         for k in range(0, len(texts), at_once):
             yield from self._encode(texts[k : k + at_once])
 
     def _encode(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
+        distinct = set().union(*split)
         known = self._parts
-        fresh = {p for parts in split for p in parts if p not in known}
-        if len(self._parts) + len(fresh) > self._kept:
-            self._parts = {"": b""}
-            fresh = {p for parts in split for p in parts if p}
-        self._fill(fresh)
-        known = self._parts
+        fresh = {p for p in distinct if p not in known}
+        here = self._encoded(fresh)
+        here.update((p, known[p]) for p in distinct - fresh)
         for parts in split:
-            yield b"".join([known[p] for p in parts])
+            yield b"".join([here[p] for p in parts])
 
 
 @cache
