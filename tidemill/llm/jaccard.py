@@ -241,6 +241,22 @@ def _best_partners(apart: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
     return fresh.groupBy("cls").agg(F.max_by(F.struct("a", "b"), F.struct("o", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the fragments whose sets are still in different components."""
+    placed = left.select("sig", "cls", "size", "turn").join(labels, "cls")
+    open_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
+    return placed.join(open_, "sig")
+
+
+def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join."""
+    bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
+    known = left.select("sig", "cls", "component").join(sizes.select("cls", "n"), "cls").join(bits, "cls")
+    meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
+    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent))
+    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+
+
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     """``labels`` after new links, by two hops: equal labels are connected, others may be."""
     of_a, of_b = labels.toDF("a", "la"), labels.toDF("b", "lb")
@@ -250,7 +266,7 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     return labels.join(twice, "component", "left").select("cls", F.coalesce("to", "component").alias("component"))
 
 
-def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 8) -> DataFrame:
+def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts link when their word shingles have a Jaccard similarity of at least
@@ -287,34 +303,32 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 8) ->
     labels = met.select("cls", F.col("cls").alias("component"))
     left, held = shared, []
     for turn in range(rounds + 1):
-        placed = left.select("sig", "cls", "size", "turn").join(labels, "cls")
-        open_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        left = scratch.keep(placed.join(open_, "sig"))
+        left = scratch.keep(_open(left, labels))
         held.append(left)
         if left.isEmpty():
             break
         last = turn == rounds
         if not last:
             pairs = scratch.keep(_best_partners(left, tested, turn))
+            held.append(pairs)
             last = pairs.isEmpty()
         if last:
-            # all that are still apart meet; what can't reach the threshold never leaves the join
-            bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
-            known = scratch.keep(left.select("sig", "cls", "component").join(met.select("cls", "n"), "cls").join(bits, "cls"))
-            meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
-            pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
-            pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"))
-            held.append(known)
+            # two hops leave parts of a component apart: now whole components count
+            whole = components(links, scratch).toDF("cls", "component")
+            labels = met.select("cls").join(whole, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
+            left = scratch.keep(_open(left, labels))
+            pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).join(tested, ["a", "b"], "left_anti"))
+            held += [left, pairs]
         found = scratch.keep(_verified(wide, pairs, met, percent))
-        tested = tested.union(pairs)
-        held += [pairs, found]
-        if last:
-            links = links.union(found)
-            break
+        held.append(found)
         if not found.isEmpty():
             links = links.union(found)
-            labels = scratch.keep(_relabelled(labels, found))
-            held.append(labels)
+            if not last:
+                labels = scratch.keep(_relabelled(labels, found))
+                held.append(labels)
+        if last:
+            break
+        tested = tested.union(pairs)
 
     whole = components(links, scratch)
     named = classes.join(whole.toDF("cls", "component"), "cls", "left").select("s1", "s2", "rep", F.coalesce("component", "cls").alias("component"))
