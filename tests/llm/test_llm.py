@@ -212,3 +212,55 @@ def test_pipeline_columns(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         if name != "quality classifier":
             assert stage(spark, docs, "/root/testdata/sf0.001").columns == corpus_pipeline.COLUMNS
+
+
+def test_induced_order_beyond_memory():
+    """Seeds are dealt by character, recursively, and all stores go to disk; the order is the same."""
+    rng = np.random.default_rng(2)
+    for depth in (3, 12, 50):
+        t = np.append(np.tile(rng.integers(1, 4, 200), 3), 0).astype(np.uint16)
+        few = [np.concatenate(x) for x in zip(*suffixes(t, depth, memory=100, at_once=5), strict=True)]
+        cut = [tuple(t[p : p + depth]) for p in few[0]]
+        assert cut == sorted(cut) and sorted(few[0]) == list(range(len(t)))
+        for j in range(1, len(cut)):
+            same = next((k for k, (x, y) in enumerate(zip(cut[j - 1], cut[j], strict=False)) if x != y), min(len(cut[j - 1]), len(cut[j])))
+            assert few[1][j] == same
+
+
+def brute_removed(rows, length=50):
+    """(doc_id, n_bytes, n_removed, n_spans, digest of the rest) of rows whose ids may repeat."""
+    first = {}
+    data = [(i, (t or "").encode()) for i, t in rows]
+    for i, b in data:
+        for k in range(len(b) - length + 1):
+            if i is not None:
+                first[b[k : k + length]] = min(first.get(b[k : k + length], i), i)
+    out = []
+    for i, b in data:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - length + 1):
+            if i is not None and first[b[k : k + length]] < i:
+                gone[k : k + length] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=False) if not g)).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_suffix_dedup_against_all_runs(spark, monkeypatch):
+    """Repeated ids with different texts, periodic texts, passages with edits, and anchors with many contexts."""
+    from tidemill.llm import suffix_dedup
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    passage = " ".join(word() for _ in range(40))
+    other = " ".join(word() for _ in range(60))
+    rows = [(1, other), (2, other + "zz"), (2, " ".join(word() for _ in range(60))), (3, None), (3, "short"), (None, other)]
+    for k in range(40):
+        edited = list(passage)
+        edited[int(rng.integers(0, len(edited)))] = "Q"
+        rows.append((10 + k, f"{word()} {word()} {''.join(edited)} {word()} é{word()}"))
+    rows += [(100, "ab" * 200), (101, "xab" * 3 + "ab" * 90), (102, "q" * 300), (103, "q" * 70 + "r" * 70), (104, passage[:49]), (105, passage[:50])]
+    for most in (suffix_dedup.MOST_CONTEXTS, 3):
+        monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bytes_per_bucket=2000).collect()
+        assert sorted(map(tuple, found), key=str) == brute_removed(rows)

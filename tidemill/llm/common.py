@@ -33,14 +33,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files behind checkpointed tables.
-
-    Spark deletes them once the driver's garbage is collected, which may be much later.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 class Scratch:
     """Tables in the shared folder that cut the lineage, for loops, and that can be let go.
 

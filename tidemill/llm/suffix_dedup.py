@@ -7,8 +7,11 @@
    are the same, by a 64-bit digest, as in a document with a smaller id, they are settled.
 3. Contexts that differ around a shared anchor are the borders of repeats: their bytes go
    to the shard of the anchor's hash, where equal runs meet.
-4. Each shard sorts its suffixes by external induced sorting and reads off, from the
-   common prefixes, which runs also start in a document with a smaller id.
+   An anchor with very many contexts sends each of its runs by itself, to the shard of
+   the run's hash.
+4. Each shard leaves out runs whose hash no other document has, sorts the suffixes of the
+   rest by external induced sorting and reads off, from the common prefixes, which runs
+   also start in a document with a smaller id.
 5. The runs found are removed from their documents and the rest is hashed.
 """
 
@@ -19,18 +22,21 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, free_shuffles, id_filter
+from tidemill.llm.common import checkpointed, id_filter
 from tidemill.llm.induced import suffixes
 from tidemill.llm.jaccard import mixed
 
-GRAM = 20
-#: Shards of contexts to a bucket of texts: contexts overlap, and sorting takes some 70 bytes for each of theirs.
-SHARDS = 4
-#: Kinds of what comes out of the meeting of anchors.
-SETTLED, OPEN = 0, 1
+GRAM = 16
+#: Shards of contexts to a bucket of texts.
+SHARDS = 1
+#: Kinds of what comes out of the meeting of anchors: settled, open, and open at an anchor with many contexts.
+SETTLED, OPEN, HOT = 0, 1, 3
+#: Open contexts of one anchor that may go to one shard.
+MOST_CONTEXTS = 20_000
 
 
 def _grams(data: np.ndarray, k: int) -> np.ndarray:
@@ -129,8 +135,8 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _judged(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by (anchor, context, document): the three, and what each row is.
 
-    2: the first document with its context, and the anchor has no other context; OPEN:
-    the same, but it has; SETTLED: a smaller document has the same context.
+    2: the first document with its context, and the anchor has no other context; OPEN or
+    HOT: the same, but it has; SETTLED: a smaller document has the same context.
     """
     order = np.lexsort((doc, context, h))
     h, context, doc = h[order], context[order], doc[order]
@@ -141,8 +147,9 @@ def _judged(h: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.nda
     # open only if the anchor has several contexts, and in several documents
     anchors = np.flatnonzero(new_h)
     several = (np.add.reduceat(new_context.astype(np.int64), anchors) > 1) & (np.minimum.reduceat(doc, anchors) != np.maximum.reduceat(doc, anchors))
-    many = np.repeat(several, np.diff(np.append(anchors, len(h))))
-    return h, context, doc, np.where(settled, SETTLED, np.where(many, OPEN, 2))
+    sizes = np.diff(np.append(anchors, len(h)))
+    many = np.repeat(np.where(several, np.where(np.add.reduceat((~settled).astype(np.int64), anchors) > MOST_CONTEXTS, HOT, OPEN), 2), sizes)
+    return h, context, doc, np.where(settled, SETTLED, many)
 
 
 def _by_doc(doc: np.ndarray, context: np.ndarray, kind: int) -> list:
@@ -155,7 +162,7 @@ def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: i
     """Anchors and contexts of all documents, packed by bucket of the anchor's hash.
 
     A row holds the upper 32 bits of the hashes, the context digests, and the documents
-    as offsets to ``base``. What is settled among the documents that are read together
+    as offsets to ``base`` of ``wide`` bytes. What is settled among the documents that are read together
     has a negative bucket, and only the first document stands for a context.
     """
     low = np.uint64(0xFFFFFFFF)
@@ -167,8 +174,9 @@ def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: i
         for a, n in zip(*_groups(bucket), strict=True):
             own = doc[a : a + n]
             base = int(own.min())
-            wide = int(own.max()) - base >= 1 << 32
-            out.append((int(bucket[a]), base, wide, h[a : a + n].tobytes(), context[a : a + n].tobytes(), (own - base).astype(np.uint64 if wide else np.uint32).tobytes()))
+            reach = int(own.max()) - base
+            wide = 2 if reach < 1 << 16 else 4 if reach < 1 << 32 else 8
+            out.append((int(bucket[a]), base, wide, h[a : a + n].tobytes(), context[a : a + n].tobytes(), (own - base).astype(f"<u{wide}").tobytes()))
         return out
 
     def rows(held: list) -> list:
@@ -195,73 +203,122 @@ def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: i
             out += rows(held) if held else []
             yield pd.DataFrame(out, columns=["bucket", "base", "wide", "h", "context", "doc"])
 
-    return docs.mapInPandas(packed, "bucket int, base long, wide boolean, h binary, context binary, doc binary")
+    return docs.mapInPandas(packed, "bucket int, base long, wide int, h binary, context binary, doc binary")
 
 
 def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, kind, contexts)``: digests of contexts that are settled, and of those that are open."""
+    """``(doc_id, kind, contexts)``: digests of contexts that are settled, open or hot."""
 
     def meet(key: tuple[object, ...], rows: pd.DataFrame) -> pd.DataFrame:
         context = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.context])
-        doc = np.concatenate([np.frombuffer(d, np.uint64 if w else np.uint32).astype(np.int64) + b for b, w, d in zip(rows.base, rows.wide, rows.doc, strict=True)])
+        doc = np.concatenate([np.frombuffer(d, f"<u{w}").astype(np.int64) + b for b, w, d in zip(rows.base, rows.wide, rows.doc, strict=True)])
         if key[0] < 0:
             out = _by_doc(doc, context, SETTLED)
         else:
             h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.h])
             _, context, doc, kind = _judged(h, context, doc)
-            out = [r for k in (SETTLED, OPEN) for r in _by_doc(doc[kind == k], context[kind == k], k)]
+            out = [r for k in (SETTLED, OPEN, HOT) for r in _by_doc(doc[kind == k], context[kind == k], k)]
         return pd.DataFrame(out, columns=["doc_id", "kind", "contexts"])
 
     return _packed_anchors(docs, length, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, kind int, contexts binary")
 
 
+def _packed(places) -> bytes:
+    return np.asarray(places, "<i4").tobytes()
+
+
 def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
     """For each open context its bytes, to the shard of its anchor; for the settled ones their runs, to negative shards."""
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("deal")
 
+    shards = np.uint64(buckets * SHARDS)
+
     def cut(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         of = {}
         for doc_id, kind, c in zip(known.doc_id, known.kind, known.contexts, strict=True):
             of.setdefault((doc_id, kind), []).append(np.frombuffer(c, np.uint64))
-        shard, doc, lo, hi, bytes_ = [], [], [], [], []
+        out = []
         for doc_id, text in zip(texts.doc_id, texts.text, strict=True):
-            own = [np.concatenate(of[doc_id, k]) if (doc_id, k) in of else None for k in (SETTLED, OPEN)]
-            if own[SETTLED] is None and own[OPEN] is None:
+            own = {k: np.concatenate(of[doc_id, k]) for k in (SETTLED, OPEN, HOT) if (doc_id, k) in of}
+            if not own:
                 continue
             data = _bytes(text)
             h, context, first, end = segments(data, length)
-            if own[SETTLED] is not None:
+            raw, which = data.tobytes(), xxhash.xxh3_64_intdigest(data.tobytes()) - (1 << 63)
+            if SETTLED in own:
                 at = np.flatnonzero(np.isin(context, own[SETTLED]))
                 # neighbouring runs are one range
                 cuts = np.flatnonzero(np.concatenate([[True], first[at[1:]] != end[at[:-1]]])) if len(at) else at
                 ends = np.append(cuts[1:], len(at)) - 1
-                lo += first[at[cuts]].tolist()
-                hi += end[at[ends]].tolist() if len(at) else []
-                shard += [-1 - doc_id % buckets] * len(cuts)
-                doc += [doc_id] * len(cuts)
-                bytes_ += [None] * len(cuts)
-            if own[OPEN] is not None:
-                raw, at = data.tobytes(), np.flatnonzero(np.isin(context, own[OPEN]))
-                shard += (h[at] % np.uint64(buckets * SHARDS)).astype(np.int64).tolist()
-                doc += [doc_id] * len(at)
-                lo += first[at].tolist()
-                hi += end[at].tolist()
-                bytes_ += [raw[a : b + length - 1] for a, b in zip(first[at].tolist(), end[at].tolist(), strict=True)]
-        return pd.DataFrame({"shard": shard, "doc_id": doc, "first": lo, "last": hi, "context": pd.Series(bytes_, dtype=object)})
+                out += [(-1 - doc_id % buckets, doc_id, which, _packed(a), b, None) for a, b in zip(first[at[cuts]].tolist(), (end[at[ends]] if len(at) else at).tolist(), strict=True)]
+            if OPEN in own:
+                at = np.flatnonzero(np.isin(context, own[OPEN]))
+                order = at[np.argsort(context[at], kind="stable")]
+                # a context that the document repeats is sent once, with all its places
+                for a, n in zip(*_groups(context[order]), strict=True):
+                    k = order[a]
+                    out.append((int(h[k] % shards), doc_id, which, _packed(first[order[a : a + n]]), int(end[k] - first[k]), raw[first[k] : end[k] + length - 1]))
+            if HOT in own:
+                at = np.flatnonzero(np.isin(context, own[HOT]))
+                runs = {}
+                for p in np.concatenate([np.arange(first[k], end[k]) for k in at]).tolist() if len(at) else []:
+                    runs.setdefault(raw[p : p + length], []).append(p)
+                out += [(xxhash.xxh3_64_intdigest(run) % int(shards), doc_id, which, _packed(p), 1, run) for run, p in runs.items()]
+        return pd.DataFrame(out, columns=["shard", "doc_id", "which", "places", "runs", "context"])
 
     left, right = docs.withColumn("deal", deal), shared.withColumn("deal", deal)
     pairs = left.groupBy("deal").cogroup(right.groupBy("deal"))
-    return pairs.applyInPandas(cut, "shard int, doc_id long, first int, last int, context binary")
+    return pairs.applyInPandas(cut, "shard int, doc_id long, which long, places binary, runs int, context binary")
 
 
-def repeated_runs(doc: np.ndarray, first: np.ndarray, contexts: list[bytes], length: int, memory: int = 64 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _shared_runs(doc: np.ndarray, contexts: list[bytes], length: int, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(context, lo, hi)``: ranges of runs whose hash runs of other documents have as well."""
+    size = np.array([len(c) for c in contexts], np.int64)
+    own, place, hashes, k = [], [], [], 0
+    while k < len(contexts):
+        # some contexts after the other; runs that cross a border are left out
+        stop = max(k + 1, int(np.searchsorted(np.cumsum(size[k:]), at_once)) + k)
+        data = np.frombuffer(b"".join(contexts[k:stop]), np.uint8)
+        begin = np.cumsum(size[k:stop]) - size[k:stop]
+        h = _grams(data, length)
+        count = size[k:stop] - length + 1
+        which = np.repeat(np.arange(len(count)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        own.append((which + k).astype(np.int32))
+        place.append(at.astype(np.int32))
+        hashes.append(h[begin[which] + at])
+        k = stop
+    own, place, h = np.concatenate(own), np.concatenate(place), np.concatenate(hashes)
+    order = np.argsort(h)
+    starts, sizes = _groups(h[order])
+    who = doc[own[order]]
+    shared = np.empty(len(h), bool)
+    shared[order] = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
+    at = np.flatnonzero(shared)
+    if not len(at):
+        return at, at, at
+    cuts = np.flatnonzero(np.concatenate([[True], (own[at[1:]] != own[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)]))
+    ends = np.append(cuts[1:], len(at)) - 1
+    return own[at[cuts]].astype(np.int64), place[at[cuts]].astype(np.int64), place[at[ends]].astype(np.int64) + 1
+
+
+def repeated_runs(doc: np.ndarray, contexts: list[bytes], length: int, memory: int = 32 << 20) -> tuple[np.ndarray, np.ndarray]:
     """``(context, offset)`` of each run that also starts in a document with a smaller id."""
+    which, lo, hi = _shared_runs(doc, contexts, length)
+    if not len(which):
+        return which, which
+    found, offset = _sorted_runs(doc[which], [contexts[k][a : b + length - 1] for k, a, b in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True)], length, memory)
+    return which[found], lo[found] + offset
+
+
+def _sorted_runs(doc: np.ndarray, contexts: list[bytes], length: int, memory: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, of all runs, by their suffix order."""
     size = np.array([len(c) for c in contexts], np.int64)
     begin = np.cumsum(size + 1) - size - 1
     text = np.frombuffer(b"\0".join([*contexts, b""]), np.uint8).astype(np.uint16) + 1
     text[begin + size] = 0  # ends a context
     owner = np.repeat(np.arange(len(contexts), dtype=np.int32), size + 1)
-    runs = np.arange(len(text)) - begin[owner] <= size[owner] - length
+    runs = np.arange(len(text), dtype=np.int32) <= np.repeat((begin + size - length).astype(np.int32), size + 1)
     found, open_doc, open_pos = [], [], []
 
     def settle(docs: np.ndarray, pos: np.ndarray, starts: np.ndarray) -> None:
@@ -297,21 +354,25 @@ def repeated_runs(doc: np.ndarray, first: np.ndarray, contexts: list[bytes], len
 
 
 def _ranges(contexts: DataFrame, length: int) -> DataFrame:
-    """``(doc_id, lo, hi)``: runs that start in [lo, hi) go."""
+    """``(doc_id, which, lo, hi)``: runs that start in [lo, hi) of the text with the hash ``which`` go."""
 
     def solve(key: tuple[object, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        doc, text = rows.doc_id.to_numpy(np.int64), rows.which.to_numpy(np.int64)
+        places = [np.frombuffer(x, "<i4") for x in rows.places]
         if key[0] < 0:
-            return rows[["doc_id", "first", "last"]].set_axis(["doc_id", "lo", "hi"], axis=1)
-        doc, first = rows.doc_id.to_numpy(np.int64), rows["first"].to_numpy(np.int64)
-        which, offset = repeated_runs(doc, first, list(rows.context), length)
-        if not len(which):
-            return pd.DataFrame({"doc_id": [], "lo": [], "hi": []}, dtype="int64")
-        fresh = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-        after = np.append(fresh[1:], len(which)) - 1
-        at = which[fresh]
-        return pd.DataFrame({"doc_id": doc[at], "lo": first[at] + offset[fresh], "hi": first[at] + offset[after] + 1})
+            first = np.array([p[0] for p in places], np.int64)
+            return pd.DataFrame({"doc_id": doc, "which": text, "lo": first, "hi": rows.runs.to_numpy(np.int64)})
+        at, offset = repeated_runs(doc, list(rows.context), length)
+        if not len(at):
+            return pd.DataFrame({"doc_id": [], "which": [], "lo": [], "hi": []}, dtype="int64")
+        fresh = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (offset[1:] != offset[:-1] + 1)]))
+        after = offset[np.append(fresh[1:], len(at)) - 1] + 1
+        lo, hi, at = offset[fresh], after, at[fresh]
+        times = np.array([len(places[k]) for k in at])
+        first = np.concatenate([places[k] for k in at]).astype(np.int64)
+        return pd.DataFrame({"doc_id": np.repeat(doc[at], times), "which": np.repeat(text[at], times), "lo": first + np.repeat(lo, times), "hi": first + np.repeat(hi, times)})
 
-    return contexts.groupBy("shard").applyInPandas(solve, "doc_id long, lo int, hi int")
+    return contexts.groupBy("shard").applyInPandas(solve, "doc_id long, which long, lo int, hi int")
 
 
 def _removed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[int, int, str]:
@@ -350,7 +411,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
 
     texts = outside(docs.where(F.col("doc_id").isNotNull() & (size >= length)))
     shared = checkpointed(_shared_anchors(texts, length, buckets))
-    free_shuffles(docs.sparkSession)
     inside_shared, _ = id_filter(docs, shared.select("doc_id").distinct())
     ranges = checkpointed(_ranges(_contexts(inside_shared(texts), shared, length, buckets), length))
     hit = ranges.select("doc_id").distinct()
@@ -364,13 +424,13 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("doc_id")
-        ids, lo, hi = (found[c].to_numpy(np.int64) for c in ("doc_id", "lo", "hi"))
+        ids, lo, hi, which = (found[c].to_numpy(np.int64) for c in ("doc_id", "lo", "hi", "which"))
         out = []
         for doc_id, text in zip(texts.doc_id, texts.text, strict=True):
             a, b = np.searchsorted(ids, [doc_id, doc_id + 1])
             data = _bytes(text)
-            # a range of another row of the same id may lie beyond this text
-            ok = hi[a:b] - 1 + length <= len(data)
+            # rows that share an id may have different texts
+            ok = which[a:b] == xxhash.xxh3_64_intdigest(data.tobytes()) - (1 << 63)
             out.append((doc_id, len(data), *_removed(data, lo[a:b][ok], hi[a:b][ok], length)))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
