@@ -264,3 +264,24 @@ def test_suffix_dedup_against_all_runs(spark, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
         found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bytes_per_bucket=2000).collect()
         assert sorted(map(tuple, found), key=str) == brute_removed(rows)
+
+
+def test_neighbours_by_curves_alone(spark):
+    """Many tiles, a sample far below the table, equal vectors in several tiles: recall, exact scores and ties."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + 0.35 * rng.standard_normal((6000, 16))
+    x[500:560] = x[500]
+    df = spark.createDataFrame([(k, v.tolist(), "extra") for k, v in enumerate(x)], "vec_id long, embedding array<double>, score string")
+    found = {}
+    for r in ann.neighbours(df, tile_rows=100, sample=300).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q, rows in found.items():
+        rows.sort()
+        score = (x[q] * x).sum(1)
+        order = [i for i in np.lexsort((np.arange(6000), -score)) if i != q][:20]
+        hits += len(set(order) & {v for _, v, _ in rows})
+        assert len(rows) == 20 and all(s == score[v] for _, v, s in rows)
+        assert rows == sorted(rows, key=lambda r: (-r[2], r[1]))
+    assert len(found) == 300 and hits / 6000 >= 0.9
