@@ -9,14 +9,17 @@ and applied to every whole text.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import checkpointed
+
 #: Hashed n-grams.
 BITS = 18
 
@@ -122,23 +125,29 @@ def is_held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, seed: int = 11) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, most_bytes: int = 256 << 20, seed: int = 11) -> Model:
     """Fit to at most ``rows`` labelled rows outside the held-out part, drawn by a hash.
 
-    A document labelled more than once takes its smallest label; null labels and ids
-    are left out, and so are null texts.
+    Their n-grams take ``most_bytes`` on the driver at most: rows past that are left out,
+    in the order of the hash. A document labelled more than once takes its smallest label,
+    and one that occurs more than once its smallest text; null labels, ids and texts are
+    left out.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out())
     chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("quality"))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows))
-    # a document that occurs more than once is one example
+    place = F.xxhash64(F.lit(seed), "_id")
+    chosen = F.broadcast(chosen.orderBy(place, "_id").limit(rows))
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("_id"), "text").join(chosen, "_id")
 
     def features(batches):
         for batch in batches:
-            yield pd.DataFrame({"_id": batch._id, "quality": batch.quality, "x": [ngrams(t).tobytes() for t in batch.text]})
+            yield pd.DataFrame({"_id": batch._id, "quality": batch.quality, "digest": [hashlib.sha256(t.encode()).digest() for t in batch.text], "x": [ngrams(t).tobytes() for t in batch.text]})
 
-    sample = texts.mapInPandas(features, "_id long, quality int, x binary").toPandas().drop_duplicates("_id").sort_values("_id")
+    found = checkpointed(texts.mapInPandas(features, "_id long, quality int, digest binary, x binary"))
+    # a document that occurs more than once is one example
+    once = found.groupBy("_id", "quality").agg(F.min("digest").alias("digest"), F.min_by(F.octet_length("x"), "digest").alias("size"))
+    kept = once.withColumn("upto", F.sum("size").over(Window.orderBy(place, "_id"))).where(F.col("upto") <= most_bytes).select("_id", "digest")
+    sample = found.join(F.broadcast(kept), ["_id", "digest"]).dropDuplicates(["_id"]).toPandas().sort_values("_id")
     return fit([np.frombuffer(x, np.uint32) for x in sample.x], sample.quality.to_numpy())
 
 

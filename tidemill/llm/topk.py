@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed
+from tidemill.llm.common import checkpointed, hash_sample
 
 FIXED = "vec_id long, v array<long>"
 
@@ -65,12 +65,14 @@ def topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, pivo
     share the query's id are not its candidates; a query id that occurs more than once is
     asked once, with its smallest vector; repeated rows are candidates of their own.
     Vectors of other lengths are compared as if they ended in zeros. Rows with a null id
-    take no part. An empty table, or one row, gives an empty result.
+    take no part. Components have to stay within 64 bits after scaling, and scores too. An
+    empty table, or one row, gives an empty result.
     """
     spark = vectors.sparkSession
     data = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-    dim = data.agg(F.max(F.size("v"))).first()[0] or 0
-    known = matrix([r.v for r in data.orderBy(F.xxhash64(F.lit(seed), "vec_id", "v")).limit(sample).select("v").collect()], dim, np.int64)
+    facts = data.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
+    dim = facts.dim or 0
+    known = matrix([r.v for r in hash_sample(data, facts.n, sample, seed, "vec_id", "v").select("v").collect()], dim, np.int64)
     centres = known[:pivots].astype(np.float64)
     if not len(centres):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
