@@ -20,7 +20,10 @@ BROADCAST_ROWS = 1_000_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts are scored by the bias alone.
+
+    Repeated rows are judged alike; without labels nothing is accepted.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("quality_label = 1").select(*COLUMNS)
 
@@ -29,17 +32,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: the one with the smallest id.
 
     Near copies share 80 of 100 five-word shingles; op9's own query has another rule.
-    Rows with a null id stay; of rows that repeat an id, one stays.
+    Rows with a null id stay; of rows that repeat an id, the smallest by its columns stays.
     """
     linked = checkpointed(jaccard.link(docs, percent=80, width=5))
     _, kept = id_filter(docs, linked.where("component_id <> doc_id").select("doc_id").distinct())
     repeated, single = id_filter(docs, linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     docs = kept(docs.select(*COLUMNS))
-    return single(docs).unionByName(repeated(docs).dropDuplicates(["doc_id"]))
+    smallest = repeated(docs).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return single(docs).unionByName(smallest)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with their secrets masked; n_chars follows the text."""
+    """Texts with their secrets masked; n_chars follows the text. Null and empty texts stay as they are."""
     masked = secrets.redacted(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
@@ -60,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed into sequences."""
+    """Pieces of all documents, placed into sequences; null and empty texts hold id 0 only, repeated rows are packed one by one."""
     return packing.pack(docs)
 
 
