@@ -28,12 +28,12 @@ def status_census(d):
     return "SELECT status, count(*) AS urls, count_if(status IN ('PENDING', 'RETRY')) AS runnable FROM @advance_queue GROUP BY status"
 
 
-@operator("advance_queue", "missing_seeds", "observations")
+@operator("advance_queue", "missing_seeds")
 def url_accounting(d):
-    """AGG-02: every input URL in one bucket; complete only if none is lost or missing."""
-    return """WITH s AS (SELECT count_if(status IN ('DONE', 'FAILED', 'QUARANTINED', 'DEAD_ZONE')) AS settled, count_if(status IN ('PENDING', 'RETRY')) AS carried, count_if(status = 'IN_PROGRESS') AS lost FROM @advance_queue),
-    i AS (SELECT count(DISTINCT url) AS input_urls FROM @observations), m AS (SELECT count(*) AS missing FROM @observations WHERE url NOT IN (SELECT url FROM @advance_queue))
-    SELECT input_urls, settled, carried, lost, missing, input_urls - settled - carried - lost + missing AS unaccounted, lost = 0 AND missing = 0 AND input_urls = settled + carried AS complete FROM s, i, m"""
+    """AGG-02: every queued URL in one bucket, and the seeds that never got there; complete only if none is lost or missing."""
+    return """WITH s AS (SELECT count(*) AS input_urls, count_if(status NOT IN ('PENDING', 'RETRY', 'IN_PROGRESS')) AS settled, count_if(status IN ('PENDING', 'RETRY')) AS carried, count_if(status = 'IN_PROGRESS') AS lost FROM @advance_queue),
+    m AS (SELECT count(DISTINCT url) AS missing FROM @missing_seeds)
+    SELECT input_urls, settled, carried, lost, missing, input_urls - settled - carried - lost + missing AS unaccounted, lost = 0 AND missing = 0 AS complete FROM s, m"""
 
 
 @operator("attempts")
@@ -67,10 +67,14 @@ def failure_overview(d):
 
 @operator("attempts")
 def latency_percentiles(d):
-    """AGG-13: sorted[min(int(n f), n - 1)] per domain; this is neither nearest rank nor interpolation."""
-    return """WITH r AS (SELECT domain, latency_ms, row_number() OVER (PARTITION BY domain ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY domain) AS n FROM @attempts WHERE latency_ms IS NOT NULL)
-    SELECT domain, max(CASE WHEN i = least(CAST(floor(n * 0.5) AS BIGINT), n - 1) THEN latency_ms END) AS p50, max(CASE WHEN i = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN latency_ms END) AS p95,
-      max(CASE WHEN i = least(CAST(floor(n * 0.99) AS BIGINT), n - 1) THEN latency_ms END) AS p99, round(avg(latency_ms), 6) AS mean, max(latency_ms) AS most FROM r GROUP BY domain"""
+    """AGG-13: sorted[min(int(n f), n - 1)] per domain; this is neither nearest rank nor interpolation.
+
+    Rows are counted per latency first, so a domain sends its distinct latencies to one task and not its rows.
+    """
+    at = lambda f: f"min(CASE WHEN upto > least(CAST(floor(n * {f}) AS BIGINT), n - 1) THEN latency_ms END)"
+    return f"""WITH c AS (SELECT domain, latency_ms, count(*) AS k FROM @attempts WHERE latency_ms IS NOT NULL GROUP BY domain, latency_ms),
+    r AS (SELECT domain, latency_ms, k, sum(k) OVER (PARTITION BY domain ORDER BY latency_ms ROWS UNBOUNDED PRECEDING) AS upto, sum(k) OVER (PARTITION BY domain) AS n FROM c)
+    SELECT domain, {at(0.5)} AS p50, {at(0.95)} AS p95, {at(0.99)} AS p99, round(sum(latency_ms * k) / sum(k), 6) AS mean, max(latency_ms) AS most FROM r GROUP BY domain"""
 
 
 @operator("advance_queue")
@@ -127,12 +131,17 @@ def derive_alerts(d):
 
 @operator("observations")
 def freshness_state(d):
-    """WIN-01: per URL in time order: changed, the check interval, and the last change."""
-    return f"""WITH h AS (SELECT obs_id, url, observed_at, etag, not_modified, {d.sha("trim(" + d.sub("body", r"\\s+", " ") + ")")} AS hash FROM @observations),
-    c AS (SELECT *, CASE WHEN NOT not_modified AND (lag(hash) OVER w IS NULL OR lag(hash) OVER w <> hash) THEN 1 ELSE 0 END AS changed FROM h WINDOW w AS (PARTITION BY url ORDER BY observed_at, obs_id)),
+    """WIN-01: per URL in time order: changed, the check interval, and the last change.
+
+    A body is compared with the last one that was stored; a 304 stores none and never is a
+    change, a missing body always is one.
+    """
+    return f"""WITH h AS (SELECT obs_id, url, observed_at, not_modified, CASE WHEN NOT not_modified THEN {d.sha("trim(" + d.sub("body", r"\s+", " ") + ")")} END AS hash FROM @observations),
+    p AS (SELECT *, {d.last_known("hash")} OVER (PARTITION BY url ORDER BY observed_at, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
+    c AS (SELECT *, CASE WHEN not_modified THEN 0 WHEN hash IS NULL OR before IS NULL OR hash <> before THEN 1 ELSE 0 END AS changed FROM p),
     g AS (SELECT *, sum(changed) OVER (PARTITION BY url ORDER BY observed_at, obs_id ROWS UNBOUNDED PRECEDING) AS grp FROM c),
     k AS (SELECT *, row_number() OVER (PARTITION BY url, grp ORDER BY observed_at, obs_id) - 1 AS k FROM g)
-    SELECT obs_id, url, changed = 1 AS changed, round(least(900 * power(1.5, least(k, 40)), 2592000), 6) AS interval_s, max(CASE WHEN changed = 1 THEN observed_at END) OVER (PARTITION BY url ORDER BY observed_at, obs_id ROWS UNBOUNDED PRECEDING) AS last_changed FROM k"""
+    SELECT obs_id, url, changed = 1 AS changed, round(least(900 * power(1.5, least(k, 40)), 2592000), 6) AS interval_s, coalesce(max(CASE WHEN changed = 1 THEN observed_at END) OVER (PARTITION BY url ORDER BY observed_at, obs_id ROWS UNBOUNDED PRECEDING), min(observed_at) OVER (PARTITION BY url)) AS last_changed FROM k"""
 
 
 @operator("freshness_state", "observations")

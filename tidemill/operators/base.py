@@ -40,9 +40,25 @@ class Dialect:
     def octets(self, x: str) -> str:
         return f"octet_length({x})"
 
+    def last_known(self, x: str) -> str:
+        """The last value that is not null, as a window function without its OVER."""
+        return f"last_value({x}) IGNORE NULLS"
+
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, '{path}')"
 
+    def hex_number(self, x: str) -> str:
+        return f"CAST(conv({x}, 16, 10) AS BIGINT)"
+
+    def json_type(self, x: str, key: str) -> str:
+        """Type of a top-level value: null, bool, int, float, str, list or dict."""
+        kind = f"schema_of_variant(try_variant_get(try_parse_json({x}), '$.{key}', 'variant'))"
+        return f"CASE WHEN {self.json(x, '$.' + key)} IS NULL THEN 'null' WHEN {kind} = 'STRING' THEN 'str' WHEN {kind} = 'BOOLEAN' THEN 'bool' WHEN {kind} LIKE 'ARRAY%' THEN 'list' WHEN {kind} LIKE 'OBJECT%' THEN 'dict' WHEN {kind} = 'BIGINT' THEN 'int' ELSE 'float' END"
+
+    def json_keys(self, x: str) -> str:
+        """Rows: the top-level keys of a JSON object."""
+        return f"explode(json_object_keys({x}))"
+
     def joined(self, x: str, distinct: bool = False) -> str:
         return f"array_join(sort_array(collect_{'set' if distinct else 'list'}({x})), ',')"
 
@@ -84,9 +100,22 @@ class Oracle(Dialect):
     def octets(self, x):
         return f"strlen({x})"
 
+    def last_known(self, x):
+        return f"last_value({x} IGNORE NULLS)"
+
     def json(self, x, path):
         return f"json_extract_string({x}, '{path}')"
 
+    def hex_number(self, x):
+        return f"CAST(concat('0x', {x}) AS BIGINT)"
+
+    def json_type(self, x, key):
+        kind = f"json_type({x}, '$.{key}')"
+        return f"CASE WHEN {self.json(x, '$.' + key)} IS NULL THEN 'null' WHEN {kind} = 'VARCHAR' THEN 'str' WHEN {kind} = 'BOOLEAN' THEN 'bool' WHEN {kind} = 'ARRAY' THEN 'list' WHEN {kind} = 'OBJECT' THEN 'dict' WHEN {kind} IN ('UBIGINT', 'BIGINT') THEN 'int' ELSE 'float' END"
+
+    def json_keys(self, x):
+        return f"unnest(json_keys({x}))"
+
     def joined(self, x, distinct=False):
         return f"coalesce(string_agg({'DISTINCT ' if distinct else ''}{x}, ',' ORDER BY {x}), '')"
 

@@ -126,5 +126,10 @@ def promotion_preview(d):
 
 @operator("provider_outcomes")
 def corpus_fingerprint(d):
-    """AGG-41: one hash of all targets, whatever their order."""
-    return f"SELECT {d.sha(d.joined("concat(domain, '|', target_kind, '|', CAST(expected_status AS VARCHAR(5)))", True))} AS fingerprint FROM @provider_outcomes"
+    """AGG-41: one hash of all targets, whatever their order: of the count and the sums of the parts of each target's hash."""
+    part = lambda k: f"CAST(sum(CAST(conv_part{k} AS BIGINT)) AS BIGINT)"
+    hexes = d.sha("concat(domain, '|', target_kind, '|', CAST(expected_status AS VARCHAR(5)))")
+    parts = ", ".join(f"{d.hex_number(f'substring(h, {1 + 8 * k}, 8)')} AS conv_part{k}" for k in range(4))
+    joined = ", '|', ".join(f"CAST({part(k)} AS VARCHAR(20))" for k in range(4))
+    return f"""WITH t AS (SELECT DISTINCT {hexes} AS h FROM @provider_outcomes), p AS (SELECT {parts} FROM t)
+    SELECT {d.sha(f"concat(CAST(count(*) AS VARCHAR(20)), '|', {joined})")} AS fingerprint FROM p"""

@@ -58,7 +58,16 @@ def compare_routes(d):
     FROM @endpoint_candidates e LEFT JOIN @latency_percentiles l ON {d.ext("e.identity", "//api[.]([^/]*)", 1)} = l.domain"""
 
 
-@operator("diff_fields", "endpoint_candidates")
+@operator("observed_requests", "endpoint_identity")
+def endpoint_fields(d):
+    """The field names that an endpoint's documents have at the top."""
+    return f"""SELECT DISTINCT identity, field FROM (SELECT i.identity, {d.json_keys("r.body")} AS field FROM @observed_requests r JOIN @endpoint_identity i ON r.req_id = i.req_id) x"""
+
+
+@operator("diff_fields", "endpoint_candidates", "endpoint_fields", "extractor_values")
 def propose_repairs(d):
-    """JOIN-14: for each lost field: move to a validated endpoint if there is one, else look into it."""
-    return """SELECT f.page_id, f.field, CASE WHEN v.n > 0 THEN 'MIGRATE' ELSE 'NEEDS_INVESTIGATION' END AS proposal FROM @diff_fields f CROSS JOIN (SELECT count(*) AS n FROM @endpoint_candidates WHERE state = 'VALIDATED') v WHERE f.change = 'lost'"""
+    """JOIN-14: for each lost field: a validated endpoint that has it, else another source that still gives it, else a person looks."""
+    return """WITH v AS (SELECT f.field, min(f.identity) AS route FROM @endpoint_fields f JOIN @endpoint_candidates e ON f.identity = e.identity WHERE e.state = 'VALIDATED' GROUP BY f.field),
+    a AS (SELECT field, count(DISTINCT page_id) AS pages FROM @extractor_values GROUP BY field)
+    SELECT l.page_id, l.field, v.route, CASE WHEN v.route IS NOT NULL THEN 'MIGRATE' WHEN a.pages > 0 THEN 'ADD_QUORUM_SOURCE' ELSE 'NEEDS_INVESTIGATION' END AS proposal
+    FROM @diff_fields l LEFT JOIN v ON l.field = v.field LEFT JOIN a ON l.field = a.field WHERE l.change = 'lost'"""

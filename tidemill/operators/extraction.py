@@ -63,8 +63,10 @@ def quorum_fields(d):
     FROM @extractor_values GROUP BY page_id, field"""
 
 
-@operator("lineitem")
+@operator("price_texts")
 def normalize_numbers(d):
-    """PRJ-16, number: the last separator decides which one is the decimal point."""
-    return f"""WITH t AS (SELECT l_orderkey, l_linenumber, concat('USD ', CAST(floor(l_extendedprice / 1000) AS BIGINT), '.', substring(CAST(1000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS VARCHAR(10)), 2), ',50') AS raw FROM @lineitem)
-    SELECT l_orderkey, l_linenumber, {d.try_double("replace(replace(" + d.sub("raw", "[^0-9.,]", "") + ", '.', ''), ',', '.')")} AS value FROM t"""
+    """PRJ-16, number: currency and spaces go; the last separator is the decimal point, the other kind groups digits."""
+    plain = d.sub("raw", "[^0-9,.-]", "")
+    comma_last = d.rx("plain", ",[^.]*$")
+    value = f"CASE WHEN {comma_last} THEN replace(replace(plain, '.', ''), ',', '.') ELSE replace(plain, ',', '') END"
+    return f"SELECT text_id, {d.try_double(value)} AS value FROM (SELECT text_id, {plain} AS plain FROM @price_texts) t"

@@ -12,7 +12,7 @@ FIELDS = ("lang", "source", "n_chars", "quality")
 @operator("records")
 def record_fields(d):
     """One row per record and field: its value and JSON type; an absent field is null."""
-    one = lambda f: f"SELECT side, natural_key, url_class, lang_source, '{f}' AS field, {d.json('data', '$.' + f)} AS value, CASE WHEN {d.json('data', '$.' + f)} IS NULL THEN 'null' WHEN {d.rx('data', chr(34) + f + chr(34) + ':' + chr(34))} THEN 'str' ELSE 'int' END AS type FROM @records"
+    one = lambda f: f"SELECT side, natural_key, url_class, lang_source, '{f}' AS field, {d.json('data', '$.' + f)} AS value, {d.json_type('data', f)} AS type FROM @records"
     return " UNION ALL ".join(one(f) for f in FIELDS)
 
 
@@ -48,16 +48,21 @@ def validate_staging(d):
 
 @operator("records")
 def stage_records(d):
-    """PUB-01: one record per key on each side, with its hash."""
-    return f"SELECT side, natural_key, max(url_class) AS url_class, {d.sha('max(data)')} AS data_sha, count(*) > 1 AS conflict FROM @records GROUP BY side, natural_key"
+    """PUB-01: the last write of each key on each side, whole, and whether its writes disagree."""
+    pair = "struct_pack(url_class := url_class, data := data)" if d.duck else "struct(url_class, data)"
+    return f"""WITH l AS (SELECT side, natural_key, max_by({pair}, staged_at) AS w, count(DISTINCT data) > 1 AS conflict FROM @records GROUP BY side, natural_key)
+    SELECT side, natural_key, w.url_class AS url_class, {d.sha("w.data")} AS data_sha, conflict FROM l"""
 
 
-@operator("records", "drift_findings", "validate_staging")
+@operator("stage_records", "drift_findings", "validate_staging")
 def promote(d):
-    """PUB-02: staged records override published ones unless a gate blocks; then nothing changes."""
-    return f"""WITH g AS (SELECT (SELECT count(*) FROM @drift_findings WHERE severity = 'block') = 0 AND (SELECT max(reason) FROM @validate_staging) = 'ok' AS pass),
-    c AS (SELECT * FROM @records WHERE side = 'clean'), s AS (SELECT * FROM @records WHERE side = 'staging')
-    SELECT coalesce(s.natural_key, c.natural_key) AS natural_key, {d.sha("CASE WHEN g.pass THEN coalesce(s.data, c.data) ELSE c.data END")} AS data_sha, CASE WHEN s.data IS NOT NULL AND g.pass THEN 'staging' ELSE 'clean' END AS origin
+    """PUB-02: staged records override published ones unless a gate blocks; then nothing changes.
+
+    The published side goes along as the last known good copy of each key.
+    """
+    return """WITH g AS (SELECT (SELECT count(*) FROM @drift_findings WHERE severity = 'block') = 0 AND (SELECT max(reason) FROM @validate_staging) = 'ok' AS pass),
+    c AS (SELECT * FROM @stage_records WHERE side = 'clean'), s AS (SELECT * FROM @stage_records WHERE side = 'staging')
+    SELECT coalesce(s.natural_key, c.natural_key) AS natural_key, CASE WHEN g.pass THEN coalesce(s.data_sha, c.data_sha) ELSE c.data_sha END AS data_sha, c.data_sha AS last_known_good, CASE WHEN s.data_sha IS NOT NULL AND g.pass THEN 'staging' ELSE 'clean' END AS origin
     FROM c FULL OUTER JOIN s ON c.natural_key = s.natural_key CROSS JOIN g WHERE g.pass OR c.natural_key IS NOT NULL"""
 
 

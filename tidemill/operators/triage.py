@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from tidemill.operators.base import operator
-from tidemill.operators.bodies import without_blocks
+from tidemill.operators.bodies import ACCESS_MARKERS, block_signature, csr_shell, first_marker, without_blocks
 
 
-@operator("responses", "rules", "assign_url_class", "find_block_signatures", "flag_csr_shells")
+def first_rule(d, url: str, column: str) -> str:
+    """A column of the first rule, in declared order, whose pattern matches; rules are one small array."""
+    if d.duck:
+        return f"list_filter(k.rules, lambda x: regexp_matches({url}, x.pattern))[1].{column}"
+    return f"filter(k.rules, x -> {url} RLIKE x.pattern)[0].{column}"
+
+
+@operator("responses", "rules")
 def triage_responses(d):
-    """PRJ-12: verdict, reason, signature and whether policy lets it pay, of every response.
+    """PRJ-12: verdict, reason, signature, title and whether policy lets it pay, of every response.
 
-    Cheap tests come first: status, then signatures, then size, type and canaries.
+    Cheap tests come first: status, then signatures, then size, type and canaries. One
+    pass over the bodies: the rules come along as one array, and class, signatures and
+    shell are expressions over the row.
     """
-    return f"""WITH f AS (SELECT r.page_id, r.url, r.status, r.content_type, c.url_class, s.block_signature AS sig, s.access_signature AS acc, h.is_csr_shell AS shell,
-      {d.octets("coalesce(r.body, '')")} AS size, coalesce(k.min_body_bytes, 1) AS least, k.canary, position(k.canary IN {without_blocks(d, "r.body")}) > 0 AS there
-      FROM @responses r JOIN @assign_url_class c ON r.page_id = c.page_id JOIN @find_block_signatures s ON r.page_id = s.page_id JOIN @flag_csr_shells h ON r.page_id = h.page_id
-      LEFT JOIN @rules k ON c.position = k.position),
+    gather = "list(struct_pack(position := position, pattern := pattern, url_class := url_class, min_body_bytes := min_body_bytes, canary := canary) ORDER BY position)" if d.duck else "sort_array(collect_list(struct(position, pattern, url_class, min_body_bytes, canary)))"
+    title = d.ext("body", "(?is)<title[^>]*>(.*?)</title>", 1)
+    return f"""WITH k AS (SELECT {gather} AS rules FROM @rules),
+    c AS (SELECT r.page_id, r.url, r.status, r.content_type, r.cf_mitigated, r.body, {first_rule(d, "r.url", "url_class")} AS url_class, {first_rule(d, "r.url", "canary")} AS canary, {first_rule(d, "r.url", "min_body_bytes")} AS min_body_bytes FROM @responses r CROSS JOIN k),
+    f AS (SELECT page_id, url, status, url_class, {block_signature(d, "lower(body)")} AS sig, {first_marker("lower(body)", ACCESS_MARKERS)} AS acc, {csr_shell(d)} AS shell, {title} AS title,
+      {d.octets("coalesce(body, '')")} AS size, coalesce(min_body_bytes, 1) AS least, canary, position(canary IN {without_blocks(d, "body")}) > 0 AS there FROM c),
     v AS (SELECT *, CASE WHEN status IS NULL THEN 'ORIGIN_DOWN' WHEN status = 407 THEN 'PROVIDER_ERROR' WHEN status = 304 THEN 'NOT_MODIFIED' WHEN status IN (404, 410) THEN 'DEAD_URL'
       WHEN status IN (401, 402) THEN 'AUTH_REQUIRED' WHEN status = 429 THEN 'RATE_LIMITED'
       WHEN status = 403 THEN CASE WHEN sig IS NULL AND acc IS NOT NULL THEN 'ACCESS_DENIED' ELSE 'BLOCKED' END
@@ -23,7 +34,7 @@ def triage_responses(d):
       WHEN status BETWEEN 200 AND 299 THEN CASE WHEN sig IS NOT NULL THEN 'SOFT_BLOCK' WHEN acc IS NOT NULL THEN 'ACCESS_DENIED' WHEN size < least THEN 'THIN_CONTENT'
         WHEN canary IS NOT NULL AND NOT there THEN CASE WHEN shell THEN 'CSR_REQUIRED' ELSE 'PARSE_FAIL' END ELSE 'OK' END
       ELSE 'PARSE_FAIL' END AS verdict FROM f)
-    SELECT page_id, url, url_class, verdict, coalesce(sig, acc) AS signature, CAST(size AS BIGINT) AS body_bytes, verdict IN ('BLOCKED', 'SOFT_BLOCK') AS pays FROM v"""
+    SELECT page_id, url, url_class, verdict, coalesce(sig, acc) AS signature, title, CAST(size AS BIGINT) AS body_bytes, verdict IN ('BLOCKED', 'SOFT_BLOCK') AS pays FROM v"""
 
 
 @operator("triage_responses", "add_content_kind", "responses")
@@ -40,13 +51,12 @@ def fingerprint_failures(d):
     SELECT page_id, verdict, label, substring({d.sha("label")}, 1, 16) AS digest FROM f"""
 
 
-@operator("responses", "triage_responses", "add_visible_text")
+@operator("triage_responses")
 def triage_report(d):
     """AGG-04 by class: totals, resolved, coverage and distinct titles."""
-    title = d.ext("r.body", "(?is)<title[^>]*>(.*?)</title>", 1)
-    return f"""SELECT coalesce(t.url_class, 'unclassified') AS url_class, count(*) AS total, count_if(verdict IN ('OK', 'NOT_MODIFIED')) AS resolved,
-      round(count_if(verdict IN ('OK', 'NOT_MODIFIED')) / count(*), 6) AS coverage, count(DISTINCT CASE WHEN verdict = 'OK' THEN {title} END) AS titles
-    FROM @triage_responses t JOIN @responses r ON t.page_id = r.page_id JOIN @add_visible_text v ON t.page_id = v.page_id GROUP BY coalesce(t.url_class, 'unclassified')"""
+    return """SELECT coalesce(url_class, 'unclassified') AS url_class, count(*) AS total, count_if(verdict IN ('OK', 'NOT_MODIFIED')) AS resolved,
+      round(count_if(verdict IN ('OK', 'NOT_MODIFIED')) / count(*), 6) AS coverage, count(DISTINCT CASE WHEN verdict = 'OK' THEN title END) AS titles
+    FROM @triage_responses GROUP BY coalesce(url_class, 'unclassified')"""
 
 
 @operator("attempts")

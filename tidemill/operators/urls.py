@@ -99,16 +99,14 @@ def find_class_overlaps(d):
     return f"""SELECT r.page_id, count(*) AS classes, {d.joined("k.url_class")} AS names FROM @responses r JOIN @rules k ON {match} GROUP BY r.page_id HAVING count(*) > 1"""
 
 
-@operator("attempts")
+@operator("canonicalize_urls", "queued_pages")
 def enqueue_new_urls(d):
-    """JOIN-03: canonical URLs that the queue doesn't hold yet; the queue is what was tried before the last tenth of the ids."""
-    return """WITH cut AS (SELECT max(attempt_id) * 0.9 AS c FROM @attempts),
-    queue AS (SELECT DISTINCT url FROM @attempts, cut WHERE attempt_id < c * 0.1),
-    seeds AS (SELECT DISTINCT url FROM @attempts, cut WHERE attempt_id >= c)
-    SELECT url, CASE WHEN url IN (SELECT url FROM queue) THEN 'skipped' ELSE 'added' END AS outcome FROM seeds"""
+    """JOIN-03: each canonical URL once; what the queue doesn't hold yet is added, the rest skipped."""
+    return """WITH q AS (SELECT DISTINCT c.canonical_url FROM @canonicalize_urls c JOIN @queued_pages p ON c.page_id = p.page_id)
+    SELECT s.url, CASE WHEN q.canonical_url IS NULL THEN 'added' ELSE 'skipped' END AS outcome FROM (SELECT DISTINCT canonical_url AS url FROM @canonicalize_urls) s LEFT JOIN q ON s.url = q.canonical_url"""
 
 
-@operator("attempts", "observations")
+@operator("seeds", "advance_queue")
 def missing_seeds(d):
     """JOIN-04: seeds that never reached the queue."""
-    return "SELECT DISTINCT s.url FROM @observations s LEFT ANTI JOIN (SELECT url FROM @attempts WHERE verdict = 'OK') q ON s.url = q.url" if not d.duck else "SELECT DISTINCT s.url FROM @observations s ANTI JOIN (SELECT url FROM @attempts WHERE verdict = 'OK') q ON s.url = q.url"
+    return f"SELECT DISTINCT s.url FROM @seeds s {'ANTI' if d.duck else 'LEFT ANTI'} JOIN @advance_queue q ON s.url = q.url"

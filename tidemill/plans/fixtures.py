@@ -54,16 +54,19 @@ FROM lineitem
 GROUP BY 1, 2, 3, 4
 """,
     "records": """
-SELECT 'clean' AS side, concat('doc:', CAST(doc_id AS STRING)) AS natural_key, source AS url_class,
-  concat('{"lang":"', lang, '","source":"', source, '","n_chars":', CAST(n_chars AS STRING), '}') AS data, 'json_ld' AS lang_source
+SELECT 'clean' AS side, 0 AS staged_at, concat('doc:', CAST(doc_id AS STRING)) AS natural_key, source AS url_class,
+  concat('{"lang":"', lang, '","source": "', source, '","n_chars":', CAST(n_chars AS STRING), '}') AS data, 'json_ld' AS lang_source
 FROM documents WHERE doc_id % 10 <> 0
 UNION ALL
-SELECT 'staging', concat('doc:', CAST(doc_id AS STRING)), source,
+SELECT 'staging', 1, concat('doc:', CAST(doc_id AS STRING)), source,
   concat('{"lang":', CASE WHEN doc_id % 7 = 0 THEN 'null' ELSE concat('"', lang, '"') END,
          ',"n_chars":', CASE WHEN doc_id % 11 = 0 THEN concat('"', CAST(n_chars AS STRING), '"') ELSE CAST(n_chars AS STRING) END,
          ',"quality":', CAST(doc_id % 3 AS STRING), '}'),
   CASE WHEN doc_id % 5 < 3 THEN 'heuristic' ELSE 'json_ld' END
 FROM documents WHERE doc_id % 4 <> 0
+UNION ALL
+SELECT 'staging', 2, concat('doc:', CAST(doc_id AS STRING)), 'second', concat('{"lang": "', lang, '","n_chars":1.5}'), 'meta'
+FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 13 = 0
 """,
     "provider_outcomes": """
 SELECT event_id AS outcome_id, ts AS recorded_at, concat('session', CAST(event_id % 4 AS STRING)) AS session,
@@ -126,6 +129,20 @@ FROM events GROUP BY 1, 2
 SELECT doc_id, source, replace(text, 'token = "', 'access_token = "') AS text,
   concat('https://site.example/d/', CAST(doc_id AS STRING), CASE WHEN doc_id % 9 = 0 THEN '?api_key=abc&page=1' ELSE '?page=1' END) AS url
 FROM documents
+""",
+    "price_texts": """
+SELECT l_orderkey * 10 + l_linenumber AS text_id, CASE l_linenumber % 4
+  WHEN 0 THEN concat('USD ', CAST(floor(l_extendedprice / 1000) AS BIGINT), '.', substring(CAST(1000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS STRING), 2), ',50')
+  WHEN 1 THEN concat('$', CAST(floor(l_extendedprice / 1000) AS BIGINT), ',', substring(CAST(1000 + CAST(floor(l_extendedprice) AS BIGINT) % 1000 AS STRING), 2), '.25')
+  WHEN 2 THEN concat('-', CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING), ' EUR') ELSE 'sold out' END AS raw
+FROM lineitem
+""",
+    "seeds": """
+SELECT concat('https://site', CAST(user_id % 20 AS STRING), '.example/item/', CAST(user_id AS STRING)) AS url FROM events
+UNION ALL SELECT url FROM pages WHERE page_id % 7 = 0
+""",
+    "queued_pages": """
+SELECT page_id FROM pages WHERE page_id % 3 = 0
 """,
     "rules": """
 SELECT 1 AS position, 'english' AS url_class, '^https?://[^/]+/en/' AS pattern, 200 AS min_body_bytes, '<article' AS canary
