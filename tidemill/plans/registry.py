@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import json_paths, load
 from tidemill.operators.base import DUCK, OPERATORS
+from tidemill.plans import page_queries
 from tidemill.plans.fixtures import BASES, FIXTURES
 
 load()
@@ -84,7 +85,7 @@ PLAIN = {f.__name__: f for f in (json_leaf_paths, schema_signatures, locate_fiel
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in OPERATORS} | PLAIN
+    return {name: partial(run, name) for name in OPERATORS} | PLAIN | page_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
