@@ -106,3 +106,15 @@ def test_sql_agrees(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(con.execute(queries.ORACLE_SQL["op9_ngram_jaccard_join"]).fetchall(), key=str) == brute(rows, 90, 3)
+
+
+def test_first_tokens_never_drop_a_partner():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n, percent = int(rng.integers(1, 120)), int(rng.choice([75, 80, 90]))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.permutation(n)[: n - int(rng.integers(0, n // 4 + 1))]], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            some, need = jaccard.first_tokens(a, percent)
+            assert len(np.intersect1d(some, b)) >= need >= 1

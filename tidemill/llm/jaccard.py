@@ -5,7 +5,8 @@ same places for all sets of comparable size. Overlaps are partial: in each fragm
 sets that agree on it have its size in common, these partial overlaps are summed per
 pair, and the fragments are so many that two sets over the threshold agree on one. The
 pair with the largest sum is settled first: its tokens are counted in wide fragments
-separately and summed.
+separately and summed. Before that a first fragment of each set drops the sets that
+have too few tokens in it that any other set has.
 
 Equal sets are one class from the start. In a round each set is compared with one other
 set at most, the best among those that this round's hash puts first in its fragments;
@@ -148,6 +149,7 @@ def _may_link(percent: int) -> F.Column:
 
 
 SETS = "doc_id long, n long, s1 long, s2 long"
+FIRSTS = "sig long, need int, s1 long, s2 long"
 SIGNED = "sig long, size int, turn int, s1 long, s2 long"
 
 
@@ -187,6 +189,40 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(signed, SIGNED)
 
 
+def first_tokens(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Tokens of the set's first fragment, and how many of them a partner has to have.
+
+    A set of n tokens has at most n - ceil(t n) that a partner over the threshold t lacks.
+    """
+    n = len(tokens)
+    lacking, need = n - -(-percent * n // 100), max(1, n // 20)
+    return tokens[: lacking + need], min(need, n - lacking)
+
+
+def _first_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for _, texts in arrow_texts(batch):
+                out = []
+                for text in texts:
+                    tokens, *key = digested(text, width)
+                    if len(tokens) and tuple(key) not in seen:
+                        seen.add(tuple(key))
+                        some, need = first_tokens(tokens, percent)
+                        out.append((some.view(np.int64), np.full(len(some), need), *(np.full(len(some), k) for k in key)))
+                if out:
+                    yield _columns(FIRSTS, [np.concatenate(c) for c in zip(*out, strict=True)])
+
+    return docs.select("text").mapInArrow(firsts, FIRSTS)
+
+
+def _of_several(rows: DataFrame) -> DataFrame:
+    """The rows whose ``sig`` more than one set has."""
+    ends = rows.groupBy("sig").agg(*(f(s).alias(f"{f.__name__}_{s}") for s in ("s1", "s2") for f in (F.min, F.max)))
+    return rows.join(ends.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("sig"), "sig")
+
+
 WIDE = "s1 long, s2 long, wide int, tokens binary"
 
 
@@ -288,13 +324,16 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 4) ->
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = light.where(linked).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()))
-    # what only one set has is left out before anything else is joined
-    signed = scratch.keep(_signature_rows(docs.where("doc_id is not null"), width, percent))
-    ends = signed.groupBy("sig").agg(*(f(s).alias(f"{f.__name__}_{s}") for s in ("s1", "s2") for f in (F.min, F.max)))
-    several = ends.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("sig")
-    members = signed.join(several, "sig").groupBy("sig", "s1", "s2").agg(F.first("size").alias("size"), F.first("turn").alias("turn"))
+    # a set whose first tokens are mostly its own has no partner
+    firsts = scratch.keep(_first_rows(docs.where("doc_id is not null"), width, percent))
+    known = _of_several(firsts).groupBy("s1", "s2").agg(F.count("*").alias("known"), F.first("need").alias("need")).where("known >= need")
+    hopeful = scratch.keep(classes.join(known, ["s1", "s2"], "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    scratch.drop(firsts)
+    inside, _ = id_filter(docs, hopeful)
+    signed = scratch.keep(_signature_rows(inside(docs), width, percent))
+    members = _of_several(signed).groupBy("sig", "s1", "s2").agg(F.first("size").alias("size"), F.first("turn").alias("turn"))
     shared = scratch.keep(members.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("sig", "cls", "size", "turn"))
-    scratch.drop(signed)
+    scratch.drop(signed, hopeful)
     met = classes.join(shared.select("cls").distinct(), "cls", "left_semi")
     tokens = scratch.keep(_wide(docs, met.select(F.col("rep").alias("doc_id")).distinct(), width).join(met.select("s1", "s2", "cls"), ["s1", "s2"]).select("cls", "wide", "tokens"))
     wide = tokens.where("wide >= 0")
