@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.common import Scratch, arrow_texts, id_filter
+from tidemill.llm.common import Scratch, arrow_texts, ids_within
 from tidemill.llm.components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,11 +171,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(described, SETS)
 
 
-def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _signature_rows(docs: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    docs, keep = ids_within(docs, ids)
+
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = set()
-            for _, texts in arrow_texts(batch):
+            for _, texts in arrow_texts(keep(batch)):
                 out = []
                 for text in texts:
                     tokens, *key = digested(text, width)
@@ -186,7 +188,7 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 if out:
                     yield _columns(SIGNED, [np.concatenate(c) for c in zip(*out, strict=True)])
 
-    return docs.select("text").mapInArrow(signed, SIGNED)
+    return docs.select("doc_id", "text").mapInArrow(signed, SIGNED)
 
 
 def first_tokens(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -228,10 +230,11 @@ WIDE = "s1 long, s2 long, wide int, tokens binary"
 
 def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Shingles of the documents in ``ids`` by wide fragment, and parity bitmaps at fragment -1."""
+    docs, keep = ids_within(docs, ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in arrow_texts(batch):
+            for _, texts in arrow_texts(keep(batch), 100):
                 rows = []
                 for text in texts:
                     tokens, s1, s2 = digested(text, width)
@@ -241,8 +244,7 @@ def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 if rows:
                     yield _columns(WIDE, list(zip(*rows, strict=True)))
 
-    inside, _ = id_filter(docs, ids)
-    return inside(docs).select("text").mapInArrow(cut, WIDE).dropDuplicates(["s1", "s2", "wide"])
+    return docs.select("doc_id", "text").mapInArrow(cut, WIDE).dropDuplicates(["s1", "s2", "wide"])
 
 
 @F.pandas_udf(T.LongType())
@@ -329,8 +331,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 4) ->
     known = _of_several(firsts).groupBy("s1", "s2").agg(F.count("*").alias("known"), F.first("need").alias("need")).where("known >= need")
     hopeful = scratch.keep(classes.join(known, ["s1", "s2"], "left_semi").select(F.col("rep").alias("doc_id")).distinct())
     scratch.drop(firsts)
-    inside, _ = id_filter(docs, hopeful)
-    signed = scratch.keep(_signature_rows(inside(docs), width, percent))
+    signed = scratch.keep(_signature_rows(docs, hopeful, width, percent))
     members = _of_several(signed).groupBy("sig", "s1", "s2").agg(F.first("size").alias("size"), F.first("turn").alias("turn"))
     shared = scratch.keep(members.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("sig", "cls", "size", "turn"))
     scratch.drop(signed, hopeful)

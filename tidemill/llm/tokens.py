@@ -26,7 +26,7 @@ class WordTokenizer:
     others are encoded once for each group of texts.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 300_000):
+    def __init__(self, path: str | None = None, kept: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -46,7 +46,10 @@ class WordTokenizer:
             pieces.append((part, core.lower() if core.isascii() and "<|" not in core else core, part[len(core) :]))
         known = self._parts
         missing = list({c for _, core, tail in pieces for c in (core, tail) if c not in known})
-        ids = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, self._tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
+        ids = {}
+        for k in range(0, len(missing), 2000):  # what an encoding holds beside its ids is large
+            some = missing[k : k + 2000]
+            ids.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
         get = lambda c: known[c] if c in known else ids[c]
         out = {part: get(core) + get(tail) for part, core, tail in pieces}
         if (room := self._kept - len(known)) > 0:
@@ -55,7 +58,7 @@ class WordTokenizer:
                     known[c] = ids[c]
         return out
 
-    def encode(self, texts: Iterable[str | None], at_once: int = 400) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = 200) -> Iterator[bytes]:
         texts = list(texts)
         for k in range(0, len(texts), at_once):
             yield from self._encode(texts[k : k + at_once])
