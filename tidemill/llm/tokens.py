@@ -7,11 +7,9 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-#: Characters that str.split takes for white space and the tokenizer does not.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[ \t\n\r]+")
-#: Neither letters nor digits: a run of them after a letter is a token group of its own.
-MARKS = ".,;:!?#$%&*"
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A letter or digit before marks, which are then a token group of their own.
+BEFORE_MARKS = re.compile(rb"([a-z0-9]|\xc3[\x9f-\xb6\xb8-\xbf])(?=[.,;:!?#$%&*])")
 #: Longer parts are not kept.
 LONGEST = 24
 
@@ -22,54 +20,70 @@ class WordTokenizer:
     The vocabulary lower-cases, drops white space and joins neither across white space
     nor across the border of letters and marks, so the ids of a text are those of its
     parts. Its markers, as <|endoftext|>, are known in lower case only, before it
-    lower-cases the rest. The first ``kept`` short parts that are seen stay in a table;
-    others are encoded once for each group of texts.
+    lower-cases the rest. A part of letters alone is one word, whose last token alone
+    has the suffix of a word's end: many such parts are encoded as one text and cut at
+    these tokens. The first ``kept`` short parts that are seen stay in a table; others
+    are encoded once for each group of texts.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 200_000):
+    def __init__(self, path: str | None = None, kept: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self._kept, self._parts = kept, {"": b""}
+        self._kept, self._parts = kept, {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def _encoded(self, fresh: set[str]) -> dict[str, bytes]:
-        """Ids of parts: of the part without its last marks in lower case, and of these marks."""
+    def _ids(self, parts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Parts and their ids; what an encoding holds beside its ids is large, so 2000 are encoded at once."""
         import numpy as np
 
-        pieces = []
-        for part in fresh:
-            core = part.rstrip(MARKS)
-            if not core or not core[-1].isalnum():
-                core = part
-            pieces.append((part, core.lower() if core.isascii() and "<|" not in core else core, part[len(core) :]))
-        known = self._parts
-        missing = list({c for _, core, tail in pieces for c in (core, tail) if c not in known})
-        ids = {}
-        for k in range(0, len(missing), 2000):  # what an encoding holds beside its ids is large
-            some = missing[k : k + 2000]
-            ids.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        get = lambda c: known[c] if c in known else ids[c]
-        out = {part: get(core) + get(tail) for part, core, tail in pieces}
-        if (room := self._kept - len(known)) > 0:
-            for c in list(ids)[:room]:
-                if len(c) <= LONGEST:
-                    known[c] = ids[c]
-        return out
+        words, single = [], []
+        for part, text in zip(parts, b"\n".join(parts).decode().split("\n"), strict=True):
+            (words if text.isalpha() else single).append((part, text))
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            got = np.array(self._tokenizer.encode_batch_fast([" ".join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._ends[got]) + 1
+            if len(ends) != len(some):  # a letter became a letter and a mark, so a part has two words
+                single += some
+                continue
+            raw, at = got.tobytes(), 0
+            for (part, _), end in zip(some, (4 * ends).tolist(), strict=True):
+                yield part, raw[at:end]
+                at = end
+        for k in range(0, len(single), 2000):
+            some = single[k : k + 2000]
+            for (part, _), e in zip(some, self._tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                yield part, np.array(e.ids, "<u4").tobytes()
 
-    def encode(self, texts: Iterable[str | None], at_once: int = 200) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str | None], at_once: int = 400) -> Iterator[bytes]:
         texts = list(texts)
         for k in range(0, len(texts), at_once):
             yield from self._encode(texts[k : k + at_once])
 
     def _encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(SPACE.split(t) if SEPARATORS.search(t) else t.split()) if t else [] for t in texts]
-        distinct = set().union(*split)
+        split = []
+        for text in texts:
+            raw = (text or "").encode()
+            split.append(raw.split() if b"<|" in raw else BEFORE_MARKS.sub(rb"\1 ", raw.translate(LOWER)).split())
         known = self._parts
-        fresh = {p for p in distinct if p not in known}
-        here = self._encoded(fresh)
-        here.update((p, known[p]) for p in distinct - fresh)
+        here, fresh = {}, []
+        for p in set().union(*split):
+            if (ids := known.get(p)) is None:
+                fresh.append(p)
+            else:
+                here[p] = ids
+        room = self._kept - len(known)
+        for p, ids in self._ids(fresh) if fresh else ():
+            here[p] = ids
+            if room > 0 and len(p) <= LONGEST:
+                known[p] = ids
+                room -= 1
         for parts in split:
             yield b"".join([here[p] for p in parts])
 
