@@ -109,6 +109,17 @@ def arrow_texts(batch, rows: int = 500):
     pa.default_memory_pool().release_unused()
 
 
+def text_udf(f, kind: str):
+    """A column function that computes ``f`` of each text; a batch's texts are Python strings some at a time."""
+    out = {"string": pa.string(), "double": pa.float64()}[kind]
+
+    @F.arrow_udf(kind)
+    def computed(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([f(t) for t in texts.slice(at, 500).to_pylist()], out) for at in range(0, max(1, len(texts)), 500)])
+
+    return computed
+
+
 def ids_within(docs: DataFrame, ids: DataFrame, most: int = 2_000_000):
     """``docs`` and a filter of its Arrow batches, for functions that read only the rows with ``ids`` (distinct).
 

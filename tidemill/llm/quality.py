@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed
+from tidemill.llm.common import checkpointed, text_udf
 
 #: Hashed n-grams.
 BITS = 18
@@ -155,10 +155,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """``docs`` with its columns and quality_score, quality_label (1: at or over the threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each hashed n-gram: 2 ** BITS
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([float(shared.value.score(ngrams(t))) for t in texts], dtype="float64")
-
+    scored = text_udf(lambda text: float(shared.value.score(ngrams(text))), "double")
     out = docs.withColumn("quality_score", scored("text"))
     return out.withColumn("quality_label", (F.col("quality_score") >= threshold).cast("int"))
 

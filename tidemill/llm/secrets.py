@@ -16,12 +16,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_texts, stored
+from tidemill.llm.common import arrow_texts, stored, text_udf
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A run of at least 18 or 16 characters starts where the shorter pattern's match would.
@@ -208,9 +207,4 @@ def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]", ranks:
 def redacted(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     """``docs`` with secrets masked in ``text``; texts without secrets stay as they are."""
     ranks = _ranks(docs)
-
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, bits, ranks=ranks()) for t in texts], dtype="object")
-
-    return docs.withColumn("text", masked("text"))
+    return docs.withColumn("text", text_udf(lambda text: redact(text, bits, ranks=ranks()), "string")("text"))
