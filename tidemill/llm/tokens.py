@@ -26,7 +26,7 @@ class WordTokenizer:
     are encoded once for each group of texts.
     """
 
-    def __init__(self, path: str | None = None, kept: int = 100_000):
+    def __init__(self, path: str | None = None, kept: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import public_tokenizers
