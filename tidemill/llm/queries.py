@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import ann, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
+from tidemill.llm import ann, infill, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
 from tidemill.llm.common import table
 
 
@@ -48,5 +48,9 @@ def op10_nearest_by_curves(spark, sf_dir):
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves)}
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE}
+def op11_fill_in_middle(spark, sf_dir):
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves, op11_fill_in_middle)}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE, "op11_fill_in_middle": infill.ORACLE}
