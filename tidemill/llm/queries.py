@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import ann, conversation_repair, infill, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
+from tidemill.llm import ann, chat, conversation_repair, infill, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
 from tidemill.llm.common import table
 
 
@@ -56,5 +56,9 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves, op11_fill_in_middle, op12_conversation_repair)}
-ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE}
+def op13_chat_format(spark, sf_dir):
+    return chat.digests(chat.format_chats(chat.with_hostile_conversation(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_personal_data, op3_suffix_array_dedup, op4_exact_top_k, op5_quality_classifier, op6_secret_scan, op7_best_fit_packing, op8_source_mixing, op9_ngram_jaccard_join, op10_nearest_by_curves, op11_fill_in_middle, op12_conversation_repair, op13_chat_format)}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE, "op9_ngram_jaccard_join": jaccard.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE, "op13_chat_format": chat.ORACLE}
