@@ -5,7 +5,9 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemill.llm import ann, jaccard, mixing, packing, pii, quality, secrets, sharding, suffix_dedup, topk
@@ -109,6 +111,15 @@ def test_topk(spark):
     assert topk.topk(df.limit(0)).count() == 0
 
 
+def test_topk_with_many_rows_of_the_query(spark):
+    """Rows that share the query's id crowd its own sample, but are not its candidates."""
+    rng = np.random.default_rng(9)
+    rows = [(0, [100.0] * 4)] * 10 + [(k, [float(x) for x in rng.normal(size=4)]) for k in range(1, 200)]
+    got = topk.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    best = sorted((-int(np.full(4, 25600) @ np.floor(256 * np.array(v))), k) for k, v in rows if k)[:5]
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got) if r.query_id == 0] == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+
+
 def test_neighbours(spark):
     rows, df = vectors(spark)
     good = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
@@ -189,7 +200,20 @@ def test_packing(docs, empty):
     for parts in by.values():
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
-    assert len({(r.doc_id, r.piece) for r in rows}) == len({(r.doc_id, r.piece) for r in rows if True}) and {r.doc_id for r in rows} == {i for i, *_ in HARD}
+    plain, wanted = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, t, *_ in HARD:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        wanted += [(i, k, at, len(ids[at : at + 2048]), zlib.crc32(np.array(ids[at : at + 2048], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 2048))]
+    assert sorted(map(str, wanted)) == sorted(str(tuple(r)[:5]) for r in rows)
+    # no more sequences than best fit needs, nor fewer than the ids fill
+    room = []
+    for n in sorted((w[3] for w in wanted), reverse=True):
+        fits = [k for k, left in enumerate(room) if left >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(2048 - n)
+    assert -(-sum(w[3] for w in wanted) // 2048) <= len({r.sequence_id for r in rows}) <= len(room)
     assert packing.pack(empty).count() == 0
 
 
@@ -199,7 +223,7 @@ def test_mixing(docs, empty):
     assert len(rows) == len(HARD) and all(r.taken <= 3 * r["size"] for r in rows)
     again = mixing.mix(docs)[0].collect()
     assert sorted((r.doc_id or -1, r.taken) for r in rows) == sorted((r.doc_id or -1, r.taken) for r in again)
-    assert draws.count() == sum(r.copies for r in rows)
+    assert draws.count() == sum(len(r.draws) for r in rows)
     assert mixing.mix(empty)[0].count() == 0
 
 

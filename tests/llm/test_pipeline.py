@@ -82,6 +82,15 @@ def test_mix_is_what_is_drawn(spark, monkeypatch, tmp_path):
     assert 0 < sum(r.taken for r in halved) < sum(r.taken for r in digest)
 
 
+def test_mix_does_not_follow_the_layout(spark):
+    rows = prose(700)
+    found = []
+    for parts in (1, 3, 7):
+        digest, draws = mixing.mix(table(spark, rows).repartition(parts, "text"))
+        found.append((sorted((str(r.doc_id), r["size"], r.taken, str(r.draws)) for r in digest.collect()), sorted((d.shard, d.position, str(d.doc_id), d.copy) for d in draws.collect())))
+    assert found[0] == found[1] == found[2] and sum(r[2] for r in found[0][0]) > 0
+
+
 def test_mix_stage_returns_the_draws(spark, tmp_path):
     table(spark, prose(300)).repartition(3).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")

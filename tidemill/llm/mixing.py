@@ -64,14 +64,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     ``draws`` has a row per document and time it is taken: doc_id, row (the document's
     row), source, size, copy, shard, position. ``digest`` has a row per document: doc_id,
     size (words; a null text has none), source_size, target (its source's), taken (words
-    of its draws), row, copies (its draws). Both keep the columns named in ``also``.
+    of its draws), row, draws (copy, shard and position of each, at most ``most``). Both keep the columns named in ``also``.
     Whole documents are taken, up to the target and then those that close the gap best.
-    Null sources form one source, sorted last; repeated rows are documents of their own; an empty table gives
+    Where the rows lie in files and partitions does not matter. Null sources form one source, sorted last; repeated rows are documents of their own; an empty table gives
     empty results; a source without words takes nothing.
     """
     spark = docs.sparkSession
     light = checkpointed(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.monotonically_increasing_id().alias("row"), *also)
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.lit(seed), "doc_id", "source", "text").alias("_h"), *also)
     )
     sources = light.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
@@ -81,8 +81,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     # one row per source: the driver holds these rows already
     plan = spark.createDataFrame([(r.source, k, s, t, b) for k, (r, s, t, b) in enumerate(zip(sources, sizes, targets, blocks, strict=True))], "_src string, _k int, source_size long, target double, _blocks int")
 
-    # permuted order inside a source: block, then a hash of the document
-    dealt = light.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_src"))).drop("_src").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "row"))
+    # permuted order inside a source: block, then a hash of what the document says; the row number, which
+    # follows the files' layout, only parts equal rows, and these stand for each other
+    dealt = light.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_src"))).drop("_src")
     dealt = dealt.withColumn("_block", F.pmod(F.col("_h"), F.col("_blocks")).cast("int"))
     dealt = checkpointed(dealt)
     permuted = Window.partitionBy("_k").orderBy(F.xxhash64(F.lit(seed + 1), "_k", "_block"), "_block")
@@ -96,9 +97,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     placed = checkpointed(_filled(spark, placed))
 
     draws = checkpointed(_drawn(spark, placed, len(sources), shards, seed, also))
-    drawn = draws.groupBy(F.col("row").alias("_drow")).agg(F.sum("size").alias("_taken"), F.count("*").cast("int").alias("_copies"))
+    drawn = draws.groupBy(F.col("row").alias("_drow")).agg(F.sum("size").alias("_taken"), F.array_sort(F.collect_list(F.struct("copy", "shard", "position"))).alias("_draws"))
     digest = placed.join(drawn, F.col("row") == F.col("_drow"), "left")
-    digest = digest.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "row", F.coalesce("_copies", F.lit(0)).alias("copies"), *also)
+    digest = digest.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), "row", F.coalesce("_draws", F.array().cast("array<struct<copy:int,shard:int,position:bigint>>")).alias("draws"), *also)
     return digest, draws
 
 
@@ -185,4 +186,4 @@ def _drawn(spark, placed: DataFrame, n_sources: int, shards: int, seed: int, als
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1))).join(F.broadcast(runs), F.col("_k") == F.col("_rk"))
     at = F.when(F.col("copy") < F.col("_rounds"), F.col("copy") * F.col("_n") + F.col("_full")).otherwise(F.col("_first") + F.col("_part"))
     drawn = copies.withColumn("_at", at).withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at")))).where(F.col("shard") < shards)
-    return drawn.select("doc_id", "row", "source", "size", "copy", "shard", F.xxhash64(F.lit(seed + 2), "row", "copy", "shard").alias("position"), *also)
+    return drawn.select("doc_id", "row", "source", "size", "copy", "shard", F.xxhash64(F.lit(seed + 2), "_h", "copy", "shard").alias("position"), *also)

@@ -37,7 +37,7 @@ def op7_best_fit_packing(spark, sf_dir):
 
 def op8_source_mixing(spark, sf_dir):
     digest, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return digest.select("doc_id", "size", "source_size", "target", "taken")
+    return digest.select("doc_id", "size", "source_size", "target", "taken", "draws")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):

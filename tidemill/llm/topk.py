@@ -72,7 +72,8 @@ def topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, pivo
     data = usable(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
     facts = data.agg(F.max(F.size("v")).alias("dim"), F.count("*").alias("n")).first()
     dim = facts.dim or 0
-    known = matrix([r.v for r in hash_sample(data, facts.n, sample, seed, "vec_id", "v").select("v").collect()], dim, np.int64)
+    sampled = hash_sample(data, facts.n, sample, seed, "vec_id", "v").select("vec_id", "v").collect()
+    known, known_ids = matrix([r.v for r in sampled], dim, np.int64), np.array([r.vec_id for r in sampled], np.int64)
     centres = known[:pivots].astype(np.float64)
     if not len(centres):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -105,8 +106,9 @@ def topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, pivo
         for batch in batches:
             q = matrix(batch.v, dim, np.int64)
             seen = np.asarray(_products(q, known), np.float64)
-            # the query's own row may be in the sample: one more than k are needed
-            floor = np.partition(seen, -(k + 1), 1)[:, -(k + 1)] if seen.shape[1] > k else np.full(len(q), -np.inf)
+            # rows that share the query's id are no candidates, however many of them the sample holds
+            seen[batch.vec_id.to_numpy()[:, None] == known_ids[None, :]] = -np.inf
+            floor = np.partition(seen, -k, 1)[:, -k] if seen.shape[1] >= k else np.full(len(q), -np.inf)
             length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
             most = np.minimum(q @ centres[order].T + length[:, None] * radius, length[:, None] * norms)
             admitted = most * (1 + 1e-9) + 1e-6 >= floor[:, None]
