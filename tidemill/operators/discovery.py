@@ -22,15 +22,26 @@ def endpoint_candidates(d):
       CASE WHEN promising = 0 OR shapes > 1 THEN 'NONE' WHEN pages >= 10 THEN 'HIGH' WHEN pages >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM e"""
 
 
-@operator("observed_requests", "endpoint_identity")
-def endpoint_evidence(d):
-    """AGG-31: over daily runs: distinct pages, shape changes, and the state they lead to."""
+@operator("observed_requests", "screen_observed_requests", "endpoint_identity")
+def endpoint_runs(d):
+    """What one run (a day) saw of an endpoint: its first request's verdict, its requests, shape, and up to 64 pages by hash."""
     shape = d.sub(d.sub("body", r":\s*\x22[^\x22]*\x22", ":str"), r":\s*[0-9.]+", ":num")
-    return f"""WITH r AS (SELECT i.identity, CAST(o.observed_at AS DATE) AS run, min({shape}) AS shape, count(*) AS n FROM @observed_requests o JOIN @endpoint_identity i ON o.req_id = i.req_id GROUP BY i.identity, CAST(o.observed_at AS DATE)),
-    c AS (SELECT *, CASE WHEN lag(shape) OVER (PARTITION BY identity ORDER BY run) <> shape THEN 1 ELSE 0 END AS changed FROM r),
-    p AS (SELECT i.identity, count(DISTINCT o.page_url) AS pages FROM @observed_requests o JOIN @endpoint_identity i ON o.req_id = i.req_id GROUP BY i.identity)
-    SELECT c.identity, CAST(sum(n) AS BIGINT) AS requests, count(*) AS runs, CAST(sum(changed) AS BIGINT) AS changes, max(p.pages) AS pages, min(run) AS first_seen, max(run) AS last_seen,
-      CASE WHEN max_by(changed, run) = 1 THEN 'REVALIDATION_REQUIRED' WHEN max(p.pages) >= 3 THEN 'VALIDATED' ELSE 'PROMISING' END AS state FROM c JOIN p ON c.identity = p.identity GROUP BY c.identity"""
+    pages = "array_to_string(list_sort(list(DISTINCT page))[1:64], ',')" if d.duck else "array_join(slice(sort_array(collect_set(page)), 1, 64), ',')"
+    page = f"substring({d.sha('page_url')}, 1, 16)"
+    return f"""WITH o AS (SELECT i.identity, CAST(r.observed_at AS DATE) AS run, r.req_id, s.verdict, {shape} AS shape, {page} AS page FROM @observed_requests r JOIN @screen_observed_requests s ON r.req_id = s.req_id JOIN @endpoint_identity i ON r.req_id = i.req_id),
+    g AS (SELECT identity, run, count(*) AS requests, count(DISTINCT CASE WHEN verdict = 'PROMISING' THEN shape END) AS shapes, min(CASE WHEN verdict = 'PROMISING' THEN shape END) AS shape, count(DISTINCT page) AS run_pages, min_by(verdict, req_id) AS first_verdict, {pages} AS pages FROM o GROUP BY identity, run)
+    SELECT identity, {d.ext("identity", "//([^/]*)", 1)} AS domain, run, requests, substring({d.sha("shape")}, 1, 16) AS signature, pages,
+      CASE WHEN first_verdict <> 'PROMISING' THEN first_verdict WHEN shapes > 1 THEN 'REJECTED_UNSTABLE' END AS rejection, first_verdict = 'PROMISING' AND shapes = 1 AND run_pages >= 2 AS validated FROM g"""
+
+
+@operator("endpoint_runs")
+def endpoint_evidence(d):
+    """AGG-31: over daily runs: distinct pages, shape changes, and the state that the last run leads to."""
+    pages = f"SELECT identity, count(DISTINCT page) AS pages FROM (SELECT identity, {"unnest(string_split(pages, ','))" if d.duck else "explode(split(pages, ','))"} AS page FROM @endpoint_runs) x GROUP BY identity"
+    return f"""WITH c AS (SELECT *, CASE WHEN rejection IS NULL AND lag(signature) OVER (PARTITION BY identity ORDER BY run) <> signature THEN 1 ELSE 0 END AS changed FROM @endpoint_runs),
+    p AS ({pages})
+    SELECT c.identity, max(domain) AS domain, CAST(sum(requests) AS BIGINT) AS requests, count(*) AS runs, count_if(validated) AS validated, count_if(rejection IS NOT NULL) AS rejected, CAST(sum(changed) AS BIGINT) AS changes, max(least(p.pages, 64)) AS pages, min(run) AS first_seen, max(run) AS last_seen,
+      CASE WHEN max_by(coalesce(rejection, ''), run) <> '' THEN 'REJECTED' WHEN max_by(changed, run) = 1 THEN 'REVALIDATION_REQUIRED' WHEN max(p.pages) >= 3 THEN 'VALIDATED' ELSE 'PROMISING' END AS state FROM c JOIN p ON c.identity = p.identity GROUP BY c.identity"""
 
 
 @operator("endpoint_candidates")

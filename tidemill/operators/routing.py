@@ -6,6 +6,8 @@ from tidemill.operators.base import operator
 from tidemill.operators.dims import VERDICT_DIM, wilson
 
 ROUTE = "domain, url_class, strategy, level"
+#: The bound that a route has to reach, and the square of the interval's z.
+GATE, Z2 = 0.8, 1.96**2
 
 
 @operator("attempts")
@@ -17,35 +19,56 @@ def route_stats(d):
     SELECT *, round(CASE WHEN scored > 0 THEN successes / scored END, 6) AS rate, round({wilson("successes", "scored")}, 6) AS bound FROM s"""
 
 
-def _ewma(keys: str, success: str, neutral: str, alpha: float) -> str:
-    return f"""WITH r AS (SELECT {keys}, {success} AS x, row_number() OVER (PARTITION BY {keys} ORDER BY attempted_at DESC, attempt_id DESC) - 1 AS r FROM @attempts a JOIN {VERDICT_DIM} v ON a.verdict = v.verdict WHERE {neutral} = 0)
-    SELECT {keys}, round(sum({alpha} * power({1 - alpha}, r) * x), 6) AS ewma, count(*) AS scored FROM r GROUP BY {keys}"""
+def _averages(keys: str, success: str, neutral: str, alpha: float) -> str:
+    """Exponential averages of success and latency per key, in order of time, as weighted sums.
+
+    A key's log is summed by day first; the days before then shrink by what came after
+    them, so a busy key is as many groups as it has days. Success starts from 0; latency
+    starts from the first attempt, which weighs 1 there.
+    """
+    late = f"OVER (PARTITION BY {keys}, day ORDER BY attempted_at DESC, attempt_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = f"OVER (PARTITION BY {keys} ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    keep = 1 - alpha
+    return f"""l AS (SELECT {keys}, CAST(attempted_at AS DATE) AS day, attempted_at, attempt_id, latency_ms, {success} AS x, 1 - {neutral} AS told FROM @attempts a JOIN {VERDICT_DIM} v ON a.verdict = v.verdict),
+    w AS (SELECT *, sum(told) {late} - told AS r, count(latency_ms) {late} - 1 AS q, row_number() OVER (PARTITION BY {keys}, day ORDER BY attempted_at, attempt_id) AS i FROM l),
+    t AS (SELECT {keys}, day, sum(told) AS scored, count(latency_ms) AS timed, sum(CASE WHEN told = 1 THEN {alpha} * power({keep}, r) * x ELSE 0 END) AS s, sum(CASE WHEN latency_ms IS NOT NULL THEN {alpha} * power({keep}, q) * latency_ms ELSE 0 END) AS m,
+      sum(CASE WHEN i = 1 AND latency_ms IS NOT NULL THEN {keep} * power({keep}, q) * latency_ms ELSE 0 END) AS first_m FROM w GROUP BY {keys}, day),
+    u AS (SELECT *, coalesce(sum(scored) {after}, 0) AS scored_after, coalesce(sum(timed) {after}, 0) AS timed_after, row_number() OVER (PARTITION BY {keys} ORDER BY day) AS d FROM t),
+    averages AS (SELECT {keys}, sum(power({keep}, scored_after) * s) AS ewma, sum(power({keep}, timed_after) * (m + CASE WHEN d = 1 THEN first_m ELSE 0 END)) AS latency_ms, CAST(sum(scored) AS BIGINT) AS scored FROM u GROUP BY {keys})"""
 
 
 @operator("attempts")
 def ewma_signals(d):
-    """AGG-06: exponential average of success, newest attempt 0.25, as a weighted sum."""
-    return _ewma(ROUTE, "route_success", "route_neutral", 0.25)
+    """AGG-06: exponential averages of success and latency of each route, the newest attempt 0.25."""
+    return f"WITH {_averages(ROUTE, 'route_success', 'route_neutral', 0.25)} SELECT {ROUTE}, round(ewma, 6) AS ewma, round(latency_ms, 6) AS latency_ms, scored FROM averages"
 
 
 @operator("attempts")
 def strategy_stats(d):
-    """AGG-07: the provider form: OK alone succeeds, a provider error counts, 0.3."""
-    return f"""WITH s AS (SELECT provider, strategy, count(*) AS attempts, count_if(vendor_neutral = 0) AS scored, count_if(vendor_success = 1) AS successes, CAST(sum(cost_credits) AS DOUBLE) AS credits,
-      count_if(cost_certainty = 'UNKNOWN') AS unknown_calls FROM @attempts a JOIN {VERDICT_DIM} v ON a.verdict = v.verdict WHERE provider IS NOT NULL GROUP BY provider, strategy)
-    SELECT *, round(CASE WHEN unknown_calls = 0 AND successes > 0 THEN credits / successes END, 6) AS cost_per_valid, round({wilson("successes", "scored")}, 6) AS bound FROM s"""
+    """AGG-07: the provider form: OK alone succeeds, a provider error counts, the newest attempt weighs 0.3."""
+    keys = "provider, strategy"
+    return f"""WITH {_averages(keys, "vendor_success", "vendor_neutral", 0.3)},
+    s AS (SELECT {keys}, count(*) AS attempts, count_if(vendor_success = 1) AS successes, count_if(a.verdict IN ('BLOCKED', 'SOFT_BLOCK')) AS blocks, count_if(a.verdict = 'PROVIDER_ERROR') AS provider_errors, count_if(vendor_neutral = 1) AS neutral, CAST(sum(cost_credits) AS DOUBLE) AS credits,
+      count_if(cost_certainty = 'UNKNOWN') AS unknown_calls, max(CASE WHEN vendor_success = 1 THEN attempted_at END) AS last_success, max(CASE WHEN vendor_success = 0 AND vendor_neutral = 0 THEN attempted_at END) AS last_failure
+      FROM @attempts a JOIN {VERDICT_DIM} v ON a.verdict = v.verdict WHERE provider IS NOT NULL GROUP BY {keys})
+    SELECT s.*, e.scored, round(e.ewma, 6) AS ewma, round(e.latency_ms, 6) AS latency_ms, round(CASE WHEN unknown_calls = 0 AND successes > 0 THEN credits / successes END, 6) AS cost_per_valid, round({wilson("successes", "scored")}, 6) AS bound
+    FROM s JOIN averages e ON s.provider = e.provider AND s.strategy = e.strategy"""
 
 
-@operator("route_stats")
+@operator("route_stats", "ewma_signals")
 def merge_stats(d):
-    """AGG-08: counters of several periods add up, rates are weighted by what was scored."""
-    return "SELECT domain, url_class, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(scored) AS BIGINT) AS scored, CAST(sum(successes) AS BIGINT) AS successes, max(last_success) AS last_success, round(sum(rate * scored) / sum(scored), 4) AS rate FROM @route_stats GROUP BY domain, url_class"
+    """AGG-08: records of one class add up: counters and credits, the later times, success averages by what was scored and latency by attempts."""
+    same = " AND ".join(f"r.{c.strip()} = e.{c.strip()}" for c in ROUTE.split(","))
+    return f"""SELECT r.domain, r.url_class, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(r.scored) AS BIGINT) AS scored, CAST(sum(successes) AS BIGINT) AS successes, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(soft_blocks) AS BIGINT) AS soft_blocks,
+      round(coalesce(sum(credits), 0), 4) AS credits, max(last_success) AS last_success, max(last_failure) AS last_failure, round(CASE WHEN sum(r.scored) > 0 THEN sum(ewma * r.scored) / sum(r.scored) ELSE 0 END, 4) AS ewma, round(sum(latency_ms * attempts) / sum(attempts), 4) AS latency_ms,
+      round(CASE WHEN sum(r.scored) > 0 THEN sum(successes) / sum(r.scored) END, 4) AS rate
+    FROM @route_stats r JOIN @ewma_signals e ON {same} GROUP BY r.domain, r.url_class"""
 
 
 @operator("route_stats")
 def wilson_bound(d):
-    """PRJ-29: the bound, and how many clean successes a gate of 0.8 needs."""
-    return f"SELECT domain, url_class, strategy, level, bound, bound >= 0.8 AS passes, 16 AS clean_successes_needed FROM @route_stats"
+    """PRJ-29: the bound, and how many clean successes a gate needs: n / (n + z2) >= gate holds from n = gate * z2 / (1 - gate) on."""
+    return f"SELECT domain, url_class, strategy, level, bound, bound >= {GATE} AS passes, CAST(ceil(round({GATE * Z2} / (1.0 - {GATE}), 9)) AS BIGINT) AS clean_successes_needed FROM @route_stats"
 
 
 @operator("route_stats", "attempts")
@@ -58,10 +81,19 @@ def decay_evidence(d):
 
 @operator("attempts")
 def breaker_streaks(d):
-    """WIN-02: runs of one hard verdict per domain, and whether they opened the breaker."""
-    return """WITH o AS (SELECT domain, verdict, attempted_at, attempt_id, row_number() OVER (PARTITION BY domain ORDER BY attempted_at, attempt_id) AS i, row_number() OVER (PARTITION BY domain, verdict ORDER BY attempted_at, attempt_id) AS j FROM @attempts),
-    s AS (SELECT domain, verdict, i - j AS island, count(*) AS streak, min(i) AS first_i FROM o WHERE verdict IN ('BLOCKED', 'ORIGIN_DOWN') GROUP BY domain, verdict, i - j)
-    SELECT domain, verdict, max(streak) AS longest, count(*) AS streaks, count_if(streak >= 5) AS opened FROM s GROUP BY domain, verdict"""
+    """WIN-02: runs of one hard verdict per domain, and whether they opened the breaker.
+
+    Runs are found within days; only a day's first and last run can go on in another day,
+    and these few are joined over the days of a domain.
+    """
+    return """WITH o AS (SELECT domain, CAST(attempted_at AS DATE) AS day, verdict, row_number() OVER (PARTITION BY domain, CAST(attempted_at AS DATE) ORDER BY attempted_at, attempt_id) AS i, row_number() OVER (PARTITION BY domain, CAST(attempted_at AS DATE), verdict ORDER BY attempted_at, attempt_id) AS j FROM @attempts),
+    r AS (SELECT domain, day, verdict, min(i) AS first_i, max(i) AS last_i, count(*) AS n FROM o GROUP BY domain, day, verdict, i - j),
+    m AS (SELECT domain, day, max(last_i) AS rows_of_day FROM r GROUP BY domain, day),
+    p AS (SELECT r.*, first_i = 1 AS opens_day, last_i = rows_of_day AS ends_day FROM r JOIN m ON r.domain = m.domain AND r.day = m.day),
+    e AS (SELECT *, CASE WHEN opens_day AND lag(verdict) OVER (PARTITION BY domain ORDER BY day, first_i) = verdict THEN 0 ELSE 1 END AS fresh FROM p WHERE opens_day OR ends_day),
+    g AS (SELECT domain, verdict, n, sum(fresh) OVER (PARTITION BY domain ORDER BY day, first_i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM e),
+    s AS (SELECT domain, verdict, sum(n) AS streak FROM g GROUP BY domain, verdict, island UNION ALL SELECT domain, verdict, n FROM p WHERE NOT (opens_day OR ends_day))
+    SELECT domain, verdict, CAST(max(streak) AS BIGINT) AS longest, count(*) AS streaks, count_if(streak >= 5) AS opened FROM s WHERE verdict IN ('BLOCKED', 'ORIGIN_DOWN') GROUP BY domain, verdict"""
 
 
 @operator("attempts")
