@@ -69,6 +69,36 @@ def test_breakers(spark, tmp_path):
     assert {r.event_id: (r.state, r.trips, r.cooldown) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == found
 
 
+def test_one_trial_at_a_time(spark):
+    """A gate on trial admits one call; the slot comes back by release, by a neutral verdict, or when nobody ends the trial."""
+    log = [(0, 0.0, "outcome", "TIMEOUT", None), (1, 1.0, "admit", None, None), (2, 59.0, "admit", None, None), (3, 60.0, "admit", None, None), (4, 61.0, "admit", None, None), (5, 62.0, "release", None, None), (6, 63.0, "admit", None, None), (7, 64.0, "outcome", None, "DEAD_URL"), (8, 65.0, "admit", None, None), (9, 66.0, "admit", None, None), (10, 500.0, "admit", None, None), (11, 501.0, "outcome", "TIMEOUT", None), (12, 600.0, "admit", None, None), (13, 700.0, "admit", None, None), (14, 701.0, "outcome", None, "OK"), (15, 702.0, "admit", None, None), (16, 703.0, "admit", None, None), (17, 704.0, "outcome", "AUTH", None), (18, 99999.0, "admit", None, None), (19, 99999.5, "clear", None, None), (20, 99999.6, "admit", None, None)]
+    events = spark.createDataFrame([("v", k, "s", at, a, e, v) for k, at, a, e, v in log], "provider string, event_id long, strategy string, at double, action string, error_kind string, verdict string")
+    found = {r.event_id: (r.allowed, r.why) for r in state.replay(events, state.Breakers(threshold=1)).collect() if r.allowed is not None}
+    assert {k: v[0] for k, v in found.items()} == {1: False, 2: False, 3: True, 4: False, 6: True, 8: True, 9: False, 10: True, 12: False, 13: True, 15: True, 16: True, 18: False, 20: True}
+    assert found[3][1] == "trial" and found[4][1] == "a trial is under way" and "person" in found[18][1] and found[15][1] == "open to all"
+
+
+def test_breaker_stream_with_timers(spark, tmp_path):
+    """The stream gives the replay's rows, and says by a timer when a wait is over."""
+    log = [("v", k, "s", 1000.0 + k, "TIMEOUT", None) for k in range(3)] + [("v", 3, "t", 1040.0, None, "OK"), ("v", 4, "s", 1100.0, "TIMEOUT", None), ("v", 5, "t", 1150.0, "QUOTA", None), ("w", 6, "s", 9000.0, None, "BLOCKED")]
+    events = spark.createDataFrame(log, BREAKER)
+    fold = state.Breakers(threshold=3)
+    found = {r.event_id: tuple(r) for r in state.replay(events, fold).collect()}
+    for part in ((0, 3), (4,), (5,), (6,)):
+        events.where(F.col("event_id").isin([k for k in range(part[0], part[-1] + 1)])).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(BREAKER).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        query = state.breakers(stream, fold).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.event_id: tuple(r) for r in rows if r.event_id is not None} == found
+    # the first wait of s ended in a failure before a timer saw it; that of 120 s and the provider's hour ran out
+    assert sorted((r.strategy, r.cooldown) for r in rows if r.event_id is None) == [("", 3600.0), ("s", 120.0)]
+
+
 def test_freshness_replay_is_the_window(spark):
     window = {r.obs_id: (r.changed, r.interval_s) for r in registry.queries()["freshness_state"](spark, SF).collect()}
     fold = {r.event_id: (r.changed, round(r.interval_s, 6)) for r in state.replay(_log(spark), state.Freshness()).collect()}

@@ -112,3 +112,60 @@ def test_averages_by_hand(spark):
     log = spark.createDataFrame([(k, "d", v, f"2024-01-{1 + k // 2:02d} 0{k % 2}:00:00") for k, v in enumerate(flat)], "attempt_id int, domain string, verdict string, t string").withColumn("attempted_at", F.to_timestamp("t"))
     found = {r.verdict: (r.longest, r.streaks, r.opened) for r in OPERATORS["breaker_streaks"](spark, attempts=log).collect()}
     assert found == {"BLOCKED": (7, 2, 2), "ORIGIN_DOWN": (2, 1, 0)}
+
+
+def requests_of(spark):
+    return registry._table(spark, SF, "observed_requests", {})
+
+
+def test_discovery_stream_is_the_whole_log(spark, tmp_path):
+    from tidemill.sources.versions import VersionedTable
+    from tidemill.streaming import evidence
+
+    log = requests_of(spark)
+    for low, high in ((0, 9), (9, 10), (10, 31)):
+        log.where(f"day(observed_at) > {low} AND day(observed_at) <= {high}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    table = VersionedTable(spark, f"{tmp_path}/evidence")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    evidence.discover(stream, table, f"{tmp_path}/cp").awaitTermination()
+    columns = ["identity", "domain", "requests", "runs", "validated", "rejected", "changes", "pages", "first_seen", "last_seen", "state"]
+    rows = lambda df: sorted(map(tuple, df.select(*columns).collect()))
+    batch = registry.queries()["endpoint_evidence"](spark, SF)
+    assert rows(table.read()) == rows(batch) and len(table.history()) == 3
+    # a batch that comes again changes nothing
+    evidence.merge_into(table)(log.where("day(observed_at) > 10"), 2)
+    assert len(table.history()) == 3 and rows(table.read()) == rows(batch)
+
+
+def test_evidence_states(spark):
+    """Pages make an endpoint valid, a new shape takes that back, and a refused run refuses it."""
+    from tidemill.streaming import evidence
+
+    day = lambda k: f"2024-01-{k:02d}"
+    schema = "identity string, domain string, run string, requests long, signature string, pages string, rejection string, validated boolean"
+    run = lambda k, sig, pages, no=None: spark.createDataFrame([("e", "d", day(k), 2, sig, pages, no, no is None)], schema).withColumn("run", F.to_date("run"))
+    held, states = None, []
+    for args in ((1, "a", "p1,p2"), (2, "a", "p2,p3"), (3, "b", "p4"), (4, "b", "p4"), (5, None, "p4", "REJECTED_STATUS"), (6, "c", "p5")):
+        held = evidence.fold(held, run(*args))
+        states.append(tuple(held.select("state", "changes", "pages", "requests").first()))
+    assert states == [("PROMISING", 0, 2, 2), ("VALIDATED", 0, 3, 4), ("REVALIDATION_REQUIRED", 1, 4, 6), ("VALIDATED", 1, 4, 8), ("REJECTED", 1, 4, 10), ("VALIDATED", 1, 5, 12)]
+    full = spark.createDataFrame([(f"e{k:03d}", "d", day(1), 1, "a", "p", None, False) for k in range(120)], schema).withColumn("run", F.to_date("run"))
+    kept = evidence.fold(None, full)
+    assert kept.count() == 100 and evidence.fold(kept, run(2, "a", "q")).count() == 100
+
+
+def test_versions(spark, tmp_path):
+    from tidemill.sources.versions import VersionedTable, publish
+
+    table = VersionedTable(spark, f"{tmp_path}/t")
+    rows = lambda: sorted(map(tuple, table.read().collect()))
+    frame = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    assert table.read() is None and table.history() == []
+    assert publish(table, frame(("a", 1), ("b", 1)), "k", True) and rows() == [("a", 1), ("b", 1)]
+    assert not publish(table, frame(("a", 9)), "k", False) and rows() == [("a", 1), ("b", 1)]
+    before = table.read()
+    assert publish(table, frame(("b", 2), ("c", 2)), "k", True) and rows() == [("a", 1), ("b", 2), ("c", 2)]
+    assert sorted(map(tuple, before.collect())) == [("a", 1), ("b", 1)]  # who reads keeps the version
+    table.rollback()
+    assert rows() == [("a", 1), ("b", 1)]
+    assert table.commit(frame(("z", 0)), batch_id=7) and table.commit(frame(("y", 0)), batch_id=7) is None and rows() == [("z", 0)]
