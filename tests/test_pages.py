@@ -1,6 +1,7 @@
 """Extraction from whole pages against known answers."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import pages
 
@@ -28,6 +29,32 @@ def test_json_paths(docs):
             pages.check_path(bad)
 
 
+def test_broken_json_is_no_json(spark):
+    """What follows the first value counts: such a text is no JSON, for paths as for linked data."""
+    texts = ['{"a":1}', ' {"a":1}\n', '{"a":1}{"a":2} junk', '{"a":1} junk', "12 apples", "12", "[1,2]", "1,2", "1] [2", "1} {2", '"x","v":3', "", None, "nul", "null", '{"a":}', '{"a":1},{"a":2}', "<p>{}</p>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    good = {r.id for r in rows.where(pages.whole_json(F.col("body")).isNotNull()).collect()}
+    assert good == {0, 1, 5, 6, 14}
+    assert {r.id for r in pages.read_json_values(rows, "body", ["a"], "id").where("present").collect()} == {0, 1}
+    ld = "<script type='application/ld+json'>{\"name\":\"t\"}%s</script>"
+    docs = spark.createDataFrame([(1, ld % ""), (2, ld % " {}"), (3, ld % ";")], "id int, body string")
+    assert [r.id for r in pages.extract_json_ld(docs, None, ["title"], "id").collect()] == [1]
+
+
+def test_state_ends_at_its_brace(spark):
+    codes = ['window.__INITIAL_STATE__ = {"a":{"b":"}; x"}}; var z = {"a": {"b": 2}};', "__NUXT__={\"a\":{\"b\":1}}", "__APOLLO_STATE__ = {broken}", "window.__PRELOADED_STATE__=[1]"]
+    docs = spark.createDataFrame([(k, f"<script>{c}</script>") for k, c in enumerate(codes)], "id int, body string")
+    assert {(r.id, r.value) for r in pages.extract_state_fields(docs, {"f": "a.b"}, "id").collect()} == {(0, "}; x"), (1, "1")}
+
+
+def test_dates_and_numbers(spark):
+    dates = {"2026-01-02": "2026-01-02T00:00:00+00:00", "2026-01-02T03:04:05.250-01:30": "2026-01-02T04:34:05.250000+00:00", "2 Jan 2026 03:04:05 +0100": "2026-01-02T02:04:05+00:00", "Fri, 02 Jan 2026 03:04:05 GMT": "2026-01-02T03:04:05+00:00", "2026-01-02 03:04": "2026-01-02T03:04:00+00:00", "7 apples": "7 apples", "": ""}
+    numbers = {"1,234.5 kg": "1234.5", "1.234,5": "1234.5", "12,5": "12.5", "-3": "-3.0", "1,2,3": None, "none": None, "$1,000": None}
+    df = spark.createDataFrame([("d", k) for k in dates] + [("n", k) for k in numbers], "field string, value string").coalesce(1)
+    found = [r.value for r in pages.normalize_values(df, {"n": "number", "d": "date"}).collect()]
+    assert found == [*dates.values(), *[("1.0" if k == "$1,000" else v) for k, v in numbers.items()]]
+
+
 def test_wildcards_stop_at_the_limit(spark):
     many = spark.createDataFrame([(1, "[" + ",".join(map(str, range(1200))) + "]")], "id long, body string")
     assert pages.read_json_values(many, "body", ["[*]"], "id").first().value.count(",") == 999

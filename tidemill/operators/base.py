@@ -65,6 +65,29 @@ class Dialect:
     def count_matches(self, x: str, pattern: str) -> str:
         return f"regexp_count({x}, r'{pattern}')"
 
+    def found(self, x: str, pattern: str, group: int = 0) -> str:
+        """All matches of a pattern, as an array."""
+        return f"regexp_extract_all({x}, r'{pattern}', {group})"
+
+    def among(self, array: str, test: Callable[[str], str]) -> str:
+        """The elements that pass a test."""
+        return f"filter({array}, t -> {test('t')})"
+
+    def some(self, array: str, test: Callable[[str], str]) -> str:
+        """Whether an element passes a test."""
+        return f"exists({array}, t -> {test('t')})"
+
+    def size(self, array: str) -> str:
+        return f"size({array})"
+
+    def pieces(self, x: str, separator: str) -> str:
+        """A text cut at a literal separator."""
+        return f"split({x}, r'\\Q{separator}\\E')"
+
+    def from_end(self, array: str, place: int) -> str:
+        """An element counted from the end, from 1; null if there is none."""
+        return f"try_element_at({array}, -{place})"
+
     def try_double(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
@@ -122,6 +145,24 @@ class Oracle(Dialect):
     def count_matches(self, x, pattern):
         return f"len(regexp_extract_all({x}, '{pattern}'))"
 
+    def found(self, x, pattern, group=0):
+        return f"regexp_extract_all({x}, '{pattern}', {group})"
+
+    def among(self, array, test):
+        return f"list_filter({array}, lambda t: {test('t')})"
+
+    def some(self, array, test):
+        return f"(len({self.among(array, test)}) > 0)"
+
+    def size(self, array):
+        return f"len({array})"
+
+    def pieces(self, x, separator):
+        return f"string_split({x}, '{separator}')"
+
+    def from_end(self, array, place):
+        return f"{array}[-{place}]"
+
     def try_double(self, x):
         return f"TRY_CAST({x} AS DOUBLE)"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemill.operators import markup
 from tidemill.operators.base import operator
 
 ATTR = r"""(?i){name}\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]"""
@@ -18,9 +19,12 @@ def extract_meta(d):
 
 @operator("responses")
 def extract_app_state(d):
-    """EXT-03: the embedded state document of a page, as text."""
-    return f"""SELECT page_id, coalesce(nullif({d.ext("body", r"(?s)<script[^>]*id=[\x22\x27]__NEXT_DATA__[\x22\x27][^>]*>(.*?)</script>", 1)}, ''),
-      nullif({d.ext("body", r"(?s)window\.__(?:INITIAL|PRELOADED)_STATE__\s*=\s*(\{.*?\})\s*;", 1)}, '')) AS app_state FROM @responses"""
+    """EXT-03: the embedded state document of a page, as text: that of a named script, else what is assigned."""
+    named = d.from_end(d.among(d.found("body", "(?is)<script[^>]*>.*?</script>"), lambda t: f"{markup.attribute(d, t, 'id')} = '__next_data__'"), 1)
+    inner = f"substring({named}, position('>' IN {named}) + 1, length({named}) - position('>' IN {named}) - 9)"
+    rest = "trim(substring(body, position('_STATE__' IN body) + 8))"
+    assigned = f"CASE WHEN position('_STATE__' IN body) > 0 AND {d.rx(rest, '^=')} THEN concat(trim(substring(split_part({rest}, '}};', 1), 2)), '}}') END"
+    return f"SELECT page_id, coalesce(nullif({inner}, ''), {assigned}) AS app_state FROM @responses"
 
 
 @operator("observed_requests")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.pages import whole_json
+
 DEPTH, ITEMS = 8, 3
 
 
@@ -42,7 +44,7 @@ def json_leaf_paths(df: DataFrame, column: str, *keys: str) -> DataFrame:
 
 def schema_signatures(df: DataFrame, column: str, *keys: str) -> DataFrame:
     """PRJ-21: the type tree of each document; of lists, the schema of all items."""
-    return df.select(*keys, F.schema_of_variant(F.try_parse_json(column)).alias("signature"))
+    return df.select(*keys, F.schema_of_variant(whole_json(F.col(column))).alias("signature"))
 
 
 def locate_fields(paths: DataFrame, wanted: DataFrame) -> DataFrame:

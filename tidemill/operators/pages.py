@@ -8,10 +8,8 @@ dates, and links relative to a page.
 from __future__ import annotations
 
 import html
+import json
 import re
-import unicodedata
-from datetime import UTC, datetime
-from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -54,6 +52,30 @@ def check_path(path: str) -> None:
         raise ValueError(f"not a path: {path!r}")
 
 
+def whole_json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; null otherwise.
+
+    Spark's parser stops after the first value. Inside a list and inside an object what
+    follows a value has to be different, so a text that parses in both has no more.
+    """
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+@F.pandas_udf(T.StringType())
+def leading_json(texts: pd.Series) -> pd.Series:
+    """The JSON object or list at the start of a text, whatever follows it; null if there is none."""
+    decoder = json.JSONDecoder()
+
+    def first(text):
+        try:
+            return text[: decoder.raw_decode(text)[1]] if text[:1] in ("{", "[") else None
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(first, na_action="ignore").astype(object).where(texts.notna(), None)
+
+
 def _member(value: Column, name: str) -> Column:
     quoted = name.replace("'", "\\'")
     return F.try_variant_get(value, f"$['{quoted}']", "variant")
@@ -77,7 +99,7 @@ def _walk(value: Column, parts: list[str]) -> Column:
 def json_at(text: Column, path: str) -> Column:
     """PRJ-17: the value at a path of a JSON text, as a variant; null if it is missing or the text is no JSON."""
     check_path(path)
-    return _walk(F.try_parse_json(text), path.split("."))
+    return _walk(whole_json(text), path.split("."))
 
 
 def read_json_values(df: DataFrame, column: str, paths: list[str], *keys: str) -> DataFrame:
@@ -137,7 +159,7 @@ def _plain(value: Column) -> Column:
 
 def json_ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
     """``(keys, object)``: the first object, or member of an ``@graph``, of the wanted type."""
-    code = F.try_parse_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
+    code = whole_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
     parsed = _scripts(df, *keys).select(*keys, "pos", code.alias("doc")).where("doc is not null")
     tops = parsed.select(*keys, "pos", F.posexplode(_items(F.col("doc"))).alias("item", "top"))
     members = F.coalesce(F.try_variant_get(_member(F.col("top"), "@graph"), "$", "array<variant>"), F.array("top"))
@@ -167,8 +189,10 @@ def extract_state_fields(df: DataFrame, fields: dict[str, str], *keys: str) -> D
     """EXT-03: ``(keys, field, value)`` by paths into the state that a page carries in a script."""
     scripts = _scripts(df, *keys)
     own = F.when(_attribute(F.col("tag"), "id") == "__NEXT_DATA__", F.struct(F.lit(0).alias("rank"), F.col("code")))
-    assigned = F.regexp_extract("code", rf"(?s)__(?:{'|'.join(STATE_NAMES)})__\s*=\s*(\{{.*\}})\s*;?", 1)
-    state = F.coalesce(own, F.when(assigned != "", F.struct(F.lit(1).alias("rank"), assigned.alias("code"))))
+    # what is assigned ends where its outermost brace closes, wherever more code follows
+    assigned = leading_json(F.nullif(F.regexp_extract("code", rf"(?s)__(?:{'|'.join(STATE_NAMES)})__\s*=\s*(\{{.*)", 1), F.lit("")))
+    scripts = scripts.withColumn("assigned", assigned)
+    state = F.coalesce(own, F.when(F.col("assigned").isNotNull(), F.struct(F.lit(1).alias("rank"), F.col("assigned").alias("code"))))
     first = scripts.select(*keys, "pos", state.alias("s")).where("s is not null").groupBy(*keys).agg(F.min_by("s.code", F.struct("s.rank", "pos")).alias("state"))
     return extract_json_fields(first, "state", fields, *keys)
 
@@ -349,30 +373,29 @@ def quorum(df: DataFrame, values: DataFrame, fields: list[str], *keys: str) -> D
 # values and facts
 
 
-def _clean(text: str) -> str:
-    text = html.unescape(text).replace("\xa0", " ")
-    return " ".join("".join(c for c in text if c in "\t\n" or unicodedata.category(c)[0] != "C").split())
+@F.pandas_udf(T.StringType())
+def unescaped(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
 
 
-def _iso(text: str) -> str:
-    text = _clean(text)
-    for read in (datetime.fromisoformat, parsedate_to_datetime):
-        try:
-            moment = read(text)
-        except (ValueError, TypeError):
-            continue
-        return (moment if moment.tzinfo else moment.replace(tzinfo=UTC)).astimezone(UTC).isoformat()
-    return text
+def clean_text(value: Column) -> Column:
+    """Entities read, control and format characters gone, white space (fixed blanks too) as single spaces."""
+    text = F.when(F.contains(value, F.lit("&")), unescaped(value)).otherwise(value)
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\p{C}&&[^\t\n]]", ""), r"(?U)\s+", " "))
 
 
-@F.pandas_udf(T.StringType())
-def clean_text(values: pd.Series) -> pd.Series:
-    return values.map(_clean, na_action="ignore")
+#: How a moment may be written besides ISO 8601: as in mail, without the day of the week.
+MAIL_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")
 
 
-@F.pandas_udf(T.StringType())
-def clean_date(values: pd.Series) -> pd.Series:
-    return values.map(_iso, na_action="ignore")
+def clean_date(value: Column) -> Column:
+    """A moment as ISO 8601 in UTC, in which a time without a zone is taken to be; other texts cleaned."""
+    text = clean_text(value)
+    mail = F.regexp_replace(F.regexp_replace(text, "^[A-Za-z]{3},? *", ""), " (GMT|UTC?|Z|-0000)$", " +0000")
+    zoned = F.coalesce(*[F.try_to_timestamp(mail, F.lit(f)) for f in MAIL_DATES], F.when(text.rlike(r"[0-9](?:Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp")))
+    plain = F.when(zoned.isNull() & text.rlike("^[0-9]{4}-"), text.try_cast("timestamp_ntz"))
+    moment = F.coalesce(F.to_utc_timestamp(zoned, F.current_timezone()).cast("timestamp_ntz"), plain)
+    return F.when(moment.isNull(), text).otherwise(F.concat(F.regexp_replace(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "[.]0+$", ""), F.lit("+00:00")))
 
 
 @F.pandas_udf(T.StringType())
@@ -381,17 +404,21 @@ def absolute(links: pd.Series, bases: pd.Series) -> pd.Series:
 
 
 def clean_number(value: Column) -> Column:
-    """The last of comma and dot is the decimal point, the other one groups digits."""
+    """Digits before and after the last of comma and dot, if a comma comes last; else commas only group."""
     kept = F.regexp_replace(value, r"[^0-9,.\-]", "")
-    comma = F.translate(F.translate(kept, ".", ""), ",", ".")
-    return F.when(kept.rlike(r",[^.]*$"), comma).otherwise(F.translate(kept, ",", "")).try_cast("double").cast("string")
+    turned = F.reverse(kept)
+    comma, dot = F.instr(turned, F.lit(",")), F.instr(turned, F.lit("."))
+    comma_last = (comma > 0) & ((dot == 0) | (comma < dot))
+    # a comma that comes last is the point: the dots before it group
+    as_point = F.translate(kept, ",.", ".")
+    return F.when(comma_last, as_point).otherwise(F.translate(kept, ",", "")).try_cast("double").cast("string")
 
 
 def normalize_values(values: DataFrame, kinds: dict[str, str], base: str | None = None) -> DataFrame:
     """PRJ-16: ``value`` by the declared kind of its ``field``: text (default), number, url, date or raw."""
     of = lambda kind: F.col("field").isin([f for f, k in kinds.items() if k == kind])
     bases = F.col(base) if base else F.lit("")
-    value = F.when(of("raw"), F.col("value")).when(of("number"), clean_number(F.col("value"))).when(of("url"), absolute("value", bases)).when(of("date"), clean_date("value")).otherwise(clean_text("value"))
+    value = F.when(of("raw"), F.col("value")).when(of("number"), clean_number(F.col("value"))).when(of("url"), absolute("value", bases)).when(of("date"), clean_date(F.col("value"))).otherwise(clean_text(F.col("value")))
     return values.withColumn("value", value)
 
 
@@ -409,7 +436,7 @@ def page_facts(df: DataFrame, *keys: str) -> DataFrame:
     feeds = F.sort_array(F.collect_set(F.when(has("alternate") & F.col("kind").isin("application/rss+xml", "application/atom+xml"), F.col("href"))))
     of_links = links.groupBy(*keys).agg(F.min_by("href", F.when(has("canonical"), F.col("pos"))).alias("canonical"), feeds.alias("feeds"), F.min_by("href", F.when(has("amphtml"), F.col("pos"))).alias("amp"))
     kinds = F.explode(F.transform(_items(_member(F.col("o"), "@type")), lambda x: F.try_variant_get(x, "$", "string")))
-    code = F.try_parse_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
+    code = whole_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
     tops = _scripts(df, *keys).select(*keys, F.explode(_items(code)).alias("top")).where("top is not null")
     objects = tops.select(*keys, F.explode(F.coalesce(F.try_variant_get(_member(F.col("top"), "@graph"), "$", "array<variant>"), F.array("top"))).alias("o"))
     types = objects.select(*keys, kinds.alias("kind")).groupBy(*keys).agg(F.sort_array(F.collect_set("kind")).alias("types"))

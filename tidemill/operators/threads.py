@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.pages import whole_json
+
 GONE = ("[deleted]", "[removed]")
 
 
@@ -27,7 +29,7 @@ def flatten_threads(docs: DataFrame, column: str, *keys: str, most_depth: int =
     without an id and broken documents give nothing. Each level is one step for all
     documents.
     """
-    parsed = docs.select(*keys, F.try_parse_json(column).alias("doc"))
+    parsed = docs.select(*keys, whole_json(F.col(column)).alias("doc"))
     listings = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
     parsed = parsed.where("doc is not null").withColumn("_l", listings)
     post = F.get(_list(F.get("_l", 0), "data", "children"), 0)

@@ -25,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pages(spark, sf_dir) -> DataFrame:
     """Pages as responses, with their kind."""
-    kind = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "UNKNOWN").when(F.contains("html", F.lit("\0")), "BINARY").when(F.try_parse_json("html").isNotNull(), "JSON").otherwise("HTML")
+    kind = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "UNKNOWN").when(F.contains("html", F.lit("\0")), "BINARY").when(pages.whole_json(F.col("html")).isNotNull(), "JSON").otherwise("HTML")
     return _read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"), kind.alias("content_kind"))
 
 
