@@ -32,8 +32,8 @@ def test_sinks_and_rules(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).where("body_sha256 = sha2('x', 256)").count() == 1
     assert spark.read.parquet(str(tmp_path / "l")).count() == 4
     assert spark.read.json(str(tmp_path / "r")).count() == 2
-    (tmp_path / "p.json").write_text(json.dumps({"classes": [{"name": "a", "match": "/a/"}, {"name": "b", "match": "/b/", "min_body_bytes": 9}]}))
-    assert [tuple(r) for r in files.read_rules(spark, str(tmp_path / "p.json")).orderBy("position").collect()] == [(1, "a", "/a/", 500, ""), (2, "b", "/b/", 9, "")]
+    (tmp_path / "p.json").write_text(json.dumps({"defaults": {"canary": "<main", "stop_signatures": ["no bots"]}, "classes": [{"name": "a", "match": "/a/"}, {"name": "b", "match": "/b/", "min_body_bytes": 9, "canary": "", "canaries": ["x", "y"], "expected_content_type": "json", "required_json_paths": ["a.b", "c"], "stop_signatures": []}]}))
+    assert [tuple(r) for r in files.read_rules(spark, str(tmp_path / "p.json")).orderBy("position").collect()] == [(1, "a", "/a/", 500, "<main", "", "", "no bots"), (2, "b", "/b/", 9, "x;y", "json", "a.b;c", "")]
 
 
 def test_json_paths(spark):

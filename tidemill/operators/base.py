@@ -47,6 +47,10 @@ class Dialect:
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, '{path}')"
 
+    def json_by(self, x: str, path: str) -> str:
+        """The value at a path that is itself a column; ``x`` has to be JSON."""
+        return f"get_json_object({x}, {path})"
+
     def hex_number(self, x: str) -> str:
         return f"CAST(conv({x}, 16, 10) AS BIGINT)"
 
@@ -88,6 +92,14 @@ class Dialect:
         """An element counted from the end, from 1; null if there is none."""
         return f"try_element_at({array}, -{place})"
 
+    def at(self, array: str, place: int) -> str:
+        """An element counted from 1; null if there is none."""
+        return f"get({array}, {place - 1})"
+
+    def whole_json(self, x: str) -> str:
+        """Whether a text is one JSON value and nothing else: it has to parse inside a list and inside an object."""
+        return f"""(try_parse_json(concat('{{"v":', {x}, '}}')) IS NOT NULL AND try_variant_get(try_parse_json(concat('[', {x}, ']')), '$[0]', 'variant') IS NOT NULL)"""
+
     def try_double(self, x: str) -> str:
         return f"try_cast({x} AS DOUBLE)"
 
@@ -129,6 +141,9 @@ class Oracle(Dialect):
     def json(self, x, path):
         return f"json_extract_string({x}, '{path}')"
 
+    def json_by(self, x, path):
+        return f"json_extract_string({x}, {path})"
+
     def hex_number(self, x):
         return f"CAST(concat('0x', {x}) AS BIGINT)"
 
@@ -163,6 +178,12 @@ class Oracle(Dialect):
     def from_end(self, array, place):
         return f"{array}[-{place}]"
 
+    def at(self, array, place):
+        return f"{array}[{place}]"
+
+    def whole_json(self, x):
+        return f"coalesce(json_valid({x}), FALSE)"
+
     def try_double(self, x):
         return f"TRY_CAST({x} AS DOUBLE)"
 

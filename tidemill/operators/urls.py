@@ -84,19 +84,29 @@ def add_hash_keys(d):
     return f"SELECT page_id, concat('http:', substring({d.sha('url')}, 1, 8)) AS route_id, substring({d.sha('url')}, 1, 16) AS page_fingerprint, {d.sha('url')} AS target_hash FROM @responses"
 
 
+def _matching(d) -> str:
+    """The rules, one small array that comes along with each row, whose pattern matches its URL."""
+    if d.duck:
+        return "list_filter(k.rules, lambda x: regexp_matches(r.url, x.pattern))"
+    return "filter(k.rules, x -> r.url RLIKE x.pattern)"
+
+
+def _rules(d) -> str:
+    return "SELECT list(struct_pack(position := position, pattern := pattern, url_class := url_class) ORDER BY position) AS rules FROM @rules" if d.duck else "SELECT sort_array(collect_list(struct(position, pattern, url_class))) AS rules FROM @rules"
+
+
 @operator("responses", "rules")
 def assign_url_class(d):
-    """JOIN-01: the first class, in declared order, whose pattern matches."""
-    match = "regexp_matches(r.url, k.pattern)" if d.duck else "r.url RLIKE k.pattern"
-    return f"""SELECT r.page_id, min_by(k.url_class, k.position) AS url_class, CAST(min(k.position) AS BIGINT) AS position
-    FROM @responses r LEFT JOIN @rules k ON {match} GROUP BY r.page_id"""
+    """JOIN-01: the first class, in declared order, whose pattern matches. No row is moved."""
+    first = d.at("m", 1)
+    return f"""SELECT page_id, {first}.url_class AS url_class, CAST({first}.position AS BIGINT) AS position FROM (SELECT r.page_id, {_matching(d)} AS m FROM @responses r CROSS JOIN ({_rules(d)}) k) x"""
 
 
 @operator("responses", "rules")
 def find_class_overlaps(d):
-    """JOIN-02: URLs that more than one class matches."""
-    match = "regexp_matches(r.url, k.pattern)" if d.duck else "r.url RLIKE k.pattern"
-    return f"""SELECT r.page_id, count(*) AS classes, {d.joined("k.url_class")} AS names FROM @responses r JOIN @rules k ON {match} GROUP BY r.page_id HAVING count(*) > 1"""
+    """JOIN-02: URLs that more than one class matches. No row is moved."""
+    names = "array_to_string(list_sort(list_transform(m, lambda x: x.url_class)), ',')" if d.duck else "array_join(sort_array(transform(m, x -> x.url_class)), ',')"
+    return f"""SELECT page_id, CAST({d.size("m")} AS BIGINT) AS classes, {names} AS names FROM (SELECT r.page_id, {_matching(d)} AS m FROM @responses r CROSS JOIN ({_rules(d)}) k) x WHERE {d.size("m")} > 1"""
 
 
 @operator("canonicalize_urls", "queued_pages")

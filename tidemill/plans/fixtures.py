@@ -26,11 +26,17 @@ SELECT event_id AS attempt_id, ts AS attempted_at,
 FROM events
 """,
     "responses": """
-SELECT page_id, url,
-  CASE WHEN page_id % 20 < 16 THEN 200 WHEN page_id % 20 < 18 THEN 503 WHEN page_id % 20 = 18 THEN 403 ELSE 404 END AS status,
-  CASE WHEN page_id % 10 = 3 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS content_type,
+SELECT page_id, CASE WHEN page_id % 50 IN (11, 12, 13) THEN concat('https://api.example.org/v1/items/', CAST(page_id AS STRING)) ELSE url END AS url,
+  CASE WHEN page_id % 50 = 8 THEN NULL WHEN page_id % 50 = 21 THEN 429 WHEN page_id % 50 = 22 THEN 407 WHEN page_id % 20 < 16 THEN 200 WHEN page_id % 20 < 18 THEN 503 WHEN page_id % 20 = 18 THEN 403 ELSE 404 END AS status,
+  CASE WHEN page_id % 50 IN (11, 12, 13) THEN 'application/json' WHEN page_id % 10 = 3 THEN 'text/plain' ELSE 'text/html; charset=utf-8' END AS content_type,
   CASE WHEN page_id % 20 = 18 THEN 'challenge' END AS cf_mitigated,
-  CASE WHEN page_id % 20 IN (14, 15) THEN concat('<html><head><script src="/a.js"></script><script>window.__INITIAL_STATE__={};', repeat('var a=1;', 20), '</script></head><body><div id="root"></div></body></html>')
+  CASE WHEN page_id % 50 IN (9, 37) THEN 'provider' ELSE 'target' END AS source,
+  CASE WHEN page_id % 50 = 7 THEN 'timed out' END AS transport_error,
+  CASE WHEN page_id % 100 = 21 THEN '120' END AS retry_after,
+  CASE WHEN page_id % 50 = 11 THEN concat('{"items":[{"id":', CAST(page_id AS STRING), '}],"next":"c1"}')
+       WHEN page_id % 50 = 12 THEN concat('{"items":[],"next":null,"at":', CAST(page_id AS STRING), '}')
+       WHEN page_id % 50 = 13 THEN concat('{"items":[{"id":', CAST(page_id AS STRING), '}],"next":"c1"} and more')
+       WHEN page_id % 20 IN (14, 15) THEN concat('<html><head><script src="/a.js"></script><script>window.__INITIAL_STATE__={};', repeat('var a=1;', 20), '</script></head><body><div id="root"></div></body></html>')
        WHEN page_id % 20 = 13 THEN concat('<html><body><h1>Just a moment</h1>', repeat('<p>wait</p>', 40), '</body></html>')
        WHEN page_id % 20 IN (16, 17) THEN 'Service Unavailable'
        WHEN page_id % 20 = 18 THEN '<html><body>verify you are human</body></html>'
@@ -145,10 +151,11 @@ UNION ALL SELECT url FROM pages WHERE page_id % 7 = 0
 SELECT page_id FROM pages WHERE page_id % 3 = 0
 """,
     "rules": """
-SELECT 1 AS position, 'english' AS url_class, '^https?://[^/]+/en/' AS pattern, 200 AS min_body_bytes, '<article' AS canary
-UNION ALL SELECT 2, 'spanish', '^https?://[^/]+/es/', 200, '<article'
-UNION ALL SELECT 3, 'french', '^https?://[^/]+/fr/', 200, '<article'
-UNION ALL SELECT 4, 'german', '^https?://[^/]+/de/', 200, '<article'
-UNION ALL SELECT 5, 'paged', '[?&]page=', 200, '<article'
+SELECT 0 AS position, 'api' AS url_class, '^https?://api[.]' AS pattern, 2 AS min_body_bytes, '' AS canary, 'json' AS expected_type, 'items.0.id;next' AS json_paths, '' AS signatures
+UNION ALL SELECT 1, 'english', '^https?://[^/]+/en/', 200, '<article', 'html', '', 'blocked by policy;spam-farm'
+UNION ALL SELECT 2, 'spanish', '^https?://[^/]+/es/', 200, '<article;</p>', '', '', ''
+UNION ALL SELECT 3, 'french', '^https?://[^/]+/fr/', 200, '<article', '', '', ''
+UNION ALL SELECT 4, 'german', '^https?://[^/]+/de/', 200, '<article', '', '', ''
+UNION ALL SELECT 5, 'paged', '[?&]page=', 200, '<article', '', '', ''
 """,
 }

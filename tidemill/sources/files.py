@@ -20,10 +20,23 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-05: rows (position, url_class, pattern, min_body_bytes, canary) of profiles, defaults filled in."""
-    schema = "classes array<struct<name:string, match:string, min_body_bytes:int, canary:string>>"
-    found = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("classes").alias("at", "c"))
-    return found.select((F.col("at") + 1).alias("position"), F.col("c.name").alias("url_class"), F.col("c.match").alias("pattern"), F.coalesce("c.min_body_bytes", F.lit(500)).alias("min_body_bytes"), F.coalesce("c.canary", F.lit("")).alias("canary"))
+    """SRC-05: one row per URL class of a profile, in declared order; what a class leaves out is the profile's, then the default.
+
+    Columns are those of the rules of triage: position, url_class, pattern,
+    min_body_bytes, canary, expected_type, json_paths and signatures; lists are joined by
+    semicolons. ``canary`` and ``canaries`` of a class count together.
+    """
+    own = "min_body_bytes:int, canary:string, canaries:array<string>, expected_content_type:string, required_json_paths:array<string>, stop_signatures:array<string>"
+    schema = f"defaults struct<{own}>, classes array<struct<name:string, match:string, {own}>>"
+    found = spark.read.schema(schema).option("multiLine", True).json(path).select("defaults", F.posexplode("classes").alias("at", "c"))
+    none = F.array().cast("array<string>")
+    of = lambda name, otherwise: F.coalesce(f"c.{name}", f"defaults.{name}", otherwise)
+    joined = lambda x: F.array_join(F.filter(x, lambda v: v.isNotNull() & (v != "")), ";")
+    canaries = F.concat(F.array(of("canary", F.lit(""))), of("canaries", none))
+    return found.select(
+        (F.col("at") + 1).alias("position"), F.col("c.name").alias("url_class"), F.col("c.match").alias("pattern"), of("min_body_bytes", F.lit(500)).alias("min_body_bytes"), joined(canaries).alias("canary"),
+        of("expected_content_type", F.lit("")).alias("expected_type"), joined(of("required_json_paths", none)).alias("json_paths"), joined(of("stop_signatures", none)).alias("signatures"),
+    )
 
 
 def write_snapshots(redacted: DataFrame, path: str) -> None:
