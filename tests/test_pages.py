@@ -79,7 +79,9 @@ def test_all_extractors_in_order(docs):
     profile = [{"kind": "json", "fields": {"title": "a.b.2.c"}}, {"kind": "json_ld", "type": "Article", "fields": ["title", "author"]}, {"kind": "meta", "fields": {"title": None, "description": "description"}}, {"kind": "css", "fields": {"title": "h1", "author": "b"}}, {"kind": "heuristic"}]
     values = pages.extractor_values(docs, profile, "id").cache()
     assert sorted(tuple(r) for r in pages.first_values(values, "id").collect()) == [(1, "author", "Ann", "json_ld"), (1, "description", "first", "meta"), (1, "title", "LD title", "json_ld"), (2, "title", "z", "json_path")]
-    agreed = {(r.id, r.field): (r.agreement, r.sources) for r in pages.quorum(docs, values, ["title", "author", "description", "price"], "id").collect()}
+    assert sorted(tuple(r) for r in pages.page_fields(docs, profile, "id").collect()) == sorted(tuple(r) for r in pages.first_values(values, "id").collect())
+    agreed = {(r.id, r.field): (r.agreement, r.sources) for r in pages.page_quorum(docs, profile, ["title", "author", "description", "price"], "id").collect()}
+    assert docs.sparkSession is not None and pages.page_quorum(docs, profile, ["title"], "id")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
     assert agreed[1, "title"] == ("conflict", 4) and agreed[1, "author"] == ("conflict", 2) and agreed[1, "description"] == ("medium", 1) and agreed[1, "price"] == ("missing", 0) and agreed[3, "title"] == ("missing", 0)
 
 

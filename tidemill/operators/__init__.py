@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("urls", "bodies", "triage", "extraction", "accounting", "routing", "calibration", "finops", "publishing", "discovery", "social", "sampling")
+MODULES = ("urls", "bodies", "triage", "extraction", "accounting", "routing", "calibration", "finops", "publishing", "discovery", "social", "sampling", "certification")
 
 
 def load() -> None:

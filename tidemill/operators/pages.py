@@ -116,16 +116,33 @@ def read_json_values(df: DataFrame, column: str, paths: list[str], *keys: str) -
     return df.select(*keys, F.explode(F.array(*each)).alias("e")).select(*keys, "e.path", "e.value", "e.present")
 
 
-def extract_json_fields(df: DataFrame, column: str, fields: dict[str, str], *keys: str) -> DataFrame:
-    """EXT-04: ``(keys, field, value)``; nulls of lists are left out, and an empty list is no value."""
-    each = []
+#: A value that an extractor found of a field.
+FOUND = "struct<field:string,value:string>"
+
+
+def _listed(values: dict[str, Column]) -> Column:
+    """Values by field as an array of what was found."""
+    each = [F.struct(F.lit(field).alias("field"), value.cast("string").alias("value")) for field, value in values.items()]
+    return F.filter(F.array(*each) if each else F.array().cast(f"array<{FOUND}>"), lambda x: x["value"].isNotNull())
+
+
+def _rows(df: DataFrame, found: Column, *keys: str) -> DataFrame:
+    return df.select(*keys, F.explode(found).alias("e")).select(*keys, "e.field", "e.value")
+
+
+def _json_values(text: Column, fields: dict[str, str]) -> dict[str, Column]:
+    out = {}
     for field, path in fields.items():
-        value = json_at(F.col(column), path)
+        value = json_at(text, path)
         items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: ~F.is_variant_null(x))
         scalar = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
-        text = F.when(items.isNotNull(), F.when(F.size(items) > 0, F.to_json(F.to_variant_object(items)))).otherwise(scalar)
-        each.append(F.struct(F.lit(field).alias("field"), text.alias("value")))
-    return df.select(*keys, F.explode(F.array(*each)).alias("e")).select(*keys, "e.field", "e.value").where("value is not null")
+        out[field] = F.when(items.isNotNull(), F.when(F.size(items) > 0, F.to_json(F.to_variant_object(items)))).otherwise(scalar)
+    return out
+
+
+def extract_json_fields(df: DataFrame, column: str, fields: dict[str, str], *keys: str) -> DataFrame:
+    """EXT-04: ``(keys, field, value)``; nulls of lists are left out, and an empty list is no value."""
+    return _rows(df, _listed(_json_values(F.col(column), fields)), *keys)
 
 
 # linked data, state, meta
@@ -137,11 +154,11 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
-def _scripts(df: DataFrame, *keys: str) -> DataFrame:
-    """``(keys, pos, tag, code)`` of the script elements of ``body``."""
+def _scripts(body: Column) -> Column:
+    """The script elements of a body in order: structs of tag and code."""
     whole = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
-    parts = F.arrays_zip(F.regexp_extract_all("body", F.lit(whole), F.lit(1)).alias("tag"), F.regexp_extract_all("body", F.lit(whole), F.lit(2)).alias("code"))
-    return df.select(*keys, F.posexplode(parts).alias("pos", "s")).select(*keys, "pos", "s.tag", F.trim("s.code").alias("code"))
+    parts = F.arrays_zip(F.regexp_extract_all(body, F.lit(whole), F.lit(1)).alias("tag"), F.regexp_extract_all(body, F.lit(whole), F.lit(2)).alias("code"))
+    return F.transform(parts, lambda x: F.struct(x["tag"].alias("tag"), F.trim(x["code"]).alias("code")))
 
 
 def _items(value: Column) -> Column:
@@ -157,55 +174,64 @@ def _plain(value: Column) -> Column:
     return F.when(is_object, inside).when(~F.is_variant_null(first), F.try_variant_get(first, "$", "string"))
 
 
+def _linked_data(body: Column) -> Column:
+    """All linked-data objects of a body in order, members of an ``@graph`` in its place."""
+    own = F.filter(_scripts(body), lambda x: F.lower(_attribute(x["tag"], "type")) == "application/ld+json")
+    docs = F.filter(F.transform(own, lambda x: whole_json(x["code"])), lambda d: d.isNotNull())
+    tops = F.flatten(F.transform(docs, _items))
+    members = F.flatten(F.transform(tops, lambda t: F.coalesce(F.try_variant_get(_member(t, "@graph"), "$", "array<variant>"), F.array(t))))
+    return F.filter(members, lambda o: F.schema_of_variant(o).startswith("OBJECT"))
+
+
+def _types(thing: Column) -> Column:
+    return F.transform(_items(_member(thing, "@type")), lambda x: F.try_variant_get(x, "$", "string"))
+
+
+def _of_kind(things: Column, kind: str | None) -> Column:
+    """The first object of a type."""
+    return F.get(things if kind is None else F.filter(things, lambda o: F.array_contains(_types(o), kind)), 0)
+
+
+def _ld_values(thing: Column, fields: list[str]) -> dict[str, Column]:
+    return {field: F.coalesce(*[_plain(_walk(thing, key.split("."))) for key in LD_KEYS.get(field, (field,))]) for field in fields}
+
+
 def json_ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
     """``(keys, object)``: the first object, or member of an ``@graph``, of the wanted type."""
-    code = whole_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
-    parsed = _scripts(df, *keys).select(*keys, "pos", code.alias("doc")).where("doc is not null")
-    tops = parsed.select(*keys, "pos", F.posexplode(_items(F.col("doc"))).alias("item", "top"))
-    members = F.coalesce(F.try_variant_get(_member(F.col("top"), "@graph"), "$", "array<variant>"), F.array("top"))
-    each = tops.select(*keys, "pos", "item", F.posexplode(members).alias("member", "object")).where(F.schema_of_variant("object").startswith("OBJECT"))
-    if kind is not None:
-        types = F.transform(_items(_member(F.col("object"), "@type")), lambda x: F.try_variant_get(x, "$", "string"))
-        each = each.where(F.array_contains(types, kind))
-    # variants have no order, so they travel as text
-    first = each.groupBy(*keys).agg(F.min_by(F.to_json("object"), F.struct("pos", "item", "member")).alias("object"))
-    return first.select(*keys, F.parse_json("object").alias("object"))
+    return df.select(*keys, _of_kind(_linked_data(F.col("body")), kind).alias("object")).where("object is not null")
 
 
 def extract_json_ld(df: DataFrame, kind: str | None, fields: list[str], *keys: str) -> DataFrame:
     """EXT-01: ``(keys, field, value)`` of the first linked-data object of a type."""
-    each = []
-    for field in fields:
-        found = [_plain(_walk(F.col("object"), key.split("."))) for key in LD_KEYS.get(field, (field,))]
-        each.append(F.struct(F.lit(field).alias("field"), F.coalesce(*found).alias("value")))
-    return json_ld_objects(df, kind, *keys).select(*keys, F.explode(F.array(*each)).alias("e")).select(*keys, "e.field", "e.value").where("value is not null")
+    return _rows(json_ld_objects(df, kind, *keys), _listed(_ld_values(F.col("object"), fields)), *keys)
 
 
 #: Names that pages assign their state to.
 STATE_NAMES = ("INITIAL_STATE", "PRELOADED_STATE", "NUXT", "APOLLO_STATE")
 
 
+def _state(body: Column) -> Column:
+    """The state that a page carries: the script of that id, else what is assigned first, up to where its brace closes."""
+    own = F.get(F.filter(_scripts(body), lambda x: _attribute(x["tag"], "id") == "__NEXT_DATA__"), 0)["code"]
+    code = F.array_join(F.transform(_scripts(body), lambda x: x["code"]), "\n")
+    return F.coalesce(own, leading_json(F.nullif(F.regexp_extract(code, rf"(?s)__(?:{'|'.join(STATE_NAMES)})__\s*=\s*(\{{.*)", 1), F.lit(""))))
+
+
 def extract_state_fields(df: DataFrame, fields: dict[str, str], *keys: str) -> DataFrame:
     """EXT-03: ``(keys, field, value)`` by paths into the state that a page carries in a script."""
-    scripts = _scripts(df, *keys)
-    own = F.when(_attribute(F.col("tag"), "id") == "__NEXT_DATA__", F.struct(F.lit(0).alias("rank"), F.col("code")))
-    # what is assigned ends where its outermost brace closes, wherever more code follows
-    assigned = leading_json(F.nullif(F.regexp_extract("code", rf"(?s)__(?:{'|'.join(STATE_NAMES)})__\s*=\s*(\{{.*)", 1), F.lit("")))
-    scripts = scripts.withColumn("assigned", assigned)
-    state = F.coalesce(own, F.when(F.col("assigned").isNotNull(), F.struct(F.lit(1).alias("rank"), F.col("assigned").alias("code"))))
-    first = scripts.select(*keys, "pos", state.alias("s")).where("s is not null").groupBy(*keys).agg(F.min_by("s.code", F.struct("s.rank", "pos")).alias("state"))
-    return extract_json_fields(first, "state", fields, *keys)
+    return extract_json_fields(df.select(*keys, _state(F.col("body")).alias("state")), "state", fields, *keys)
+
+
+def _meta_values(body: Column, fields: dict[str, tuple]) -> dict[str, Column]:
+    tags = F.regexp_extract_all(body, F.lit(r"(?i)<meta\b([^>]*)>"), F.lit(1))
+    named = F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(_attribute(t, "property"), _attribute(t, "name"))).alias("name"), _attribute(t, "content").alias("content")))
+    of = lambda n: F.get(F.filter(named, lambda m: (m["name"] == n) & m["content"].isNotNull()), 0)["content"]
+    return {field: F.coalesce(*[of(n) for n in names]) for field, names in fields.items()}
 
 
 def extract_meta_fields(df: DataFrame, fields: dict[str, tuple], *keys: str) -> DataFrame:
     """EXT-02: ``(keys, field, value)``: the first name of each field that a meta tag has; of a name the first tag counts."""
-    tags = df.select(*keys, F.posexplode(F.regexp_extract_all("body", F.lit(r"(?i)<meta\b([^>]*)>"), F.lit(1))).alias("pos", "tag"))
-    name = F.lower(F.coalesce(_attribute(F.col("tag"), "property"), _attribute(F.col("tag"), "name")))
-    named = tags.select(*keys, "pos", name.alias("name"), _attribute(F.col("tag"), "content").alias("content")).where("name is not null and content is not null")
-    order = F.create_map(*[F.lit(x) for f, names in fields.items() for k, n in enumerate(names) for x in (f"{f}\n{n}", k)])
-    wanted = F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")
-    ranked = named.select(*keys, "pos", "name", "content", wanted).withColumn("rank", F.try_element_at(order, F.concat_ws("\n", "field", "name"))).where("rank is not null")
-    return ranked.groupBy(*keys, "field").agg(F.min_by("content", F.struct("rank", "pos")).alias("value"))
+    return _rows(df, _listed(_meta_values(F.col("body"), fields)), *keys)
 
 
 # selectors
@@ -304,8 +330,8 @@ class _Reader(HTMLParser):
         return {k: v for k, v in self.values.items() if v}
 
 
-def extract_css(df: DataFrame, selectors: dict[str, str], *keys: str) -> DataFrame:
-    """EXT-05: ``(keys, field, value)`` of the first element of each selector; one parse a page."""
+def _css_values(body: Column, selectors: dict[str, str]) -> Column:
+    """A map of the values of all selectors, in one parse of the page."""
     compiled = {field: Selector(s) for field, s in selectors.items()}
 
     @F.pandas_udf("map<string,string>")
@@ -317,57 +343,94 @@ def extract_css(df: DataFrame, selectors: dict[str, str], *keys: str) -> DataFra
 
         return bodies.map(of)
 
-    return df.select(*keys, F.explode(read("body")).alias("field", "value"))
+    return read(body)
+
+
+def extract_css(df: DataFrame, selectors: dict[str, str], *keys: str) -> DataFrame:
+    """EXT-05: ``(keys, field, value)`` of the first element of each selector; one parse a page."""
+    return df.select(*keys, F.explode(_css_values(F.col("body"), selectors)).alias("field", "value"))
 
 
 # all extractors
 
+#: Where the heuristic looks for a title, best first.
+HEURISTIC = ("h1", "title")
 
-def extractor_values(df: DataFrame, extractors: list[dict], *keys: str) -> DataFrame:
-    """``(keys, field, position, source, value)`` of every extractor of a profile, in its declared order.
+
+def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
+    """``df`` with ``values``: what every extractor of a profile found, in its declared order.
 
     An extractor is ``{"kind": ..., "fields": ...}``: json, json_ld (and ``type``),
     app_state, meta, css or heuristic. ``df`` has ``body`` and ``content_kind``; a BINARY
-    body is never parsed, and json reads JSON bodies only.
+    body is never parsed, and json reads JSON bodies only. A page is one row from its scan
+    to here: its markup is parsed once, for the selectors of all extractors.
     """
-    pages, found = df.where("content_kind <> 'BINARY'"), []
-    for position, e in enumerate(extractors, 1):
+    known = [str(e["kind"]) for e in extractors]
+    for kind in known:
+        if kind not in ("json", "json_ld", "app_state", "meta", "css", "heuristic"):
+            raise ValueError(f"no such extractor: {kind!r}")
+    body = F.when(F.col("content_kind") != "BINARY", F.col("body"))
+    selectors = {f"{n} {field}": s for n, e in enumerate(extractors) if e["kind"] == "css" for field, s in e.get("fields", {}).items()}
+    selectors |= {f"heuristic {tag}": tag for tag in HEURISTIC if "heuristic" in known}
+    helpers = {}
+    if selectors:
+        helpers["_css"] = _css_values(body, selectors)
+    if "app_state" in known:
+        helpers["_state"] = _state(body)
+    if "json_ld" in known:
+        helpers["_things"] = _linked_data(body)
+    read = df.withColumns({name: value for name, value in helpers.items()}) if helpers else df
+    found = []
+    for n, e in enumerate(extractors):
         kind, fields = e["kind"], e.get("fields", {})
         if kind == "json":
-            values = extract_json_fields(pages.where("content_kind = 'JSON'"), "body", fields, *keys)
+            values = _json_values(F.when(F.col("content_kind") == "JSON", F.col("body")), fields)
         elif kind == "json_ld":
-            values = extract_json_ld(pages, e.get("type"), list(fields), *keys)
+            values = _ld_values(_of_kind(F.col("_things"), e.get("type")), list(fields))
         elif kind == "app_state":
-            values = extract_state_fields(pages, fields, *keys)
+            values = _json_values(F.col("_state"), fields)
         elif kind == "meta":
-            values = extract_meta_fields(pages, {f: (names,) if isinstance(names, str) else tuple(names or META_NAMES.get(f, (f,))) for f, names in dict(fields).items()}, *keys)
+            values = _meta_values(body, {f: (names,) if isinstance(names, str) else tuple(names or META_NAMES.get(f, (f,))) for f, names in dict(fields).items()})
         elif kind == "css":
-            values = extract_css(pages, fields, *keys)
-        elif kind == "heuristic":
-            values = extract_css(pages, {"h1": "h1", "title": "title"}, *keys)
-            values = values.groupBy(*keys).agg(F.min_by("value", "field").alias("value")).select(*keys, F.lit("title").alias("field"), "value")
+            values = {field: F.try_element_at("_css", F.lit(f"{n} {field}")) for field in fields}
         else:
-            raise ValueError(f"no such extractor: {kind!r}")
+            values = {"title": F.coalesce(*[F.try_element_at("_css", F.lit(f"heuristic {tag}")) for tag in HEURISTIC])}
         source = {"json": "json_path"}.get(kind, kind)
-        found.append(values.select(*keys, "field", F.lit(position).alias("position"), F.lit(source).alias("source"), "value").where("value <> ''"))
-    out = found[0]
-    for values in found[1:]:
-        out = out.unionByName(values)
-    return out
+        found.append(F.transform(_listed(values), lambda x: F.struct(x["field"].alias("field"), F.lit(n + 1).alias("position"), F.lit(source).alias("source"), x["value"].alias("value"))))
+    whole = F.filter(F.concat(*found), lambda x: x["value"] != "")
+    return read.withColumn("values", whole).drop(*helpers)
 
 
-def first_values(values: DataFrame, *keys: str) -> DataFrame:
-    """EXT-07: per field the value of the first extractor that has one, and its source."""
-    best = F.min_by(F.struct("value", "source"), "position").alias("b")
-    return values.groupBy(*keys, "field").agg(best).select(*keys, "field", "b.value", "b.source")
+def extractor_values(df: DataFrame, extractors: list[dict], *keys: str) -> DataFrame:
+    """``(keys, field, position, source, value)`` of every extractor of a profile, in its declared order."""
+    return with_values(df, extractors).select(*keys, F.explode("values").alias("v")).select(*keys, "v.field", "v.position", "v.source", "v.value")
+
+
+def _of_field(field: str) -> Column:
+    return F.filter("values", lambda x: x["field"] == field)
 
 
-def quorum(df: DataFrame, values: DataFrame, fields: list[str], *keys: str) -> DataFrame:
-    """EXT-08: per page and declared field: missing, medium (one source), high (all agree) or conflict."""
-    wanted = df.select(*keys, F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
-    seen = values.groupBy(*keys, "field").agg(F.count("*").alias("sources"), F.count_distinct("value").alias("distinct"), F.min_by("value", "position").alias("value"))
-    agreement = F.when(F.col("sources").isNull(), "missing").when(F.col("distinct") > 1, "conflict").when(F.col("sources") > 1, "high").otherwise("medium")
-    return wanted.join(seen, [*keys, "field"], "left").select(*keys, "field", agreement.alias("agreement"), F.coalesce("sources", F.lit(0)).alias("sources"), "value")
+def page_fields(df: DataFrame, extractors: list[dict], *keys: str) -> DataFrame:
+    """EXT-07 in one pass: ``(keys, field, value, source)``, per field that of the first extractor that has one."""
+    fields = sorted({f for e in extractors for f in e.get("fields", {})} | {"title" for e in extractors if e["kind"] == "heuristic"})
+    first = F.array(*[F.get(_of_field(f), 0) for f in fields])
+    return with_values(df, extractors).select(*keys, F.explode(F.filter(first, lambda x: x.isNotNull())).alias("v")).select(*keys, "v.field", "v.value", "v.source")
+
+
+def page_quorum(df: DataFrame, extractors: list[dict], fields: list[str], *keys: str) -> DataFrame:
+    """EXT-08 in one pass: agreement of the extractors on each wanted field; the first value stands."""
+    each = []
+    for field in fields:
+        own = _of_field(field)
+        texts = F.array_distinct(F.transform(own, lambda x: x["value"]))
+        agreement = F.when(F.size(own) == 0, "missing").when(F.size(texts) > 1, "conflict").when(F.size(own) > 1, "high").otherwise("medium")
+        each.append(F.struct(F.lit(field).alias("field"), agreement.alias("agreement"), F.size(own).cast("long").alias("sources"), F.get(own, 0)["value"].alias("value")))
+    return with_values(df, extractors).select(*keys, F.explode(F.array(*each)).alias("v")).select(*keys, "v.field", "v.agreement", "v.sources", "v.value")
+
+
+def first_values(values: DataFrame, *keys: str) -> DataFrame:
+    """EXT-07 of values that are rows already: per field that of the first extractor that has one, and its source."""
+    return values.groupBy(*keys, "field").agg(F.min_by("value", "position").alias("value"), F.min_by("source", "position").alias("source"))
 
 
 # values and facts
@@ -422,33 +485,35 @@ def normalize_values(values: DataFrame, kinds: dict[str, str], base: str | None
     return values.withColumn("value", value)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def all_absolute(links: pd.Series, bases: pd.Series) -> pd.Series:
+    return pd.Series([[None if x is None else urljoin(b or "", x.strip()) for x in own] for own, b in zip(links, bases, strict=True)], dtype=object)
+
+
 def page_facts(df: DataFrame, *keys: str) -> DataFrame:
     """PRJ-25: canonical address, feeds, AMP page, types of linked data, OpenGraph names, state and API hints of a page.
 
-    ``df`` has body, url and content_type. Hints are same-site addresses with ``/api/`` or
-    ``graphql`` in them, without their query, sorted, 20 at most.
+    ``df`` has body and url. Hints are same-site addresses with ``/api/`` or ``graphql`` in
+    them, without their query, sorted, 20 at most. A page is one row all the way; null
+    bodies have no facts.
     """
-    links = df.select(*keys, "url", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?i)<link\b([^>]*)>"), F.lit(1))).alias("pos", "tag"))
-    rel = F.split(F.lower(F.coalesce(_attribute(F.col("tag"), "rel"), F.lit(""))), r"\s+")
-    kind = F.lower(F.coalesce(_attribute(F.col("tag"), "type"), F.lit("")))
-    links = links.select(*keys, "pos", rel.alias("rel"), kind.alias("kind"), absolute(_attribute(F.col("tag"), "href"), "url").alias("href")).where("href is not null")
-    has = lambda r: F.array_contains("rel", r)
-    feeds = F.sort_array(F.collect_set(F.when(has("alternate") & F.col("kind").isin("application/rss+xml", "application/atom+xml"), F.col("href"))))
-    of_links = links.groupBy(*keys).agg(F.min_by("href", F.when(has("canonical"), F.col("pos"))).alias("canonical"), feeds.alias("feeds"), F.min_by("href", F.when(has("amphtml"), F.col("pos"))).alias("amp"))
-    kinds = F.explode(F.transform(_items(_member(F.col("o"), "@type")), lambda x: F.try_variant_get(x, "$", "string")))
-    code = whole_json(F.when(F.lower(_attribute(F.col("tag"), "type")) == "application/ld+json", F.col("code")))
-    tops = _scripts(df, *keys).select(*keys, F.explode(_items(code)).alias("top")).where("top is not null")
-    objects = tops.select(*keys, F.explode(F.coalesce(F.try_variant_get(_member(F.col("top"), "@graph"), "$", "array<variant>"), F.array("top"))).alias("o"))
-    types = objects.select(*keys, kinds.alias("kind")).groupBy(*keys).agg(F.sort_array(F.collect_set("kind")).alias("types"))
-    graph = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("body", F.lit(r"""(?i)<meta\b[^>]*?(?:property|name)\s*=\s*["'](og:[\w:.-]+)"""), F.lit(1)), F.lower)))
-    states = F.array(*[F.when(F.contains("body", F.lit(f"__{n}__")), F.lit(n)) for n in ("NEXT_DATA", *STATE_NAMES)])
+    body = F.coalesce("body", F.lit(""))
+    tags = F.regexp_extract_all(body, F.lit(r"(?i)<link\b([^>]*)>"), F.lit(1))
+    links = F.transform(tags, lambda t: F.struct(F.split(F.lower(F.coalesce(_attribute(t, "rel"), F.lit(""))), r"\s+").alias("rel"), F.lower(F.coalesce(_attribute(t, "type"), F.lit(""))).alias("kind"), _attribute(t, "href").alias("href")))
+    links = F.filter(links, lambda x: x["href"].isNotNull())
+    of = lambda rel: F.transform(F.filter(F.col("_links"), lambda x: F.array_contains(x["rel"], rel)), lambda x: x["href"])
+    feeds = F.transform(F.filter(F.col("_links"), lambda x: F.array_contains(x["rel"], "alternate") & x["kind"].isin("application/rss+xml", "application/atom+xml")), lambda x: x["href"])
+    quoted = F.array_distinct(F.regexp_extract_all(body, F.lit(r"""["']((?:https?:/)?/[^"'\s<>]*(?:/api/|graphql)[^"'\s<>]*|/api/[^"'\s<>]*)["']"""), F.lit(1)))
+    read = df.withColumn("_links", links).withColumn("_feeds", feeds).withColumn("_all", all_absolute(F.concat(F.array(F.get(of("canonical"), 0), F.get(of("amphtml"), 0)), F.col("_feeds"), quoted), "url"))
+    graph = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"""(?i)<meta\b[^>]*?(?:property|name)\s*=\s*["'](og:[\w:.-]+)"""), F.lit(1)), F.lower)))
+    states = F.array(*[F.when(F.contains(body, F.lit(f"__{n}__")), F.lit(n)) for n in ("NEXT_DATA", *STATE_NAMES)])
+    types = F.filter(F.flatten(F.transform(_linked_data(body), _types)), lambda t: t.isNotNull())
     host = lambda u: F.lower(F.regexp_extract(u, "^[A-Za-z]+://([^/?#:]+)", 1))
     site = lambda u: F.array_join(F.slice(F.split(host(u), "[.]"), -F.least(F.size(F.split(host(u), "[.]")), F.lit(2)), F.lit(2)), ".")
-    quoted = df.select(*keys, "url", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"""["']((?:https?:/)?/[^"'\s<>]*(?:/api/|graphql)[^"'\s<>]*|/api/[^"'\s<>]*)["']"""), F.lit(1)))).alias("link"))
-    hints = quoted.withColumn("link", F.regexp_replace(absolute("link", "url"), "[?#].*$", "")).where(site(F.col("link")) == site(F.col("url")))
-    hints = hints.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_set("link")), 1, 20).alias("api_hints"))
-    none = F.array().cast("array<string>")
-    out = df.select(*keys, graph.alias("open_graph"), F.filter(states, lambda s: s.isNotNull()).alias("state"))
-    for part in (of_links, types, hints):
-        out = out.join(part, list(keys), "left")
-    return out.select(*keys, "canonical", F.coalesce("feeds", none).alias("feeds"), "amp", F.coalesce("types", none).alias("types"), "open_graph", "state", F.coalesce("api_hints", none).alias("api_hints"))
+    n_feeds = F.size("_feeds")
+    hints = F.transform(F.slice("_all", n_feeds + 3, F.size("_all")), lambda u: F.regexp_replace(u, "[?#].*$", ""))
+    hints = F.slice(F.array_sort(F.array_distinct(F.filter(hints, lambda u: site(u) == site(F.col("url"))))), 1, 20)
+    return read.select(
+        *keys, F.get("_all", 0).alias("canonical"), F.array_sort(F.array_distinct(F.slice("_all", F.lit(3), n_feeds))).alias("feeds"), F.get("_all", 1).alias("amp"), F.array_sort(F.array_distinct(types)).alias("types"),
+        graph.alias("open_graph"), F.filter(states, lambda x: x.isNotNull()).alias("state"), hints.alias("api_hints"),
+    )

@@ -157,5 +157,42 @@ UNION ALL SELECT 2, 'spanish', '^https?://[^/]+/es/', 200, '<article;</p>', '',
 UNION ALL SELECT 3, 'french', '^https?://[^/]+/fr/', 200, '<article', '', '', ''
 UNION ALL SELECT 4, 'german', '^https?://[^/]+/de/', 200, '<article', '', '', ''
 UNION ALL SELECT 5, 'paged', '[?&]page=', 200, '<article', '', '', ''
+""",
+    "profile_classes": """
+SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, user_id % 20 <> 1 AS has_freshness, user_id % 20 <> 1 AS has_promotion, user_id % 3 = 1 AS has_pagination FROM events
+""",
+    "profile_fields": """
+SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, 'title' AS field, CASE WHEN user_id % 20 = 5 THEN 'optional' ELSE 'critical' END AS importance FROM events
+UNION ALL SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example'), CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END, 'lead', 'optional' FROM events
+""",
+    "case_outcomes": """
+SELECT event_id AS case_id, concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class,
+  CASE WHEN event_type = 'signup' THEN 'not_found' WHEN event_type = 'purchase' AND user_id % 3 = 1 AND user_id % 20 <> 8 THEN 'pagination' ELSE 'normal' END AS kind, event_type = 'signup' AS negative,
+  CASE WHEN event_type = 'signup' THEN 'DEAD_URL' ELSE 'OK' END AS verdict, NOT (user_id % 20 = 3 AND event_id % 50 = 0) AS passed, 10 AS comparisons, CASE WHEN user_id % 20 = 4 THEN 1 ELSE 0 END AS conflicts
+FROM events WHERE user_id % 20 <> 7
+""",
+    "case_fields": """
+SELECT event_id AS case_id, 'title' AS field FROM events WHERE event_type <> 'signup' AND NOT (user_id % 20 = 6 AND event_id % 40 = 0)
+UNION ALL SELECT event_id, 'lead' FROM events WHERE event_id % 2 = 0
+""",
+    "excused_kinds": """
+SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, 'pagination' AS kind FROM events WHERE user_id % 20 = 8
+""",
+    "extractor_grades": """
+SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, 'title' AS field, CASE WHEN user_id % 20 = 5 THEN 'optional' ELSE 'critical' END AS importance, CASE WHEN user_id % 20 = 9 THEN 'FRAGILE' ELSE 'STABLE' END AS grade FROM events
+UNION ALL SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example'), CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END, 'title', 'critical', 'FRAGILE' FROM events WHERE user_id % 20 = 10
+""",
+    "api_routes": """
+SELECT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, concat('r', CAST(user_id % 60 AS STRING)) AS route_id, count(DISTINCT event_id % 50) AS distinct_pages, user_id % 20 <> 12 AS schema_stable, 'VALIDATED' AS state
+FROM events WHERE user_id % 20 IN (11, 12) GROUP BY user_id % 20, user_id % 60, user_id % 3
+""",
+    "mutation_runs": """
+SELECT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE event_id % 9 WHEN 0 THEN 'remove_optional_field' WHEN 1 THEN 'remove_critical_field' WHEN 2 THEN 'rename_css_class' WHEN 3 THEN 'wrap_dom_node' WHEN 4 THEN 'move_element' WHEN 5 THEN 'rename_json_key' WHEN 6 THEN 'empty_collection' WHEN 7 THEN 'change_field_type' ELSE 'remove_pagination_cursor' END AS kind,
+  CASE WHEN event_id % 9 IN (0, 1) THEN 'title' ELSE '' END AS target,
+  CASE WHEN user_id % 20 = 13 AND event_id % 9 = 1 THEN 'WARNS' WHEN user_id % 20 = 14 AND event_id % 9 = 7 THEN 'SURVIVES' WHEN event_id % 9 IN (0, 2, 3, 4) THEN 'SURVIVES' WHEN event_id % 9 = 6 THEN 'EMPTY' WHEN event_id % 9 = 8 THEN 'INCOMPLETE' WHEN event_id % 9 = 5 THEN 'DRIFT' ELSE 'FAILS' END AS observed
+FROM events WHERE event_id % 10 = 0 AND user_id % 20 <> 15
+""",
+    "profile_texts": """
+SELECT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE WHEN user_id % 20 = 16 THEN concat('api_key: ', 'abcdefgh', CAST(user_id % 20 AS STRING)) ELSE 'match: /item/' END AS text FROM events GROUP BY user_id % 20
 """,
 }

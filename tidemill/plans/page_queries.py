@@ -38,12 +38,11 @@ def extract_css(spark, sf_dir):
 
 
 def extract_page_fields(spark, sf_dir):
-    return pages.first_values(pages.extractor_values(_pages(spark, sf_dir), PROFILE, "page_id"), "page_id")
+    return pages.page_fields(_pages(spark, sf_dir), PROFILE, "page_id")
 
 
 def quorum_page_fields(spark, sf_dir):
-    found = _pages(spark, sf_dir)
-    return pages.quorum(found, pages.extractor_values(found, PROFILE, "page_id"), FIELDS, "page_id")
+    return pages.page_quorum(_pages(spark, sf_dir), PROFILE, FIELDS, "page_id")
 
 
 def normalize_values(spark, sf_dir):
