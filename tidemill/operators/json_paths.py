@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +25,22 @@ def leaves(value, path: str = "", depth: int = 0) -> Iterator[str]:
         yield path
 
 
-def json_leaf_paths(df: DataFrame, column: str, *keys: str) -> DataFrame:
-    """PRJ-20: ``(keys, path)`` for each leaf of ``column``; null or broken JSON has none."""
+class LeafPaths:
+    """UDTF-01: one row for each distinct leaf path of a JSON text; null or broken JSON has none."""
 
-    @F.pandas_udf("array<string>")
-    def paths(text: pd.Series) -> pd.Series:
-        def of(x):
-            try:
-                return sorted(set(leaves(json.loads(x))))
-            except (TypeError, ValueError, RecursionError):
-                return []
+    def eval(self, text: str):
+        try:
+            found = sorted(set(leaves(json.loads(text))))
+        except (TypeError, ValueError, RecursionError):
+            return
+        for path in found:
+            yield (path,)
 
-        return text.map(of)
 
-    return df.select(*keys, F.explode(paths(column)).alias("path"))
+def json_leaf_paths(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """PRJ-20: ``(keys, path)`` for each leaf of ``column``; null or broken JSON has none."""
+    leaf_paths = F.udtf(LeafPaths, returnType="path string", useArrow=True)
+    return df.select(*keys, column).lateralJoin(leaf_paths(F.col(column).outer())).select(*keys, "path")
 
 
 def schema_signatures(df: DataFrame, column: str, *keys: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import pages, profiles, threads
+from tidemill.operators import mutations, pages, posts, profiles, threads
+from tidemill.operators.base import OPERATORS, SPARK
+from tidemill.operators.bodies import content_kind
 from tidemill.streaming import state
 
 #: The fields of the test pages and how they are looked for, in order of trust.
 PROFILE = [
+    {"kind": "json", "fields": {"title": "items.0.title"}},
     {"kind": "json_ld", "type": None, "fields": ["title", "published_at"]},
     {"kind": "app_state", "fields": {"title": "props.title"}},
     {"kind": "meta", "fields": {"title": None, "description": None}},
@@ -23,10 +28,24 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The addresses that the pages below hint at, and their feed.
+HINTS = """<link rel="canonical" href="/c/%s"><link rel="alternate" type="application/rss+xml" href="feed.xml"><script>fetch("/api/v1/items/%s?x=1")</script>"""
+
+
 def _pages(spark, sf_dir) -> DataFrame:
-    """Pages as responses, with their kind."""
-    kind = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "UNKNOWN").when(F.contains("html", F.lit("\0")), "BINARY").when(pages.whole_json(F.col("html")).isNotNull(), "JSON").otherwise("HTML")
-    return _read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"), kind.alias("content_kind"))
+    """Pages as responses, with their kind. A fifth each carries its title as linked data, as meta tags, or as state, and a
+    fifth has a feed and an API beside it; every twentieth answers with JSON."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    number = F.col("page_id").cast("string")
+    linked = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Article").alias("@type"), F.concat(F.lit("LD "), title).alias("headline"), F.lit("2026-01-02T03:04:05Z").alias("datePublished"), F.struct(F.concat(F.lit("Ann "), number).alias("name")).alias("author"))), F.lit("</script>"))
+    meta = F.concat(F.lit('<meta property="og:title" content="OG '), number, F.lit('"><meta name="description" content="about '), number, F.lit('">'))
+    state = F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), F.to_json(F.struct(F.struct(F.concat(F.lit("State "), number).alias("title")).alias("props"))), F.lit("; start();</script>"))
+    hints = F.concat(*[x for k, part in enumerate(HINTS.split("%s")) for x in ([F.lit(part)] if k == 0 else [number, F.lit(part)])])
+    kind = F.col("page_id") % 5
+    extra = F.when(kind == 0, linked).when(kind == 1, meta).when(kind == 2, state).when(kind == 3, hints).otherwise("")
+    body = F.when(F.col("page_id") % 20 == 19, F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("JSON "), number).alias("title"))).alias("items"), F.lit("c1").alias("next")))).otherwise(F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), extra)))
+    found = _read(spark, sf_dir, "pages").select("page_id", "url", body.alias("body"))
+    return found.withColumn("content_kind", F.expr(content_kind(SPARK, "body", "''")))
 
 
 def extract_json_ld(spark, sf_dir):
@@ -100,29 +119,94 @@ def freshness_replay(spark, sf_dir):
 
 
 def score_fragility(spark, sf_dir):
-    """The class selectors that the test pages offer, and their paths."""
-    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<([a-z0-9]+)\b"), F.lit(1))).alias("tag")
-    mark = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bclass=["']([^"']+)"""), F.lit(1))).alias("mark")
-    found = _read(spark, sf_dir, "pages")
-    tags = found.select(tag).distinct().select(F.lit("css").alias("kind"), F.concat(F.lower("tag"), F.lit(" > p:nth-child(2)")).alias("locator"))
-    marks = found.select(mark).distinct().select(F.lit("css").alias("kind"), F.concat(F.lit("."), F.regexp_replace(F.trim("mark"), r"\s+", ".")).alias("locator"))
-    return profiles.score_fragility(tags.unionByName(marks).distinct().withColumn("importance", F.lit("critical")))
+    """The selectors that name the elements of the test pages: their classes, and their places below their parents."""
+    pair = F.regexp_extract_all("html", F.lit(r"""(?i)<([a-z0-9]+)[^<>]*\bclass=["']([^"'<>]+)"""), F.lit(1))
+    marks = F.regexp_extract_all("html", F.lit(r"""(?i)<([a-z0-9]+)[^<>]*\bclass=["']([^"'<>]+)"""), F.lit(2))
+    classed = F.transform(F.arrays_zip(pair.alias("t"), marks.alias("m")), lambda x: F.concat(F.lower(x["t"]), F.lit("."), F.regexp_replace(F.trim(x["m"]), r"\s+", ".")))
+    inside = F.regexp_extract_all("html", F.lit(r"(?i)<([a-z0-9]+)[^<>]*>\s*<[a-z0-9]+"), F.lit(1))
+    child = F.regexp_extract_all("html", F.lit(r"(?i)<[a-z0-9]+[^<>]*>\s*<([a-z0-9]+)"), F.lit(1))
+    nested = F.transform(F.arrays_zip(inside.alias("p"), child.alias("c")), lambda x: F.concat(F.lower(x["p"]), F.lit(" > "), F.lower(x["c"])))
+    locators = _read(spark, sf_dir, "pages").select(F.explode(F.concat(classed, nested)).alias("locator")).distinct()
+    return profiles.score_fragility(locators.select(F.lit("css").alias("kind"), "locator", F.lit("critical").alias("importance")))
 
 
 def prune_snapshots(spark, sf_dir):
-    site = F.regexp_extract("url", "//([^/]*)", 1)
-    shots = _read(spark, sf_dir, "pages").select(site.alias("store"), F.col("url").alias("path"), (F.col("page_id") * 3600.0).alias("saved_at"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"))
-    newest = shots.agg(F.max("saved_at")).first()[0] or 0.0
-    return profiles.prune_snapshots(shots, newest, most_days=30, most_bytes=200_000)
+    """The pages as a store of each language, a snapshot an hour, within a day and a budget."""
+    shots = _read(spark, sf_dir, "pages").select(F.regexp_extract("url", "//[^/]*/([a-z]*)", 1).alias("store"), F.col("url").alias("path"), (F.col("page_id") * 3600.0).alias("saved_at"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"))
+    newest = shots.agg(F.max("saved_at")).scalar()
+    return profiles.prune_snapshots(shots, newest, most_days=7, most_bytes=100_000)
+
+
+def _responses(spark, sf_dir) -> DataFrame:
+    from tidemill.plans.registry import _table
+
+    return _table(spark, sf_dir, "responses", {})
+
+
+def _rules(spark, sf_dir) -> DataFrame:
+    from tidemill.plans.registry import _table
+
+    return _table(spark, sf_dir, "rules", {})
 
 
 def run_acceptance_cases(spark, sf_dir):
-    """Every page is a case of its own: it has to give a title and a lead and no price."""
+    """Every saved response is a fixture that has to be fine, to give a title and to give no price."""
+    fixtures = _responses(spark, sf_dir).withColumnRenamed("page_id", "fixture")
+    cases = fixtures.select(F.col("fixture").alias("case_id"), "fixture", F.lit("OK").alias("verdict"), F.array(F.lit("title")).alias("expected"), F.array(F.lit("price")).alias("forbidden"))
+    return profiles.acceptance(cases, fixtures, _rules(spark, sf_dir), PROFILE)
+
+
+IMPORTANCE = {"title": "critical", "lead": "optional"}
+MUTATIONS = [*mutations.default_mutations(IMPORTANCE, ["lead"], True, False), ("rename_json_key", "title"), ("change_field_type", "items"), ("empty_collection", "")]
+
+
+def mutate_pages(spark, sf_dir):
+    damaged = mutations.mutate_pages(_pages(spark, sf_dir), MUTATIONS, "page_id")
+    return damaged.select("page_id", "mutation", "kind", "target", "changed", F.sha2("body", 256).alias("body_sha256"))
+
+
+def judge_reactions(spark, sf_dir):
+    """EXT-11, PRJ-12, EXT-07 and AGG-39 as one chain: every page is damaged, and the profile's reaction judged."""
     found = _pages(spark, sf_dir)
-    fields = pages.extractor_values(found, PROFILE, "page_id").select(F.col("page_id").alias("fixture"), "field").distinct()
-    cases = found.select(F.col("page_id").alias("case_id"), F.col("page_id").alias("fixture"), F.lit("OK").alias("verdict"), F.array(F.lit("title"), F.lit("lead")).alias("expected"), F.array(F.lit("price")).alias("forbidden"))
-    seen = found.where("page_id % 11 <> 0").select(F.col("page_id").alias("fixture"), F.when(F.col("content_kind") == "HTML", "OK").otherwise("PARSE_FAIL").alias("verdict"))
-    return profiles.run_acceptance_cases(cases, seen, fields)
+    damaged = mutations.mutate_pages(found, MUTATIONS, "page_id", "url")
+    observed = mutations.profile_reactions(damaged, _rules(spark, sf_dir), PROFILE, IMPORTANCE, "page_id", "url")
+    site = F.regexp_extract("url", "//([^/]*)", 1)
+    return OPERATORS["judge_mutations"](spark, mutation_runs=observed.select(site.alias("domain"), "kind", "target", "observed"))
+
+
+def evaluate_pages(spark, sf_dir):
+    """A user's function over every page; it fails on pages that are no markup."""
+
+    def longest_heading(page: dict) -> dict:
+        heads = re.findall(r"<h[1-3][^>]*>(.*?)</h[1-3]>", page["body"], re.S)
+        return {"headings": len(heads), "longest": max(map(len, heads))}
+
+    return mutations.evaluate_pages(_pages(spark, sf_dir), longest_heading, "headings long, longest long", "page_id")
+
+
+def _social_pages(spark, sf_dir) -> DataFrame:
+    """A page for each conversation: its turns as data inside the page, or, for odd ones, only as links, some of them twice."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    post = lambda x: F.concat(F.lit('{"rest_id":"'), F.col("conv_id").cast("string"), F.lpad(x["turn"].cast("string"), 4, "0"), F.lit('","core":{"user":{"rest_id":"7","name":"u"}},"legacy":'), F.to_json(F.struct(F.concat(F.coalesce(x["text"], F.lit("")), F.lit(" https://a.example/"), x["turn"].cast("string"), F.lit(" https://x.com/b")).alias("full_text"))), F.lit("}"))
+    link = lambda x: F.concat(F.lit('<a href="/'), x["role"], F.lit("/status/"), F.col("conv_id").cast("string"), F.lpad((x["turn"] - x["turn"] % 2).cast("string"), 4, "0"), F.lit('">more</a>'))
+    inside = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("<script>var data = ["), F.array_join(F.transform("turns", post), ","), F.lit("];</script>"))).otherwise(F.array_join(F.transform("turns", link), " "))
+    grouped = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"))
+    return grouped.select("conv_id", F.concat(F.lit("<html><body>"), inside, F.lit("</body></html>")).alias("body"))
+
+
+def parse_social_pages(spark, sf_dir):
+    found = posts.parse_social_pages(_social_pages(spark, sf_dir), "conv_id")
+    return found.select("conv_id", "place", "post_id", "natural_key", "author_name", "text", F.array_join("links", " ").alias("links"), "origin")
+
 
+ORACLE_SQL = {
+    "parse_social_pages": """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
+l AS (SELECT conv_id, conv_id::VARCHAR || lpad((turn - turn % 2)::VARCHAR, 4, '0') AS post_id, min(turn) AS turn FROM t WHERE conv_id % 2 = 1 GROUP BY 1, 2)
+SELECT conv_id, place::INTEGER AS place, conv_id::VARCHAR || lpad(turn::VARCHAR, 4, '0') AS post_id, 'x:' || conv_id || lpad(turn::VARCHAR, 4, '0') AS natural_key, NULL::VARCHAR AS author_name,
+  coalesce(text, '') || ' https://a.example/' || turn || ' https://x.com/b' AS text, 'https://a.example/' || turn AS links, 'data' AS origin FROM t WHERE conv_id % 2 = 0
+UNION ALL SELECT l.conv_id, (row_number() OVER (PARTITION BY l.conv_id ORDER BY l.turn) - 1)::INTEGER, l.post_id, 'x:' || l.post_id, t.role, '', '', 'link' FROM l JOIN t ON l.conv_id = t.conv_id AND l.turn = t.turn
+""",
+}
 
-QUERIES = {f.__name__: f for f in (extract_json_ld, extract_css, extract_page_fields, quorum_page_fields, normalize_values, page_facts, read_json_values, flatten_threads, thread_rows_complete, provider_breakers, freshness_replay, score_fragility, prune_snapshots, run_acceptance_cases)}
+QUERIES = {f.__name__: f for f in (extract_json_ld, extract_css, extract_page_fields, quorum_page_fields, normalize_values, page_facts, read_json_values, flatten_threads, thread_rows_complete, provider_breakers, freshness_replay, score_fragility, prune_snapshots, run_acceptance_cases, mutate_pages, judge_reactions, evaluate_pages, parse_social_pages)}

@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _oracle(name) for name in OPERATORS}
+    return {name: _oracle(name) for name in OPERATORS} | page_queries.ORACLE_SQL
