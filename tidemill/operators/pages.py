@@ -110,10 +110,12 @@ def read_json_values(df: DataFrame, column: str, paths: list[str], *keys: str) -
     """
     each = []
     for path in paths:
-        value = F.to_json(json_at(F.col(column), path))
+        check_path(path)
+        value = F.to_json(_walk(F.col("_json"), path.split(".")))
         there = value.isNotNull() & (value != "null") & ~value.rlike(r"^\[(null(,null)*)?\]$")
         each.append(F.struct(F.lit(path).alias("path"), value.alias("value"), F.coalesce(there, F.lit(False)).alias("present")))
-    return df.select(*keys, F.explode(F.array(*each)).alias("e")).select(*keys, "e.path", "e.value", "e.present")
+    parsed = df.select(*keys, whole_json(F.col(column)).alias("_json"))
+    return _exploded(parsed, F.array(*each), *keys)
 
 
 #: A value that an extractor found of a field.
@@ -126,14 +128,18 @@ def _listed(values: dict[str, Column]) -> Column:
     return F.filter(F.array(*each) if each else F.array().cast(f"array<{FOUND}>"), lambda x: x["value"].isNotNull())
 
 
-def _rows(df: DataFrame, found: Column, *keys: str) -> DataFrame:
-    return df.select(*keys, F.explode(found).alias("e")).select(*keys, "e.field", "e.value")
+def _exploded(df: DataFrame, found: Column, *keys: str) -> DataFrame:
+    """Rows ``(keys, <struct's fields>)``. Spark would push the test for empty lists of a plain explode below all that
+    makes them, and compute it twice; the outer one has no such test."""
+    return df.select(*keys, F.explode_outer(found).alias("_e")).where("_e is not null").select(*keys, "_e.*")
 
 
-def _json_values(text: Column, fields: dict[str, str]) -> dict[str, Column]:
+def _json_values(parsed: Column, fields: dict[str, str]) -> dict[str, Column]:
+    """Values by paths into a variant, which has to be a plain column: it is read for each of them."""
     out = {}
     for field, path in fields.items():
-        value = json_at(text, path)
+        check_path(path)
+        value = _walk(parsed, path.split("."))
         items = F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: ~F.is_variant_null(x))
         scalar = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
         out[field] = F.when(items.isNotNull(), F.when(F.size(items) > 0, F.to_json(F.to_variant_object(items)))).otherwise(scalar)
@@ -142,7 +148,7 @@ def _json_values(text: Column, fields: dict[str, str]) -> dict[str, Column]:
 
 def extract_json_fields(df: DataFrame, column: str, fields: dict[str, str], *keys: str) -> DataFrame:
     """EXT-04: ``(keys, field, value)``; nulls of lists are left out, and an empty list is no value."""
-    return _rows(df, _listed(_json_values(F.col(column), fields)), *keys)
+    return _exploded(df.select(*keys, whole_json(F.col(column)).alias("_json")), _listed(_json_values(F.col("_json"), fields)), *keys)
 
 
 # linked data, state, meta
@@ -198,12 +204,17 @@ def _ld_values(thing: Column, fields: list[str]) -> dict[str, Column]:
 
 def json_ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
     """``(keys, object)``: the first object, or member of an ``@graph``, of the wanted type."""
-    return df.select(*keys, _of_kind(_linked_data(F.col("body")), kind).alias("object")).where("object is not null")
+    return _ld_objects(df, kind, *keys).where("object is not null")
+
+
+def _ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
+    things = df.select(*keys, _linked_data(F.col("body")).alias("_things"))
+    return things.select(*keys, _of_kind(F.col("_things"), kind).alias("object"))
 
 
 def extract_json_ld(df: DataFrame, kind: str | None, fields: list[str], *keys: str) -> DataFrame:
     """EXT-01: ``(keys, field, value)`` of the first linked-data object of a type."""
-    return _rows(json_ld_objects(df, kind, *keys), _listed(_ld_values(F.col("object"), fields)), *keys)
+    return _exploded(_ld_objects(df, kind, *keys), _listed(_ld_values(F.col("object"), fields)), *keys)
 
 
 #: Names that pages assign their state to.
@@ -231,7 +242,7 @@ def _meta_values(body: Column, fields: dict[str, tuple]) -> dict[str, Column]:
 
 def extract_meta_fields(df: DataFrame, fields: dict[str, tuple], *keys: str) -> DataFrame:
     """EXT-02: ``(keys, field, value)``: the first name of each field that a meta tag has; of a name the first tag counts."""
-    return _rows(df, _listed(_meta_values(F.col("body"), fields)), *keys)
+    return _exploded(df, _listed(_meta_values(F.col("body"), fields)), *keys)
 
 
 # selectors
@@ -369,24 +380,34 @@ def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
     for kind in known:
         if kind not in ("json", "json_ld", "app_state", "meta", "css", "heuristic"):
             raise ValueError(f"no such extractor: {kind!r}")
-    body = F.when(F.col("content_kind") != "BINARY", F.col("body"))
+    body = F.col("_body")
     selectors = {f"{n} {field}": s for n, e in enumerate(extractors) if e["kind"] == "css" for field, s in e.get("fields", {}).items()}
     selectors |= {f"heuristic {tag}": tag for tag in HEURISTIC if "heuristic" in known}
-    helpers = {}
+    # what is read more than once gets a column of its own, so that it is computed once
+    read, helpers = df.withColumn("_body", F.when(F.col("content_kind") != "BINARY", F.col("body"))), {"_body"}
+
+    def keep(**columns: Column) -> None:
+        nonlocal read
+        read = read.withColumns(columns)
+        helpers.update(columns)
+
     if selectors:
-        helpers["_css"] = _css_values(body, selectors)
+        keep(_css=_css_values(body, selectors))
+    if "json" in known:
+        keep(_json=whole_json(F.when(F.col("content_kind") == "JSON", body)))
     if "app_state" in known:
-        helpers["_state"] = _state(body)
+        keep(_state_text=_state(body))
+        keep(_state=whole_json(F.col("_state_text")))
     if "json_ld" in known:
-        helpers["_things"] = _linked_data(body)
-    read = df.withColumns({name: value for name, value in helpers.items()}) if helpers else df
+        keep(_things=_linked_data(body))
+        keep(**{f"_thing{n}": _of_kind(F.col("_things"), e.get("type")) for n, e in enumerate(extractors) if e["kind"] == "json_ld"})
     found = []
     for n, e in enumerate(extractors):
         kind, fields = e["kind"], e.get("fields", {})
         if kind == "json":
-            values = _json_values(F.when(F.col("content_kind") == "JSON", F.col("body")), fields)
+            values = _json_values(F.col("_json"), fields)
         elif kind == "json_ld":
-            values = _ld_values(_of_kind(F.col("_things"), e.get("type")), list(fields))
+            values = _ld_values(F.col(f"_thing{n}"), list(fields))
         elif kind == "app_state":
             values = _json_values(F.col("_state"), fields)
         elif kind == "meta":
@@ -398,12 +419,12 @@ def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
         source = {"json": "json_path"}.get(kind, kind)
         found.append(F.transform(_listed(values), lambda x: F.struct(x["field"].alias("field"), F.lit(n + 1).alias("position"), F.lit(source).alias("source"), x["value"].alias("value"))))
     whole = F.filter(F.concat(*found), lambda x: x["value"] != "")
-    return read.withColumn("values", whole).drop(*helpers)
+    return read.withColumn("values", whole).drop(*sorted(helpers))
 
 
 def extractor_values(df: DataFrame, extractors: list[dict], *keys: str) -> DataFrame:
     """``(keys, field, position, source, value)`` of every extractor of a profile, in its declared order."""
-    return with_values(df, extractors).select(*keys, F.explode("values").alias("v")).select(*keys, "v.field", "v.position", "v.source", "v.value")
+    return _exploded(with_values(df, extractors), F.col("values"), *keys)
 
 
 def _of_field(field: str) -> Column:
@@ -414,7 +435,7 @@ def page_fields(df: DataFrame, extractors: list[dict], *keys: str) -> DataFrame:
     """EXT-07 in one pass: ``(keys, field, value, source)``, per field that of the first extractor that has one."""
     fields = sorted({f for e in extractors for f in e.get("fields", {})} | {"title" for e in extractors if e["kind"] == "heuristic"})
     first = F.array(*[F.get(_of_field(f), 0) for f in fields])
-    return with_values(df, extractors).select(*keys, F.explode(F.filter(first, lambda x: x.isNotNull())).alias("v")).select(*keys, "v.field", "v.value", "v.source")
+    return _exploded(with_values(df, extractors), F.filter(first, lambda x: x.isNotNull()), *keys).select(*keys, "field", "value", "source")
 
 
 def page_quorum(df: DataFrame, extractors: list[dict], fields: list[str], *keys: str) -> DataFrame:
@@ -425,7 +446,7 @@ def page_quorum(df: DataFrame, extractors: list[dict], fields: list[str], *keys:
         texts = F.array_distinct(F.transform(own, lambda x: x["value"]))
         agreement = F.when(F.size(own) == 0, "missing").when(F.size(texts) > 1, "conflict").when(F.size(own) > 1, "high").otherwise("medium")
         each.append(F.struct(F.lit(field).alias("field"), agreement.alias("agreement"), F.size(own).cast("long").alias("sources"), F.get(own, 0)["value"].alias("value")))
-    return with_values(df, extractors).select(*keys, F.explode(F.array(*each)).alias("v")).select(*keys, "v.field", "v.agreement", "v.sources", "v.value")
+    return _exploded(with_values(df, extractors), F.array(*each), *keys)
 
 
 def first_values(values: DataFrame, *keys: str) -> DataFrame:
