@@ -22,7 +22,9 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,6 +128,21 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and the compressed bytes of ``text``: texts that move weigh less than half."""
+
+    @F.arrow_udf("binary")
+    def compressed(texts: pa.Array) -> pa.Array:
+        pack = zstandard.ZstdCompressor(level=3)
+        return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts.cast(pa.binary())], pa.binary())
+
+    return docs.select("doc_id", compressed("text").alias("zipped"))
+
+
+def _unzipped(packed: bytes | None) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed) if packed else b"", np.uint8)
+
+
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the runs of equal values in a sorted array."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
@@ -238,11 +255,11 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
         for doc_id, kind, c in zip(known.doc_id, known.kind, known.contexts, strict=True):
             of.setdefault((doc_id, kind), []).append(np.frombuffer(c, np.uint64))
         out = []
-        for doc_id, text in zip(texts.doc_id, texts.text, strict=True):
+        for doc_id, packed in zip(texts.doc_id, texts.zipped, strict=True):
             own = {k: np.concatenate(of[doc_id, k]) for k in (SETTLED, OPEN, HOT) if (doc_id, k) in of}
             if not own:
                 continue
-            data = _bytes(text)
+            data = _unzipped(packed)
             h, context, first, end = segments(data, length)
             raw, which = data.tobytes(), xxhash.xxh3_64_intdigest(data.tobytes()) - (1 << 63)
             if SETTLED in own:
@@ -266,7 +283,7 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 out += [(xxhash.xxh3_64_intdigest(run) % int(shards), doc_id, which, _packed(p), 1, run) for run, p in runs.items()]
         return pd.DataFrame(out, columns=["shard", "doc_id", "which", "places", "runs", "context"])
 
-    left, right = docs.withColumn("deal", deal), shared.withColumn("deal", deal)
+    left, right = zipped(docs).withColumn("deal", deal), shared.withColumn("deal", deal)
     pairs = left.groupBy("deal").cogroup(right.groupBy("deal"))
     return pairs.applyInPandas(cut, "shard int, doc_id long, which long, places binary, runs int, context binary")
 
@@ -426,15 +443,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
         found = found.sort_values("doc_id")
         ids, lo, hi, which = (found[c].to_numpy(np.int64) for c in ("doc_id", "lo", "hi", "which"))
         out = []
-        for doc_id, text in zip(texts.doc_id, texts.text, strict=True):
+        for doc_id, packed in zip(texts.doc_id, texts.zipped, strict=True):
             a, b = np.searchsorted(ids, [doc_id, doc_id + 1])
-            data = _bytes(text)
+            data = _unzipped(packed)
             # rows that share an id may have different texts
             ok = which[a:b] == xxhash.xxh3_64_intdigest(data.tobytes()) - (1 << 63)
             out.append((doc_id, len(data), *_removed(data, lo[a:b][ok], hi[a:b][ok], length)))
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    left, right = inside_hit(rest).withColumn("deal", deal), ranges.withColumn("deal", deal)
+    left, right = zipped(inside_hit(rest)).withColumn("deal", deal), ranges.withColumn("deal", deal)
     touched = left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(cut, RESULT)
     return whole.unionByName(untouched).unionByName(touched)
