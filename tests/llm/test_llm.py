@@ -1,7 +1,10 @@
 """Operators of the training-data pipeline against brute force, on a table of hard cases."""
 
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -188,10 +191,59 @@ def test_secrets(docs, empty):
     found = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert (found[42].n_assign, found[42].n_access, found[42].n_hex) == (1, 1, 1) and found[42].n_guess >= 1
     assert found[30].spans == "" and secrets.scan(empty).count() == 0
-    assert secrets.guess_cost("password123") < secrets.guess_cost("q7Zp-Rx2!vBk")
+    assert secrets.guess_bits("password123") < secrets.guess_bits("q7Zp-Rx2!vBk")
     assert "AKIA" not in secrets.redact(dict((i, t) for i, t, _, _ in HARD)[42])
 
 
+def plain_bits(value, ranks):
+    """The cheapest segmentation by trying every pair of places."""
+    low, n = value.lower(), len(value)
+    plain, each = low.translate(secrets.LEET), math.log2(secrets._alphabet(value))
+    best = [0.0] + [math.inf] * n
+    rows = [r for row in secrets.KEYBOARD for r in (row, row[::-1])]
+    for i in range(n):
+        dated = secrets.DATE.match(value, i)
+        for j in range(i + 1, n + 1):
+            part, costs = value[i:j], []
+            if j == i + 1:
+                costs.append(each - 1)
+            word = plain[i:j] if plain[i:j] in ranks.of else low[i:j]
+            if j - i >= 3 and word in ranks.of:
+                upper = sum(c.isupper() for c in part)
+                costs.append(math.log2(ranks.of[word] + 1) + (0 if not upper else 1 if upper in (1, j - i) else upper) + (plain[i:j] != low[i:j] and low[i:j] not in ranks.of))
+            if dated and dated.end() == j:
+                costs.append(math.log2(365 * 120 if j - i > 4 else 120))
+            if j - i >= 3 and any(low[i:j] in row for row in rows):
+                costs.append(math.log2(len(secrets.KEYBOARD) * 26 * 2 * (j - i)))
+            for unit in range(1, 9):
+                if (j - i) % unit == 0 and j - i >= 2 * unit and part == part[:unit] * ((j - i) // unit) and (unit > 1 or value[i : i + 3] == value[i] * 3):
+                    costs.append(unit * each + math.log2((j - i) // unit))
+            for c in costs:
+                best[j] = min(best[j], best[i] + c + 1)
+    return best[n]
+
+
+def test_guess_cost_is_the_optimum():
+    rng = random.Random(4)
+    ranks = secrets.Ranks(["horse", "battery", "staple"])
+    pieces = ["password", "P4ssw0rd", "horse", "Battery", "qwerty", "4321", "abc", "1999", "2020-05-17", "aaaa", "xyxyxy", "abcdeabcde", "q7Z", "!", "zzz", "é", "Tr0ub4dor&3"]
+    for _ in range(400):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 7)))[: rng.randrange(1, 45)]
+        assert math.isclose(secrets.guess_bits(value, ranks), plain_bits(value, ranks), abs_tol=1e-9), value
+    began = time.time()
+    assert secrets.guess_bits("a" * 50_000) < 45 < secrets.guess_bits("".join(rng.choice("abcdefgh") for _ in range(50_000)))
+    assert time.time() - began < 20
+
+
+def test_base_secrets_by_hand(docs):
+    text = dict((i, t) for i, t, *_ in HARD)[42]
+    base = [("assign", m.start(), m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I) if len(m[2]) >= 12]
+    base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    base.sort(key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+    found = secrets.scan(docs).where("doc_id = 42").first()
+    assert found.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest() and len(base) >= 3
+
+
 def test_packing(docs, empty):
     rows = packing.pack(docs).collect()
     by = {}

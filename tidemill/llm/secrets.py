@@ -108,6 +108,10 @@ def _alphabet(value: str) -> int:
     return max(10, sum(n for f, n in sizes if any(map(f, value))) + 33 * any(not c.isalnum() for c in value))
 
 
+#: Repeated units are looked for up to this many characters.
+LONGEST_UNIT = 8
+
+
 @lru_cache(maxsize=4096)
 def guess_bits(value: str, ranks: Ranks = FIXED) -> float:
     """Log2 of the guesses for the cheapest segmentation of ``value``.
@@ -119,6 +123,8 @@ def guess_bits(value: str, ranks: Ranks = FIXED) -> float:
     plain = low.translate(LEET)
     each = log2(_alphabet(value))
     best = [0.0] + [float("inf")] * n
+    repeats = [(unit, _repeats(value, unit)) for unit in range(1, min(LONGEST_UNIT, n // 2) + 1)]
+    followed: dict[tuple[int, int, int], int] = {}
 
     def reach(start: int, end: int, bits: float) -> None:
         best[end] = min(best[end], best[start] + bits + 1)
@@ -134,18 +140,26 @@ def guess_bits(value: str, ranks: Ranks = FIXED) -> float:
         if (end := _walks(low, i)) - i >= 3:
             for j in range(i + 3, end + 1):
                 reach(i, j, log2(len(KEYBOARD) * 26 * 2 * (j - i)))
-        for unit in (1, 2, 3, 4):
-            k = i + unit
-            while value[k : k + unit] == value[i : i + unit] and k + unit <= n:
-                k += unit
-            for j in range(i + 2 * unit, k + 1, unit) if k - i >= max(3, 2 * unit) else ():
+        for unit, ends in repeats:
+            if (end := ends[i]) - i < max(3, 2 * unit):
+                continue
+            # a start further on in a repetition that has been followed already gains nothing if it costs more than the length it saves
+            begun = followed.get((unit, end, i % unit))
+            if begun is not None and best[i] - best[begun] >= log2((i - begun) / (2 * unit) + 1):
+                continue
+            followed[unit, end, i % unit] = i
+            for j in range(i + 2 * unit, end + 1, unit):
                 reach(i, j, unit * each + log2((j - i) // unit))
     return best[n]
 
 
-def guess_cost(value: str, part: int = 200, ranks: Ranks = FIXED) -> float:
-    """``guess_bits`` of a value of any length: the sum over its parts."""
-    return sum(guess_bits(value[k : k + part], ranks) for k in range(0, len(value), part))
+def _repeats(value: str, unit: int) -> list[int]:
+    """Up to where ``value`` goes on in steps of ``unit`` characters, from each place."""
+    n = len(value)
+    ends = [n] * n
+    for i in range(n - unit - 1, -1, -1):
+        ends[i] = ends[i + 1] if value[i] == value[i + unit] else i + unit
+    return ends
 
 
 def spans_of(text: str | None, bits: float = 45.0, least: int = 8, ranks: Ranks = FIXED) -> list[tuple[str, int, int]]:
@@ -156,7 +170,7 @@ def spans_of(text: str | None, bits: float = 45.0, least: int = 8, ranks: Ranks
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(TAIL)
-        if len(value) >= least and guess_cost(value, ranks=ranks) >= bits:
+        if len(value) >= least and guess_bits(value, ranks) >= bits:
             found.append(("guess", m.start(1), m.start(1) + len(value)))
     order = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
