@@ -29,7 +29,7 @@ def name(d, tag: str) -> str:
 
 def attribute(d, tag: str, key: str) -> str:
     """A quoted attribute of a tag in lower case; empty if there is none."""
-    return f"lower({d.ext(tag, rf'(?i)[^A-Za-z0-9-]{key}\\s*=\\s*[\\x22\\x27]([^\\x22\\x27]*)', 1)})"
+    return f"lower({d.ext(tag, rf'(?i)[^A-Za-z0-9-]{key}\s*=\s*[\x22\x27]([^\x22\x27]*)', 1)})"
 
 
 def scripts(d, body: str) -> str:

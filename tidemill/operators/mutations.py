@@ -141,10 +141,12 @@ def damage_markup(text: str, kind: str, target: str) -> str:
         close = code.lower().rfind("</script")
         code = code[:close] if close >= 0 else code
         try:
-            fewer = json.dumps(_without(json.loads(code), _names(target)))
+            value = json.loads(code)
+            fewer = _without(value, _names(target))
         except (ValueError, RecursionError):
             continue
-        cuts.append((start, start + len(code), fewer))
+        if fewer != value:
+            cuts.append((start, start + len(code), json.dumps(fewer)))
     for start, end, instead in sorted(cuts, reverse=True):
         text = text[:start] + instead + text[end:]
     return text

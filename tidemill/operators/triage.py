@@ -10,7 +10,7 @@ def first_rule(d, url: str, column: str) -> str:
     """A column of the first rule, in declared order, whose pattern matches; rules are one small array."""
     if d.duck:
         return f"list_filter(k.rules, lambda x: regexp_matches({url}, x.pattern))[1].{column}"
-    return f"filter(k.rules, x -> {url} RLIKE x.pattern)[0].{column}"
+    return f"get(filter(k.rules, x -> {url} RLIKE x.pattern), 0).{column}"
 
 
 #: What a rule asks of a body; lists are joined by semicolons, and an empty text asks nothing.
