@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import json_paths, load
 from tidemill.operators.base import DUCK, OPERATORS
-from tidemill.plans import page_queries
+from tidemill.plans import page_queries, stream_queries
 from tidemill.plans.fixtures import BASES, FIXTURES
 
 load()
@@ -85,8 +85,8 @@ PLAIN = {f.__name__: f for f in (json_leaf_paths, schema_signatures, locate_fiel
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in OPERATORS} | PLAIN | page_queries.QUERIES
+    return {name: partial(run, name) for name in OPERATORS} | PLAIN | page_queries.QUERIES | stream_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _oracle(name) for name in OPERATORS} | page_queries.ORACLE_SQL
+    return {name: _oracle(name) for name in OPERATORS} | page_queries.ORACLE_SQL | stream_queries.oracle_sql(_oracle)
