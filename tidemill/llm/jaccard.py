@@ -304,7 +304,7 @@ def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
     return labels.join(twice, "component", "left").select("cls", F.coalesce("to", "component").alias("component"))
 
 
-def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 4) -> DataFrame:
+def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
 
     Texts link when their word shingles have a Jaccard similarity of at least
