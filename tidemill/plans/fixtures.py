@@ -41,6 +41,7 @@ SELECT page_id, CASE WHEN page_id % 50 IN (11, 12, 13) THEN concat('https://api.
        WHEN page_id % 20 IN (16, 17) THEN 'Service Unavailable'
        WHEN page_id % 20 = 18 THEN '<html><body>verify you are human</body></html>'
        WHEN page_id % 20 = 19 THEN '<html><body>not found</body></html>'
+       WHEN page_id % 3 = 0 THEN replace(html, '</title>', concat('</title><meta property="og:title" content="OG ', CAST(page_id AS STRING), '"><meta name="description" content="about ', CAST(page_id AS STRING), '">'))
        ELSE html END AS body
 FROM pages
 """,
