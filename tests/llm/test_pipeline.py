@@ -135,3 +135,31 @@ def test_ids_are_those_of_the_whole_text():
 def test_common_words_keep_the_bound(spark):
     docs = table(spark, [(0, "aaa aaa aaa bbb bbb ccc ccc ddd", "s0")])
     assert [secrets.common_words(docs, n) for n in (0, 1, 2, 3)] == [[], ["aaa"], ["aaa"], ["aaa", "bbb", "ccc"]]
+
+
+def test_pipeline_runs_whole(spark):
+    """All five stages on the smallest tables: what is packed are whole documents that survived, in full sequences."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert rows and {r.doc_id for r in rows} <= docs.keys()
+    sequences, pieces = {}, {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    # a document is packed as often as it was drawn, each time with all of its pieces, and its masked text has about the ids of its own
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for doc_id, own in pieces.items():
+        draws = sum(p == 0 for p, _, _ in own)
+        assert len(own) % draws == 0 and len(set(own)) == len(own) // draws
+        ids = sum(n for _, _, n in set(own))
+        assert abs(ids - 1 - len(plain.encode(secrets.redact(docs[doc_id] or ""), add_special_tokens=False).ids)) <= max(40, ids // 10)
+    good = [labels[d] for d in pieces if d in labels]
+    assert sum(good) / len(good) > 0.9
