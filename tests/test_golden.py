@@ -81,3 +81,18 @@ def test_percentile_is_the_element_at_the_cut_index(spark):
     log = [("a", float(x)) for x in (5, 1, 3, 3, 9, 7)] + [("b", 2.0), ("c", None)]
     found = OPERATORS["latency_percentiles"](spark, attempts=spark.createDataFrame(log, "domain string, latency_ms double"))
     assert rows(found, "domain", "p50", "p95", "p99", "most") == [("a", 5.0, 9.0, 9.0, 9.0), ("b", 2.0, 2.0, 2.0, 2.0)]
+
+
+def test_one_spelling_of_an_address(spark):
+    cases = {
+        "HTTPS://Example.COM:443/a/../b/?utm_source=x&z=1&a=2#frag": "https://example.com/b/?a=2&z=1",
+        "http://x.example:8080/p": "http://x.example:8080/p",
+        "http://u:p@X.example:80": "http://x.example/",
+        "https://x.example/./a//../b/./c/..": "https://x.example/a//b",
+        "https://x.example/../..": "https://x.example/",
+        " https://x.example/p?b=&a&Ref=1&c=x,y+z%2fq&&b=1 ": "https://x.example/p?a=&b=&b=1&c=x%2Cy+z%2Fq",
+        "https://x.example/p?q=%C3%A9~*&q=A": "https://x.example/p?q=A&q=%C3%A9~%2A",
+        "https://x.example?gclid=1": "https://x.example/",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    assert {r.page_id: r.canonical_url for r in OPERATORS["canonicalize_urls"](spark, responses=rows).collect()} == dict(enumerate(cases.values()))

@@ -92,6 +92,30 @@ class Dialect:
         """An element counted from the end, from 1; null if there is none."""
         return f"try_element_at({array}, -{place})"
 
+    def mapped(self, array: str, value: Callable[[str], str]) -> str:
+        return f"transform({array}, t -> {value('t')})"
+
+    def pair(self, first: str, second: str) -> str:
+        return f"struct({first} AS a, {second} AS b)"
+
+    def ordered(self, array: str) -> str:
+        return f"sort_array({array})"
+
+    def glued(self, array: str, separator: str) -> str:
+        return f"array_join({array}, '{separator}')"
+
+    def folded(self, array: str, step: Callable[[str, str], str]) -> str:
+        """A text made from texts, one after the other, from an empty one on."""
+        return f"aggregate({array}, '', (acc, t) -> {step('acc', 't')})"
+
+    def decoded(self, x: str) -> str:
+        """A form value as it was meant; as it stands where that can't be read."""
+        return f"coalesce(try_url_decode({x}), {x})"
+
+    def encoded(self, x: str) -> str:
+        """A text as a form value: letters, digits and ``_.-~`` stay, spaces become ``+``."""
+        return f"replace(replace(url_encode({x}), '%7E', '~'), '*', '%2A')"
+
     def at(self, array: str, place: int) -> str:
         """An element counted from 1; null if there is none."""
         return f"get({array}, {place - 1})"
@@ -178,6 +202,27 @@ class Oracle(Dialect):
     def from_end(self, array, place):
         return f"{array}[-{place}]"
 
+    def mapped(self, array, value):
+        return f"list_transform({array}, lambda t: {value('t')})"
+
+    def pair(self, first, second):
+        return f"struct_pack(a := {first}, b := {second})"
+
+    def ordered(self, array):
+        return f"list_sort({array})"
+
+    def glued(self, array, separator):
+        return f"array_to_string({array}, '{separator}')"
+
+    def folded(self, array, step):
+        return f"list_reduce(list_prepend('', {array}), lambda acc, t: {step('acc', 't')})"
+
+    def decoded(self, x):
+        return f"url_decode(replace({x}, '+', ' '))"
+
+    def encoded(self, x):
+        return f"replace(url_encode({x}), '%20', '+')"
+
     def at(self, array, place):
         return f"{array}[{place}]"
 

@@ -52,8 +52,11 @@ def discovery_summary(d):
 
 @operator("endpoint_candidates")
 def order_candidates(d):
-    """TOP-07: rejected last, the most observed first."""
-    return "SELECT identity, n, state, CAST(row_number() OVER (ORDER BY CASE WHEN state LIKE 'REJECTED%' THEN 1 ELSE 0 END, n DESC, identity) AS BIGINT) AS rnk FROM @endpoint_candidates"
+    """TOP-07: rejected last, the most observed first. Places are given within rows of one count, after the sums of the counts before; only those sums meet."""
+    return """WITH c AS (SELECT identity, n, state, CASE WHEN state LIKE 'REJECTED%' THEN 1 ELSE 0 END AS late FROM @endpoint_candidates),
+    g AS (SELECT late, n, count(*) AS rows_of FROM c GROUP BY late, n),
+    b AS (SELECT late, n, coalesce(sum(rows_of) OVER (ORDER BY late, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+    SELECT c.identity, c.n, c.state, CAST(b.before + row_number() OVER (PARTITION BY c.late, c.n ORDER BY c.identity) AS BIGINT) AS rnk FROM c JOIN b ON c.late = b.late AND c.n = b.n"""
 
 
 @operator("endpoint_candidates")

@@ -23,16 +23,29 @@ def _parts(d, table: str, key: str, extra: str = "") -> str:
       {d.ext("url", "^[^?#]*[?]([^#]*)", 1)} AS query FROM {table}"""
 
 
+def canonical(d, url: str) -> str:
+    """One spelling of an address. No row is taken apart: path and query are arrays of the row.
+
+    Scheme and host are lower, user, default port, fragment and tracking parameters gone,
+    dot segments followed, pairs decoded, sorted and written anew; an empty path is ``/``.
+    """
+    scheme = f"lower({d.ext(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)})"
+    host = f"lower({d.ext(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*@)?([^/?#]*)', 2)})"
+    path, query = d.ext(url, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), d.ext(url, "^[^?#]*[?]([^#]*)", 1)
+    place = f"CASE {scheme} WHEN 'http' THEN {d.sub(host, ':80$', '')} WHEN 'https' THEN {d.sub(host, ':443$', '')} ELSE {host} END"
+    step = lambda acc, t: f"CASE WHEN {t} = '.' THEN {acc} WHEN {t} = '..' THEN CASE WHEN {acc} = '' OR right({acc}, 1) = '/' THEN {acc} ELSE {d.sub(acc, '/[^/]*$', '')} END ELSE concat({acc}, '/', {t}) END"
+    walked = f"CASE WHEN {path} = '' THEN '' ELSE {d.folded(d.pieces(f'substring({path}, 2)', '/'), step)} END"
+    key, value = lambda t: d.decoded(f"split_part({t}, '=', 1)"), lambda t: d.decoded(f"CASE WHEN position('=' IN {t}) > 0 THEN substring({t}, position('=' IN {t}) + 1) ELSE '' END")
+    pairs = d.mapped(d.among(d.pieces(query, "&"), lambda t: f"{t} <> ''"), lambda t: d.pair(key(t), value(t)))
+    kept = d.among(pairs, lambda t: f"lower({t}.a) NOT IN ({_quoted(TRACKING)})")
+    written = d.glued(d.mapped(d.ordered(kept), lambda t: f"concat({d.encoded(f'{t}.a')}, '=', {d.encoded(f'{t}.b')})"), "&")
+    return f"concat({scheme}, '://', {place}, coalesce(nullif({walked}, ''), '/'), CASE WHEN {written} = '' THEN '' ELSE concat('?', {written}) END)"
+
+
 @operator("responses")
 def canonicalize_urls(d):
-    """PRJ-01: lower scheme and host, no default port, fragment or tracking parameters, sorted query."""
-    return f"""WITH parts AS ({_parts(d, "@responses", "page_id")}),
-    pairs AS ({d.split_rows("parts", "page_id", "query", "&")}),
-    kept AS (SELECT page_id, {d.joined("part")} AS q FROM (SELECT page_id, replace(part, ',', '%2C') AS part FROM pairs
-      WHERE part <> '' AND lower({d.ext("part", "^([^=]*)", 1)}) NOT IN ({_quoted(TRACKING)})) t GROUP BY page_id)
-    SELECT p.page_id, concat(scheme, '://', {d.sub("CASE WHEN scheme = 'http' THEN " + d.sub("host", ":80$", "") + " ELSE " + d.sub("host", ":443$", "") + " END", "^$", "")},
-      CASE WHEN path = '' THEN '/' ELSE path END, CASE WHEN k.q IS NULL THEN '' ELSE concat('?', replace(k.q, ',', '&')) END) AS canonical_url
-    FROM parts p LEFT JOIN kept k ON p.page_id = k.page_id"""
+    """PRJ-01: one spelling of each address."""
+    return f"SELECT page_id, {canonical(d, 'trim(url)')} AS canonical_url FROM @responses"
 
 
 def _redacted(d, table: str, key: str, keys, mask: str) -> str:
