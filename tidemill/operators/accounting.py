@@ -121,12 +121,20 @@ def paid_eligible_urls(d):
     SELECT l.url FROM l LEFT JOIN (SELECT DISTINCT url FROM @attempts WHERE level = 'L3' AND cost_certainty = 'EXACT') p ON l.url = p.url WHERE l.verdict IN ('BLOCKED', 'SOFT_BLOCK') AND p.url IS NULL"""
 
 
-@operator("attempts", "url_accounting", "drift_findings")
+#: Share of disagreeing pages from which a field's quorum deserves a look.
+CONFLICTS_TO_ALERT = 0.1
+
+
+@operator("attempts", "url_accounting", "drift_findings", "validate_staging", "quorum_fields")
 def derive_alerts(d):
-    """SNK-04: rows that deserve a human."""
-    return """SELECT 'unaccounted' AS kind, concat(CAST(unaccounted AS VARCHAR(20)), ' URLs') AS message FROM @url_accounting WHERE unaccounted <> 0
+    """SNK-04: rows that deserve a human: URLs unaccounted for, paid calls of unknown cost, dead zones, drift and staging that block promotion, and quorum conflicts."""
+    text = lambda x: f"CAST({x} AS VARCHAR(40))"
+    return f"""SELECT 'unaccounted' AS kind, concat({text("unaccounted")}, ' URLs') AS message FROM @url_accounting WHERE unaccounted <> 0
+    UNION ALL SELECT 'stranded_paid', concat(provider, ': ', {text("count(*)")}, ' calls of unknown cost') FROM @attempts WHERE cost_certainty = 'UNKNOWN' AND provider IS NOT NULL GROUP BY provider
+    UNION ALL SELECT 'dead_zone', domain FROM @attempts GROUP BY domain HAVING count_if(verdict IN ('BLOCKED', 'SOFT_BLOCK')) > 0.5 * count(*)
     UNION ALL SELECT 'drift_block', concat(field, ': ', finding) FROM @drift_findings WHERE severity = 'block'
-    UNION ALL SELECT 'dead_zone', domain FROM @attempts GROUP BY domain HAVING count_if(verdict IN ('BLOCKED', 'SOFT_BLOCK')) > 0.5 * count(*)"""
+    UNION ALL SELECT 'promote_rejected', reason FROM @validate_staging WHERE reason <> 'ok'
+    UNION ALL SELECT 'quorum_conflict', concat(field, ': ', {text("count_if(agreement = 'conflict')")}, ' of ', {text("count(*)")}) FROM @quorum_fields GROUP BY field HAVING count_if(agreement = 'conflict') > {CONFLICTS_TO_ALERT} * count(*)"""
 
 
 @operator("observations")

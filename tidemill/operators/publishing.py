@@ -11,9 +11,13 @@ FIELDS = ("lang", "source", "n_chars", "quality")
 
 @operator("records")
 def record_fields(d):
-    """One row per record and field: its value and JSON type; an absent field is null."""
-    one = lambda f: f"SELECT side, natural_key, url_class, lang_source, '{f}' AS field, {d.json('data', '$.' + f)} AS value, {d.json_type('data', f)} AS type FROM @records"
-    return " UNION ALL ".join(one(f) for f in FIELDS)
+    """One row per record and field: its value and JSON type; an absent field is null. The records are read once."""
+    parts = [(f"'{f}'", d.json("data", "$." + f), d.json_type("data", f)) for f in FIELDS]
+    if d.duck:
+        each = "unnest([" + ", ".join(f"struct_pack(field := {f}, value := {v}, type := {t})" for f, v, t in parts) + "])"
+    else:
+        each = "explode(array(" + ", ".join(f"struct({f} AS field, {v} AS value, {t} AS type)" for f, v, t in parts) + "))"
+    return f"SELECT side, natural_key, url_class, lang_source, f.field AS field, f.value AS value, f.type AS type FROM (SELECT side, natural_key, url_class, lang_source, {each} AS f FROM @records) r"
 
 
 @operator("record_fields")
