@@ -228,6 +228,10 @@ def _of_several(rows: DataFrame) -> DataFrame:
 WIDE = "s1 long, s2 long, wide int, tokens binary"
 
 
+#: Meetings for each set and fragment that are taken to cost no more than a round.
+MEETINGS = 4
+
+
 def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """Shingles of the documents in ``ids`` by wide fragment, and parity bitmaps at fragment -1."""
     docs, keep = ids_within(docs, ids)
@@ -286,6 +290,12 @@ def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
     return placed.join(open_, "sig")
 
 
+def _meetings(left: DataFrame) -> int:
+    """Pairs that meet if all sets of each fragment do."""
+    n = F.col("count")
+    return left.groupBy("sig").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+
+
 def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join."""
     bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
@@ -315,7 +325,8 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
     bits. Other columns are not read.
 
     ``rounds`` bounds how often a set meets one other set only, before all that are still
-    apart meet; it changes the cost and not the result.
+    apart meet; rounds also end when those would be few meetings. Both change the cost and
+    not the result.
     """
     if percent < 75:
         raise ValueError("fragments would mostly be empty below 75 percent")
@@ -347,7 +358,8 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
         held.append(left)
         if left.isEmpty():
             break
-        last = turn == rounds
+        # where few share a fragment, to let all of them meet costs no more than another round
+        last = turn == rounds or turn > 0 and _meetings(left) <= MEETINGS * left.count()
         if not last:
             pairs = scratch.keep(_best_partners(left, tested, turn))
             held.append(pairs)
