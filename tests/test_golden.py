@@ -96,3 +96,39 @@ def test_one_spelling_of_an_address(spark):
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
     assert {r.page_id: r.canonical_url for r in OPERATORS["canonicalize_urls"](spark, responses=rows).collect()} == dict(enumerate(cases.values()))
+
+
+def test_routes_by_evidence(spark):
+    """The declared order without evidence; the declared route held within its lead; cheaper and as reliable wins; slow loses; paid is no matter."""
+    declared, stats, signals = [], [], []
+
+    def group(name, *routes):
+        for position, (level, scored, bound, latency) in enumerate(routes):
+            declared.append((name, "c", position, "s", level))
+            if scored is not None:
+                stats.append((name, "c", "s", level, scored, bound))
+                signals.append((name, "c", "s", level, latency))
+
+    group("thin", ("L2", 7, 0.1, 1.0), ("L1", None, None, None), ("L0", 3, 0.9, 1.0))
+    group("held", ("L1", 20, 0.5, 1.0), ("L2", 20, 0.6, 1.0))
+    group("beaten", ("L1", 20, 0.5, 1.0), ("L2", 20, 0.7, 1.0))
+    group("cheap", ("L1", 20, 0.5, 1.0), ("L0", 20, 0.5, 1.0))
+    group("weak", ("L1", 20, 0.52, 1.0), ("L0", 20, 0.5, 1.0))
+    group("slow", ("L1", 20, 0.9, 60000.0), ("L2", 20, 0.9, 2000.0), ("L0", 20, 0.1, 1.0))
+    group("paid", ("L3", 20, 0.9, 1.0), ("L1", 20, 0.2, 1.0), ("L0", 20, 0.1, 1.0))
+    keys = "domain string, url_class string"
+    tables = {
+        "declared_routes": spark.createDataFrame(declared, f"{keys}, position int, strategy string, level string"),
+        "route_stats": spark.createDataFrame(stats, f"{keys}, strategy string, level string, scored long, bound double"),
+        "ewma_signals": spark.createDataFrame(signals, f"{keys}, strategy string, level string, latency_ms double"),
+    }
+    rows = OPERATORS["rank_routes"](spark, **tables).collect()
+    order, scores = {}, {(r.domain, r.level): r.score for r in rows}
+    for r in sorted(rows, key=lambda r: (r.domain, r.rnk)):
+        if not r.shadow_probe:
+            order.setdefault(r.domain, []).append(r.level)
+    probing = {r.domain for r in rows if r.shadow_probe}
+    wanted = {"thin": ["L2", "L0", "L1"], "held": ["L1", "L2"], "beaten": ["L2", "L1"], "cheap": ["L0", "L1"], "weak": ["L1", "L0"], "slow": ["L2", "L1", "L0"], "paid": ["L1", "L0"]}
+    assert {k: v for k, v in order.items() if k not in probing} == {k: v for k, v in wanted.items() if k not in probing} and len(probing) <= 2
+    assert scores["slow", "L1"] == 0.87 and scores["held", "L1"] == 0.62 and scores["thin", "L2"] == 0.9 and scores["thin", "L0"] == 0.7
+    assert {r.domain for r in rows if r.held} == {"held", "weak"}

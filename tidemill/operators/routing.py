@@ -112,8 +112,34 @@ def recovery_hints(d):
     SELECT digest, next_level AS route, ok AS successes, n AS observations FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY ok DESC, next_level) AS r FROM c) x WHERE r = 1"""
 
 
-@operator("route_stats")
+#: Scored attempts from which a route's own history counts, the lead that displaces the declared route, and the share of classes that probe.
+LEAST_SCORED, LEAD, PROBES = 8, 0.1, 0.05
+#: Latency from which a route loses points, and the most that it loses.
+SLOW_MS, MOST_PENALTY = 2000.0, 0.15
+#: Changes which classes probe; a run takes its own.
+PROBE_SEED = 0
+
+
+@operator("declared_routes", "route_stats", "ewma_signals")
 def rank_routes(d):
-    """WIN-06: routes by evidence: bound, cheapness, and the declared order where evidence is thin."""
-    return """WITH s AS (SELECT *, CASE WHEN scored < 8 THEN 0.7 - 0.05 * CAST(substring(level, 2) AS INT) ELSE bound + 0.2 * (1 - CAST(substring(level, 2) AS INT) / 4.0) END AS score FROM @route_stats)
-    SELECT domain, url_class, strategy, level, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY domain, url_class ORDER BY score DESC, level, strategy) AS BIGINT) AS rnk FROM s"""
+    """WIN-06: the free routes of each class by evidence, with the declared order where there is little of it.
+
+    Evidence is the bound, a preference for cheap levels and a penalty for slow ones. The
+    declared first route stays in front unless another leads clearly, or is cheaper and no
+    less reliable. In a few classes, by a hash, the cheapest observed route below the
+    leader's level goes first, to be tried again.
+    """
+    same = lambda t: " AND ".join(f"r.{c.strip()} = {t}.{c.strip()}" for c in ROUTE.split(","))
+    whole = "OVER (PARTITION BY domain, url_class)"
+    first = lambda x: f"max(CASE WHEN place = 1 THEN {x} END) {whole}"
+    own = lambda x: f"max(CASE WHEN position = 0 THEN {x} END) {whole}"
+    drawn = d.hex_number(f"substring({d.sha(f"concat(domain, '/', url_class, '/{PROBE_SEED}')")}, 1, 8)")
+    return f"""WITH r AS (SELECT r.*, CAST(substring(r.level, 2) AS INT) AS lvl, s.scored, s.bound, e.latency_ms FROM @declared_routes r LEFT JOIN @route_stats s ON {same("s")} LEFT JOIN @ewma_signals e ON {same("e")}),
+    k AS (SELECT *, CASE WHEN coalesce(scored, 0) >= {LEAST_SCORED} THEN bound ELSE 0.0 END AS confidence, CASE WHEN coalesce(scored, 0) >= {LEAST_SCORED} THEN bound + 0.2 * (4 - lvl) / 5.0 - least({MOST_PENALTY}, 0.05 * greatest(0.0, latency_ms - {SLOW_MS}) / {SLOW_MS})
+      WHEN position = 0 THEN 0.9 ELSE 0.7 - 0.05 * lvl END AS score FROM r WHERE lvl < 3),
+    o AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY round(score, 9) DESC, position) AS place FROM k),
+    l AS (SELECT *, {first("position")} AS lead_position, {first("lvl")} AS lead_lvl, {first("confidence")} AS lead_confidence, {first("score")} AS lead_score, {own("lvl")} AS own_lvl, {own("confidence")} AS own_confidence, {own("score")} AS own_score FROM o),
+    h AS (SELECT *, coalesce(lead_position <> 0 AND NOT (lead_lvl < own_lvl AND lead_confidence >= own_confidence AND lead_confidence > 0) AND lead_score - own_score < {LEAD}, FALSE) AS holds FROM l),
+    f AS (SELECT *, CASE WHEN holds AND position = 0 THEN 0 ELSE place END AS turn, CASE WHEN holds THEN own_lvl ELSE lead_lvl END AS front_lvl, {drawn} % 1000 < {int(PROBES * 1000)} AS probes FROM h),
+    p AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY CASE WHEN scored IS NOT NULL AND lvl < front_lvl THEN 0 ELSE 1 END, lvl, turn) = 1 AND scored IS NOT NULL AND lvl < front_lvl AND probes AS shadow_probe FROM f)
+    SELECT domain, url_class, strategy, level, round(score, 6) AS score, round(confidence, 6) AS confidence, holds AND position = 0 AS held, shadow_probe, CAST(row_number() OVER (PARTITION BY domain, url_class ORDER BY CASE WHEN shadow_probe THEN 0 ELSE 1 END, turn) AS BIGINT) AS rnk FROM p"""

@@ -195,5 +195,11 @@ FROM events WHERE event_id % 10 = 0 AND user_id % 20 <> 15
 """,
     "profile_texts": """
 SELECT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE WHEN user_id % 20 = 16 THEN concat('api_key: ', 'abcdefgh', CAST(user_id % 20 AS STRING)) ELSE 'match: /item/' END AS text FROM events GROUP BY user_id % 20
+""",
+    "declared_routes": """
+SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example') AS domain, CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END AS url_class, 0 AS position, 's0' AS strategy, CASE WHEN user_id % 20 < 15 THEN 'L2' ELSE 'L1' END AS level FROM events
+UNION ALL SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example'), CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END, 1, 's1', 'L0' FROM events
+UNION ALL SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example'), CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END, 2, 's1', 'L2' FROM events
+UNION ALL SELECT DISTINCT concat('site', CAST(user_id % 20 AS STRING), '.example'), CASE user_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'listing' ELSE 'rankings' END, 3, 's0', 'L3' FROM events
 """,
 }
