@@ -58,7 +58,7 @@ CASES = [
 
 def test_verdicts(spark):
     rows = [(k, f"https://x.test/en/{name}", status, kind, cf, body) for k, (name, status, kind, cf, body, _) in enumerate(CASES)]
-    responses = spark.createDataFrame(rows, "page_id long, url string, status int, content_type string, cf_mitigated string, body string")
+    responses = spark.createDataFrame(rows, "page_id long, url string, status int, content_type string, cf_mitigated string, body string").selectExpr("*", "'target' AS source", "CAST(NULL AS STRING) AS transport_error", "CAST(NULL AS STRING) AS retry_after")
     known = {"responses": responses}
     found = {r.page_id: r.verdict for r in registry._table(spark, SF, "triage_responses", known).collect()}
     assert [found[k] for k in range(len(CASES))] == [c[-1] for c in CASES]
