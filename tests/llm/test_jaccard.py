@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidemill.llm import jaccard, packing, queries, secrets
+from tidemill.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -118,3 +119,30 @@ def test_first_tokens_never_drop_a_partner():
         if 100 * both >= percent * (len(a) + len(b) - both):
             some, need = jaccard.first_tokens(a, percent)
             assert len(np.intersect1d(some, b)) >= need >= 1
+
+
+def test_fragments_of_the_same_sets_are_one_row_a_member(spark):
+    """A pair that shares 30 fragments, a third set that shares 5 of them, and a set alone."""
+    rows = [(f, 10 + f, 0, s, -s) for f in range(30) for s in ((1, 2) if f >= 5 else (1, 2, 3))] + [(99, 7, 0, 4, -4), (0, 10, 0, 1, -1)]
+    found = sorted(tuple(r[c] for c in ("s1", "s2", "sig", "size", "turn")) for r in jaccard._shared(spark.createDataFrame(rows, jaccard.SIGNED)).collect())
+    three, two = sum(range(10, 15)), sum(range(15, 40))
+    assert found == [(1, -1, 0, three, 0), (1, -1, 5, two, 0), (2, -2, 0, three, 0), (2, -2, 5, two, 0), (3, -3, 0, three, 0)]
+
+
+def test_a_token_moves_once_and_no_bucket_moves(spark):
+    """Shuffles of the first tokens, and of the tokens when pairs are verified."""
+    docs = spark.createDataFrame([(*r, "s") for r in families(5, 90)], SCHEMA)
+    scratch = Scratch(spark)
+    classes = scratch.keep(jaccard._sets(docs, 3).selectExpr("s1", "s2", "doc_id rep", "n", "doc_id cls"))
+    plan = jaccard._hopeful(jaccard._first_rows(docs, 3, 90), classes, 90)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    wide = jaccard._wide(docs, classes.selectExpr("rep doc_id"), 3).join(classes, ["s1", "s2"]).select("cls", "wide", "tokens").dropDuplicates(["cls", "wide"])
+    tokens = scratch.keep_in_buckets(wide, "cls", "wide")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = tokens.select(tokens.cls.alias("a"), "wide").join(tokens.select(tokens.cls.alias("a"), "wide", "tokens"), ["a", "wide"])
+        assert "Exchange" not in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    scratch.drop(tokens, classes)

@@ -52,11 +52,34 @@ class Scratch:
         self._kept[id(out)] = (out, path)
         return out
 
+    def keep_in_buckets(self, df: DataFrame, *keys: str) -> DataFrame:
+        """As ``keep``, in buckets of ``keys``: joins on all of them do not move the table again.
+
+        ``df`` should be dealt by ``keys`` already, or each task writes into every bucket.
+        """
+        name, parts = f"tidemill_{uuid.uuid4().hex}", int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        path = f"{self._folder}/{name}"
+        df.write.bucketBy(parts, *keys).format("parquet").option("path", path).saveAsTable(name)
+        out = self._spark.table(name)
+        self._kept[id(out)] = (out, path)
+        return out
+
+    def together(self, tables: list[DataFrame], schema: str) -> DataFrame:
+        """The rows of some kept tables, as one scan however many they are."""
+        if not tables:
+            return self._spark.createDataFrame([], schema)
+        return self._spark.read.schema(schema).parquet(*[self._kept[id(t)][1] for t in tables])
+
     def drop(self, *tables: DataFrame) -> None:
-        """Delete the rows of tables that nothing reads any more."""
+        """Delete tables that nothing reads any more; no job is run for it."""
+        jvm, conf = self._spark._jvm, self._spark._jsc.hadoopConfiguration()
         for table_ in tables:
             _, path = self._kept.pop(id(table_))
-            self._spark.createDataFrame([], table_.schema).coalesce(1).write.mode("overwrite").parquet(path)
+            name = path.rsplit("/", 1)[1]
+            if name.startswith("tidemill_"):
+                self._spark.sql(f"DROP TABLE {name}")
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

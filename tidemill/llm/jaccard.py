@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,7 +149,7 @@ def _may_link(percent: int) -> F.Column:
 
 
 SETS = "doc_id long, n long, s1 long, s2 long"
-FIRSTS = "sig long, need int, s1 long, s2 long"
+FIRSTS = "sig long, s1 long"
 SIGNED = "sig long, size int, turn int, s1 long, s2 long"
 
 
@@ -211,18 +211,39 @@ def _first_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     tokens, *key = digested(text, width)
                     if len(tokens) and tuple(key) not in seen:
                         seen.add(tuple(key))
-                        some, need = first_tokens(tokens, percent)
-                        out.append((some.view(np.int64), np.full(len(some), need), *(np.full(len(some), k) for k in key)))
+                        some, _ = first_tokens(tokens, percent)
+                        out.append((some.view(np.int64), np.full(len(some), key[0])))
                 if out:
                     yield _columns(FIRSTS, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     return docs.select("text").mapInArrow(firsts, FIRSTS)
 
 
-def _of_several(rows: DataFrame) -> DataFrame:
-    """The rows whose ``sig`` more than one set has."""
-    ends = rows.groupBy("sig").agg(*(f(s).alias(f"{f.__name__}_{s}") for s in ("s1", "s2") for f in (F.min, F.max)))
-    return rows.join(ends.where("min_s1 <> max_s1 or min_s2 <> max_s2").select("sig"), "sig")
+def _hopeful(firsts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Ids of the classes that have as many first tokens of other sets as a partner needs.
+
+    A token's row holds no more than the first half of its set's digest, and moves once.
+    """
+    of_sig = Window.partitionBy("sig")
+    several = firsts.withColumns({"lo": F.min("s1").over(of_sig), "hi": F.max("s1").over(of_sig)}).where("lo <> hi")
+    known = several.groupBy("s1").agg(F.count("*").alias("known"))
+    # as in first_tokens
+    need = F.expr(f"least(greatest(1, n div 20), ({percent} * n + 99) div 100)")
+    return classes.join(known, "s1").where(F.col("known") >= need).select(F.col("rep").alias("doc_id")).distinct()
+
+
+def _shared(signed: DataFrame) -> DataFrame:
+    """``(sig, size, turn, s1, s2)``: members of the fragments that more than one set has.
+
+    Fragments that the same sets have stand as one, the smallest, with the sum of their
+    sizes, so a pair that agrees on most of its fragments has two rows for all of them.
+    Groups of sets are known by two sums (XOR) of hashes of their members, 128 bits.
+    """
+    of_sig = Window.partitionBy("sig")
+    rows = signed.repartition("sig").dropDuplicates(["sig", "s1", "s2"])
+    sums = {f"d{k}": F.bit_xor(F.xxhash64(F.lit(k), "s1", "s2")).over(of_sig) for k in (1, 2)}
+    marked = rows.withColumns({"sets": F.count("*").over(of_sig)} | sums).where("sets > 1").drop("sets")
+    return marked.repartition("s1", "s2").groupBy("s1", "s2", "d1", "d2", "turn").agg(F.min("sig").alias("sig"), F.sum("size").alias("size")).drop("d1", "d2")
 
 
 WIDE = "s1 long, s2 long, wide int, tokens binary"
@@ -233,7 +254,7 @@ MEETINGS = 4
 
 
 def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """Shingles of the documents in ``ids`` by wide fragment, and parity bitmaps at fragment -1."""
+    """Shingles of the documents in ``ids`` by wide fragment, and parity bitmaps at fragment -1; sets may repeat."""
     docs, keep = ids_within(docs, ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +269,7 @@ def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 if rows:
                     yield _columns(WIDE, list(zip(*rows, strict=True)))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, WIDE).dropDuplicates(["s1", "s2", "wide"])
+    return docs.select("doc_id", "text").mapInArrow(cut, WIDE)
 
 
 @F.pandas_udf(T.LongType())
@@ -267,7 +288,8 @@ def _verified(wide: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int)
     n, k = F.col("n"), F.lit(percent)
     sized = pairs.join(sizes.select(F.col("cls").alias("a"), n.alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), n.alias("nb")), "b")
     sized = sized.where((F.col("na") * 100 >= F.col("nb") * k) & (F.col("nb") * 100 >= F.col("na") * k))
-    left = sized.join(wide.toDF("a", "wide", "at"), "a")
+    pieces = sized.withColumn("wide", F.explode(F.array(*map(F.lit, range(1 << WIDE_BITS)))))
+    left = pieces.join(wide.toDF("a", "wide", "at"), ["a", "wide"])
     both = left.join(wide.toDF("b", "wide", "bt"), ["b", "wide"])
     sums = both.withColumn("o", _overlap("at", "bt")).groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return sums.where(F.col("o") * 100 >= k * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
@@ -338,21 +360,20 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
     classes = light.where(linked).groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = scratch.keep(classes.withColumn("cls", F.monotonically_increasing_id()))
     # a set whose first tokens are mostly its own has no partner
-    firsts = scratch.keep(_first_rows(docs.where("doc_id is not null"), width, percent))
-    known = _of_several(firsts).groupBy("s1", "s2").agg(F.count("*").alias("known"), F.first("need").alias("need")).where("known >= need")
-    hopeful = scratch.keep(classes.join(known, ["s1", "s2"], "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    scratch.drop(firsts)
-    signed = scratch.keep(_signature_rows(docs, hopeful, width, percent))
-    members = _of_several(signed).groupBy("sig", "s1", "s2").agg(F.first("size").alias("size"), F.first("turn").alias("turn"))
+    hopeful = scratch.keep(_hopeful(_first_rows(docs.where("doc_id is not null"), width, percent), classes, percent))
+    members = _shared(_signature_rows(docs, hopeful, width, percent))
     shared = scratch.keep(members.join(classes.select("s1", "s2", "cls"), ["s1", "s2"]).select("sig", "cls", "size", "turn"))
-    scratch.drop(signed, hopeful)
-    met = classes.join(shared.select("cls").distinct(), "cls", "left_semi")
-    tokens = scratch.keep(_wide(docs, met.select(F.col("rep").alias("doc_id")).distinct(), width).join(met.select("s1", "s2", "cls"), ["s1", "s2"]).select("cls", "wide", "tokens"))
+    scratch.drop(hopeful)
+    met = scratch.keep(classes.join(shared.select("cls").distinct(), "cls", "left_semi"))
+    tokens = _wide(docs, met.select(F.col("rep").alias("doc_id")).distinct(), width).join(met.select("s1", "s2", "cls"), ["s1", "s2"])
+    # the pairs go to the tokens, not the tokens to the pairs of each round
+    tokens = scratch.keep_in_buckets(tokens.select("cls", "wide", "tokens").dropDuplicates(["cls", "wide"]), "cls", "wide")
     wide = tokens.where("wide >= 0")
 
-    tested = links = spark.createDataFrame([], "a long, b long")
+    pair = "a bigint, b bigint"
+    tested, links, whole = [], [], None
     labels = met.select("cls", F.col("cls").alias("component"))
-    left, held = shared, []
+    left, held = shared, [met]
     for turn in range(rounds + 1):
         left = scratch.keep(_open(left, labels))
         held.append(left)
@@ -361,28 +382,29 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
         # where few share a fragment, to let all of them meet costs no more than another round
         last = turn == rounds or turn > 0 and _meetings(left) <= MEETINGS * left.count()
         if not last:
-            pairs = scratch.keep(_best_partners(left, tested, turn))
+            pairs = scratch.keep(_best_partners(left, scratch.together(tested, pair), turn))
             held.append(pairs)
             last = pairs.isEmpty()
         if last:
             # two hops leave parts of a component apart: now whole components count
-            whole = components(links, scratch).toDF("cls", "component")
-            labels = met.select("cls").join(whole, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
+            whole = components(scratch.together(links, pair), scratch)
+            labels = met.select("cls").join(whole.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
             left = scratch.keep(_open(left, labels))
-            pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).join(tested, ["a", "b"], "left_anti"))
+            pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).join(scratch.together(tested, pair), ["a", "b"], "left_anti"))
             held += [left, pairs]
         found = scratch.keep(_verified(wide, pairs, met, percent))
         held.append(found)
         if not found.isEmpty():
-            links = links.union(found)
+            links.append(found)
+            whole = None
             if not last:
                 labels = scratch.keep(_relabelled(labels, found))
                 held.append(labels)
         if last:
             break
-        tested = tested.union(pairs)
+        tested.append(pairs)
 
-    whole = components(links, scratch)
+    whole = whole or components(scratch.together(links, pair), scratch)
     named = classes.join(whole.toDF("cls", "component"), "cls", "left").select("s1", "s2", "rep", F.coalesce("component", "cls").alias("component"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(named.join(firsts, "component").select("s1", "s2", "component_id"))
