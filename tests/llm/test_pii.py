@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemill.llm import pii
 
@@ -58,3 +59,12 @@ def test_base_and_added_spans(spark):
     assert caught >= 0.8 * len(hidden) and wrong <= 3, (caught, wrong)
     # without a model nothing is added, and base spans are the same
     assert {r.doc_id: r.base_sha256 for r in pii.detect(docs).collect()} == {k: r.base_sha256 for k, r in found.items()}
+
+
+def test_trees_learn_from_every_document(spark):
+    """Among 4500 documents with digits the few with base spans come last by their hash: a sample would miss them."""
+    digits = spark.createDataFrame([(k, f"line {k} holds 0.{k * 7919 % 900000 + 100000} parts") for k in range(4500)], "doc_id long, text string")
+    mails = spark.createDataFrame([(9000 + k, f"write to u{k}@host{k}.org today") for k in range(600)], "doc_id long, text string")
+    last = mails.where(F.xxhash64(F.lit(3), "text") > int(0.85 * 2**63))
+    assert last.count() >= 10
+    assert pii.train(digits.union(last)) is not None

@@ -3,8 +3,8 @@
 Fixed forms (email, ip, card, phone) give the base spans. Looser generators propose more
 spans, which may overlap; gradient-boosted trees score them by their format and context;
 a threshold calibrated on held-out texts selects those that are added. No candidate
-beside the base spans has a label, so the trees learn from the base spans of a bounded
-sample, written as people write them around filters (``name at host dot org``, numbers
+beside the base spans has a label, so the trees learn from the base spans of all
+texts, written as people write them around filters (``name at host dot org``, numbers
 without their plus or with other separators), against what the generators find elsewhere
 in these texts, and against dates, counts and sentences made from them. The trees are
 applied as plain SQL conditions: everything runs on DataFrame functions.
@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import hash_sample
+from tidemill.llm.common import stored
 
 #: Base forms. Possessive repeats give the same matches without backtracking; an e-mail
 #: can't begin inside a run of its own characters, except where a match has just ended.
@@ -189,43 +189,48 @@ def _as_sql(node, names: list[str]) -> str:
 
 
 def _fitted(rows: DataFrame, names: list[str], trees: int, depth: int, seed: int) -> str:
-    """Boosted trees over labelled candidates, as SQL of the log odds."""
+    """Boosted trees over labelled candidates with weights, as SQL of the log odds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(ready.select("features", "label"))
+    # Spark reads the places of splits off all rows where they are no more than the square of the bins
+    bins = max(32, math.isqrt(rows.count()) + 1)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=bins, weightCol="weight").fit(ready.select("features", "label", "weight"))
     return " + ".join(f"{2 * w!r} * ({_as_sql(t._java_obj.rootNode(), names)})" for t, w in zip(model.trees, model.treeWeights, strict=True))
 
 
-def train(docs: DataFrame, rows: int = 4000, trees: int = 8, depth: int = 3, precision: float = 0.98, seed: int = 3) -> tuple[str, float] | None:
+def _feature_names() -> list[str]:
+    return list(features(F.struct(F.lit(0).alias("start"), F.lit("").alias("text")), F.lit("")))
+
+
+def train(docs: DataFrame, trees: int = 8, depth: int = 3, precision: float = 0.98, seed: int = 3) -> tuple[str, float] | None:
     """``(SQL of the log odds, threshold)``; None without candidates of both labels.
 
-    At most ``rows`` documents with digits or an at sign give the candidates, those first
-    by a hash of their text, so the files' layout does not matter. Each half of them is
-    scored by trees that learned from the other half; the threshold is the lowest score
-    from which the share of right candidates among all of them is at least ``precision``,
-    and the log odds of ``precision`` itself where fewer than 20 reach it.
+    The candidates of all documents with digits or an at sign count: elsewhere nothing
+    is like a base span, so what is beside them says nothing. Candidates that agree in their features are one row
+    with their number as its weight, so what the trees learn from grows with the kinds of
+    candidates. Texts fall into halves by a hash. Each half is scored by trees that
+    learned from the other half; the threshold is the lowest score from which the share
+    of right candidates among all of them is at least ``precision``, and the log odds of
+    ``precision`` itself where fewer than 20 reach it.
     """
-    drawn = hash_sample(docs, docs.count(), 4 * rows, seed, "text").where(F.col("text").rlike("[0-9]{3}|@"))
-    some = drawn.select("text", F.xxhash64(F.lit(seed), "text").alias("_h")).orderBy("_h", "text").limit(rows).repartition(8, "_h")
-    sample = _examples(find_spans(some), "_h").withColumn("_half", F.pmod("_h", F.lit(2))).cache()
-    counts = {(r._half, r.label): r["count"] for r in sample.groupBy("_half", "label").count().collect()}
+    names = _feature_names()
+    found = find_spans(docs.where(F.col("text").rlike("[0-9]{3}|@")).select("text", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(2)).alias("_half")))
+    rows = stored(_examples(found, "_half").groupBy("_half", "label", *names).agg(F.count("*").cast("double").alias("weight")))
+    counts = {(r._half, r.label): r.n for r in rows.groupBy("_half", "label").agg(F.sum("weight").alias("n")).collect()}
     of_label = [sum(n for (_, label), n in counts.items() if label == x) for x in (0.0, 1.0)]
     if min(of_label) < 5:
-        sample.unpersist()
         return None
-    names = list(features(F.struct(F.lit(0).alias("start"), F.lit("").alias("text")), F.lit("")))
     levels: dict[float, list[float]] = {}
     for half in (0, 1):
         if all(counts.get((1 - half, x)) for x in (0.0, 1.0)):
-            odds = _fitted(sample.where(F.col("_half") != half), names, trees, depth, seed)
-            for r in sample.where(F.col("_half") == half).groupBy(F.round(F.expr(odds), 2).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect():
-                level = levels.setdefault(float(r["score"]), [0, 0.0])
+            odds = _fitted(rows.where(F.col("_half") != half), names, trees, depth, seed)
+            for r in rows.where(F.col("_half") == half).groupBy(F.round(F.expr(odds), 2).alias("score")).agg(F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("right")).collect():
+                level = levels.setdefault(float(r["score"]), [0.0, 0.0])
                 level[0], level[1] = level[0] + r["n"], level[1] + r["right"]
-    odds = _fitted(sample, names, trees, depth, seed)
-    sample.unpersist()
-    threshold, n, right = math.log(precision / (1 - precision)), 0, 0.0
+    odds = _fitted(rows, names, trees, depth, seed)
+    threshold, n, right = math.log(precision / (1 - precision)), 0.0, 0.0
     for score in sorted(levels, reverse=True):
         n, right = n + levels[score][0], right + levels[score][1]
         if n >= 20 and right / n >= precision:
@@ -254,7 +259,7 @@ def detect(docs: DataFrame, model: tuple[str, float] | None = None) -> DataFrame
         found = found.withColumns({f"s_{k}": F.filter(f"s_{k}", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))) for k in LOOSE})
         scored = {f"f_{k}": F.transform(f"s_{k}", lambda c: F.struct(c.alias("span"), *[v.alias(n) for n, v in features(c, F.col("_text")).items()])) for k in LOOSE}
         found = found.withColumns(scored)
-        names = list(features(F.struct(F.lit(0).alias("start"), F.lit("").alias("text")), F.lit("")))
+        names = _feature_names()
         inner = odds
         for n in names:
             inner = inner.replace(f"WHEN {n} <=", f"WHEN c.{n} <=")
