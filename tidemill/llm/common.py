@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,12 +12,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Some rows that the driver holds; structs are dicts.
+
+    Lists of rows pass through Python workers on the executors, of another kind than those
+    of functions, so that both kinds stay there; an Arrow table needs none.
+    """
+    kinds = T.StructType.fromDDL(schema)
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], to_arrow_schema(kinds)), kinds)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
@@ -67,7 +79,7 @@ class Scratch:
     def together(self, tables: list[DataFrame], schema: str) -> DataFrame:
         """The rows of some kept tables, as one scan however many they are."""
         if not tables:
-            return self._spark.createDataFrame([], schema)
+            return small_table(self._spark, [], schema)
         return self._spark.read.schema(schema).parquet(*[self._kept[id(t)][1] for t in tables])
 
     def drop(self, *tables: DataFrame) -> None:
@@ -128,8 +140,14 @@ def arrow_texts(batch, rows: int = 500):
     for at in range(0, batch.num_rows, rows):
         piece = batch.slice(at, rows)
         yield piece, piece.column("text").to_pylist()
-    # a worker is used again, and Arrow would keep what it has freed
+    release()
+
+
+def release() -> None:
+    """Give back what is freed: a worker is used again, and Arrow and the C library would keep it."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def text_udf(f, kind: str):
@@ -138,20 +156,22 @@ def text_udf(f, kind: str):
 
     @F.arrow_udf(kind)
     def computed(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array([f(t) for t in texts.slice(at, 500).to_pylist()], out) for at in range(0, max(1, len(texts)), 500)])
+        found = pa.concat_arrays([pa.array([f(t) for t in texts.slice(at, 500).to_pylist()], out) for at in range(0, max(1, len(texts)), 500)])
+        release()
+        return found
 
     return computed
 
 
-def ids_within(docs: DataFrame, ids: DataFrame, most: int = 2_000_000):
-    """``docs`` and a filter of its Arrow batches, for functions that read only the rows with ``ids`` (distinct).
+def ids_within(docs: DataFrame, ids: DataFrame, most: int = 2_000_000, outside: bool = False):
+    """``docs`` and a filter of its Arrow batches, for functions that read only the rows with ``ids`` (distinct), or without if ``outside``.
 
     As ``id_filter``, but inside the function that reads the texts, which saves a Python
     worker to each task. A null doc_id is outside.
     """
     some = ids.select("doc_id").where("doc_id is not null").limit(most + 1).toPandas().doc_id.to_numpy(np.int64)
     if len(some) > most:
-        return docs.join(ids, "doc_id", "left_semi"), lambda batch: batch
+        return docs.join(ids, "doc_id", "left_anti" if outside else "left_semi"), lambda batch: batch
     known = docs.sparkSession.sparkContext.broadcast(np.sort(some))
 
     def keep(batch):
@@ -160,7 +180,7 @@ def ids_within(docs: DataFrame, ids: DataFrame, most: int = 2_000_000):
         ok = np.zeros(len(values), bool)
         if len(ids_):
             ok = (ids_[np.minimum(np.searchsorted(ids_, values), len(ids_) - 1)] == values) & own.is_valid().to_numpy(zero_copy_only=False)
-        return batch.filter(pa.array(ok))
+        return batch.filter(pa.array(ok != outside))
 
     return docs, keep
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed, id_filter
+from tidemill.llm.common import arrow_texts, checkpointed, id_filter, ids_within, release
 from tidemill.llm.induced import suffixes
 from tidemill.llm.jaccard import mixed
 
@@ -128,15 +128,21 @@ def _bytes(text) -> np.ndarray:
     return np.frombuffer((text or "").encode(), np.uint8)
 
 
-def zipped(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the compressed bytes of ``text``: texts that move weigh less than half."""
+def zipped(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and the compressed bytes of ``text`` of the rows with ``ids``: texts that move weigh less than half.
 
-    @F.arrow_udf("binary")
-    def compressed(texts: pa.Array) -> pa.Array:
+    Filter and compression are one function, so a task has one Python worker.
+    """
+    docs, keep = ids_within(docs, ids)
+
+    def compressed(batches):
         pack = zstandard.ZstdCompressor(level=3)
-        return pa.array([pack.compress(x.as_buffer()) if x.is_valid else None for x in texts.cast(pa.binary())], pa.binary())
+        for batch in batches:
+            for piece, texts in arrow_texts(keep(batch)):
+                small = pa.array([None if t is None else pack.compress(t.encode()) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), small], names=["doc_id", "zipped"])
 
-    return docs.select("doc_id", compressed("text").alias("zipped"))
+    return docs.select("doc_id", "text").mapInArrow(compressed, "doc_id long, zipped binary")
 
 
 def _unzipped(packed: bytes | None) -> np.ndarray:
@@ -175,14 +181,18 @@ def _by_doc(doc: np.ndarray, context: np.ndarray, kind: int) -> list:
     return [(int(doc[a]), kind, context[a : a + n].tobytes()) for a, n in zip(*_groups(doc), strict=True)]
 
 
-def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: int = 4 << 20) -> DataFrame:
-    """Anchors and contexts of all documents, packed by bucket of the anchor's hash.
+PACKED = {"bucket": pa.int32(), "base": pa.int64(), "wide": pa.int32(), "h": pa.binary(), "context": pa.binary(), "doc": pa.binary()}
+
+
+def _packed_anchors(docs: DataFrame, copies: DataFrame, length: int, buckets: int, bytes_at_once: int = 4 << 20) -> DataFrame:
+    """Anchors and contexts of all documents but ``copies``, packed by bucket of the anchor's hash.
 
     A row holds the upper 32 bits of the hashes, the context digests, and the documents
     as offsets to ``base`` of ``wide`` bytes. What is settled among the documents that are read together
     has a negative bucket, and only the first document stands for a context.
     """
     low = np.uint64(0xFFFFFFFF)
+    docs, keep = ids_within(docs, copies, outside=True)
 
     def rows_of(bucket, h, context, doc) -> list:
         order = np.argsort(bucket, kind="stable")
@@ -198,6 +208,7 @@ def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: i
 
     def rows(held: list) -> list:
         h, context, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         if not len(h):
             return []
         h, context, doc, kind = _judged(h, context, doc)
@@ -209,22 +220,27 @@ def _packed_anchors(docs: DataFrame, length: int, buckets: int, bytes_at_once: i
 
     def packed(batches):
         for batch in batches:
-            held, size, out = [], 0, []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
-                data = _bytes(text)
-                h, context, _, _ = segments(data, length)
-                held.append((h, context, np.full(len(h), doc_id, np.int64)))
-                size += len(data)
-                if size >= bytes_at_once:
-                    out, held, size = out + rows(held), [], 0
-            out += rows(held) if held else []
-            yield pd.DataFrame(out, columns=["bucket", "base", "wide", "h", "context", "doc"])
+            held, size = [], 0
+            for piece, texts in arrow_texts(keep(batch)):
+                for doc_id, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
+                    data = _bytes(text)
+                    h, context, _, _ = segments(data, length)
+                    held.append((h, context, np.full(len(h), doc_id, np.int64)))
+                    size += len(data)
+                    if size >= bytes_at_once:
+                        yield batch_of(rows(held))
+                        size = 0
+            if held:
+                yield batch_of(rows(held))
+
+    def batch_of(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(PACKED.values())], names=list(PACKED))
 
-    return docs.mapInPandas(packed, "bucket int, base long, wide int, h binary, context binary, doc binary")
+    return docs.select("doc_id", "text").mapInArrow(packed, "bucket int, base long, wide int, h binary, context binary, doc binary")
 
 
-def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """``(doc_id, kind, contexts)``: digests of contexts that are settled, open or hot."""
+def _shared_anchors(docs: DataFrame, copies: DataFrame, length: int, buckets: int) -> DataFrame:
+    """``(doc_id, kind, contexts)``: digests of contexts that are settled, open or hot, without ``copies``."""
 
     def meet(key: tuple[object, ...], rows: pd.DataFrame) -> pd.DataFrame:
         context = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.context])
@@ -235,9 +251,10 @@ def _shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             h = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.h])
             _, context, doc, kind = _judged(h, context, doc)
             out = [r for k in (SETTLED, OPEN, HOT) for r in _by_doc(doc[kind == k], context[kind == k], k)]
+        release()
         return pd.DataFrame(out, columns=["doc_id", "kind", "contexts"])
 
-    return _packed_anchors(docs, length, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, kind int, contexts binary")
+    return _packed_anchors(docs, copies, length, buckets).groupBy("bucket").applyInPandas(meet, "doc_id long, kind int, contexts binary")
 
 
 def _packed(places) -> bytes:
@@ -281,9 +298,12 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
                 for p in np.concatenate([np.arange(first[k], end[k]) for k in at]).tolist() if len(at) else []:
                     runs.setdefault(raw[p : p + length], []).append(p)
                 out += [(xxhash.xxh3_64_intdigest(run) % int(shards), doc_id, which, _packed(p), 1, run) for run, p in runs.items()]
-        return pd.DataFrame(out, columns=["shard", "doc_id", "which", "places", "runs", "context"])
+        found = pd.DataFrame(out, columns=["shard", "doc_id", "which", "places", "runs", "context"])
+        out.clear()
+        release()
+        return found
 
-    left, right = zipped(docs).withColumn("deal", deal), shared.withColumn("deal", deal)
+    left, right = zipped(docs, shared.select("doc_id").distinct()).withColumn("deal", deal), shared.withColumn("deal", deal)
     pairs = left.groupBy("deal").cogroup(right.groupBy("deal"))
     return pairs.applyInPandas(cut, "shard int, doc_id long, which long, places binary, runs int, context binary")
 
@@ -291,32 +311,34 @@ def _contexts(docs: DataFrame, shared: DataFrame, length: int, buckets: int) ->
 def _shared_runs(doc: np.ndarray, contexts: list[bytes], length: int, at_once: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(context, lo, hi)``: ranges of runs whose hash runs of other documents have as well."""
     size = np.array([len(c) for c in contexts], np.int64)
-    own, place, hashes, k = [], [], [], 0
+    count = size - length + 1
+    before, k = np.cumsum(count) - count, 0
+    h = np.empty(count.sum(), np.uint64)
     while k < len(contexts):
         # some contexts after the other; runs that cross a border are left out
         stop = max(k + 1, int(np.searchsorted(np.cumsum(size[k:]), at_once)) + k)
         data = np.frombuffer(b"".join(contexts[k:stop]), np.uint8)
-        begin = np.cumsum(size[k:stop]) - size[k:stop]
-        h = _grams(data, length)
-        count = size[k:stop] - length + 1
-        which = np.repeat(np.arange(len(count)), count)
-        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        own.append((which + k).astype(np.int32))
-        place.append(at.astype(np.int32))
-        hashes.append(h[begin[which] + at])
+        # a context has length - 1 runs less than bytes
+        ahead = np.arange(stop - k) * (length - 1)
+        first, n = before[k], int(count[k:stop].sum())
+        h[first : first + n] = _grams(data, length)[np.arange(n) + np.repeat(ahead, count[k:stop])]
         k = stop
-    own, place, h = np.concatenate(own), np.concatenate(place), np.concatenate(hashes)
     order = np.argsort(h)
-    starts, sizes = _groups(h[order])
-    who = doc[own[order]]
-    shared = np.empty(len(h), bool)
+    h.sort()
+    starts, sizes = _groups(h)
+    del h
+    who = np.repeat(np.unique(doc, return_inverse=True)[1].astype(np.int32), count)[order]
+    shared = np.empty(len(order), bool)
     shared[order] = np.repeat(np.minimum.reduceat(who, starts) != np.maximum.reduceat(who, starts), sizes)
+    del order, who
     at = np.flatnonzero(shared)
     if not len(at):
         return at, at, at
-    cuts = np.flatnonzero(np.concatenate([[True], (own[at[1:]] != own[at[:-1]]) | (place[at[1:]] != place[at[:-1]] + 1)]))
+    own = np.searchsorted(before, at, "right") - 1
+    place = at - before[own]
+    cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)]))
     ends = np.append(cuts[1:], len(at)) - 1
-    return own[at[cuts]].astype(np.int64), place[at[cuts]].astype(np.int64), place[at[ends]].astype(np.int64) + 1
+    return own[cuts], place[cuts], place[ends] + 1
 
 
 def repeated_runs(doc: np.ndarray, contexts: list[bytes], length: int, memory: int = 32 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -380,6 +402,7 @@ def _ranges(contexts: DataFrame, length: int) -> DataFrame:
             first = np.array([p[0] for p in places], np.int64)
             return pd.DataFrame({"doc_id": doc, "which": text, "lo": first, "hi": rows.runs.to_numpy(np.int64)})
         at, offset = repeated_runs(doc, list(rows.context), length)
+        release()
         if not len(at):
             return pd.DataFrame({"doc_id": [], "which": [], "lo": [], "hi": []}, dtype="int64")
         fresh = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (offset[1:] != offset[:-1] + 1)]))
@@ -424,20 +447,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
     # an id that repeats with other texts isn't a mere copy
     repeated = light.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     copies = checkpointed(copies.join(repeated, "doc_id", "left_anti"))
-    inside, outside = id_filter(docs, copies)
+    inside, _ = id_filter(docs, copies)
 
-    texts = outside(docs.where(F.col("doc_id").isNotNull() & (size >= length)))
-    shared = checkpointed(_shared_anchors(texts, length, buckets))
-    inside_shared, _ = id_filter(docs, shared.select("doc_id").distinct())
-    ranges = checkpointed(_ranges(_contexts(inside_shared(texts), shared, length, buckets), length))
+    texts = docs.where(F.col("doc_id").isNotNull() & (size >= length))
+    shared = checkpointed(_shared_anchors(texts, copies, length, buckets))
+    ranges = checkpointed(_ranges(_contexts(texts, shared, length, buckets), length))
+    # no copy is shared or hit
     hit = ranges.select("doc_id").distinct()
-    inside_hit, outside_hit = id_filter(docs, hit)
+    _, outside = id_filter(docs, copies.union(hit))
 
     empty = hashlib.sha256(b"").hexdigest()
     whole = inside(docs).where("doc_id is not null").select("doc_id", size.cast("long").alias("n_bytes"), size.cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"))
-    rest = outside(docs)
     kept_hash = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)
-    untouched = outside_hit(rest).select("doc_id", size.cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), kept_hash.alias("kept_sha256"))
+    untouched = outside(docs).select("doc_id", size.cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), kept_hash.alias("kept_sha256"))
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("doc_id")
@@ -449,9 +471,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, bytes_per_bucket: int = 6
             # rows that share an id may have different texts
             ok = which[a:b] == xxhash.xxh3_64_intdigest(data.tobytes()) - (1 << 63)
             out.append((doc_id, len(data), *_removed(data, lo[a:b][ok], hi[a:b][ok], length)))
+        release()
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    left, right = zipped(inside_hit(rest)).withColumn("deal", deal), ranges.withColumn("deal", deal)
+    left, right = zipped(docs, hit).withColumn("deal", deal), ranges.withColumn("deal", deal)
     touched = left.groupBy("deal").cogroup(right.groupBy("deal")).applyInPandas(cut, RESULT)
     return whole.unionByName(untouched).unionByName(touched)
