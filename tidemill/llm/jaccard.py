@@ -319,12 +319,18 @@ def _meetings(left: DataFrame) -> int:
 
 
 def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join."""
+    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join.
+
+    A set brings the signatures of all its fragments along, so that a pair leaves the
+    join once, from the smallest that both have, however many they share.
+    """
     bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
-    known = left.select("sig", "cls", "component").join(sizes.select("cls", "n"), "cls").join(bits, "cls")
+    own = left.groupBy("cls").agg(F.collect_set("sig").alias("sigs"))
+    known = left.select("sig", "cls", "component").join(sizes.select("cls", "n"), "cls").join(bits, "cls").join(own, "cls")
     meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
-    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent))
-    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+    once = F.col("l.sig") == F.array_min(F.array_intersect("l.sigs", "r.sigs"))
+    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent) & once)
+    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
