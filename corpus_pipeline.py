@@ -35,9 +35,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id stay; of rows that repeat an id, the smallest by its columns stays.
     """
     linked = checkpointed(jaccard.link(docs, percent=80, width=5))
-    _, kept = id_filter(docs, linked.where("component_id <> doc_id").select("doc_id").distinct())
-    repeated, single = id_filter(docs, linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    docs = kept(docs.select(*COLUMNS))
+    copies = linked.where("component_id <> doc_id").select("doc_id").distinct()
+    several = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # each row passes one filter, and so one Python worker
+    repeated, _ = id_filter(docs, several.join(copies, "doc_id", "left_anti"))
+    _, single = id_filter(docs, copies.union(several).distinct())
+    docs = docs.select(*COLUMNS)
     smallest = repeated(docs).groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
     return single(docs).unionByName(smallest)
 

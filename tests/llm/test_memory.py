@@ -4,7 +4,8 @@ import re
 
 import numpy as np
 
-from tidemill.llm import suffix_dedup
+import corpus_pipeline
+from tidemill.llm import secrets, suffix_dedup
 from tidemill.llm.common import small_table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -44,3 +45,13 @@ def test_small_tables_need_no_worker(spark):
 def test_texts_pass_one_worker(spark):
     docs = texts(spark)
     assert most_workers(suffix_dedup.remove_repeats(docs)) == 1
+    assert most_workers(corpus_pipeline.drop_near_copies(spark, docs, "")) == 1
+
+
+def test_masked_pieces_keep_the_columns(spark):
+    rows = [(k if k % 3 else None, f"text {k}" if k % 5 else None, None, "s", k) for k in range(1203)] + [(2**60 + 1, "password = hunter2hunter2x9", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    masked = secrets.redacted(docs)
+    # batches of rows do not wait for their texts
+    assert "ArrowEvalPython" not in masked._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in masked.collect()] == rows[:-1] + [(2**60 + 1, "[SECRET]", "en", "s", 3)]

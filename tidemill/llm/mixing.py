@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import checkpointed
+from tidemill.llm.common import checkpointed, small_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in their order, repeating.
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, shards: int =
     targets = target_shares(sizes, [float(weights[k % len(weights)]) for k in range(len(sizes))], most)
     blocks = [max(least_blocks, -(-int(r.n) // rows_per_block)) for r in sources]
     # one row per source: the driver holds these rows already
-    plan = spark.createDataFrame([(r.source, k, s, t, b) for k, (r, s, t, b) in enumerate(zip(sources, sizes, targets, blocks, strict=True))], "_src string, _k int, source_size long, target double, _blocks int")
+    plan = small_table(spark, [(r.source, k, s, t, b) for k, (r, s, t, b) in enumerate(zip(sources, sizes, targets, blocks, strict=True))], "_src string, _k int, source_size long, target double, _blocks int")
 
     # permuted order inside a source: block, then a hash of what the document says; the row number, which
     # follows the files' layout, only parts equal rows, and these stand for each other
@@ -123,14 +123,14 @@ def _filled(spark, placed: DataFrame) -> DataFrame:
     the smallest one left is taken if that brings the sum nearer. A turn is kept as its
     gap and the place where it ended, so the driver holds a row per source and turn.
     """
-    turns: dict[int, list[tuple]] = {}
+    turns: dict[int, list[dict]] = {}
     gaps = {r._k: float(r.g or 0.0) for r in placed.groupBy("_k").agg(F.first("_rest").alias("g")).collect()}
     open_ = {k for k, g in gaps.items() if g > 0}
     by_rank = Window.partitionBy("_k").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = Window.partitionBy("_k").orderBy("_h", "row").rowsBetween(Window.unboundedPreceding, 0)
 
     def left(ks) -> DataFrame:
-        state = F.broadcast(spark.createDataFrame([(k, gaps[k], turns.get(k, [])) for k in ks], f"_gk int, _gap double, _turns array<struct<{TURN}>>"))
+        state = F.broadcast(small_table(spark, [(k, gaps[k], turns.get(k, [])) for k in ks], f"_gk int, _gap double, _turns array<struct<{TURN}>>"))
         spare = placed.where("size > 0").join(state, F.col("_k") == F.col("_gk"))
         return spare.where(~F.exists("_turns", lambda t: (F.col("size") <= t["gap"]) & _before(t)))
 
@@ -143,12 +143,13 @@ def _filled(spark, placed: DataFrame) -> DataFrame:
         at = {}
         if cut:
             # the block in which the sum passes the gap: some thousand documents of a source
-            block = fit.join(F.broadcast(spark.createDataFrame(cut, "_ck int, _crank int, _cs long")), (F.col("_k") == F.col("_ck")) & (F.col("_rank") == F.col("_crank")))
+            block = fit.join(F.broadcast(small_table(spark, cut, "_ck int, _crank int, _cs long")), (F.col("_k") == F.col("_ck")) & (F.col("_rank") == F.col("_crank")))
             taken = block.withColumn("_upto", F.col("_cs") + F.sum("size").over(inside)).where("_upto <= _gap")
             at = {r._k: r.m for r in taken.groupBy("_k").agg(F.max(F.struct("_h", "row", "_upto")).alias("m")).collect()}
         for r in ends:
             m = at.get(r._k)
-            turns.setdefault(r._k, []).append((gaps[r._k], 2**31 - 1 if r.rank is None else r.rank, *((m._h, m.row) if m else NOWHERE)))
+            h, row = (m._h, m.row) if m else NOWHERE
+            turns.setdefault(r._k, []).append({"gap": gaps[r._k], "rank": 2**31 - 1 if r.rank is None else r.rank, "h": h, "row": row})
             gaps[r._k] -= m._upto if m else r.s
         open_ = {r._k for r in ends if r.rank is not None and gaps[r._k] > 0}
 
@@ -157,7 +158,7 @@ def _filled(spark, placed: DataFrame) -> DataFrame:
     if wide:
         close = left(wide).where("size < 2 * _gap").groupBy("_k").agg(F.min(F.struct("size", "_h", "row")).alias("m")).collect()
         near = {r._k: r.m.row for r in close}
-    state = spark.createDataFrame([(k, turns.get(k, []), near.get(k)) for k in gaps], f"_gk int, _turns array<struct<{TURN}>>, _near long")
+    state = small_table(spark, [(k, turns.get(k, []), near.get(k)) for k in gaps], f"_gk int, _turns array<struct<{TURN}>>, _near long")
     found = placed.join(F.broadcast(state), F.col("_k") == F.col("_gk"))
     taken = F.exists("_turns", lambda t: (F.col("size") <= t["gap"]) & _before(t)) | F.col("row").eqNullSafe(F.col("_near"))
     return found.withColumn("_last", (F.col("size") > 0) & taken).drop("_gk", "_turns", "_near")
@@ -179,7 +180,7 @@ def _drawn(spark, placed: DataFrame, n_sources: int, shards: int, seed: int, als
         quotas[r._k] = firsts[r._k] + r.l
     counts = split_quotas(quotas, shards, np.random.default_rng(seed)) if n_sources else np.zeros((shards, 0), np.int64)
     ends = counts.cumsum(0)
-    runs = spark.createDataFrame([(k, int(firsts[k]), [int(e) for e in ends[:, k]]) for k in range(n_sources)], "_rk int, _first long, _ends array<long>")
+    runs = small_table(spark, [(k, int(firsts[k]), [int(e) for e in ends[:, k]]) for k in range(n_sources)], "_rk int, _first long, _ends array<long>")
     numbers = numbered.select(F.col("_k").alias("_nk"), F.col("_rank").alias("_nr"), "_full", "_part", F.count("*").over(Window.partitionBy("_k")).alias("_n"))
     times = F.col("_rounds") + F.col("_last").cast("int")
     copies = placed.where((F.col("size") > 0) & (times > 0)).join(numbers, (F.col("_k") == F.col("_nk")) & (F.col("_rank") == F.col("_nr")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_texts, stored, text_udf
+from tidemill.llm.common import arrow_texts, stored
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 #: A run of at least 18 or 16 characters starts where the shorter pattern's match would.
@@ -221,4 +221,11 @@ def redact(text: str | None, bits: float = 45.0, mark: str = "[SECRET]", ranks:
 def redacted(docs: DataFrame, bits: float = 45.0) -> DataFrame:
     """``docs`` with secrets masked in ``text``; texts without secrets stay as they are."""
     ranks = _ranks(docs)
-    return docs.withColumn("text", text_udf(lambda text: redact(text, bits, ranks=ranks()), "string")("text"))
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, texts in arrow_texts(batch):
+                out = pa.array([redact(text, bits, ranks=ranks()) for text in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([out if name == "text" else piece.column(name) for name in piece.schema.names], names=piece.schema.names)
+
+    return docs.mapInArrow(masked, docs.schema)
