@@ -76,6 +76,21 @@ def test_loose_family_meets_in_the_last_round(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(docs, rounds=1).collect()), key=str) == brute(rows, 90, 3)
 
 
+def test_a_pair_leaves_the_last_join_once(spark):
+    """Also pairs whose common fragments are none of those that sets bring along, and no pair inside a component."""
+    rng = np.random.default_rng(2)
+    tokens = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
+    has = {k: {int(f) for f in rng.permutation(40)[:25]} for k in range(12)} | {20: {*range(-30, 0), *range(100, 120)}, 21: {*range(-60, -30), *range(100, 120)}, 22: {500}}
+    left = spark.createDataFrame([(f, k, 1, 0, k - (k == 1)) for k in has for f in has[k]], "sig long, cls long, size int, turn int, component long")
+    maps = spark.createDataFrame([(k, -1, bytearray(jaccard.parity(tokens).tobytes())) for k in has], "cls long, wide int, tokens binary")
+    sizes = spark.createDataFrame([(k, len(tokens)) for k in has], "cls long, n long")
+    found = [tuple(r) for r in jaccard._all_that_may_link(left, maps, sizes, 90).collect()]
+    assert set(found) == {(a, b) for a in has for b in has if a < b and has[a] & has[b] and (a, b) != (0, 1)}
+    brought = {k: set(sorted(f)[: jaccard.FIRSTS_KEPT]) for k, f in has.items()}
+    assert all(found.count((a, b)) == (1 if brought[a] & brought[b] else len(has[a] & has[b])) for a, b in set(found))
+    assert found.count((20, 21)) == 20 and len(found) < 12 * 11 + 20
+
+
 def test_sets_over_the_threshold_agree_on_a_signature():
     """Also where the only fragments they agree on are empty: sets with uneven tokens."""
     rng = np.random.default_rng(3)

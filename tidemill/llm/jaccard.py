@@ -251,6 +251,8 @@ WIDE = "s1 long, s2 long, wide int, tokens binary"
 
 #: Meetings for each set and fragment that are taken to cost no more than a round.
 MEETINGS = 4
+#: Signatures that a set brings into the last join.
+FIRSTS_KEPT = 8
 
 
 def _wide(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -319,12 +321,21 @@ def _meetings(left: DataFrame) -> int:
 
 
 def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join."""
+    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join.
+
+    A set brings the smallest signatures of its band along. Where two sets have some of
+    these in common, the smallest is the first fragment that both have, and the pair
+    leaves there only; a pair without any leaves from each of its fragments, so pairs
+    may repeat.
+    """
     bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
-    known = left.select("sig", "cls", "component").join(sizes.select("cls", "n"), "cls").join(bits, "cls")
+    firsts = left.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FIRSTS_KEPT).alias("firsts"))
+    sets = sizes.select("cls", "n").join(bits, "cls").join(firsts, "cls")
+    known = left.select("sig", "cls", "component").join(sets, "cls")
     meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
-    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent))
-    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
+    once = F.coalesce(F.array_min(F.array_intersect("l.firsts", "r.firsts")), "l.sig") == F.col("l.sig")
+    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent) & once)
+    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -390,7 +401,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
             whole = components(scratch.together(links, pair), scratch)
             labels = met.select("cls").join(whole.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
             left = scratch.keep(_open(left, labels))
-            pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).join(scratch.together(tested, pair), ["a", "b"], "left_anti"))
+            pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).distinct().join(scratch.together(tested, pair), ["a", "b"], "left_anti"))
             held += [left, pairs]
         found = scratch.keep(_verified(wide, pairs, met, percent))
         held.append(found)
