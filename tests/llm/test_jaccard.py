@@ -76,6 +76,36 @@ def test_loose_family_meets_in_the_last_round(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(docs, rounds=1).collect()), key=str) == brute(rows, 90, 3)
 
 
+def test_sets_of_one_band_meet_there_only(spark):
+    """Sets of 150, near the end of a band, and of 160 in the next one, where those of 150 are guests."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 160).astype(np.uint64)
+    sets = [np.append(base[: n - 3], rng.integers(0, 1 << 63, 3).astype(np.uint64)) for n in (150, 150, 160)]
+    rows = [(int(sig), int(size), int(turn), k, -k) for k, t in enumerate(sets) for sig, size, turn in zip(*(x.view(np.int64) for x in jaccard.fragments(np.unique(t), 90)), strict=True)]
+    found = lambda some: {(r.s1, r.turn < 0) for r in jaccard._shared(spark.createDataFrame([r for r in rows if r[3] in some], jaccard.SIGNED)).collect()}
+    assert found((0, 1)) == {(0, False), (1, False)}
+    assert found((0, 2)) == {(0, True), (2, False)}
+    assert found((0, 1, 2)) == {(0, False), (1, False), (0, True), (1, True), (2, False)}
+    left = jaccard._shared(spark.createDataFrame(rows, jaccard.SIGNED)).selectExpr("sig", "s1 cls", "size", "turn", "s1 component")
+    maps = spark.createDataFrame([(k, -1, bytearray(jaccard.parity(t).tobytes())) for k, t in enumerate(sets)], "cls long, wide int, tokens binary")
+    sizes = spark.createDataFrame([(k, len(t)) for k, t in enumerate(sets)], "cls long, n long")
+    assert sorted(tuple(r) for r in jaccard._all_that_may_link(left, maps, sizes, 90).collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_rounds_end_when_they_find_no_links(spark, monkeypatch):
+    """Many sets that share fragments and do not link."""
+    rows, rounds, best = [], [], jaccard._best_partners
+    for k in range(60):
+        text = [f"w{i}" for i in range(300)]
+        for at in range(7):
+            text[(k * 5 + at * 40) % 300] = f"x{k}y{at}"
+        rows.append((k, " ".join(text)))
+    monkeypatch.setattr(jaccard, "_best_partners", lambda *a: rounds.append(a) or best(*a))
+    found = jaccard.link(spark.createDataFrame([(*r, "s") for r in rows], SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows, 90, 3)
+    assert len(rounds) == jaccard.SOME_ROUNDS
+
+
 def test_a_pair_leaves_the_last_join_once(spark):
     """Also pairs whose common fragments are none of those that sets bring along, and no pair inside a component."""
     rng = np.random.default_rng(2)

@@ -95,9 +95,10 @@ def fragments(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
     A set joins the band of its size, and the next band if a partner may be there. Sets
     that agree on nothing but empty fragments have more of them than there are spare
     ones, both; such sets are cut again by another order, and in the last one their
-    empty fragments count as well.
+    empty fragments count as well. In the next band a set is a guest, with orders below
+    zero (-1 - order): two guests are of one band, and meet there.
     """
-    n, found = len(tokens), []
+    n, found, turns = len(tokens), [], []
     band, top = (floor(log(x) / log(BAND) + 1e-9) for x in (n, n * 100 / percent))
     for b in range(band, top + 1):
         m, spare = _parts(ceil(BAND ** (b + 1)), percent)
@@ -107,15 +108,17 @@ def fragments(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray,
             starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             tag = np.array([b * ORDERS + turn], np.uint64)
             sums = np.add.reduceat(mixed(order + A), starts)
-            found.append((mixed(sums + part[starts] * B + tag * C), np.diff(np.append(starts, n)), tag))
+            found.append((mixed(sums + part[starts] * B + tag * C), np.diff(np.append(starts, n))))
+            turns.append(int(tag[0]) if b == band else -1 - int(tag[0]))
             if m - len(starts) <= spare:
                 break
             if turn == ORDERS - 1:
                 none = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
-                found.append((mixed(mixed(none + C) + tag * A), np.zeros(len(none), int), tag))
+                found.append((mixed(mixed(none + C) + tag * A), np.zeros(len(none), int)))
+                turns.append(turns[-1])
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate([s for s, _, _ in found]), np.concatenate([w for _, w, _ in found]), np.concatenate([np.full(len(s), int(t[0])) for s, _, t in found])
+    return np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), np.repeat(turns, [len(s) for s, _ in found])
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -233,7 +236,7 @@ def _hopeful(firsts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """``(sig, size, turn, s1, s2)``: members of the fragments that more than one set has.
+    """``(sig, size, turn, s1, s2)``: members of the fragments that more than one set has, and not only guests.
 
     Fragments that the same sets have stand as one, the smallest, with the sum of their
     sizes, so a pair that agrees on most of its fragments has two rows for all of them.
@@ -242,7 +245,7 @@ def _shared(signed: DataFrame) -> DataFrame:
     of_sig = Window.partitionBy("sig")
     rows = signed.repartition("sig").dropDuplicates(["sig", "s1", "s2"])
     sums = {f"d{k}": F.bit_xor(F.xxhash64(F.lit(k), "s1", "s2")).over(of_sig) for k in (1, 2)}
-    marked = rows.withColumns({"sets": F.count("*").over(of_sig)} | sums).where("sets > 1").drop("sets")
+    marked = rows.withColumns({"sets": F.count("*").over(of_sig), "home": F.max("turn").over(of_sig) >= 0} | sums).where("sets > 1 and home").drop("sets", "home")
     return marked.repartition("s1", "s2").groupBy("s1", "s2", "d1", "d2", "turn").agg(F.min("sig").alias("sig"), F.sum("size").alias("size")).drop("d1", "d2")
 
 
@@ -251,6 +254,8 @@ WIDE = "s1 long, s2 long, wide int, tokens binary"
 
 #: Meetings for each set and fragment that are taken to cost no more than a round.
 MEETINGS = 4
+#: Rounds by which copies are together, and pairs for each link that later rounds may try.
+SOME_ROUNDS, FEW_LINKS = 3, 20
 #: Signatures that a set brings into the last join.
 FIRSTS_KEPT = 8
 
@@ -298,8 +303,8 @@ def _verified(wide: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int)
 
 
 def _best_partners(apart: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """For each set the untested pair with the largest summed overlap, among the firsts of its fragments."""
-    first = apart.groupBy("sig").agg(F.min_by(F.struct("cls", "component"), F.xxhash64(F.lit(turn), "cls")).alias("p"))
+    """For each set the untested pair with the largest summed overlap, among the firsts of its fragments, which are no guests."""
+    first = apart.groupBy("sig").agg(F.min_by(F.struct("cls", "component"), F.struct(F.col("turn") < 0, F.xxhash64(F.lit(turn), "cls"))).alias("p"))
     met = apart.join(first, "sig").where("component <> p.component")
     pair = [F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")]
     partial = met.groupBy("cls", *pair, "turn").agg(F.sum("size").alias("o")).groupBy("cls", "a", "b").agg(F.max("o").alias("o"))
@@ -315,9 +320,9 @@ def _open(left: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _meetings(left: DataFrame) -> int:
-    """Pairs that meet if all sets of each fragment do."""
-    n = F.col("count")
-    return left.groupBy("sig").count().agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    """Pairs that meet if all sets of each fragment do, but for its guests among themselves."""
+    n, guests = F.col("n"), F.col("guests")
+    return left.groupBy("sig").agg(F.count("*").alias("n"), F.count_if(F.col("turn") < 0).alias("guests")).agg(F.sum((n * (n - 1) - guests * (guests - 1)) / 2)).first()[0] or 0
 
 
 def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -329,10 +334,12 @@ def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, per
     may repeat.
     """
     bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
-    firsts = left.groupBy("cls").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FIRSTS_KEPT).alias("firsts"))
+    guest, smallest = F.col("turn") < 0, lambda where: F.slice(F.sort_array(F.collect_set(F.when(where, F.col("sig")))), 1, FIRSTS_KEPT)
+    # a pair passes in one band only: their own, or that of the larger set, where the smaller is a guest
+    firsts = left.groupBy("cls").agg(smallest(~guest).alias("own"), smallest(guest).alias("others"))
     sets = sizes.select("cls", "n").join(bits, "cls").join(firsts, "cls")
-    known = left.select("sig", "cls", "component").join(sets, "cls")
-    meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component"))
+    known = left.join(sets, "cls").select("sig", "cls", "component", "n", "parity", guest.alias("guest"), F.when(guest, F.col("others")).otherwise(F.col("own")).alias("firsts"))
+    meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component")) & ~(F.col("l.guest") & F.col("r.guest"))
     once = F.coalesce(F.array_min(F.array_intersect("l.firsts", "r.firsts")), "l.sig") == F.col("l.sig")
     pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent) & once)
     return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
@@ -358,8 +365,8 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
     bits. Other columns are not read.
 
     ``rounds`` bounds how often a set meets one other set only, before all that are still
-    apart meet; rounds also end when those would be few meetings. Both change the cost and
-    not the result.
+    apart meet; rounds also end when those would be few meetings, or when they hardly find
+    links. All this changes the cost and not the result.
     """
     if percent < 75:
         raise ValueError("fragments would mostly be empty below 75 percent")
@@ -385,27 +392,31 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
     tested, links, whole = [], [], None
     labels = met.select("cls", F.col("cls").alias("component"))
     left, held = shared, [met]
+    few = False
     for turn in range(rounds + 1):
-        left = scratch.keep(_open(left, labels))
-        held.append(left)
+        before, left = left, scratch.keep(_open(left, labels))
+        scratch.drop(before)
         if left.isEmpty():
             break
-        # where few share a fragment, to let all of them meet costs no more than another round
-        last = turn == rounds or turn > 0 and _meetings(left) <= MEETINGS * left.count()
+        # copies are together after some rounds; of what finds no links then, or where few share a fragment, all may as well meet
+        last = turn == rounds or turn >= SOME_ROUNDS and few or turn > 0 and _meetings(left) <= MEETINGS * left.count()
         if not last:
             pairs = scratch.keep(_best_partners(left, scratch.together(tested, pair), turn))
             held.append(pairs)
-            last = pairs.isEmpty()
+            tried = pairs.count()
+            last = not tried
         if last:
             # two hops leave parts of a component apart: now whole components count
             whole = components(scratch.together(links, pair), scratch)
             labels = met.select("cls").join(whole.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
-            left = scratch.keep(_open(left, labels))
+            before, left = left, scratch.keep(_open(left, labels))
+            scratch.drop(before)
             pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).distinct().join(scratch.together(tested, pair), ["a", "b"], "left_anti"))
-            held += [left, pairs]
+            held.append(pairs)
         found = scratch.keep(_verified(wide, pairs, met, percent))
         held.append(found)
-        if not found.isEmpty():
+        new = found.count()
+        if new:
             links.append(found)
             whole = None
             if not last:
@@ -413,13 +424,14 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
                 held.append(labels)
         if last:
             break
+        few = new * FEW_LINKS < tried
         tested.append(pairs)
 
     whole = whole or components(scratch.together(links, pair), scratch)
     named = classes.join(whole.toDF("cls", "component"), "cls", "left").select("s1", "s2", "rep", F.coalesce("component", "cls").alias("component"))
     firsts = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.keep(named.join(firsts, "component").select("s1", "s2", "component_id"))
-    scratch.drop(classes, shared, tokens, *held)
+    scratch.drop(classes, left, tokens, *held)
     out = light.join(named, (light.s1 == named.s1) & (light.s2 == named.s2) & linked, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
