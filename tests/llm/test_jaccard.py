@@ -191,3 +191,21 @@ def test_a_token_moves_once_and_no_bucket_moves(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     scratch.drop(tokens, classes)
+
+
+def test_a_family_round_the_threshold_is_not_tested_in_all_its_pairs(spark, monkeypatch):
+    """Sets with up to four changes: most pairs link, but not with the sets that rounds meet first."""
+    rng, rows, tried, asked = np.random.default_rng(11), [], [], []
+    for k in range(400):
+        text = [f"w{i}" for i in range(150)]
+        for at in rng.choice(150, int(rng.integers(1, 5)), replace=False):
+            text[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(text)))
+    every, verified = jaccard._all_that_may_link, jaccard._verified
+    monkeypatch.setattr(jaccard, "_all_that_may_link", lambda *a: tried.append(every(*a).distinct().count()) or every(*a))
+    monkeypatch.setattr(jaccard, "_verified", lambda wide, pairs, *a: asked.append(pairs.count()) or verified(wide, pairs, *a))
+    monkeypatch.setattr(jaccard, "SOME_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "MEETINGS", 0)
+    found = jaccard.link(spark.createDataFrame([(*r, "s") for r in rows], SCHEMA), 80, 5, rounds=1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute(rows, 80, 5)
+    assert tried[0] <= 4 * len(rows) and sum(asked) <= 8 * len(rows)

@@ -11,7 +11,8 @@ have too few tokens in it that any other set has.
 Equal sets are one class from the start. In a round each set is compared with one other
 set at most, the best among those that this round's hash puts first in its fragments;
 later rounds compare only sets that are still in different components, so a group of
-copies is never expanded into its pairs.
+copies is never expanded into its pairs. Before all that are still apart meet, they meet
+some chosen sets of their fragments, and one pair for each two components is compared.
 """
 
 from __future__ import annotations
@@ -133,13 +134,8 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _may_link(percent: int) -> F.Column:
-    """Whether sizes and parity bitmaps allow the sets ``l`` and ``r`` to reach the threshold.
-
-    Sets of na and nb tokens over it differ in at most (na + nb) (1 - t) / (1 + t).
-    """
-    na, nb, k = F.col("l.n"), F.col("r.n"), F.lit(percent)
-    left, right = F.col("l.parity"), F.col("r.parity")
+def _apart(left: F.Column, right: F.Column) -> tuple[F.Column, F.Column]:
+    """Whether two parity bitmaps can be compared, and in how many bits they differ."""
 
     def folded(longer, size):
         return F.zip_with(F.slice(longer, F.lit(1), size), F.slice(longer, size + 1, size), lambda x, y: x.bitwiseXOR(y))
@@ -147,7 +143,16 @@ def _may_link(percent: int) -> F.Column:
     least = F.least(F.size(left), F.size(right))
     fit = lambda x: F.when(F.size(x) == 2 * least, folded(x, least)).otherwise(x)
     apart = F.aggregate(F.zip_with(fit(left), fit(right), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    comparable = F.greatest(F.size(left), F.size(right)) <= 2 * least
+    return F.greatest(F.size(left), F.size(right)) <= 2 * least, apart
+
+
+def _may_link(percent: int) -> F.Column:
+    """Whether sizes and parity bitmaps allow the sets ``l`` and ``r`` to reach the threshold.
+
+    Sets of na and nb tokens over it differ in at most (na + nb) (1 - t) / (1 + t).
+    """
+    na, nb, k = F.col("l.n"), F.col("r.n"), F.lit(percent)
+    comparable, apart = _apart(F.col("l.parity"), F.col("r.parity"))
     return (na * 100 >= nb * k) & (nb * 100 >= na * k) & (~comparable | (apart * (k + 100) <= (na + nb) * (F.lit(100) - k)))
 
 
@@ -290,11 +295,19 @@ def _longs(x: pd.Series) -> pd.Series:
     return x.map(lambda b: np.frombuffer(b, np.int64))
 
 
-def _verified(wide: DataFrame, pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold, by overlaps summed over wide fragments."""
-    n, k = F.col("n"), F.lit(percent)
-    sized = pairs.join(sizes.select(F.col("cls").alias("a"), n.alias("na")), "a").join(sizes.select(F.col("cls").alias("b"), n.alias("nb")), "b")
-    sized = sized.where((F.col("na") * 100 >= F.col("nb") * k) & (F.col("nb") * 100 >= F.col("na") * k))
+def _with_parity(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Size and parity bitmap of each class."""
+    return sizes.select("cls", "n").join(tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity")), "cls")
+
+
+def _verified(wide: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that reach the threshold, by overlaps summed over wide fragments.
+
+    Tokens are read only for pairs whose sizes and parity bitmaps allow it.
+    """
+    k, side = F.lit(percent), F.struct("n", "parity")
+    both = pairs.join(sets.select(F.col("cls").alias("a"), side.alias("l")), "a").join(sets.select(F.col("cls").alias("b"), side.alias("r")), "b")
+    sized = both.where(_may_link(percent)).select("a", "b", F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
     pieces = sized.withColumn("wide", F.explode(F.array(*map(F.lit, range(1 << WIDE_BITS)))))
     left = pieces.join(wide.toDF("a", "wide", "at"), ["a", "wide"])
     both = left.join(wide.toDF("b", "wide", "bt"), ["b", "wide"])
@@ -325,24 +338,48 @@ def _meetings(left: DataFrame) -> int:
     return left.groupBy("sig").agg(F.count("*").alias("n"), F.count_if(F.col("turn") < 0).alias("guests")).agg(F.sum((n * (n - 1) - guests * (guests - 1)) / 2)).first()[0] or 0
 
 
-def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that meet in a fragment; what can't reach the threshold never leaves the join.
+def _that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int, some: bool = False) -> DataFrame:
+    """Sets ``l`` and ``r`` that meet in a fragment; what can't reach the threshold never leaves the join.
 
     A set brings the smallest signatures of its band along. Where two sets have some of
     these in common, the smallest is the first fragment that both have, and the pair
     leaves there only; a pair without any leaves from each of its fragments, so pairs
-    may repeat.
+    may repeat. With ``some``, sets meet only those that a hash chooses, in a fragment of
+    n sets about the root of n.
     """
-    bits = tokens.where("wide = -1").select("cls", _longs("tokens").alias("parity"))
     guest, smallest = F.col("turn") < 0, lambda where: F.slice(F.sort_array(F.collect_set(F.when(where, F.col("sig")))), 1, FIRSTS_KEPT)
     # a pair passes in one band only: their own, or that of the larger set, where the smaller is a guest
-    firsts = left.groupBy("cls").agg(smallest(~guest).alias("own"), smallest(guest).alias("others"))
-    sets = sizes.select("cls", "n").join(bits, "cls").join(firsts, "cls")
-    known = left.join(sets, "cls").select("sig", "cls", "component", "n", "parity", guest.alias("guest"), F.when(guest, F.col("others")).otherwise(F.col("own")).alias("firsts"))
-    meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.component") != F.col("r.component")) & ~(F.col("l.guest") & F.col("r.guest"))
+    firsts, chosen = [smallest(~guest).alias("own"), smallest(guest).alias("others")], F.lit(True)
+    if some:
+        left = left.withColumn("sets", F.count("*").over(Window.partitionBy("sig")))
+        firsts.append(F.max("sets").alias("most"))
+        chosen = F.pmod(F.xxhash64(F.lit(-1), "cls"), F.ceil(F.sqrt("most"))) == 0
+    sets = _with_parity(tokens, sizes).join(left.groupBy("cls").agg(*firsts).withColumn("chosen", chosen), "cls")
+    known = left.join(sets, "cls").select("sig", "cls", "component", "n", "parity", "chosen", guest.alias("guest"), F.when(guest, F.col("others")).otherwise(F.col("own")).alias("firsts"))
+    meet = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") != F.col("r.component")) & ~(F.col("l.guest") & F.col("r.guest"))
+    order = (F.col("l.cls") < F.col("r.cls")) | ~F.col("l.chosen")
     once = F.coalesce(F.array_min(F.array_intersect("l.firsts", "r.firsts")), "l.sig") == F.col("l.sig")
-    pairs = known.alias("l").join(known.alias("r"), meet & _may_link(percent) & once)
-    return pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+    return known.alias("l").join(known.where("chosen").alias("r"), meet & order & _may_link(percent) & once)
+
+
+def _all_that_may_link(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of different components that meet in a fragment and may link."""
+    return _that_may_link(left, tokens, sizes, percent).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+
+
+def _nearest_of_components(left: DataFrame, tokens: DataFrame, sizes: DataFrame, percent: int, tested: DataFrame) -> DataFrame:
+    """For each two components the untested pair with the nearest bitmaps, if all sets meet the chosen ones.
+
+    A set that links with a part f of a family of n is missed by all of them with a
+    chance of (1 - f) to the number of those chosen, so that hardly more than the root
+    of n is left to each set when all meet.
+    """
+    of_l, of_r = F.col("l.cls"), F.col("r.cls")
+    comparable, apart = _apart(F.col("l.parity"), F.col("r.parity"))
+    between = [F.least("l.component", "r.component").alias("lo"), F.greatest("l.component", "r.component").alias("hi")]
+    met = _that_may_link(left, tokens, sizes, percent, some=True).select(*between, F.least(of_l, of_r).alias("a"), F.greatest(of_l, of_r).alias("b"), F.when(comparable, apart / (F.col("l.n") + F.col("r.n"))).otherwise(1.0).alias("apart"))
+    fresh = met.join(tested, ["a", "b"], "left_anti")
+    return fresh.groupBy("lo", "hi").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
 
 
 def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -386,12 +423,12 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
     tokens = _wide(docs, met.select(F.col("rep").alias("doc_id")).distinct(), width).join(met.select("s1", "s2", "cls"), ["s1", "s2"])
     # the pairs go to the tokens, not the tokens to the pairs of each round
     tokens = scratch.keep_in_buckets(tokens.select("cls", "wide", "tokens").dropDuplicates(["cls", "wide"]), "cls", "wide")
-    wide = tokens.where("wide >= 0")
+    wide, sets = tokens.where("wide >= 0"), scratch.keep(_with_parity(tokens, met))
 
     pair = "a bigint, b bigint"
     tested, links, whole = [], [], None
     labels = met.select("cls", F.col("cls").alias("component"))
-    left, held = shared, [met]
+    left, held = shared, [met, sets]
     few = False
     for turn in range(rounds + 1):
         before, left = left, scratch.keep(_open(left, labels))
@@ -399,13 +436,21 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
         if left.isEmpty():
             break
         # copies are together after some rounds; of what finds no links then, or where few share a fragment, all may as well meet
-        last = turn == rounds or turn >= SOME_ROUNDS and few or turn > 0 and _meetings(left) <= MEETINGS * left.count()
+        cheap = False
+        last = turn == rounds or turn >= SOME_ROUNDS and few or (cheap := turn > 0 and _meetings(left) <= MEETINGS * left.count())
         if not last:
             pairs = scratch.keep(_best_partners(left, scratch.together(tested, pair), turn))
             held.append(pairs)
             tried = pairs.count()
             last = not tried
         if last:
+            if not cheap:
+                # families whose sets mostly link come together by some of their sets, not by all their pairs
+                pairs = scratch.keep(_nearest_of_components(left, tokens, met, percent, scratch.together(tested, pair)))
+                found = scratch.keep(_verified(wide, pairs, sets, percent))
+                held += [pairs, found]
+                tested.append(pairs)
+                links.append(found)
             # two hops leave parts of a component apart: now whole components count
             whole = components(scratch.together(links, pair), scratch)
             labels = met.select("cls").join(whole.toDF("cls", "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
@@ -413,7 +458,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, rounds: int = 10) -
             scratch.drop(before)
             pairs = scratch.keep(_all_that_may_link(left, tokens, met, percent).distinct().join(scratch.together(tested, pair), ["a", "b"], "left_anti"))
             held.append(pairs)
-        found = scratch.keep(_verified(wide, pairs, met, percent))
+        found = scratch.keep(_verified(wide, pairs, sets, percent))
         held.append(found)
         new = found.count()
         if new:
