@@ -1,6 +1,7 @@
 """Damaged pages, reactions, certification, posts and corpora against known answers."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,28 @@ def test_chain_on_the_tables(spark):
     assert judged.count() == 50 * len(page_queries.MUTATIONS) or judged.count() % len(page_queries.MUTATIONS) == 0
     assert judged.where("passed IS NULL").count() == 0 and judged.select("observed").distinct().count() >= 2
     assert registry.queries()["parse_social_pages"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pages_are_damaged_and_judged_once(spark):
+    """A page that comes twice has two reactions to each mutation, one parse makes all copies, and what has not changed is not read."""
+    rules = spark.createDataFrame([(1, "page", "/p/", 1, "", "", "", "")], "position int, url_class string, pattern string, min_body_bytes int, canary string, expected_type string, json_paths string, signatures string")
+    docs = spark.createDataFrame([(1, "https://s.test/p/1", PAGE, "HTML"), (1, "https://s.test/p/1", PAGE, "HTML"), (None, "https://s.test/p/2", PAGE, "HTML"), (3, None, None, "UNKNOWN")], "id int, url string, body string, content_kind string")
+    each = [("remove_critical_field", "title"), ("rename_css_class", "lead"), ("remove_pagination_cursor", "")]
+    seen = mutations.profile_reactions(mutations.mutate_pages(docs, each, "id", "url"), rules, [{"kind": "css", "fields": {"title": ".title", "lead": ".lead"}}], {"title": "critical", "lead": "optional"}, "id", "url")
+    found = Counter((r.id, r.kind, r.changed, r.observed) for r in seen.collect())
+    assert found == {(1, each[0][0], True, "FAILS"): 2, (1, each[1][0], True, "WARNS"): 2, (1, each[2][0], False, "SURVIVES"): 2, (None, each[0][0], True, "FAILS"): 1, (None, each[1][0], True, "WARNS"): 1, (None, each[2][0], False, "SURVIVES"): 1} | {(3, kind, False, "SURVIVES"): 1 for kind, _ in each}
+    for extractors, lost in (([{"kind": "json_ld", "type": "Article", "fields": ["title"]}], {each[0]}), ([{"kind": "css", "fields": {"title": ".title"}}], {each[0], ("rename_css_class", "title")}), ([{"kind": "heuristic"}, {"kind": "meta", "fields": {"title": None}}], {each[0]})):
+        some = mutations.mutate_pages(docs.limit(1), [*each, ("rename_css_class", "title")], "id", "url")
+        assert {(r.kind, r.target) for r in mutations.profile_reactions(some, rules, extractors, {"title": "critical"}, "id", "url").where("observed <> 'SURVIVES'").collect()} == lost
+    mutations._elements.cache_clear()
+    for kind, target in (("remove_critical_field", "title"), ("wrap_dom_node", "lead"), ("move_element", "li")):
+        assert damaged(kind, target) != PAGE
+    assert mutations._elements.cache_info().misses == 1
+
+
+def test_pages_are_read_once_and_dealt_out(spark):
+    judged = page_queries.judge_reactions(spark, "/root/testdata/sf0.01")
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("MapInArrow") == 1 and plan.count("REPARTITION_BY_NUM") == 1 and "SortMergeJoin" not in plan
+    # a row group goes to one task, the pages in it to all cores
+    assert judged.select(F.spark_partition_id().alias("p")).distinct().count() > spark.sparkContext.defaultParallelism

@@ -180,9 +180,9 @@ def _plain(value: Column) -> Column:
     return F.when(is_object, inside).when(~F.is_variant_null(first), F.try_variant_get(first, "$", "string"))
 
 
-def _linked_data(body: Column) -> Column:
-    """All linked-data objects of a body in order, members of an ``@graph`` in its place."""
-    own = F.filter(_scripts(body), lambda x: F.lower(_attribute(x["tag"], "type")) == "application/ld+json")
+def _linked_data(scripts: Column) -> Column:
+    """All linked-data objects of a body's scripts in order, members of an ``@graph`` in its place."""
+    own = F.filter(scripts, lambda x: F.lower(_attribute(x["tag"], "type")) == "application/ld+json")
     docs = F.filter(F.transform(own, lambda x: whole_json(x["code"])), lambda d: d.isNotNull())
     tops = F.flatten(F.transform(docs, _items))
     members = F.flatten(F.transform(tops, lambda t: F.coalesce(F.try_variant_get(_member(t, "@graph"), "$", "array<variant>"), F.array(t))))
@@ -208,7 +208,7 @@ def json_ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
 
 
 def _ld_objects(df: DataFrame, kind: str | None, *keys: str) -> DataFrame:
-    things = df.select(*keys, _linked_data(F.col("body")).alias("_things"))
+    things = df.select(*keys, _linked_data(_scripts(F.col("body"))).alias("_things"))
     return things.select(*keys, _of_kind(F.col("_things"), kind).alias("object"))
 
 
@@ -221,28 +221,32 @@ def extract_json_ld(df: DataFrame, kind: str | None, fields: list[str], *keys: s
 STATE_NAMES = ("INITIAL_STATE", "PRELOADED_STATE", "NUXT", "APOLLO_STATE")
 
 
-def _state(body: Column) -> Column:
-    """The state that a page carries: the script of that id, else what is assigned first, up to where its brace closes."""
-    own = F.get(F.filter(_scripts(body), lambda x: _attribute(x["tag"], "id") == "__NEXT_DATA__"), 0)["code"]
-    code = F.array_join(F.transform(_scripts(body), lambda x: x["code"]), "\n")
+def _state(scripts: Column) -> Column:
+    """The state that a page carries in its scripts: that of that id, else what is assigned first, up to where its brace closes."""
+    own = F.get(F.filter(scripts, lambda x: _attribute(x["tag"], "id") == "__NEXT_DATA__"), 0)["code"]
+    code = F.array_join(F.transform(scripts, lambda x: x["code"]), "\n")
     return F.coalesce(own, leading_json(F.nullif(F.regexp_extract(code, rf"(?s)__(?:{'|'.join(STATE_NAMES)})__\s*=\s*(\{{.*)", 1), F.lit(""))))
 
 
 def extract_state_fields(df: DataFrame, fields: dict[str, str], *keys: str) -> DataFrame:
     """EXT-03: ``(keys, field, value)`` by paths into the state that a page carries in a script."""
-    return extract_json_fields(df.select(*keys, _state(F.col("body")).alias("state")), "state", fields, *keys)
+    return extract_json_fields(df.select(*keys, _state(_scripts(F.col("body"))).alias("state")), "state", fields, *keys)
 
 
-def _meta_values(body: Column, fields: dict[str, tuple]) -> dict[str, Column]:
+def _meta_tags(body: Column) -> Column:
+    """The meta tags of a body in order: structs of name and content."""
     tags = F.regexp_extract_all(body, F.lit(r"(?i)<meta\b([^>]*)>"), F.lit(1))
-    named = F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(_attribute(t, "property"), _attribute(t, "name"))).alias("name"), _attribute(t, "content").alias("content")))
+    return F.transform(tags, lambda t: F.struct(F.lower(F.coalesce(_attribute(t, "property"), _attribute(t, "name"))).alias("name"), _attribute(t, "content").alias("content")))
+
+
+def _meta_values(named: Column, fields: dict[str, tuple]) -> dict[str, Column]:
     of = lambda n: F.get(F.filter(named, lambda m: (m["name"] == n) & m["content"].isNotNull()), 0)["content"]
     return {field: F.coalesce(*[of(n) for n in names]) for field, names in fields.items()}
 
 
 def extract_meta_fields(df: DataFrame, fields: dict[str, tuple], *keys: str) -> DataFrame:
     """EXT-02: ``(keys, field, value)``: the first name of each field that a meta tag has; of a name the first tag counts."""
-    return _exploded(df, _listed(_meta_values(F.col("body"), fields)), *keys)
+    return _exploded(df, _listed(_meta_values(_meta_tags(F.col("body")), fields)), *keys)
 
 
 # selectors
@@ -348,8 +352,10 @@ def _css_values(body: Column, selectors: dict[str, str]) -> Column:
     @F.pandas_udf("map<string,string>")
     def read(bodies: pd.Series) -> pd.Series:
         def of(body):
+            if not body:
+                return {}
             reader = _Reader(compiled)
-            reader.feed(body or "")
+            reader.feed(body)
             return reader.finish()
 
         return bodies.map(of)
@@ -368,8 +374,8 @@ def extract_css(df: DataFrame, selectors: dict[str, str], *keys: str) -> DataFra
 HEURISTIC = ("h1", "title")
 
 
-def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
-    """``df`` with ``values``: what every extractor of a profile found, in its declared order.
+def with_values(df: DataFrame, extractors: list[dict], wanted: set[str] | None = None) -> DataFrame:
+    """``df`` with ``values``: what every extractor of a profile found of the ``wanted`` fields (default: all), in its declared order.
 
     An extractor is ``{"kind": ..., "fields": ...}``: json, json_ld (and ``type``),
     app_state, meta, css or heuristic. ``df`` has ``body`` and ``content_kind``; a BINARY
@@ -395,11 +401,15 @@ def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
         keep(_css=_css_values(body, selectors))
     if "json" in known:
         keep(_json=whole_json(F.when(F.col("content_kind") == "JSON", body)))
+    if {"app_state", "json_ld"} & set(known):
+        keep(_scripts=_scripts(body))
+    if "meta" in known:
+        keep(_meta=_meta_tags(body))
     if "app_state" in known:
-        keep(_state_text=_state(body))
+        keep(_state_text=_state(F.col("_scripts")))
         keep(_state=whole_json(F.col("_state_text")))
     if "json_ld" in known:
-        keep(_things=_linked_data(body))
+        keep(_things=_linked_data(F.col("_scripts")))
         keep(**{f"_thing{n}": _of_kind(F.col("_things"), e.get("type")) for n, e in enumerate(extractors) if e["kind"] == "json_ld"})
     found = []
     for n, e in enumerate(extractors):
@@ -411,11 +421,12 @@ def with_values(df: DataFrame, extractors: list[dict]) -> DataFrame:
         elif kind == "app_state":
             values = _json_values(F.col("_state"), fields)
         elif kind == "meta":
-            values = _meta_values(body, {f: (names,) if isinstance(names, str) else tuple(names or META_NAMES.get(f, (f,))) for f, names in dict(fields).items()})
+            values = _meta_values(F.col("_meta"), {f: (names,) if isinstance(names, str) else tuple(names or META_NAMES.get(f, (f,))) for f, names in dict(fields).items()})
         elif kind == "css":
             values = {field: F.try_element_at("_css", F.lit(f"{n} {field}")) for field in fields}
         else:
             values = {"title": F.coalesce(*[F.try_element_at("_css", F.lit(f"heuristic {tag}")) for tag in HEURISTIC])}
+        values = {field: value for field, value in values.items() if wanted is None or field in wanted}
         source = {"json": "json_path"}.get(kind, kind)
         found.append(F.transform(_listed(values), lambda x: F.struct(x["field"].alias("field"), F.lit(n + 1).alias("position"), F.lit(source).alias("source"), x["value"].alias("value"))))
     whole = F.filter(F.concat(*found), lambda x: x["value"] != "")
@@ -528,7 +539,7 @@ def page_facts(df: DataFrame, *keys: str) -> DataFrame:
     read = df.withColumn("_links", links).withColumn("_feeds", feeds).withColumn("_all", all_absolute(F.concat(F.array(F.get(of("canonical"), 0), F.get(of("amphtml"), 0)), F.col("_feeds"), quoted), "url"))
     graph = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(r"""(?i)<meta\b[^>]*?(?:property|name)\s*=\s*["'](og:[\w:.-]+)"""), F.lit(1)), F.lower)))
     states = F.array(*[F.when(F.contains(body, F.lit(f"__{n}__")), F.lit(n)) for n in ("NEXT_DATA", *STATE_NAMES)])
-    types = F.filter(F.flatten(F.transform(_linked_data(body), _types)), lambda t: t.isNotNull())
+    types = F.filter(F.flatten(F.transform(_linked_data(_scripts(body)), _types)), lambda t: t.isNotNull())
     host = lambda u: F.lower(F.regexp_extract(u, "^[A-Za-z]+://([^/?#:]+)", 1))
     site = lambda u: F.array_join(F.slice(F.split(host(u), "[.]"), -F.least(F.size(F.split(host(u), "[.]")), F.lit(2)), F.lit(2)), ".")
     n_feeds = F.size("_feeds")

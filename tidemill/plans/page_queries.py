@@ -32,7 +32,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HINTS = """<link rel="canonical" href="/c/%s"><link rel="alternate" type="application/rss+xml" href="feed.xml"><script>fetch("/api/v1/items/%s?x=1")</script>"""
 
 
-def _pages(spark, sf_dir) -> DataFrame:
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores. A file's row group is read by one task, which is too few where a row costs far more than its read."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def _pages(spark, sf_dir, dealt: bool = False) -> DataFrame:
     """Pages as responses, with their kind. A fifth each carries its title as linked data, as meta tags, or as state, and a
     fifth has a feed and an API beside it; every twentieth answers with JSON."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
@@ -44,7 +50,8 @@ def _pages(spark, sf_dir) -> DataFrame:
     kind = F.col("page_id") % 5
     extra = F.when(kind == 0, linked).when(kind == 1, meta).when(kind == 2, state).when(kind == 3, hints).otherwise("")
     body = F.when(F.col("page_id") % 20 == 19, F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("JSON "), number).alias("title"))).alias("items"), F.lit("c1").alias("next")))).otherwise(F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), extra)))
-    found = _read(spark, sf_dir, "pages").select("page_id", "url", body.alias("body"))
+    found = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = (_dealt(found, "page_id", "url") if dealt else found).select("page_id", "url", body.alias("body"))
     return found.withColumn("content_kind", F.expr(content_kind(SPARK, "body", "''")))
 
 
@@ -167,7 +174,7 @@ def mutate_pages(spark, sf_dir):
 
 def judge_reactions(spark, sf_dir):
     """EXT-11, PRJ-12, EXT-07 and AGG-39 as one chain: every page is damaged, and the profile's reaction judged."""
-    found = _pages(spark, sf_dir)
+    found = _pages(spark, sf_dir, dealt=True)
     damaged = mutations.mutate_pages(found, MUTATIONS, "page_id", "url")
     observed = mutations.profile_reactions(damaged, _rules(spark, sf_dir), PROFILE, IMPORTANCE, "page_id", "url")
     site = F.regexp_extract("url", "//([^/]*)", 1)
